@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import hmm
+from riskloom.llm import crf, hmm
 from riskloom.llm.common import crc_of_id
 from riskloom.session import table
 
@@ -22,3 +22,11 @@ def query(f):
 def op1_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hidden Markov score of every text; learns from those whose crc32 of the id mod 7 isn't 2."""
     return hmm.score(table(spark, sf_dir, "documents"), held_out=crc_of_id("doc_id") % 7 == 2)
+
+
+@query
+def op2_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text; learns from labelled texts whose crc32 of the id mod 4 isn't 2."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(crc_of_id("doc_id") % 4 == 2, F.lit(False)))
+    model = crf.fit_on(docs.where(~F.col("held_out")), "text", "lang")
+    return crf.predict(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
