@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import crf, hmm
+from riskloom.llm import crf, hmm, pieces
 from riskloom.llm.common import crc_of_id
 from riskloom.session import table
 
@@ -30,3 +31,9 @@ def op2_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(crc_of_id("doc_id") % 4 == 2, F.lit(False)))
     model = crf.fit_on(docs.where(~F.col("held_out")), "text", "lang")
     return crf.predict(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op3_piece_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text with the end id, and their decoding, as digests."""
+    return pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
