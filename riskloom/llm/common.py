@@ -59,7 +59,7 @@ def range_bucket(key: str, bounds: list[float]) -> Column:
 
 def partitions_for(df: DataFrame, mb: int = 8) -> int:
     """Shuffle partitions for a table of this estimated size."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return max(1, min(100_000, size // (mb << 20) + 1))
 
 

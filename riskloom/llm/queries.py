@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import crf, hmm, pieces
+from riskloom.llm import crf, hmm, pieces, wavelet
 from riskloom.llm.common import crc_of_id
 from riskloom.session import table
 
@@ -37,3 +37,9 @@ def op2_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_piece_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text with the end id, and their decoding, as digests."""
     return pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op8_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text, written to wavelet shards and read back from them."""
+    return wavelet.read_documents(wavelet.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
