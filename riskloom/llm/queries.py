@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import crf, hmm, pieces, wavelet
+from riskloom.llm import crf, hmm, pieces, simhash, wavelet
 from riskloom.llm.common import crc_of_id
 from riskloom.session import table
 
@@ -43,3 +43,10 @@ def op3_piece_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text, written to wavelet shards and read back from them."""
     return wavelet.read_documents(wavelet.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
+@query
+def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    found = simhash.clusters(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hexed().alias("fingerprint"), "component_id")
