@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import crf, hmm, pieces, simhash, wavelet
+from riskloom.llm import crf, hmm, iblt, pieces, simhash, wavelet
 from riskloom.llm.common import crc_of_id
 from riskloom.session import table
 
@@ -50,3 +50,10 @@ def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     found = simhash.clusters(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hexed().alias("fingerprint"), "component_id")
+
+
+@query
+def op5_iblt_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketch fingerprints of every text and its edited text, and how alike they are."""
+    found = iblt.edited_likeness(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
