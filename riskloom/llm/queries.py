@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import crf, hmm, iblt, pieces, simhash, wavelet
+from riskloom.llm import crf, hmm, iblt, pieces, simhash, suffix, wavelet
 from riskloom.llm.common import crc_of_id
 from riskloom.session import table
 
@@ -57,3 +57,10 @@ def op5_iblt_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketch fingerprints of every text and its edited text, and how alike they are."""
     found = iblt.edited_likeness(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_chars", F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+@query
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without strings of 400 bytes that occur again."""
+    found = suffix.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
