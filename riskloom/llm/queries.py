@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import crf, hmm, iblt, pieces, simhash, suffix, wavelet
+from riskloom.llm import crf, forest, hmm, iblt, pieces, simhash, suffix, wavelet
 from riskloom.llm.common import crc_of_id
 from riskloom.session import table
 
@@ -64,3 +64,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every text without strings of 400 bytes that occur again."""
     found = suffix.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
+@query
+def op7_forest_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows, by inner product, of every row whose vec_id is divisible by 20."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return forest.nearest(vectors, vectors.where("vec_id % 20 = 0"), 20)
