@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import crf, forest, hmm, iblt, pieces, simhash, suffix, wavelet
-from riskloom.llm.common import crc_of_id
+from riskloom.llm import crf, forest, hmm, iblt, packing, pieces, simhash, suffix, warc, wavelet
+from riskloom.llm.common import crc_of_id, stored
 from riskloom.session import table
 
 QUERIES: dict = {}
@@ -71,3 +71,16 @@ def op7_forest_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest rows, by inner product, of every row whose vec_id is divisible by 20."""
     vectors = table(spark, sf_dir, "embeddings")
     return forest.nearest(vectors, vectors.where("vec_id % 20 = 0"), 20)
+
+
+@query
+def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of every page, with a digest of each record's bytes."""
+    made = warc.build(table(spark, sf_dir, "pages"))
+    return made.withColumn("record_sha256", F.sha2("record", 256)).drop("record")
+
+
+@query
+def op10_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bin, place and start of every document (or piece of a long one) in bins of 2,048 words."""
+    return packing.pack(stored(packing.sizes(table(spark, sf_dir, "documents")), "sizes"))

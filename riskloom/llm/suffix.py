@@ -314,12 +314,9 @@ def repeated(docs: DataFrame, size: int = 400, limit: int = 20_000, batch_bytes:
     return known.unionByName(met).unionByName(counted)
 
 
-KEPT = "n_bytes long, n_removed long, n_spans long, kept binary"
-
-
-def _keep(size: int):
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    names = [c.split()[0] for c in KEPT.split(", ")]
+def _keep(size: int, as_text: bool):
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary()]
+    names = ["n_bytes", "n_removed", "n_spans", "kept"]
 
     def run(batches):
         for b in batches:
@@ -340,22 +337,26 @@ def _keep(size: int):
                         removed += last - stop
                         stop = last
                 kept.append(raw[max(stop, 0) :])
-                rows.append((len(raw), removed, n_spans, b"".join(kept)))
+                left = b"".join(kept)
+                rows.append((len(raw), removed, n_spans, left.decode("utf-8", "ignore") if as_text else left))
             columns = zip(*rows, strict=True) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([*b.columns[: at - 1], *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], [*b.schema.names[: at - 1], *names])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 400, limit: int = 20_000) -> DataFrame:
-    """All columns of `docs` but the text, then n_bytes, n_removed, n_spans and kept (binary)."""
-    keep = [c for c in docs.columns if c != text]
+def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 400, limit: int = 20_000, as_text: bool = False) -> DataFrame:
+    """All columns of `docs` but the text, then n_bytes, n_removed, n_spans and kept.
+
+    kept is binary; with `as_text`, a string without the characters that an edge cuts in half.
+    """
+    keep = [c for c in docs.columns if c not in (text, "n_bytes", "n_removed", "n_spans", "kept")]
     ids = F.col(doc_id).cast("long")
     rows = docs.select(ids.alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("thash"), F.col(text).alias("text"))
     runs = repeated(rows, size, limit).groupBy(F.col("doc_id").alias("_id"), F.col("thash").alias("_hash")).agg(F.collect_list(F.struct("start", "stop")).alias("_runs"))
     marked = docs.select(*keep, ids.alias("_doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_thash"), F.col(text).alias("_text"))
     joined = marked.join(runs, (F.col("_doc") == F.col("_id")) & (F.col("_thash") == F.col("_hash")), "left").select(*keep, "_text", "_runs")
-    from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+    from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-    schema = StructType([*(joined.schema[c] for c in keep), *(StructField(n, LongType()) for n in ("n_bytes", "n_removed", "n_spans")), StructField("kept", BinaryType())])
-    return joined.mapInArrow(_keep(size), schema)
+    schema = StructType([*(joined.schema[c] for c in keep), *(StructField(n, LongType()) for n in ("n_bytes", "n_removed", "n_spans")), StructField("kept", StringType() if as_text else BinaryType())])
+    return joined.mapInArrow(_keep(size, as_text), schema)
