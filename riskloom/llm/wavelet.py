@@ -22,6 +22,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -131,6 +132,8 @@ class WaveletMatrix:
 
 START = re.compile(r" (?=\S)")
 BLANK_RUN = re.compile(r" \s")
+# Fixed value: the pre-token pattern of byte-level BPE vocabularies, as their files name it by "use_regex".
+PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
 
 class UnitEncoder:
@@ -141,7 +144,7 @@ class UnitEncoder:
     an added token of the vocabulary go to the library whole.
     """
 
-    def __init__(self, path: str, remember: int = 800_000):
+    def __init__(self, path: str, remember: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -154,25 +157,32 @@ class UnitEncoder:
         self.units: dict[str, bytes] = {}  # by unit without its blank
         self.parts: dict[str, bytes] = {}  # by pre-token
 
+    def release(self) -> None:
+        """Forgets what was learned: later stages of the same worker need the room."""
+        self.units.clear()
+        self.parts.clear()
+
+    def _cut(self, unit: str) -> list[str]:
+        """The pre-tokens of a blank and this unit."""
+        text = " " + unit
+        if unit.isalpha():
+            return [text]
+        if unit.isprintable():  # the pattern's white space and \s may differ in control characters only
+            return PATTERN.findall(text)
+        return [text[a:b] for _, (a, b) in self.t.pre_tokenizer.pre_tokenize_str(text)]
+
     def _learn(self, units: set[str]) -> None:
         """Adds these units, each taken to follow a blank, to the known ones."""
-        cut = self.t.pre_tokenizer.pre_tokenize_str
-        spans = {}
-        for u in units:
-            text = " " + u
-            if u.isalpha():  # one pre-token
-                spans[u] = (text,)
-            else:
-                spans[u] = tuple([text[a:b] for _, (a, b) in cut(text)])
-        new = {x for parts in spans.values() for x in parts if x not in self.parts}
-        if len(self.parts) + len(new) > self.remember:
+        cut = [self._cut(u) for u in units]
+        if len(self.parts) > self.remember:
             self.parts.clear()
-            new = {x for parts in spans.values() for x in parts}
-        for group in _groups(sorted(new), 20_000):
+        new = sorted({x for parts in cut for x in parts}.difference(self.parts))
+        for group in _groups(new, 20_000):
             for x, e in zip(group, self.t.encode_batch_fast(group, add_special_tokens=False), strict=True):
                 self.parts[x] = np.array(e.ids, self.kind).tobytes()
-        for u, parts in spans.items():
-            self.units[u] = b"".join([self.parts[x] for x in parts])
+        known = self.parts
+        for u, parts in zip(units, cut, strict=True):
+            self.units[u] = known[parts[0]] if len(parts) == 1 else b"".join([known[x] for x in parts])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian numbers of `kind`."""
@@ -201,8 +211,9 @@ class UnitEncoder:
                 out.append(b"".join(got))
         if missing:
             self._learn(missing)
+            known = self.units
             for at, got, units in later:
-                out[at] = b"".join([self.units[u] if g is None else g for u, g in zip(units, got, strict=True)])
+                out[at] = b"".join([known[u] if g is None else g for u, g in zip(units, got, strict=True)])
         return out
 
 
@@ -220,7 +231,7 @@ def _encoder(path: str) -> UnitEncoder:
     return _ENCODERS[path]
 
 
-def _encode(path: str, step_chars: int = 4_000_000):
+def _encode(path: str, step_chars: int = 1_000_000):
     def run(batches):
         e = _encoder(path)
         for b in batches:
@@ -245,6 +256,7 @@ def _write(path: str, shard_tokens: int):
 
     def run(batches):
         e = _encoder(path)
+        e.release()
         bucket, shard, docs, sizes, ids, total = None, 0, [], [], [], 0
 
         def out():
@@ -287,6 +299,8 @@ def write_shards(docs: DataFrame, path: str, text: str = "text", doc_id: str = "
 
 def _read(batches):
     names = ["bucket", "shard", "pos", "doc_id", "n_tokens", "ids_crc32"]
+    for e in _ENCODERS.values():
+        e.release()
     for b in batches:
         for bucket, shard, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
             matrix, extra = WaveletMatrix.from_bytes(blob)
