@@ -6,18 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.plans import quality
+from riskloom.plans import quality, scalar
+
+MODULES = (quality, scalar)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-    for module in (quality,):
+    for module in MODULES:
         found |= module.QUERIES
     return found
 
 
 def oracle_sql() -> dict[str, str]:
     found: dict[str, str] = {}
-    for module in (quality,):
+    for module in MODULES:
         found |= module.ORACLE_SQL
     return found
