@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.plans import quality, scalar
+from riskloom.plans import engineering, features, quality, scalar
 
-MODULES = (quality, scalar)
+MODULES = (quality, scalar, features, engineering)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
