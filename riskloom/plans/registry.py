@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.plans import engineering, features, quality, scalar
+from riskloom.plans import engineering, features, quality, scalar, scoring
 
-MODULES = (quality, scalar, features, engineering)
+MODULES = (quality, scalar, features, engineering, scoring)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
