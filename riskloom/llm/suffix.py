@@ -13,8 +13,8 @@ A byte goes if a string of `size` bytes (a window) that covers it also starts an
    shard's transform in its own order, and notes where neighbours first differ, which is the
    common prefix in symbols. After 4 rounds an interval without a border is a repeated window.
    Suffixes are never compared or sorted again across shards.
-3. A key with more members than `limit` is settled by counting window digests instead, which
-   spreads over the cluster whatever the key.
+3. A key whose members hold more than `limit` bytes is settled by counting window digests instead,
+   which spreads over the cluster whatever the key, so no task holds a key of unbounded size.
 
 Null counts as empty. Texts are UTF-8 bytes; matches never cross rows. Repeated rows repeat each
 other. Rows are known by doc_id and a hash of their text.
@@ -149,15 +149,15 @@ class Shard:
         """`symbols` by position; `previous`: the position a step before, -1: none; `ends`: for each
         sequence the position of its last symbol."""
         n = len(symbols)
-        order = np.concatenate([np.arange(n, n + len(ends)), np.arange(n)])  # empties, then the rest in any order
-        before_of = np.concatenate([previous, ends])
+        order = np.concatenate([np.arange(n, n + len(ends), dtype=np.int32), np.arange(n, dtype=np.int32)])  # empties, then the rest in any order
+        before_of = np.concatenate([previous, ends]).astype(np.int32)
         for _ in range(BLOCKS):
             came = before_of[order]
             came = came[came >= 0]
-            order = np.concatenate([np.arange(n, n + len(ends)), came[np.argsort(symbols[came], kind="stable")]])
+            order = np.concatenate([np.arange(n, n + len(ends), dtype=np.int32), came[np.argsort(symbols[came], kind="stable")]])
         self.order = order
         came = before_of[order]
-        self.before = np.where(came >= 0, symbols[came], -1)
+        self.before = np.where(came >= 0, symbols[came], np.int32(-1))
         self.empties = len(ends)
 
 
@@ -169,25 +169,25 @@ def merged_borders(shards: list[Shard]) -> tuple[np.ndarray, np.ndarray]:
     z = np.concatenate([np.full(len(s.order), j, np.int32) for j, s in enumerate(shards)])
     head = np.concatenate([np.full(s.empties, j, np.int32) for j, s in enumerate(shards)])
     transforms = np.concatenate([s.before for s in shards])
-    block = np.zeros(len(z), np.int64)  # interval of each suffix by the symbols so far
-    prefix = np.full(len(z), BLOCKS, np.int64)
+    block = np.zeros(len(z), np.int32)  # interval of each suffix by the symbols so far
+    prefix = np.full(len(z), BLOCKS, np.int8)
     prefix[0] = 0
     for h in range(1, BLOCKS + 1):
         read = np.empty(len(z), transforms.dtype)
         read[np.argsort(z, kind="stable")] = transforms  # every shard's transform, in its own order
         has = np.flatnonzero(read >= 0)
         by = has[np.argsort(read[has], kind="stable")]
-        symbol = np.concatenate([np.full(len(head), -1), read[by]])
-        inner = np.concatenate([np.zeros(len(head), np.int64), block[by]])
+        symbol = np.concatenate([np.full(len(head), -1, np.int32), read[by]])
+        inner = np.concatenate([np.zeros(len(head), np.int32), block[by]])
         z = np.concatenate([head, z[by]])
         border = (symbol[1:] != symbol[:-1]) | (inner[1:] != inner[:-1])
         new = np.flatnonzero(border & (prefix[1:] == BLOCKS)) + 1
         prefix[new] = h - 1
-        block = np.concatenate([[0], np.cumsum(border)])
+        block = np.concatenate([[0], np.cumsum(border)]).astype(np.int32)
     return z, prefix
 
 
-def repeated_windows(members: list[bytes], size: int, shard_bytes: int = 1 << 20) -> list[np.ndarray]:
+def repeated_windows(members: list[bytes], size: int, shard_bytes: int = 1 << 17) -> list[np.ndarray]:
     """For each member, which of its windows occurs again in this or another member."""
     step = size // BLOCKS
     dealt, held, total = [], [], 0
@@ -208,13 +208,13 @@ def repeated_windows(members: list[bytes], size: int, shard_bytes: int = 1 << 20
         inside = np.flatnonzero(left >= step)  # blocks that end in their member
         parts.append((own, lengths, left, inside))
         hashes.append(h[inside])
-    ranks = np.unique(np.concatenate(hashes), return_inverse=True)[1]
+    ranks = np.unique(np.concatenate(hashes), return_inverse=True)[1].astype(np.int32)
     shards, at = [], 0
     for own, lengths, left, inside in parts:
         symbols = ranks[at : at + len(inside)]
         at += len(inside)
-        place = np.full(int(lengths.sum()), -1, np.int64)
-        place[inside] = np.arange(len(inside))
+        place = np.full(int(lengths.sum()), -1, np.int32)
+        place[inside] = np.arange(len(inside), dtype=np.int32)
         offset = np.concatenate([np.arange(n) for n in lengths])
         previous = np.where(offset[inside] >= step, place[np.maximum(inside - step, 0)], -1)
         ends = np.flatnonzero(left[inside] < 2 * step)
@@ -270,21 +270,29 @@ def _resolve(size: int, batch_bytes: int):
     return run
 
 
-def _window_digests(size: int):
+def _window_digests(size: int, rows: int = 50_000):
+    """Every window of the members, by digest."""
+    names = ["digest", "n", "doc_id", "thash", "start"]
+    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+
     def run(batches):
+        held: list[list] = [[] for _ in names]
         for b in batches:
             for r in b.to_pylist():
                 raw, n = r["data"], r["windows"]
-                d = [xxhash.xxh3_128_digest(raw[i : i + size]) for i in range(n)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(d, pa.binary()), *(pa.array([r[c]] * n, pa.int64()) for c in ("n", "doc_id", "thash")), pa.array(range(r["start"], r["start"] + n), pa.int32())],
-                    ["digest", "n", "doc_id", "thash", "start"],
-                )
+                made = ([xxhash.xxh3_128_digest(raw[i : i + size]) for i in range(n)], [r["n"]] * n, [r["doc_id"]] * n, [r["thash"]] * n, range(r["start"], r["start"] + n))
+                for x, values in zip(made, held, strict=True):
+                    values += x
+                if len(held[0]) >= rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(held, kinds, strict=True)], names)
+                    held = [[] for _ in names]
+        if held[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(held, kinds, strict=True)], names)
 
     return run
 
 
-def repeated(docs: DataFrame, size: int = 400, limit: int = 20_000, batch_bytes: int = 4 << 20) -> DataFrame:
+def repeated(docs: DataFrame, size: int = 400, limit: int = 1 << 20, batch_bytes: int = 1 << 19) -> DataFrame:
     """doc_id, thash, start, stop: runs of repeated windows of the rows (doc_id, thash, text)."""
     if size % BLOCKS or size < 2 * GRAM:
         raise ValueError(f"the length must be a multiple of {BLOCKS}, and at least {2 * GRAM}")
@@ -299,9 +307,9 @@ def repeated(docs: DataFrame, size: int = 400, limit: int = 20_000, batch_bytes:
     # keys with a span that occurs once, next to another span or with its gram twice
     open_keys = (
         distinct.groupBy("key")
-        .agg(F.count("*").alias("members"), F.min("n").alias("least"), F.max(F.col("twice") & (F.col("n") == 1)).alias("within"))
+        .agg(F.count("*").alias("members"), F.sum(F.col("windows") + F.lit(size - 1)).alias("bytes"), F.min("n").alias("least"), F.max(F.col("twice") & (F.col("n") == 1)).alias("within"))
         .where("least = 1 AND (members > 1 OR within)")
-        .select("key", (F.col("members") > limit).alias("hot"))
+        .select("key", (F.col("bytes") > limit).alias("hot"))
     )
     members = distinct.join(open_keys, "key")
     by_doc = members.groupBy("doc_id", "thash").agg(F.collect_list(F.struct("key", "hot", "n", "start", "windows")).alias("members"))  # bounded by the text
@@ -345,7 +353,7 @@ def _keep(size: int, as_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 400, limit: int = 20_000, as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 400, limit: int = 1 << 20, as_text: bool = False) -> DataFrame:
     """All columns of `docs` but the text, then n_bytes, n_removed, n_spans and kept.
 
     kept is binary; with `as_text`, a string without the characters that an edge cuts in half.
