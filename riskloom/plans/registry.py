@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.plans import engineering, features, quality, scalar, scoring
+from riskloom.plans import engineering, features, learning, monitoring, quality, scalar, scoring
 
-MODULES = (quality, scalar, features, engineering, scoring)
+MODULES = (quality, scalar, features, engineering, scoring, monitoring, learning)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
