@@ -85,12 +85,12 @@ def cache_keys(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.canonical_digest(["source", "lang", "doc_id"]).alias("key"), F.md5("text").alias("content"))
 
 
-@plan("minmax_normalised", "SELECT o_orderkey, round(least(greatest(o_totalprice, 0), 300000) / 300000 * 100, 6) AS score, round(o_totalprice / (o_custkey + 1.0::DOUBLE), 6) AS ratio, coalesce(nullif(o_custkey % 3, 0), 1) AS at_least_one FROM orders")
+@plan("minmax_normalised", "SELECT o_orderkey, least(greatest(o_totalprice, 0), 300000) / 300000 * 100 AS score, o_totalprice / (o_custkey + 1.0::DOUBLE) AS ratio, coalesce(nullif(o_custkey % 3, 0), 1) AS at_least_one FROM orders")
 def minmax_normalised(spark, sf_dir):
     p = F.col("o_totalprice")
     return table(spark, sf_dir, "orders").select(
-        "o_orderkey", F.round(F.least(F.greatest(p, F.lit(0.0)), F.lit(300000.0)) / 300000 * 100, 6).alias("score"),
-        F.round(p / (F.col("o_custkey") + 1.0), 6).alias("ratio"), F.coalesce(F.nullif(F.col("o_custkey") % 3, F.lit(0)), F.lit(1)).cast("long").alias("at_least_one"),
+        "o_orderkey", (F.least(F.greatest(p, F.lit(0.0)), F.lit(300000.0)) / 300000 * 100).alias("score"),
+        (p / (F.col("o_custkey") + 1.0)).alias("ratio"), F.coalesce(F.nullif(F.col("o_custkey") % 3, F.lit(0)), F.lit(1)).cast("long").alias("at_least_one"),
     )
 
 

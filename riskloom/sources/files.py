@@ -40,7 +40,7 @@ def texts(spark: SparkSession, path: str, pattern: str = "*", without: list[str]
 
     Paths that hold one of `without` are left out.
     """
-    f = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("wholetext", True).text(path)
+    f = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=True)
     at = F.col("_metadata.file_path")
     stem = F.regexp_extract(at, r"([^/]+?)(?:\.[^./]*)?$", 1)
     out = f.select(at.alias("path"), F.when(stem == F.lower(stem), F.initcap(stem)).otherwise(stem).alias("name"), F.col("value").alias("text"))
@@ -89,5 +89,5 @@ def config(spark: SparkSession, path: str, defaults: dict) -> dict:
     """A JSON settings file over defaults; a missing file gives the defaults."""
     if not exists(spark, path):
         return dict(defaults)
-    text = "".join(r[0] for r in spark.read.option("wholetext", True).text(path).collect())
+    text = "".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
     return defaults | json.loads(text)
