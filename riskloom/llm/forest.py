@@ -66,6 +66,16 @@ def _strings(projected: np.ndarray) -> np.ndarray:
     return np.packbits(projected > 0, axis=1).view(">u8").ravel().astype(np.uint64)
 
 
+def _best(ids: np.ndarray, vectors: np.ndarray, found: np.ndarray, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and scores of the k best of the found rows, ties to the smaller id, one row for each id."""
+    found = found[ids[found] != own]
+    scores = vectors[found] @ query
+    order = np.lexsort((ids[found], -scores))
+    _, first = np.unique(ids[found][order], return_index=True)
+    order = order[np.sort(first)[:k]]
+    return ids[found][order], scores[order]
+
+
 def _usable(c: str):
     v = F.col(c)
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
@@ -94,12 +104,12 @@ def nearest(
             for at in range(0, len(them), 512):
                 part = them.iloc[at : at + 512]
                 q_ids, q = part["id"].to_numpy(), np.stack(part["v"].to_numpy())
-                for i, found in enumerate(forest.candidates(q, max(4 * k, int(share * len(ids))))):
-                    found = found[ids[found] != q_ids[i]]
-                    scores = vectors[found] @ q[i]
-                    best = np.lexsort((ids[found], -scores))
-                    best = best[np.concatenate([[True], ids[found][best][1:] != ids[found][best][:-1]])][:k] if len(best) else best
-                    out.append(pd.DataFrame({"query_id": q_ids[i], "vec_id": ids[found][best], "score": scores[best]}))
+                # a row is in each tree once, so this many places hold more than k rows
+                for i, found in enumerate(forest.candidates(q, max(TREES * (k + 1), int(share * len(ids))))):
+                    best, scores = _best(ids, vectors, found, q_ids[i], q[i], k)
+                    if len(best) < k:  # rows of the query's own id, or repeated ones, took the places
+                        best, scores = _best(ids, vectors, np.arange(len(ids)), q_ids[i], q[i], k)
+                    out.append(pd.DataFrame({"query_id": q_ids[i], "vec_id": best, "score": scores}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
     keys = ["dims", "shard", "block"]
