@@ -19,6 +19,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -136,15 +137,42 @@ BLANK_RUN = re.compile(r" \s")
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
 
+class Recent:
+    """A bounded memory of two generations: when the newer is full it becomes the older.
+
+    What is asked for again moves to the newer one, so common keys stay and rare ones go.
+    """
+
+    def __init__(self, size: int):
+        self.size, self.new, self.old = size, {}, {}
+
+    def put(self, key: str, value: bytes) -> None:
+        if len(self.new) >= self.size:
+            self.old = self.new.copy()
+            self.new.clear()  # in place: `new.get` may be held
+        self.new[key] = value
+
+    def again(self, key: str) -> bytes | None:
+        """The value in the older generation, taken over."""
+        value = self.old.get(key)
+        if value is not None:
+            self.put(key, value)
+        return value
+
+    def clear(self) -> None:
+        self.new.clear()
+        self.old = {}
+
+
 class UnitEncoder:
-    """The tokenizers library's ids of whole texts, asked once for each distinct pre-token.
+    """The tokenizers library's ids of whole texts, its model asked once for each recent pre-token.
 
     A blank before a character that isn't white space always begins a new pre-token, so texts are
-    cut there first, and only units not seen yet are cut by the library's own pattern. Texts with
-    an added token of the vocabulary go to the library whole.
+    cut there first, and only units not seen lately are cut by the library's pattern. Texts with an
+    added token of the vocabulary go to the library whole.
     """
 
-    def __init__(self, path: str, remember: int = 400_000):
+    def __init__(self, path: str, units: int = 350_000, parts: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -153,73 +181,64 @@ class UnitEncoder:
             self.added = [x["content"] for x in json.load(f)["added_tokens"]]
         self.bits = max(1, (max(self.t.get_vocab_size(with_added_tokens=True), 2) - 1).bit_length())
         self.kind = np.uint16 if self.bits <= 16 else np.uint32
-        self.remember = remember
-        self.units: dict[str, bytes] = {}  # by unit without its blank
-        self.parts: dict[str, bytes] = {}  # by pre-token
+        self.code = "H" if self.bits <= 16 else "I"
+        self.bpe = self.t.model
+        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+        others = iter(range(256, 512))  # byte-level models see a byte as a character, the others moved up in order
+        self.shown = {b: b if b in plain else next(others) for b in range(256)}
+        self.units, self.parts = Recent(units), Recent(parts)  # units by what follows their blank
 
     def release(self) -> None:
         """Forgets what was learned: later stages of the same worker need the room."""
         self.units.clear()
         self.parts.clear()
 
-    def _cut(self, unit: str) -> list[str]:
-        """The pre-tokens of a blank and this unit."""
-        text = " " + unit
-        if unit.isalpha():
-            return [text]
-        if unit.isprintable():  # the pattern's white space and \s may differ in control characters only
-            return PATTERN.findall(text)
-        return [text[a:b] for _, (a, b) in self.t.pre_tokenizer.pre_tokenize_str(text)]
-
-    def _learn(self, units: set[str]) -> None:
-        """Adds these units, each taken to follow a blank, to the known ones."""
-        cut = [self._cut(u) for u in units]
-        if len(self.parts) > self.remember:
-            self.parts.clear()
-        new = sorted({x for parts in cut for x in parts}.difference(self.parts))
-        for group in _groups(new, 20_000):
-            for x, e in zip(group, self.t.encode_batch_fast(group, add_special_tokens=False), strict=True):
-                self.parts[x] = np.array(e.ids, self.kind).tobytes()
-        known = self.parts
-        for u, parts in zip(units, cut, strict=True):
-            self.units[u] = known[parts[0]] if len(parts) == 1 else b"".join([known[x] for x in parts])
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian numbers of `kind`."""
-        if len(self.units) > self.remember:
-            self.units.clear()
-        get = self.units.get
-        out: list = []
-        later, missing = [], set()
-        for text in texts:
-            if not text:
-                out.append(b"")
-                continue
-            if any(a in text for a in self.added):
-                out.append(np.array(self.t.encode(text, add_special_tokens=False).ids, self.kind).tobytes())
-                continue
-            plain = not text.endswith(" ") and not BLANK_RUN.search(text)
-            units = text.split(" ") if plain else START.split(text)
-            got = [get(u) for u in units]
-            first = units[0]  # what comes before the first cut follows no blank
-            got[0] = np.array(self.t.encode(first, add_special_tokens=False).ids, self.kind).tobytes() if first else b""
-            if None in got:
-                later.append((len(out), got, units))
-                missing.update([u for u, g in zip(units, got, strict=True) if g is None])
-                out.append(b"")
+    def _part(self, part: str) -> bytes:
+        found = self.parts.new.get(part) or self.parts.again(part)
+        if found is None:
+            shown = part.encode("utf-8").decode("latin-1").translate(self.shown)
+            found = array(self.code, [x.id for x in self.bpe.tokenize(shown)]).tobytes()
+            if len(part) <= 40:
+                self.parts.put(part, found)
+        return found
+
+    def _unit(self, unit: str) -> bytes:
+        """Ids of a blank and this unit."""
+        found = self.units.again(unit)
+        if found is None:
+            text = " " + unit
+            if unit.isalpha():  # one pre-token
+                found = self._part(text)
+            elif unit.isprintable() or unit.replace("\n", "").isprintable():  # as to white space, the pattern and the library may differ in control characters only
+                found = b"".join([self._part(x) for x in PATTERN.findall(text)])
             else:
-                out.append(b"".join(got))
-        if missing:
-            self._learn(missing)
-            known = self.units
-            for at, got, units in later:
-                out[at] = b"".join([known[u] if g is None else g for u, g in zip(units, got, strict=True)])
-        return out
-
-
-def _groups(values: list, n: int):
-    for i in range(0, len(values), n):
-        yield values[i : i + n]
+                found = b"".join([self._part(text[a:b]) for _, (a, b) in self.t.pre_tokenizer.pre_tokenize_str(text)])
+            if len(unit) <= 40:
+                self.units.put(unit, found)
+        return found
+
+    def _whole(self, text: str) -> bytes:
+        return array(self.code, self.t.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def encode(self, text: str | None) -> bytes:
+        """Ids of a text as little-endian numbers of `kind`."""
+        if not text:
+            return b""
+        if any(a in text for a in self.added):
+            return self._whole(text)
+        plain = not text.endswith(" ") and not BLANK_RUN.search(text)
+        units = text.split(" ") if plain else START.split(text)
+        got = list(map(self.units.new.get, units))
+        got[0] = self._whole(units[0]) if units[0] else b""  # what comes before the first cut follows no blank
+        if None in got:
+            at = -1
+            try:
+                while True:
+                    at = got.index(None, at + 1)
+                    got[at] = self._unit(units[at])
+            except ValueError:  # none left
+                pass
+        return b"".join(got)
 
 
 _ENCODERS: dict[str, UnitEncoder] = {}
@@ -231,19 +250,13 @@ def _encoder(path: str) -> UnitEncoder:
     return _ENCODERS[path]
 
 
-def _encode(path: str, step_chars: int = 1_000_000):
+def _encode(path: str):
     def run(batches):
         e = _encoder(path)
+        end = e.kind(0).tobytes()
         for b in batches:
-            texts, size, got = [], 0, []
-            for x in b.column(b.num_columns - 1):
-                texts.append(x.as_py())
-                size += len(texts[-1] or "")
-                if size > step_chars:
-                    got += e.encode(texts)
-                    texts, size = [], 0
-            got += e.encode(texts)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x + e.kind(0).tobytes() for x in got], pa.binary())], [*b.schema.names[:-1], "ids"])
+            coded = [e.encode(x.as_py()) + end for x in b.column(b.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(coded, pa.binary())], [*b.schema.names[:-1], "ids"])
 
     return run
 

@@ -172,8 +172,8 @@ def test_wavelet_shards_equal_the_library(spark, sf_dir, odd):
     e = wavelet.UnitEncoder(path)
     r = random.Random(4)
     made = ["".join(r.choice([" ", "  ", "\n", "a", "'s", "1", ".", "é", "\xa0", "　", "\x1c", "<|endoftext|>", "the"]) for _ in range(r.randint(0, 12))) for _ in range(2000)]
-    for x, y in zip(made, e.encode(made), strict=True):
-        assert np.frombuffer(y, np.uint16).tolist() == t.encode(x, add_special_tokens=False).ids
+    for x in made:
+        assert np.frombuffer(e.encode(x), np.uint16).tolist() == t.encode(x, add_special_tokens=False).ids
     shards = wavelet.write_shards(odd.where("doc_id IS NOT NULL"), path, shard_tokens=100)
     assert wavelet.read_documents(shards).count() == 6 and shards.count() > 1
     assert wavelet.occurrences(shards, 0).agg(F.sum("n")).first()[0] == 6
