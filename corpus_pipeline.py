@@ -19,7 +19,7 @@ LEAST_SCORE = 0.5  # a text whose best language is less likely than that has no
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a clear language; fitted on a bounded sample of labelled ones."""
     model = crf.fit_on(docs, "text", "lang")
-    named = crf.predict(docs.withColumn("_read", F.col("text")), model, text="_read")
+    named = crf.predict(docs, model, keep_text=True)
     if not model.labels:
         return named.where(F.lit(False)).select(docs.columns)
     return named.where((F.col("lang_pred") != crf.UNDEFINED) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)

@@ -35,7 +35,7 @@ class Settings:
     epochs: int = 6
     batch_tokens: int = 20_000
     rate: float = 0.2
-    chunk_tokens: int = 1_000_000
+    chunk_tokens: int = 500_000
 
 
 @dataclass
@@ -80,13 +80,15 @@ def features(distinct: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def word_scores(model: Model, distinct: list[str]) -> np.ndarray:
-    """Summed weights of each word's features: words x labels."""
-    if not distinct:
-        return np.zeros((0, len(model.labels)))
-    ids, starts = features(distinct, len(model.weights))
-    sums = np.add.reduceat(model.weights[ids], starts[:-1], axis=0)  # every word has a feature: "^" and the next byte
+    """Summed weights of each word's features: words x labels, some thousand words at a time."""
+    out = np.empty((len(distinct), len(model.labels)))
     get, outside = model.lexicon.get, len(model.lexicon)
-    return sums + model.lexicon_weights[[get(w, outside) for w in distinct]]
+    for at in range(0, len(distinct), 10_000):
+        part = distinct[at : at + 10_000]
+        ids, starts = features(part, len(model.weights))
+        sums = np.add.reduceat(model.weights[ids], starts[:-1], axis=0)  # every word has a feature: "^" and the next byte
+        out[at : at + len(part)] = sums + model.lexicon_weights[[get(w, outside) for w in part]]
+    return out
 
 
 def tokens(text: str | None) -> list[str]:
@@ -160,7 +162,7 @@ def _step(model: Model, batch: list, sums: list[np.ndarray], rate: float) -> Non
         x[rows] += rate * g / np.sqrt(s[rows])
 
 
-def _predict(shared, limit: int):
+def _predict(shared, limit: int, keep_text: bool):
     def work(held: list):
         model: Model = shared.value
         k = len(model.labels)
@@ -196,8 +198,9 @@ def _predict(shared, limit: int):
                     lang += got[0]
                     scores.append(got[1])
                     held, size = [], 0
-            rest = [batch.column(i) for i in range(batch.num_columns - 1)]
-            names = batch.schema.names[:-1]
+            kept = batch.num_columns - (not keep_text)
+            rest = [batch.column(i) for i in range(kept)]
+            names = batch.schema.names[:kept]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(lang, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())], [*names, "lang_pred", "score"])
 
     return run
@@ -220,14 +223,14 @@ def fit_on(docs: DataFrame, text: str, lang: str, settings: Settings | None = No
     return fit(sorted((r.t, r.l) for r in rows), settings)
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", settings: Settings | None = None) -> DataFrame:
-    """All columns of `docs` but the text, then lang_pred and score."""
+def predict(docs: DataFrame, model: Model, text: str = "text", settings: Settings | None = None, keep_text: bool = False) -> DataFrame:
+    """All columns of `docs`, the text only if asked for, then lang_pred and score."""
     settings = settings or Settings()
     keep = [c for c in docs.columns if c not in (text, "lang_pred", "score")]
     if not model.labels:
-        return docs.select(*keep, F.lit(UNDEFINED).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return docs.select(*keep, *([text] if keep_text else []), F.lit(UNDEFINED).alias("lang_pred"), F.lit(0.0).alias("score"))
     rows = docs.select(*keep, text)
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-    schema = StructType([*(f for f in rows.schema if f.name in keep), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return rows.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model), settings.chunk_tokens), schema)
+    schema = StructType([*(f for f in rows.schema if keep_text or f.name in keep), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return rows.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model), settings.chunk_tokens, keep_text), schema)
