@@ -8,7 +8,7 @@ import pytest
 from riskloom.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"ensemble_metrics", "group_ablation", "feature_importances", "isotonic_calibration", "bootstrap_uncertainty", "one_versus_rest", "source_prediction"}
+SLOW = {"ensemble_metrics", "group_ablation", "feature_importances", "isotonic_calibration", "bootstrap_uncertainty", "one_versus_rest", "source_prediction", "ensemble_weights", "tuning_trials"}
 
 
 @pytest.fixture(scope="session")
