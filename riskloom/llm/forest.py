@@ -10,7 +10,7 @@ Largest inner product is turned into smallest angle first: a vector gets one mor
 makes all of a shard's vectors equally long. Scores are inner products of the original vectors in
 double precision. Every row is indexed; queries meet shards in blocks of bounded size.
 
-Vectors that are null, zero, or hold a null or non-finite component take no part. Vectors of
+Vectors that are null, zero, or hold a null or non-finite component, and rows without an id, take no part. Vectors of
 different lengths never meet. Rows with the query's own id are not its neighbours. Fewer than k
 candidates: all of them. Repeated ids keep one row each among a query's results.
 """
@@ -88,8 +88,8 @@ def nearest(
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of `table` nearest to each row of `queries`."""
     pick = [F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("v")]
-    rows = table.where(_usable(embedding)).select(*pick)
-    asked = queries.where(_usable(embedding)).select(*pick)
+    usable = _usable(embedding) & F.col(vec_id).isNotNull()
+    rows, asked = table.where(usable).select(*pick), queries.where(usable).select(*pick)
     n, m = rows.count(), asked.count()
     shards, blocks = max(1, -(-n // shard)), max(1, -(-m // block))
     all_of = lambda count, name: F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias(name)

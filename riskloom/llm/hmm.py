@@ -288,10 +288,10 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", held_out=
     model = baum_welch(encoded, shared / shared.sum(), settings) if v.tokens else None
 
     # counts that were looked up are in the sums already; what is left is joined word by word
-    lowest = int(v.counts.min()) if len(v.counts) else 1
+    left = F.col("c") < F.lit(int(v.counts.min())) if len(v.counts) else F.lit(True)
     rare = encoded.select("rid", F.explode("rare").alias("word"))
     rare_sums = (
-        rare.join(counts.where(F.col("c") < lowest).select("word", "c"), "word")
+        rare.join(counts.where(left).select("word", "c"), "word")
         .groupBy("rid")
         .agg(F.sum(F.log10(F.col("c") + F.lit(1.0))).alias("rare_log"), F.count("*").alias("rare_known"))
     )

@@ -9,7 +9,7 @@ tightest compatible bin. If there is none, it opens a bin.
 
 A document above the capacity fills bins of its own; what is over is packed like any other and may
 not meet its own cluster either. Null source or cluster: no conflict. Empty documents take no room,
-but keep to the same rules. Repeated rows are of one cluster, so they never share a bin.
+but keep to the same rules. A null id reads -1, a null size 0. Repeated rows are of one cluster, so they never share a bin.
 """
 
 from __future__ import annotations

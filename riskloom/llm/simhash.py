@@ -13,7 +13,7 @@ Components: alternating large-star and small-star rounds over the edges, stored
 folder, until nothing changes. Nothing of corpus size reaches the driver.
 
 Null or blank texts have fingerprint zero and link like any other. Repeated rows with one doc_id
-are each returned, with one component.
+are each returned, with one component. Rows without an id belong to a component but never name it.
 """
 
 from __future__ import annotations

@@ -17,7 +17,7 @@ A byte goes if a string of `size` bytes (a window) that covers it also starts an
    which spreads over the cluster whatever the key, so no task holds a key of unbounded size.
 
 Null counts as empty. Texts are UTF-8 bytes; matches never cross rows. Repeated rows repeat each
-other. Rows are known by doc_id and a hash of their text.
+other. Rows are known by doc_id and a hash of their text; a null doc_id is a row like others.
 """
 
 from __future__ import annotations
@@ -359,7 +359,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     kept is binary; with `as_text`, a string without the characters that an edge cuts in half.
     """
     keep = [c for c in docs.columns if c not in (text, "n_bytes", "n_removed", "n_spans", "kept")]
-    ids = F.col(doc_id).cast("long")
+    ids = F.coalesce(F.col(doc_id).cast("long"), F.lit(-1))  # rows that then share id and text share their repeats, too
     rows = docs.select(ids.alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("thash"), F.col(text).alias("text"))
     runs = repeated(rows, size, limit).groupBy(F.col("doc_id").alias("_id"), F.col("thash").alias("_hash")).agg(F.collect_list(F.struct("start", "stop")).alias("_runs"))
     marked = docs.select(*keep, ids.alias("_doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_thash"), F.col(text).alias("_text"))

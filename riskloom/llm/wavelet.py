@@ -9,7 +9,8 @@ folder, so a lost executor's task is simply run again.
 
 Documents are dealt out by ranges of doc_id (cut points from all ids), sorted within, and cut
 into shards of about `shard_tokens` ids at document borders; a longer document is a shard of its
-own. Null text counts as empty: only the end id. Equal ids are told apart by a row number.
+own. Null text counts as empty: only the end id. Rows with one id keep an order of their own; a
+null id stands as the smallest number in the files and comes back as null.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from riskloom.llm.common import partitions_for, range_bounds, range_bucket, stor
 
 MAGIC = b"WMS1"
 BLOCK = 512  # bits between running counts
+NO_ID = -(1 << 63)
 
 
 class WaveletMatrix:
@@ -48,11 +50,10 @@ class WaveletMatrix:
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
         planes, zeros = [], []
         for b in range(bits - 1, -1, -1):
-            one = (ids & (1 << b)) != 0
+            one = ((ids >> b) & 1).astype(np.uint8)
             planes.append(np.packbits(one))
-            zero = ids[~one]
-            zeros.append(len(zero))
-            ids = np.concatenate([zero, ids[one]])
+            zeros.append(len(ids) - int(np.count_nonzero(one)))
+            ids = ids[np.argsort(one, kind="stable")]
         return cls(len(ids), np.stack(planes) if planes else np.zeros((0, 0), np.uint8), np.array(zeros, np.int64))
 
     def _ones(self, level: int, i: int) -> int:
@@ -105,11 +106,10 @@ class WaveletMatrix:
         kind = np.uint16 if bits <= 16 else np.uint32
         value = np.zeros(self.n, kind)
         for level in range(bits - 1, -1, -1):
-            one = np.unpackbits(self.planes[level], count=self.n).view(bool)
-            z = int(self.zeros[level])
+            order = np.argsort(np.unpackbits(self.planes[level], count=self.n), kind="stable")
+            value[int(self.zeros[level]) :] |= kind(1 << (bits - 1 - level))
             above = np.empty(self.n, kind)
-            above[~one] = value[:z]
-            above[one] = value[z:] | kind(1 << (bits - 1 - level))
+            above[order] = value
             value = above
         return value
 
@@ -172,7 +172,7 @@ class UnitEncoder:
     added token of the vocabulary go to the library whole.
     """
 
-    def __init__(self, path: str, units: int = 350_000, parts: int = 150_000):
+    def __init__(self, path: str, units: int = 200_000, parts: int = 100_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -255,8 +255,10 @@ def _encode(path: str):
         e = _encoder(path)
         end = e.kind(0).tobytes()
         for b in batches:
-            coded = [e.encode(x.as_py()) + end for x in b.column(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(coded, pa.binary())], [*b.schema.names[:-1], "ids"])
+            for at in range(0, b.num_rows, 1_000):
+                part = b.slice(at, 1_000)
+                coded = [e.encode(x.as_py()) + end for x in part.column(part.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(coded, pa.binary())], [*b.schema.names[:-1], "ids"])
 
     return run
 
@@ -300,9 +302,9 @@ def _write(path: str, shard_tokens: int):
     return run
 
 
-def write_shards(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", shard_tokens: int = 1 << 19) -> DataFrame:
+def write_shards(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", shard_tokens: int = 1 << 16) -> DataFrame:
     """Encodes every text and writes the shard files; returns the table of shards that they hold."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text).alias("text"))
     n = partitions_for(docs, 16)
     bounds = range_bounds(rows.select("doc_id"), "doc_id", n)
     coded = rows.select(range_bucket("doc_id", bounds).alias("bucket"), "doc_id", "text").mapInArrow(_encode(path), "bucket int, doc_id long, ids binary")
@@ -342,7 +344,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
     return (
         docs.join(shard_start, ["bucket", "shard"])
         .join(bases, "bucket")
-        .select("doc_id", (F.col("base") + F.col("before") + F.col("pos")).alias("start"), "n_tokens", "ids_crc32")
+        .select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), (F.col("base") + F.col("before") + F.col("pos")).alias("start"), "n_tokens", "ids_crc32")
     )
 
 

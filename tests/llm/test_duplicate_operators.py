@@ -42,6 +42,8 @@ def test_repeats_by_brute_force(spark, limit):
     got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in suffix.remove_repeats(docs, size=64, limit=limit).collect()}
     want = uncovered([(t or "").encode() for t in texts], 64)
     assert got == dict(enumerate(want))
+    lost = frame(spark, [(None, base), (None, base[:200] + "other"), (3, "clean")])
+    assert sorted((x.doc_id or 0, x.n_removed > 0) for x in suffix.remove_repeats(lost, size=64, limit=limit).collect()) == [(0, True), (0, True), (3, False)]
 
 
 def test_repeats_query_and_empty(spark, sf_dir):
@@ -176,7 +178,7 @@ def test_neighbours_recall(spark, sf_dir):
 
 def test_neighbour_edge_rows(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, [1.0, 1.0, 1.0]), (20, [0.0, 3.0])]
+    rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, [1.0, 1.0, 1.0]), (20, [0.0, 3.0]), (None, [9.0, 9.0])]
     t = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in forest.nearest(t, t.where("vec_id % 20 = 0"), 2).collect()}
     assert got == {(0, 1): (1, 2.0), (0, 2): (2, 2.0), (20, 1): (0, 0.0), (20, 2): (1, 0.0)}
