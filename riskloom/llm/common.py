@@ -60,6 +60,8 @@ def range_bucket(key: str, bounds: list[float]) -> Column:
 def partitions_for(df: DataFrame, mb: int = 8) -> int:
     """Shuffle partitions for a table of this estimated size."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:  # Spark doesn't know the size of frames that aren't read from files
+        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(1, min(100_000, size // (mb << 20) + 1))
 
 
