@@ -207,12 +207,14 @@ def _predict(shared, limit: int, keep_text: bool):
 
 
 def fit_on(docs: DataFrame, text: str, lang: str, settings: Settings | None = None) -> Model:
-    """Fits on at most `fit_texts` rows of each label, the first in the order of a hash."""
+    """Fits on at most `fit_texts` distinct texts of each label, the first in the order of a hash."""
     settings = settings or Settings()
     by = F.xxhash64(text)
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l"), by.alias("h"))
     # a hash threshold first, from counts, so that no label's rows are ever sorted as a whole
-    share = {r.l: min(1.0, 4.0 * settings.fit_texts / r.n) for r in labelled.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    # counts of distinct texts, as copies share a hash and are dropped: about 4 * fit_texts texts of a label pass, all of them if it has no more
+    texts = labelled.groupBy("l", "h").agg(F.lit(1).alias("one")).groupBy("l").agg(F.count("*").alias("n"))
+    share = {r.l: min(1.0, 4.0 * settings.fit_texts / r.n) for r in texts.collect()}
     if not share:
         return fit([], settings)
     below = F.lit(False)

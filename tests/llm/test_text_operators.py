@@ -118,6 +118,20 @@ def test_language_edge_rows(spark, odd):
     assert {r.lang_pred for r in crf.predict(odd, none).collect()} == {"und"}
 
 
+def test_language_fit_with_copies(spark):
+    """Copies count once: a label of few texts in many rows is fitted on all of them."""
+    few = spark.range(60_000).selectExpr("concat('wort nummer ', id % 50) AS text", "'de' AS lang")
+    many = spark.range(2_000).selectExpr("concat('word number ', id) AS text", "'en' AS lang")
+    seen = {}
+    settings = crf.Settings(fit_texts=40, epochs=1)
+    fit, crf.fit = crf.fit, lambda rows, settings: seen.update(rows=rows)
+    try:
+        crf.fit_on(few.union(many), "text", "lang", settings)
+    finally:
+        crf.fit = fit
+    assert Counter(lang for _, lang in seen["rows"]) == {"de": 40, "en": 40}
+
+
 def test_code_switched_words():
     de = ["der und die ist nicht auf haus " * 3] * 4
     fr = ["les une est pas dans maison elle " * 3] * 4
