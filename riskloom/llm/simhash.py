@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import stored, words
@@ -221,9 +221,28 @@ def hexed(fp: str = "fp"):
     return F.lpad(F.lower(F.hex(F.col(fp))), 16, "0")
 
 
+def text_hash(text: str = "text"):
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def one_of_each(docs: DataFrame, classes: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row of `docs` for each root of `classes` (th, the hash of a text, and root).
+
+    The row with the smallest doc_id stays, ties by the text's hash; rows without an id come last.
+    """
+    marked = docs.withColumn("_t", text_hash(text)).withColumn("_d", F.col(doc_id).cast("long"))
+    rank = F.struct(F.col("_d").isNull().alias("no_id"), F.col("_d").alias("d"))
+    least = marked.groupBy(F.col("_t").alias("th")).agg(F.min(rank).alias("least"))
+    chosen = least.join(classes, "th").groupBy("root").agg(F.min(F.struct("least", "th")).alias("m"))
+    chosen = chosen.select(F.col("m.least.d").alias("_cd"), F.col("m.th").alias("_ct"))
+    rows = marked.join(chosen, (F.col("_t") == F.col("_ct")) & F.col("_d").eqNullSafe(F.col("_cd")))
+    return rows.dropDuplicates(["_ct"]).select(docs.columns)
+
+
 def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 4, radius: int = 4) -> DataFrame:
-    """The rows of `docs` whose doc_id is their component's smallest (one row of it: ties by text)."""
-    kept = clusters(docs, text, doc_id, shingle, radius).where("doc_id = component_id").select("doc_id").distinct()
-    once = Window.partitionBy(doc_id).orderBy(F.xxhash64(text))
-    rows = docs.join(kept.withColumnRenamed("doc_id", doc_id), doc_id)
-    return rows.withColumn("_i", F.row_number().over(once)).where("_i = 1").select(docs.columns)
+    """One row of every component: the one with the smallest id, rows without an id last."""
+    texts = docs.select(text_hash(text).alias("doc_id"), F.col(text).alias("text")).dropDuplicates(["doc_id"])
+    prints = stored(fingerprints(texts, "text", "doc_id", shingle).withColumnRenamed("doc_id", "th"), "simhash")
+    roots = components(links(prints.select("fp").distinct(), radius))
+    classes = prints.join(roots, F.col("fp") == F.col("node"), "left").select("th", F.coalesce("root", "fp").alias("root"))
+    return one_of_each(docs, classes, text, doc_id)

@@ -160,6 +160,15 @@ def test_simhash_edge_rows(spark):
     assert sorted(r.doc_id for r in simhash.representatives(frame(spark, rows)).collect()) == [1, 4, 6]
 
 
+@pytest.mark.parametrize("keep", [simhash.representatives])
+def test_representatives_of_rows_without_or_with_shared_ids(spark, keep):
+    rows = [(None, "a lone text that nothing else is like at all"), (None, "twice here"), (None, "twice here"), (9, "with and without an id"), (None, "with and without an id")]
+    rows += [(5, "first text under five"), (5, "second wholly other text below five"), (3, "first text under five"), (3, "a third one"), (4, "second wholly other text below five")]
+    got = Counter((r.doc_id, r.text) for r in keep(frame(spark, rows)).collect())
+    want = [rows[0], rows[1], rows[3], rows[7], rows[8], rows[9]]
+    assert got == Counter(want)
+
+
 def test_neighbours_recall(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").collect()
     ids, v = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
