@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import crf, packing, simhash, suffix
+from riskloom.llm import crf, near, packing, suffix
 from riskloom.llm.common import stored
 from riskloom.session import table
 
@@ -26,8 +26,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, the one with the smallest id, of each near-duplicate component."""
-    return simhash.representatives(docs)
+    """Keeps one document, the one with the smallest id, of each component of texts alike by 0.8 in their 5-word shingles."""
+    return near.representatives(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from riskloom.llm import forest, iblt, packing, queries, simhash, suffix, warc
+from riskloom.llm import forest, iblt, near, packing, queries, simhash, suffix, warc
 from riskloom.session import table
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -160,7 +160,7 @@ def test_simhash_edge_rows(spark):
     assert sorted(r.doc_id for r in simhash.representatives(frame(spark, rows)).collect()) == [1, 4, 6]
 
 
-@pytest.mark.parametrize("keep", [simhash.representatives])
+@pytest.mark.parametrize("keep", [simhash.representatives, near.representatives])
 def test_representatives_of_rows_without_or_with_shared_ids(spark, keep):
     rows = [(None, "a lone text that nothing else is like at all"), (None, "twice here"), (None, "twice here"), (9, "with and without an id"), (None, "with and without an id")]
     rows += [(5, "first text under five"), (5, "second wholly other text below five"), (3, "first text under five"), (3, "a third one"), (4, "second wholly other text below five")]
@@ -169,6 +169,50 @@ def test_representatives_of_rows_without_or_with_shared_ids(spark, keep):
     assert got == Counter(want)
 
 
+def shingle_sets(rows, n=5):
+    out = {}
+    for d, t in rows:
+        w = [x.lower() for x in (t or "").encode().split()]
+        out[d] = {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+    return out
+
+
+def kept_by_jaccard(sets):
+    parent = {d: d for d in sets}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                parent[y] = x
+    return {top(d) for d in sets}
+
+
+def test_near_duplicate_stage_by_brute_jaccard(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    want = kept_by_jaccard(shingle_sets([(r.doc_id, r.text) for r in docs.collect()]))
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()} == want
+    r = random.Random(8)
+    names = [f"w{i}" for i in range(3_000)]
+    common = [r.choice(names) for _ in range(40)]
+    rows = [(0, None), (1, " "), (2, "one two"), (3, "ONE two"), (4, "one two three")]
+    for _ in range(12):
+        base = [r.choice(names) for _ in range(r.randint(20, 200))] + common
+        for _ in range(12):
+            w = list(base)
+            for _ in range(r.randint(0, max(1, len(w) // 25))):
+                w[r.randrange(len(w))] = r.choice(names)
+            rows.append((len(rows), " ".join(w)))
+    want = kept_by_jaccard(shingle_sets(rows))
+    assert {x.doc_id for x in corpus_pipeline.near_duplicates(spark, frame(spark, rows), sf_dir).collect()} == want
+    assert corpus_pipeline.near_duplicates(spark, frame(spark, rows).limit(0), sf_dir).count() == 0
+
+
 def test_neighbours_recall(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").collect()
     ids, v = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
