@@ -14,6 +14,7 @@ from riskloom.llm.common import stored
 from riskloom.session import table
 
 LEAST_SCORE = 0.5  # a text whose best language is less likely than that has no clear one
+PASSAGE = 51  # words; op4's 400 bytes alone would leave passages of short words
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +32,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes strings of 400 bytes that occur again; characters cut in half at an edge go as well."""
-    kept = suffix.remove_repeats(docs, as_text=True).withColumnRenamed("kept", "text")
+    """Removes strings of over 50 words, or of 400 bytes, that occur again; characters cut in half at an edge go as well."""
+    kept = suffix.remove_repeats(docs, as_text=True, passage=PASSAGE).withColumnRenamed("kept", "text")
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 

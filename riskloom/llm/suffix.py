@@ -23,6 +23,7 @@ other. Rows are known by doc_id and a hash of their text; a null doc_id is a row
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -97,7 +98,21 @@ def spans(raw: bytes, size: int) -> list[tuple[int, bytes, int, int, bool]]:
 SPANS = "doc_id long, thash long, key long, digest binary, start int, windows int, twice boolean"
 
 
-def _spans(size: int):
+def raw_bytes(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
+
+
+def word_symbols(text: str | None) -> bytes:
+    """The text's words, 8 bytes of hash each, whatever space is between them."""
+    return b"".join([xxhash.xxh64_digest(w) for w in raw_bytes(text).split()])
+
+
+def word_places(raw: bytes) -> list[tuple[int, int]]:
+    """Begin and end of each word in the bytes."""
+    return [m.span() for m in re.finditer(rb"[^\t-\r ]+", raw)]
+
+
+def _spans(size: int, symbols=raw_bytes):
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.bool_()]
     names = [c.split()[0] for c in SPANS.split(", ")]
 
@@ -105,7 +120,7 @@ def _spans(size: int):
         for b in batches:
             rows = []
             for doc, th, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                rows += [(doc, th, *s) for s in spans((text.as_py() or "").encode("utf-8", "surrogatepass"), size)]
+                rows += [(doc, th, *s) for s in spans(symbols(text.as_py()), size)]
                 if len(rows) > 100_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
                     rows = []
@@ -118,7 +133,7 @@ def _spans(size: int):
 MEMBERS = "key long, hot boolean, n long, doc_id long, thash long, start int, windows int, data binary"
 
 
-def _cut(size: int):
+def _cut(size: int, symbols=raw_bytes):
     """Each document's members, with their bytes."""
     names = [c.split()[0] for c in MEMBERS.split(", ")]
     kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
@@ -127,7 +142,7 @@ def _cut(size: int):
         for b in batches:
             rows = []
             for doc, th, text, members in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
-                raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
+                raw = symbols(text.as_py())
                 rows += [(m["key"], m["hot"], m["n"], doc, th, m["start"], m["windows"], raw[m["start"] : m["start"] + m["windows"] + size - 1]) for m in members.as_py()]
                 if len(rows) > 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
@@ -292,11 +307,11 @@ def _window_digests(size: int, rows: int = 50_000):
     return run
 
 
-def repeated(docs: DataFrame, size: int = 400, limit: int = 1 << 20, batch_bytes: int = 1 << 19) -> DataFrame:
-    """doc_id, thash, start, stop: runs of repeated windows of the rows (doc_id, thash, text)."""
+def repeated(docs: DataFrame, size: int = 400, limit: int = 1 << 20, batch_bytes: int = 1 << 19, symbols=raw_bytes) -> DataFrame:
+    """doc_id, thash, start, stop: runs of repeated windows of the rows (doc_id, thash, text), in `symbols` of the text."""
     if size % BLOCKS or size < 2 * GRAM:
         raise ValueError(f"the length must be a multiple of {BLOCKS}, and at least {2 * GRAM}")
-    all_spans = stored(docs.mapInArrow(_spans(size), SPANS), "spans")
+    all_spans = stored(docs.mapInArrow(_spans(size, symbols), SPANS), "spans")
     keys = all_spans.groupBy("key").agg(F.count("*").alias("total"), F.max("twice").alias("any_twice")).where("total > 1 OR any_twice")
     shared = stored(all_spans.join(keys.select("key"), "key"), "shared-spans")
     distinct = shared.groupBy("key", "digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "thash", "start", "windows", "twice")).alias("m"))
@@ -313,7 +328,7 @@ def repeated(docs: DataFrame, size: int = 400, limit: int = 1 << 20, batch_bytes
     )
     members = distinct.join(open_keys, "key")
     by_doc = members.groupBy("doc_id", "thash").agg(F.collect_list(F.struct("key", "hot", "n", "start", "windows")).alias("members"))  # bounded by the text
-    data = docs.join(by_doc, ["doc_id", "thash"]).dropDuplicates(["doc_id", "thash"]).select("doc_id", "thash", "text", "members").mapInArrow(_cut(size), MEMBERS)
+    data = docs.join(by_doc, ["doc_id", "thash"]).dropDuplicates(["doc_id", "thash"]).select("doc_id", "thash", "text", "members").mapInArrow(_cut(size, symbols), MEMBERS)
     data = stored(data, "members")
     met = data.where("NOT hot").repartition("key").sortWithinPartitions("key").mapInArrow(_resolve(size, batch_bytes), FOUND)
     digests = data.where("hot").mapInArrow(_window_digests(size), "digest binary, n long, doc_id long, thash long, start int")
@@ -322,7 +337,7 @@ def repeated(docs: DataFrame, size: int = 400, limit: int = 1 << 20, batch_bytes
     return known.unionByName(met).unionByName(counted)
 
 
-def _keep(size: int, as_text: bool):
+def _keep(size: int, as_text: bool, passage: int):
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary()]
     names = ["n_bytes", "n_removed", "n_spans", "kept"]
 
@@ -330,12 +345,18 @@ def _keep(size: int, as_text: bool):
         for b in batches:
             rows = []
             at = b.schema.get_field_index("_runs")
-            for text, runs in zip(b.column(at - 1), b.column(at), strict=True):
-                raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
+            for text, runs, said in zip(b.column(at - 1), b.column(at), b.column(at + 1), strict=True):
+                raw = raw_bytes(text.as_py())
+                gone = [(r["start"], r["stop"] + size - 1) for r in runs.as_py() or []]
+                if passages := said.as_py():
+                    places = word_places(raw)
+                    for r in passages:  # whole words only
+                        first, last = -(-r["start"] // 8), (r["stop"] - 1) // 8 + passage
+                        if (r["stop"] - 1) // 8 >= first:
+                            gone.append((places[first][0], places[last - 1][1]))
                 removed, n_spans, kept, end = 0, 0, [], 0
                 stop = -1
-                for start, last in sorted((r["start"], r["stop"]) for r in runs.as_py() or []):
-                    last += size - 1
+                for start, last in sorted(gone):
                     if start > stop:  # not next to the run before
                         kept.append(raw[max(stop, 0) : start])
                         n_spans += 1
@@ -353,18 +374,27 @@ def _keep(size: int, as_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 400, limit: int = 1 << 20, as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 400, limit: int = 1 << 20, as_text: bool = False, passage: int = 0) -> DataFrame:
     """All columns of `docs` but the text, then n_bytes, n_removed, n_spans and kept.
 
     kept is binary; with `as_text`, a string without the characters that an edge cuts in half.
+    With `passage`, strings of that many words that occur again go as well, whatever their bytes.
     """
     keep = [c for c in docs.columns if c not in (text, "n_bytes", "n_removed", "n_spans", "kept")]
     ids = F.coalesce(F.col(doc_id).cast("long"), F.lit(-1))  # rows that then share id and text share their repeats, too
     rows = docs.select(ids.alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("thash"), F.col(text).alias("text"))
-    runs = repeated(rows, size, limit).groupBy(F.col("doc_id").alias("_id"), F.col("thash").alias("_hash")).agg(F.collect_list(F.struct("start", "stop")).alias("_runs"))
+
+    def by_row(runs: DataFrame, name: str) -> DataFrame:
+        return runs.groupBy(F.col("doc_id").alias("_id"), F.col("thash").alias("_hash")).agg(F.collect_list(F.struct("start", "stop")).alias(name))
+
+    runs = by_row(repeated(rows, size, limit), "_runs")
+    if passage:
+        runs = runs.join(by_row(repeated(rows, 8 * passage, limit, symbols=word_symbols), "_passages"), ["_id", "_hash"], "full")
+    else:
+        runs = runs.withColumn("_passages", F.lit(None).cast("array<struct<start: int, stop: int>>"))
     marked = docs.select(*keep, ids.alias("_doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_thash"), F.col(text).alias("_text"))
-    joined = marked.join(runs, (F.col("_doc") == F.col("_id")) & (F.col("_thash") == F.col("_hash")), "left").select(*keep, "_text", "_runs")
+    joined = marked.join(runs, (F.col("_doc") == F.col("_id")) & (F.col("_thash") == F.col("_hash")), "left").select(*keep, "_text", "_runs", "_passages")
     from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
     schema = StructType([*(joined.schema[c] for c in keep), *(StructField(n, LongType()) for n in ("n_bytes", "n_removed", "n_spans")), StructField("kept", StringType() if as_text else BinaryType())])
-    return joined.mapInArrow(_keep(size, as_text), schema)
+    return joined.mapInArrow(_keep(size, as_text, passage), schema)

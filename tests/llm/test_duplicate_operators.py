@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -56,6 +57,43 @@ def test_repeats_query_and_empty(spark, sf_dir):
     assert suffix.remove_repeats(frame(spark, [(1, "a")]).limit(0)).count() == 0
 
 
+def without_passages(texts, words=51, size=400):
+    places = [[(m.start(), m.end()) for m in re.finditer(rb"[^\t-\r ]+", t)] for t in texts]
+    said = Counter(tuple(t.split()[i : i + words]) for t in texts for i in range(len(t.split()) - words + 1))
+    held = Counter(t[i : i + size] for t in texts for i in range(len(t) - size + 1))
+    out = []
+    for t, at in zip(texts, places, strict=True):
+        gone = set()
+        for i in range(len(at) - words + 1):
+            if said[tuple(t.split()[i : i + words])] > 1:
+                gone.update(range(at[i][0], at[i + words - 1][1]))
+        for i in range(len(t) - size + 1):
+            if held[t[i : i + size]] > 1:
+                gone.update(range(i, i + size))
+        out.append(bytes(x for i, x in enumerate(t) if i not in gone))
+    return out
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 500])
+def test_repeats_stage_by_words(spark, limit):
+    """51 short words go, 50 stay, other spacing is no other passage, and 400 bytes of few words still go."""
+    r = random.Random(4)
+
+    def said(n):
+        return [r.choice("aeiou") + r.choice("xyz") + str(r.randrange(900)) for _ in range(n)]
+
+    p, q, long = said(51), said(50), "z".join(said(120))
+    texts = [" ".join(said(20) + x + said(30)) for x in (p, p, q, q, [long], [long])]
+    texts += ["  ".join(said(9) + p + said(5)), " ".join(p), " ".join(said(200)), None, ""]
+    docs = frame(spark, list(enumerate(texts)))
+    want = [x.decode() for x in without_passages([(t or "").encode() for t in texts])]
+    got = suffix.remove_repeats(docs, limit=limit, as_text=True, passage=corpus_pipeline.PASSAGE)
+    assert {x.doc_id: x.kept for x in got.collect()} == dict(enumerate(want))
+    assert want[7] == "" and " ".join(q) in want[2] and long not in want[4]
+    if limit > 500:
+        assert {x.doc_id: x.text for x in corpus_pipeline.repeats(spark, docs, "").collect()} == dict(enumerate(want))
+
+
 def test_merged_transforms():
     r = random.Random(7)
     for _ in range(60):
