@@ -10,8 +10,8 @@ over its class words, and the unbounded vocabulary is only ever joined, never br
 
 Baum-Welch: each partition adds up expected emissions, moves and starts over its whole texts;
 Spark sums them by symbol; the next model goes out as a broadcast of (symbols x states) numbers.
-Only the initial guess comes from a bounded sample (`init_texts`); every count after it covers
-all training texts.
+The start is a pass of the same kind, with one state for each text, so every count covers all
+training texts.
 
 Nulls count as empty texts (one end token). Repeated rows are scored and counted one by one.
 An empty training set gives every text score and base score 0.
@@ -41,8 +41,8 @@ class Settings:
     looked_up: int = 262_144  # words whose counts are broadcast, at most; the rest is joined
     classes: int = 2_048
     rounds: int = 3  # Baum-Welch rounds over all training texts
-    init_texts: int = 1_500  # texts behind the initial guess
-    init_rounds: int = 12
+    init_texts: int = 1_500  # without effect, for callers that still set it: the start reads all training texts
+    init_rounds: int = 12  # rounds before those, which part the states, over all training texts, too
     smoothing: float = 200.0  # tokens of the shared distribution mixed into each state
     chunk_tokens: int = 1_500_000  # tokens of whole texts that are stepped together
 
@@ -200,32 +200,38 @@ def maximise(counts: np.ndarray, shared: np.ndarray, settings: Settings) -> Mode
     return Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
-def initial(sample: list[bytes], shared: np.ndarray, settings: Settings) -> Model:
-    """Each sampled text starts in one state, whole; a few rounds over the sample part the states."""
+def started(symbols: np.ndarray, lengths: np.ndarray, into: np.ndarray) -> None:
+    """Adds the counts of whole texts to `into`, each in the one state that its hash names."""
+    k = into.shape[1]
+    s = len(into) - k - 1
+    ends = np.cumsum(lengths)
+    state = [zlib.crc32(symbols[e - n : e].tobytes()) % k for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
+    into[:s] += np.bincount(symbols * k + np.repeat(state, lengths), minlength=s * k).reshape(s, k)
+
+
+def initial(counts: np.ndarray, shared: np.ndarray, settings: Settings) -> Model:
+    """The first model, from `started` counts of all texts.
+
+    Every (symbol, state) is perturbed by a fixed share, so that no two states are equal even if
+    copies put all texts into one of them; equal states would never part.
+    """
     k, s = settings.states, len(shared)
-    counts = np.zeros((s + k + 1, k))
-    texts = [np.frombuffer(x, np.uint16).astype(np.int64) for x in sample]
-    for text in texts:
-        counts[:s, zlib.crc32(text.tobytes()) % k] += np.bincount(text, minlength=s)
-    counts[s : s + k] = 0.02 + 0.9 * np.eye(k)
-    counts[s : s + k] *= 1e4
-    model = maximise(counts, shared, settings)
-    if texts:
-        symbols, lengths = np.concatenate(texts), np.array([len(t) for t in texts])
-        for _ in range(settings.init_rounds):
-            counts = np.zeros((s + k + 1, k))
-            expected_counts(model, symbols, lengths, counts)
-            model = maximise(counts, shared, settings)
-    return model
+    counts = counts.copy()
+    spread = np.random.default_rng(13).uniform(0.8, 1.25, (s, k))
+    counts[:s] = (counts[:s] + settings.smoothing * shared[:, None]) * spread
+    counts[s : s + k] = (0.02 + 0.9 * np.eye(k)) * 1e4
+    return maximise(counts, shared, settings)
 
 
-def _expect(shared, size: int, limit: int):
+def _expect(shared, size: int, k: int, limit: int):
     def run(batches):
-        model: Model = shared.value
-        k = len(model.start)
+        model: Model | None = shared.value
         total = np.zeros((size + k + 1, k))
         for _, symbols, lengths in _chunks(batches, 0, limit):
-            expected_counts(model, symbols, lengths, total)
+            if model is None:
+                started(symbols, lengths, total)
+            else:
+                expected_counts(model, symbols, lengths, total)
         some = np.flatnonzero(total.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *(pa.array(total[some, j]) for j in range(k))], ["symbol", *(f"g{j}" for j in range(k))])
 
@@ -233,20 +239,18 @@ def _expect(shared, size: int, limit: int):
 
 
 def baum_welch(encoded: DataFrame, shared: np.ndarray, settings: Settings) -> Model:
-    """Rounds over all training rows of `encoded` (a stored table)."""
+    """The start and all rounds over all training rows of `encoded` (a stored table)."""
     spark, k = encoded.sparkSession, settings.states
     train = encoded.where(~F.col("held_out")).select("symbols")
-    by = F.xxhash64("symbols")
-    sample = train.orderBy(by, "symbols").limit(settings.init_texts).toArrow().column(0).to_pylist()
-    model = initial(sample, shared, settings)
-    for _ in range(settings.rounds):
+    model = None
+    for i in range(1 + settings.init_rounds + settings.rounds):
         sent = spark.sparkContext.broadcast(model)
-        parts = train.mapInArrow(_expect(sent, len(shared), settings.chunk_tokens), "symbol long, " + ", ".join(f"g{j} double" for j in range(k)))
+        parts = train.mapInArrow(_expect(sent, len(shared), k, settings.chunk_tokens), "symbol long, " + ", ".join(f"g{j} double" for j in range(k)))
         sums = parts.groupBy("symbol").agg(*[F.sum(f"g{j}").alias(f"g{j}") for j in range(k)]).toArrow()
         counts = np.zeros((len(shared) + k + 1, k))
         for j in range(k):
             counts[sums.column("symbol").to_numpy(), j] = sums.column(f"g{j}").to_numpy()
-        model = maximise(counts, shared, settings)
+        model = maximise(counts, shared, settings) if i else initial(counts, shared, settings)
         sent.unpersist()
     return model
 

@@ -102,6 +102,23 @@ def test_hmm_edge_rows(spark, odd):
     assert {r.score for r in hmm.score(odd, held_out=F.lit(True)).collect()} == {0.0}
 
 
+def test_hmm_states_differ_with_copies(spark):
+    """A large group of copies leaves no two states alike, and the start reads every text."""
+    rows = [("the same old text again",)] * 1_600 + [(f"alpha beta {i % 7} gamma {i % 5}",) for i in range(200)]
+    words = sorted({w.encode() for (t,) in rows for w in t.split()} | {hmm.END})
+    at = {w: i for i, w in enumerate(words)}
+    symbols = [(np.array([at[w.encode()] for w in t.split()] + [at[hmm.END]], np.uint16).tobytes(),) for (t,) in rows]
+    encoded = spark.createDataFrame([(False, bytearray(x)) for (x,) in symbols], "held_out boolean, symbols binary")
+    shared = np.full(len(words), 1 / len(words))
+    model = hmm.baum_welch(encoded, shared, hmm.Settings(states=4, init_rounds=2, rounds=1))
+    gaps = [np.abs(model.emit[:, a] - model.emit[:, b]).max() for a in range(4) for b in range(a)]
+    assert min(gaps) > 1e-3
+    total = np.zeros((len(words) + 5, 4))
+    flat = [np.frombuffer(x, np.uint16).astype(np.int64) for (x,) in symbols]
+    hmm.started(np.concatenate(flat), np.array([len(x) for x in flat]), total)
+    assert total[: len(words)].sum() == sum(map(len, flat))
+
+
 def test_language_held_out_accuracy(spark, sf_dir):
     got = queries.QUERIES["op2_crf_language"](spark, sf_dir)
     both = got.join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").where("held_out AND lang_pred != 'und'")
