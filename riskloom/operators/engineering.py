@@ -129,18 +129,37 @@ def jitter(df: DataFrame, columns: list[str], key: str, sigma: float = 0.05, sha
 
 
 def smote(df: DataFrame, vector: str, label: str, key: str, target, k: int = 5, block: int = 2_000, seed: int = 42) -> DataFrame:
-    """One new vector between each row of class `target` and one of its k nearest rows of its hash block."""
-    own = df.where(F.col(label) == target).select(key, F.col(vector).cast("array<double>").alias("v"))
-    blocks = max(1, -(-own.count() // block))
+    """One new vector between each row of class `target` and one of its k nearest rows of the whole class.
 
-    def make(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf["v"].to_numpy())
-        rng = np.random.default_rng(seed)
-        d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2) if len(x) <= 200 else np.maximum(0, (x**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * x @ x.T)
-        np.fill_diagonal(d, np.inf)
-        near = np.argsort(d, axis=1)[:, : max(1, min(k, len(x) - 1))]
-        pick = near[np.arange(len(x)), rng.integers(0, near.shape[1], len(x))]
-        made = x + rng.random((len(x), 1)) * (x[pick] - x)
-        return pd.DataFrame({key: pdf[key], "v": list(made)})
-
-    return own.groupBy(F.pmod(F.xxhash64(key), F.lit(blocks))).applyInPandas(make, f"{key} long, v array<double>")
+    Every block of rows asks every block; a row's k nearest are the best of its blocks' k nearest.
+    """
+    own = df.where(F.col(label) == target).select(F.col(key).cast("long").alias(key), F.col(vector).cast("array<double>").alias("v"))
+    blocks = max(1, -(-own.count() // block))
+    placed = own.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    asking = placed.withColumnRenamed("_b", "_i").withColumn("_j", every).groupBy("_i", "_j")
+    asked = placed.withColumnRenamed("_b", "_j").withColumn("_i", every).groupBy("_i", "_j")
+
+    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({key: [], "near": [], "d": []})
+        right = right.sort_values(key)
+        y, y_keys = np.stack(right["v"].to_numpy()), right[key].to_numpy()
+        out = []
+        for at in range(0, len(left), 256):
+            x, x_keys = np.stack(left["v"].to_numpy()[at : at + 256]), left[key].to_numpy()[at : at + 256]
+            d = np.maximum(0, (x**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * x @ y.T)
+            d[x_keys[:, None] == y_keys[None]] = np.inf
+            first = np.argsort(d, axis=1, kind="stable")[:, :k]
+            out.append(pd.DataFrame({key: np.repeat(x_keys, first.shape[1]), "near": y_keys[first].ravel(), "d": np.take_along_axis(d, first, 1).ravel()}))
+        found = pd.concat(out)
+        return found[np.isfinite(found["d"])]
+
+    near = asking.cogroup(asked).applyInPandas(nearest, f"{key} long, near long, d double")
+    best = near.groupBy(key).agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "near"))), 1, k).alias("best"))  # k for each block
+    draw = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.size("best").cast("long")).cast("int")
+    picked = best.select(F.col(key).alias("_k"), F.get("best", draw)["near"].alias("_near"))
+    share = F.pmod(F.xxhash64(F.col(key), F.lit(seed + 1)), F.lit(1_000_000)) / F.lit(1e6)
+    pairs = own.join(picked, F.col(key) == F.col("_k"), "left").join(own.select(F.col(key).alias("_near"), F.col("v").alias("_w")), "_near", "left")
+    made = F.when(F.col("_w").isNull(), F.col("v")).otherwise(F.zip_with("v", "_w", lambda a, b: a + share * (b - a)))
+    return pairs.select(key, made.alias("v"))

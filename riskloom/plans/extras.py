@@ -116,9 +116,9 @@ def failure_states(spark, sf_dir):
 
 @plan("ensemble_weights")
 def ensemble_weights(spark, sf_dir):
-    """Weights of two members that give the largest area on held-out rows, and each member's part."""
+    """Weights of the three members that give the largest area on held-out rows, and each member's part."""
     train, test = halves(spark, sf_dir)
-    models = {n: m for n, m in ml.fit_all(train).items() if n != "boosted"}
+    models = ml.fit_all(train)
     w, a = ml.best_weights(ml.score_all(models, test), list(models), "label")
     return spark.createDataFrame([(n, x, a) for n, x in w.items()], "model string, weight double, auc double")
 

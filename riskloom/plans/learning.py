@@ -85,10 +85,10 @@ def feature_importances(spark, sf_dir):
 
 @plan("one_versus_rest")
 def one_versus_rest(spark, sf_dir):
-    """A binary model for each class with enough positives."""
+    """A binary model for each class with at least 20 positives."""
     e = ml.from_array(table(spark, sf_dir, "embeddings"), "embedding")
     h = F.pmod(F.xxhash64("vec_id"), F.lit(10))
-    labels = [r[0] for r in e.groupBy("label").count().where("count >= 20").orderBy("label").limit(3).collect()]
+    labels = [r[0] for r in e.groupBy("label").count().where("label IS NOT NULL AND count >= 20").orderBy("label").collect()]
     rows = []
     for y in labels:
         one = e.withColumn("label", (c("label") == y).cast("double"))

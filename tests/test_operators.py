@@ -1,10 +1,14 @@
 """Operators on small hand-made frames with known values."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from riskloom.functions import cleaning, text
 from riskloom.operators import engineering, evaluation, graph, sequence, stats, windows
+from riskloom.plans import extras as extras_plans
+from riskloom.plans import learning as learning_plans
+from riskloom.session import table
 from riskloom.sources import files, sinks
 
 
@@ -106,3 +110,23 @@ def test_files(spark, tmp_path):
     assert files.config(spark, str(tmp_path / "no.json"), {"a": 1}) == {"a": 1}
     s = spark.createDataFrame([(1, '{{"sources": {"A.sol": {"content": "pragma x"}, "B.vy": {"content": "# @version pragma"}}}}'), (2, "pragma y")], "id int, source string")
     assert {(r.id, r.file) for r in files.unwrapped_sources(s).collect()} == {(1, "A.sol"), (2, "main")}
+
+
+def test_smote_neighbours_of_the_whole_class(spark):
+    r = np.random.default_rng(3)
+    x = r.normal(size=(300, 3))
+    df = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(x)] + [(900, 2, [0.0, 0.0, 0.0])], "id long, label int, v array<double>")
+    got = {q.id: np.array(q.v) for q in engineering.smote(df, "v", "label", "id", 1, k=3, block=20).collect()}
+    assert set(got) == set(range(300))
+    for i, m in got.items():
+        d = ((x - x[i]) ** 2).sum(1)
+        d[i] = np.inf
+        # the new row lies on the line to one of the three nearest of all
+        assert any(np.linalg.norm(m - x[i]) + np.linalg.norm(m - x[j]) < np.sqrt(d[j]) + 1e-9 for j in np.argsort(d)[:3])
+    assert [q.v for q in engineering.smote(df, "v", "label", "id", 2).collect()] == [[0.0, 0.0, 0.0]]
+
+
+def test_learning_queries_use_every_label_and_member(spark, sf_dir):
+    labels = {q[0] for q in table(spark, sf_dir, "embeddings").groupBy("label").count().where("count >= 20").collect()}
+    assert len(labels) > 3 and {q.label for q in learning_plans.one_versus_rest(spark, sf_dir).collect()} == labels
+    assert {q.model for q in extras_plans.ensemble_weights(spark, sf_dir).collect()} == {"boosted", "forest", "logistic"}
