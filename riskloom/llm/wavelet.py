@@ -2,15 +2,16 @@
 
 A shard holds the ids of whole documents in ascending document order as one bit plane for each
 bit of an id, most significant first; below each plane the zeros come before the ones, stably.
-Each plane carries its number of zeros and running counts every 512 bits, so that access(i),
-rank(id, i) (counting) and select(id, j) (occurrence lookup) read only a few words of each
-plane. A shard is one compressed blob in one file, written by Spark's committer into the shared
-folder, so a lost executor's task is simply run again.
+The file keeps each plane's number of zeros and its running counts every 512 bits (the rank
+directory), so that access(i), rank(id, i) (counting) and select(id, j) (occurrence lookup) read
+only a few words of each plane. A shard is one compressed blob in one file, written by Spark's
+committer into the shared folder, so a lost executor's task is simply run again.
 
-Documents are dealt out by ranges of doc_id (cut points from all ids), sorted within, and cut
+Texts are dealt out by ranges of doc_id and sorted within; one task encodes a range and cuts it
 into shards of about `shard_tokens` ids at document borders; a longer document is a shard of its
-own. Null text counts as empty: only the end id. Rows with one id keep an order of their own; a
-null id stands as the smallest number in the files and comes back as null.
+own. Null text counts as empty: only the end id. Rows with one id keep an order of their own (by
+text); a null id stands as the smallest number in the files and comes back as null. An empty table
+gives no shards and no rows.
 """
 
 from __future__ import annotations
@@ -24,68 +25,72 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import partitions_for, range_bounds, range_bucket, stored
+from riskloom.llm.common import partitions_for, stored
 
-MAGIC = b"WMS1"
+MAGIC = b"WMS2"
+HEAD = "<4sQIIII"
 BLOCK = 512  # bits between running counts
 NO_ID = -(1 << 63)
 
 
 class WaveletMatrix:
-    """Succinct sequence of unsigned ids."""
+    """Succinct sequence of unsigned ids: bit planes and their rank directory."""
 
-    def __init__(self, n: int, planes: np.ndarray, zeros: np.ndarray):
+    def __init__(self, n: int, planes: np.ndarray, zeros: np.ndarray, counts: np.ndarray | None = None):
         self.n, self.planes, self.zeros = n, planes, zeros  # planes: bits x ceil(n / 8) bytes
-        per = BLOCK // 8
-        pad = -planes.shape[1] % per
-        ones = np.bitwise_count(np.pad(planes, ((0, 0), (0, pad)))).reshape(len(planes), -1, per).sum(axis=2, dtype=np.int64)
-        self.counts = np.concatenate([np.zeros((len(planes), 1), np.int64), np.cumsum(ones, axis=1)], axis=1)
+        if counts is None:
+            per = BLOCK // 8
+            ones = np.bitwise_count(np.pad(planes, ((0, 0), (0, -planes.shape[1] % per)))).reshape(len(planes), -1, per).sum(axis=2, dtype=np.uint32)
+            counts = np.concatenate([np.zeros((len(planes), 1), np.uint32), np.cumsum(ones, axis=1, dtype=np.uint32)], axis=1)
+        self.counts = counts
 
     @classmethod
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
         planes, zeros = [], []
         for b in range(bits - 1, -1, -1):
-            one = ((ids >> b) & 1).astype(np.uint8)
+            one = (ids & ids.dtype.type(1 << b)).astype(bool)
+            low, high = ids[~one], ids[one]
             planes.append(np.packbits(one))
-            zeros.append(len(ids) - int(np.count_nonzero(one)))
-            ids = ids[np.argsort(one, kind="stable")]
+            zeros.append(len(low))
+            ids = np.concatenate([low, high])
         return cls(len(ids), np.stack(planes) if planes else np.zeros((0, 0), np.uint8), np.array(zeros, np.int64))
 
-    def _ones(self, level: int, i: int) -> int:
-        """Ones among the first i bits of a plane."""
-        block = i // BLOCK
-        part = self.planes[level, block * BLOCK // 8 : i // 8]
-        rest = int(self.planes[level, i // 8]) >> (8 - i % 8) if i % 8 else 0
-        return int(self.counts[level, block]) + int(np.bitwise_count(part).sum()) + rest.bit_count()
+    def _ones(self, level: int, at: np.ndarray) -> np.ndarray:
+        """Ones among the first at[j] bits of a plane, for all j."""
+        block = at // BLOCK
+        plane = self.planes[level]
+        span = block[:, None] * (BLOCK // 8) + np.arange(BLOCK // 8)
+        inside = np.bitwise_count(plane[np.minimum(span, max(len(plane) - 1, 0))]) * (span < (at // 8)[:, None]) if len(plane) else np.zeros(span.shape, np.int64)
+        last = plane[np.minimum(at // 8, len(plane) - 1)] >> (8 - at % 8).astype(np.uint8) if len(plane) else np.zeros(len(at), np.uint8)
+        return self.counts[level, block].astype(np.int64) + inside.sum(axis=1, dtype=np.int64) + np.where(at % 8 > 0, np.bitwise_count(last), 0)
 
     def access(self, i: int) -> int:
         value = 0
         for level in range(len(self.planes)):
             one = self.planes[level, i // 8] >> (7 - i % 8) & 1
-            ones = self._ones(level, i)
+            ones = int(self._ones(level, np.array([i]))[0])
             value = value << 1 | int(one)
             i = int(self.zeros[level]) + ones if one else i - ones
         return value
 
-    def _range(self, value: int, i: int) -> tuple[int, int]:
-        low, high, bits = 0, i, len(self.planes)
+    def ranks(self, value: int, at: np.ndarray) -> np.ndarray:
+        """How often `value` occurs among the first at[j] ids, for all j."""
+        bits = len(self.planes)
+        both = np.concatenate([np.zeros(1, np.int64), at])
         for level in range(bits):
-            a, b = self._ones(level, low), self._ones(level, high)
-            if value >> (bits - 1 - level) & 1:
-                low, high = int(self.zeros[level]) + a, int(self.zeros[level]) + b
-            else:
-                low, high = low - a, high - b
-        return low, high
+            ones = self._ones(level, both)
+            both = int(self.zeros[level]) + ones if value >> (bits - 1 - level) & 1 else both - ones
+        return both[1:] - both[0]
 
     def rank(self, value: int, i: int) -> int:
-        """How often `value` occurs among the first i ids."""
-        low, high = self._range(value, i)
-        return high - low
+        return int(self.ranks(value, np.array([i]))[0])
 
     def select(self, value: int, j: int) -> int:
         """Position of occurrence j (from 0), or -1."""
@@ -106,35 +111,40 @@ class WaveletMatrix:
         kind = np.uint16 if bits <= 16 else np.uint32
         value = np.zeros(self.n, kind)
         for level in range(bits - 1, -1, -1):
-            order = np.argsort(np.unpackbits(self.planes[level], count=self.n), kind="stable")
-            value[int(self.zeros[level]) :] |= kind(1 << (bits - 1 - level))
+            one = np.unpackbits(self.planes[level], count=self.n).view(bool)
+            zeros = int(self.zeros[level])
             above = np.empty(self.n, kind)
-            above[order] = value
+            above[~one] = value[:zeros]
+            above[one] = value[zeros:] | kind(1 << (bits - 1 - level))
             value = above
         return value
 
     def to_bytes(self, extra: bytes = b"") -> bytes:
         body = zstandard.ZstdCompressor(level=1).compress(self.planes.tobytes())
-        head = struct.pack("<4sQIII", MAGIC, self.n, len(self.planes), len(extra), len(body))
-        return head + self.zeros.astype("<i8").tobytes() + extra + body
+        directory = self.counts.astype("<u4").tobytes()
+        head = struct.pack(HEAD, MAGIC, self.n, len(self.planes), len(extra), len(body), self.counts.shape[1])
+        return head + self.zeros.astype("<i8").tobytes() + directory + extra + body
 
     @classmethod
     def from_bytes(cls, blob: bytes) -> tuple[WaveletMatrix, bytes]:
-        magic, n, bits, n_extra, n_body = struct.unpack_from("<4sQIII", blob)
+        magic, n, bits, n_extra, n_body, blocks = struct.unpack_from(HEAD, blob)
         if magic != MAGIC:
             raise ValueError("not a wavelet shard")
-        at = struct.calcsize("<4sQIII")
+        at = struct.calcsize(HEAD)
         zeros = np.frombuffer(blob, "<i8", bits, at).astype(np.int64)
         at += 8 * bits
+        counts = np.frombuffer(blob, "<u4", bits * blocks, at).reshape(bits, blocks)
+        at += 4 * bits * blocks
         extra = blob[at : at + n_extra]
         body = zstandard.ZstdDecompressor().decompress(blob[at + n_extra : at + n_extra + n_body], max_output_size=max(1, bits * -(-n // 8)))
-        return cls(n, np.frombuffer(body, np.uint8).reshape(bits, -(-n // 8)), zeros), extra
+        return cls(n, np.frombuffer(body, np.uint8).reshape(bits, -(-n // 8)), zeros, counts), extra
 
 
-START = re.compile(r" (?=\S)")
 BLANK_RUN = re.compile(r" \s")
+START = re.compile(r" (?=\S)")
 # Fixed value: the pre-token pattern of byte-level BPE vocabularies, as their files name it by "use_regex".
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+CLOSING = frozenset(".,;:!?)")
 
 
 class Recent:
@@ -148,31 +158,26 @@ class Recent:
 
     def put(self, key: str, value: bytes) -> None:
         if len(self.new) >= self.size:
-            self.old = self.new.copy()
-            self.new.clear()  # in place: `new.get` may be held
+            self.old, self.new = self.new, {}
         self.new[key] = value
 
-    def again(self, key: str) -> bytes | None:
-        """The value in the older generation, taken over."""
-        value = self.old.get(key)
-        if value is not None:
+    def get(self, key: str) -> bytes | None:
+        value = self.new.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
             self.put(key, value)
         return value
 
-    def clear(self) -> None:
-        self.new.clear()
-        self.old = {}
-
 
 class UnitEncoder:
     """The tokenizers library's ids of whole texts, its model asked once for each recent pre-token.
 
     A blank before a character that isn't white space always begins a new pre-token, so texts are
-    cut there first, and only units not seen lately are cut by the library's pattern. Texts with an
-    added token of the vocabulary go to the library whole.
+    cut there first; Arrow finds the distinct units of some texts, and only those not seen lately
+    are cut by the library's pattern. Texts with an added token of the vocabulary go to the library
+    whole.
     """
 
-    def __init__(self, path: str, units: int = 200_000, parts: int = 100_000):
+    def __init__(self, path: str, units: int = 250_000, slice_bytes: int = 6 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -182,63 +187,88 @@ class UnitEncoder:
         self.bits = max(1, (max(self.t.get_vocab_size(with_added_tokens=True), 2) - 1).bit_length())
         self.kind = np.uint16 if self.bits <= 16 else np.uint32
         self.code = "H" if self.bits <= 16 else "I"
-        self.bpe = self.t.model
+        self.tokenize = self.t.model.tokenize
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
         others = iter(range(256, 512))  # byte-level models see a byte as a character, the others moved up in order
         self.shown = {b: b if b in plain else next(others) for b in range(256)}
-        self.units, self.parts = Recent(units), Recent(parts)  # units by what follows their blank
+        self.blank = chr(self.shown[32])
+        self.units, self.parts, self.slice_bytes = Recent(units), Recent(units // 5), slice_bytes  # units by what follows their blank
 
-    def release(self) -> None:
-        """Forgets what was learned: later stages of the same worker need the room."""
-        self.units.clear()
-        self.parts.clear()
+    def _model(self, shown: str) -> bytes:
+        return array(self.code, [x.id for x in self.tokenize(shown)]).tobytes()
 
     def _part(self, part: str) -> bytes:
-        found = self.parts.new.get(part) or self.parts.again(part)
+        """Ids of one pre-token."""
+        if part[0] == " " and part[1:].isalpha():
+            return self._unit(part[1:])
+        found = self.parts.get(part)
         if found is None:
-            shown = part.encode("utf-8").decode("latin-1").translate(self.shown)
-            found = array(self.code, [x.id for x in self.bpe.tokenize(shown)]).tobytes()
+            found = self._model(part.encode("utf-8").decode("latin-1").translate(self.shown))
             if len(part) <= 40:
                 self.parts.put(part, found)
         return found
 
+    def _cut(self, text: str) -> bytes:
+        if text.isprintable() or text.replace("\n", "").isprintable():  # as to white space, the pattern and the library may differ in control characters only
+            return b"".join([self._part(x) for x in PATTERN.findall(text)])
+        return b"".join([self._part(text[a:b]) for _, (a, b) in self.t.pre_tokenizer.pre_tokenize_str(text)])
+
     def _unit(self, unit: str) -> bytes:
         """Ids of a blank and this unit."""
-        found = self.units.again(unit)
+        found = self.units.get(unit)
         if found is None:
-            text = " " + unit
             if unit.isalpha():  # one pre-token
-                found = self._part(text)
-            elif unit.isprintable() or unit.replace("\n", "").isprintable():  # as to white space, the pattern and the library may differ in control characters only
-                found = b"".join([self._part(x) for x in PATTERN.findall(text)])
+                found = self._model(self.blank + unit if unit.isascii() else (" " + unit).encode("utf-8").decode("latin-1").translate(self.shown))
+            elif unit[-1:] in CLOSING and unit[:-1].isalpha():
+                found = self._unit(unit[:-1]) + self._part(unit[-1])
             else:
-                found = b"".join([self._part(text[a:b]) for _, (a, b) in self.t.pre_tokenizer.pre_tokenize_str(text)])
+                found = self._cut(" " + unit)
             if len(unit) <= 40:
                 self.units.put(unit, found)
         return found
 
-    def _whole(self, text: str) -> bytes:
-        return array(self.code, self.t.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def encode(self, text: str | None) -> bytes:
-        """Ids of a text as little-endian numbers of `kind`."""
-        if not text:
-            return b""
-        if any(a in text for a in self.added):
-            return self._whole(text)
-        plain = not text.endswith(" ") and not BLANK_RUN.search(text)
-        units = text.split(" ") if plain else START.split(text)
-        got = list(map(self.units.new.get, units))
-        got[0] = self._whole(units[0]) if units[0] else b""  # what comes before the first cut follows no blank
-        if None in got:
-            at = -1
-            try:
-                while True:
-                    at = got.index(None, at + 1)
-                    got[at] = self._unit(units[at])
-            except ValueError:  # none left
-                pass
-        return b"".join(got)
+    def _slice(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts without added tokens, each with its end id, and how many each has."""
+        odd = {i: START.split(t) for i, t in enumerate(texts) if t[-1:] == " " or BLANK_RUN.search(t)}
+        lists = pc.split_pattern(pa.array([None if i in odd else t for i, t in enumerate(texts)], pa.large_string()), " ")
+        if odd:
+            lists = pa.array([odd.get(i, x) for i, x in enumerate(lists.to_pylist())], pa.large_list(pa.large_string()))
+        offsets = lists.offsets.to_numpy()
+        named = lists.flatten().dictionary_encode()
+        units = named.dictionary.to_pylist()
+        first = [self._cut(u) if u else b"" for u in (t[: len(odd[i][0])] if i in odd else t.partition(" ")[0] for i, t in enumerate(texts))]  # follows no blank
+        known = [x if x is not None else self._unit(u) for x, u in zip(map(self.units.new.get, units), units, strict=True)]
+        known += [*first, self.kind(0).tobytes()]
+        codes = named.indices.to_numpy().astype(np.int64)
+        codes[offsets[:-1] - offsets[0]] = len(units) + np.arange(len(texts))
+        codes = np.insert(codes, offsets[1:] - offsets[0], len(known) - 1)
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // self.kind(0).nbytes
+        begin = np.cumsum(sizes) - sizes
+        each = sizes[codes]
+        ends = np.cumsum(each)
+        ids = np.frombuffer(b"".join(known), self.kind)[np.repeat(begin[codes] - ends + each, each) + np.arange(int(ends[-1]))]
+        return ids, np.diff(ends[offsets[1:] - offsets[0] + np.arange(len(texts))], prepend=0)
+
+    def encoded(self, texts: list[str | None]):
+        """(ids of whole texts, each with its end id, and their sizes), slice by slice."""
+        held: list[str] = []
+        total = 0
+        for t in texts:
+            t = t or ""
+            if any(a in t for a in self.added):
+                if held:
+                    yield self._slice(held)
+                    held, total = [], 0
+                ids = np.array([*self.t.encode(t, add_special_tokens=False).ids, 0], self.kind)
+                yield ids, np.array([len(ids)])
+                continue
+            held.append(t)
+            total += len(t)
+            if total >= self.slice_bytes:
+                yield self._slice(held)
+                held, total = [], 0
+        if held:
+            yield self._slice(held)
 
 
 _ENCODERS: dict[str, UnitEncoder] = {}
@@ -250,32 +280,19 @@ def _encoder(path: str) -> UnitEncoder:
     return _ENCODERS[path]
 
 
-def _encode(path: str):
-    def run(batches):
-        e = _encoder(path)
-        end = e.kind(0).tobytes()
-        for b in batches:
-            for at in range(0, b.num_rows, 1_000):
-                part = b.slice(at, 1_000)
-                coded = [e.encode(x.as_py()) + end for x in part.column(part.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(coded, pa.binary())], [*b.schema.names[:-1], "ids"])
-
-    return run
-
-
 SHARD = "bucket int, shard int, first_doc long, n_docs long, n_tokens long, data binary"
 
 
 def _write(path: str, shard_tokens: int):
-    """Sorted rows of (bucket, doc_id, ids) to shards of whole documents."""
+    """Sorted rows of (doc_id, text), a range of ids, to shards of whole documents."""
 
     def run(batches):
         e = _encoder(path)
-        e.release()
-        bucket, shard, docs, sizes, ids, total = None, 0, [], [], [], 0
+        bucket = TaskContext.get().partitionId()
+        shard, docs, sizes, ids, total = 0, [], [], [], 0
 
         def out():
-            values = np.frombuffer(b"".join(ids), e.kind)
+            values = np.concatenate(ids)
             extra = np.array(docs, "<i8").tobytes() + np.array(sizes, "<i8").tobytes()
             blob = WaveletMatrix.build(values, e.bits).to_bytes(extra)
             columns = zip(SHARD.split(", "), (bucket, shard, docs[0], len(docs), len(values), blob), strict=True)
@@ -283,39 +300,37 @@ def _write(path: str, shard_tokens: int):
             return pa.RecordBatch.from_arrays([pa.array([v], kinds[c.split()[1]]) for c, v in columns], [c.split()[0] for c in SHARD.split(", ")])
 
         for b in batches:
-            for k, doc, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                n = len(raw) // e.kind(0).nbytes
-                if docs and (k != bucket or total + n > shard_tokens):
-                    yield out()
-                    shard = shard + 1 if k == bucket else 0
-                    docs, sizes, ids, total = [], [], [], 0
-                elif not docs:
-                    shard = shard if k == bucket else 0
-                bucket = k
-                docs.append(doc)
-                sizes.append(n)
-                ids.append(raw)
-                total += n
+            names = iter(b.column(0).to_pylist())
+            for coded, counted in e.encoded(b.column(1).to_pylist()):
+                at = 0
+                for n in counted.tolist():
+                    if docs and total + n > shard_tokens:
+                        yield out()
+                        shard, docs, sizes, ids, total = shard + 1, [], [], [], 0
+                    docs.append(next(names))
+                    sizes.append(n)
+                    ids.append(coded[at : at + n])
+                    total += n
+                    at += n
         if docs:
             yield out()
 
     return run
 
 
-def write_shards(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", shard_tokens: int = 1 << 16) -> DataFrame:
-    """Encodes every text and writes the shard files; returns the table of shards that they hold."""
+def write_shards(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", shard_tokens: int = 1 << 16, ranges: int | None = None) -> DataFrame:
+    """Encodes every text and writes the shard files; returns the table of shards that they hold.
+
+    A task has one range of ids, so `bucket`, its number, ascends with the ids. `ranges`: how many,
+    by default one for every 16 MB of the table.
+    """
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text).alias("text"))
-    n = partitions_for(docs, 16)
-    bounds = range_bounds(rows.select("doc_id"), "doc_id", n)
-    coded = rows.select(range_bucket("doc_id", bounds).alias("bucket"), "doc_id", "text").mapInArrow(_encode(path), "bucket int, doc_id long, ids binary")
-    dealt = coded.repartition(n, "bucket").sortWithinPartitions("bucket", "doc_id", "ids")
+    dealt = rows.repartitionByRange(ranges or partitions_for(docs, 16), "doc_id").sortWithinPartitions("doc_id", "text")
     return stored(dealt.mapInArrow(_write(path, shard_tokens), SHARD), "wavelet-shards")
 
 
 def _read(batches):
-    names = ["bucket", "shard", "pos", "doc_id", "n_tokens", "ids_crc32"]
-    for e in _ENCODERS.values():
-        e.release()
+    names = ["bucket", "shard", "pos", "doc_id", "n_tokens", "ids_crc32", "n_ends"]
     for b in batches:
         for bucket, shard, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
             matrix, extra = WaveletMatrix.from_bytes(blob)
@@ -324,13 +339,15 @@ def _read(batches):
             ids = matrix.all().astype("<u4")
             ends = np.cumsum(sizes)
             crc = [zlib.crc32(ids[e - s : e]) for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([bucket] * n, pa.int32()), pa.array([shard] * n, pa.int32()), pa.array(ends - sizes), pa.array(docs), pa.array(sizes), pa.array(crc, pa.int64())], names)
+            marks = np.diff(matrix.ranks(0, ends), prepend=0)
+            yield pa.RecordBatch.from_arrays([pa.array([bucket] * n, pa.int32()), pa.array([shard] * n, pa.int32()), pa.array(ends - sizes), pa.array(docs), pa.array(sizes), pa.array(crc, pa.int64()), pa.array(marks)], names)
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the shard files alone.
+    """doc_id, start, n_tokens, ids_crc32, n_ends of every document, from the shard files alone.
 
-    Starts: a running sum over shards within each bucket, and over the buckets' totals.
+    Starts: a running sum over shards within each bucket, and over the buckets' totals. n_ends: how
+    often the end id occurs in the document, by rank.
     """
     within = Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shard_start = shards.select("bucket", "shard", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)).alias("before"))
@@ -340,11 +357,11 @@ def read_documents(shards: DataFrame) -> DataFrame:
         rows.append((bucket, base))
         base += n
     bases = spark.createDataFrame(rows, "bucket int, base long")
-    docs = shards.select("bucket", "shard", "data").mapInArrow(_read, "bucket int, shard int, pos long, doc_id long, n_tokens long, ids_crc32 long")
+    docs = shards.select("bucket", "shard", "data").mapInArrow(_read, "bucket int, shard int, pos long, doc_id long, n_tokens long, ids_crc32 long, n_ends long")
     return (
         docs.join(shard_start, ["bucket", "shard"])
         .join(bases, "bucket")
-        .select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), (F.col("base") + F.col("before") + F.col("pos")).alias("start"), "n_tokens", "ids_crc32")
+        .select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), (F.col("base") + F.col("before") + F.col("pos")).alias("start"), "n_tokens", "ids_crc32", "n_ends")
     )
 
 

@@ -198,14 +198,20 @@ def test_wavelet_shards_equal_the_library(spark, sf_dir, odd):
     for r in table(spark, sf_dir, "documents").orderBy("doc_id").collect():
         ids = [*t.encode(r.text or "", add_special_tokens=False).ids, 0]
         g = got[r.doc_id]
-        assert (g.start, g.n_tokens, g.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        assert (g.start, g.n_tokens, g.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) and g.n_ends == ids.count(0)
         start += len(ids)
     e = wavelet.UnitEncoder(path)
     r = random.Random(4)
     made = ["".join(r.choice([" ", "  ", "\n", "a", "'s", "1", ".", "é", "\xa0", "　", "\x1c", "<|endoftext|>", "the"]) for _ in range(r.randint(0, 12))) for _ in range(2000)]
-    for x in made:
-        assert np.frombuffer(e.encode(x), np.uint16).tolist() == t.encode(x, add_special_tokens=False).ids
+    made += [None, "", "x" * 50_000 + " y"]
+    e.slice_bytes = 500  # several slices
+    for x, ids in zip(made, [x for ids, n in e.encoded(made) for x in np.split(ids, np.cumsum(n)[:-1])], strict=True):
+        assert ids.tolist() == [*t.encode(x or "", add_special_tokens=False).ids, 0]
     shards = wavelet.write_shards(odd, path, shard_tokens=100)
     assert sorted((r.doc_id or 0) for r in wavelet.read_documents(shards).collect()) == [0, 1, 1, 2, 3, 4, 5] and shards.count() > 1
     assert wavelet.occurrences(shards, 0).agg(F.sum("n")).first()[0] == 7
+    many = table(spark, sf_dir, "documents").select((F.col("doc_id") - 50).alias("doc_id"), "text")
+    shards = wavelet.write_shards(many, path, shard_tokens=3_000, ranges=5)
+    assert shards.select("bucket").distinct().count() > 1
+    assert {(x.doc_id + 50, x.start, x.ids_crc32) for x in wavelet.read_documents(shards).collect()} == {(x.doc_id, x.start, x.ids_crc32) for x in got.values()}
     assert wavelet.read_documents(wavelet.write_shards(odd.limit(0), path)).count() == 0
