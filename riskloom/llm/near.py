@@ -1,15 +1,20 @@
-"""Near duplicates by the exact Jaccard likeness of word shingles.
+"""SimHash near-dedup with an exact check: texts alike by the Jaccard likeness of word shingles.
 
 Two texts are linked if the sets of their `n`-word shingles have a Jaccard likeness of at least
-`least` (a fraction). Texts with equal sets are one node. Shingles have one order for all texts:
-rare ones first, by hash, those common in a sample of texts last (the sample decides how fast it
-is, not what is found). Sets that are alike enough share one of the first |s| - ceil(least |s|) + 1
-shingles of that order, so every pair that is linked meets at such a key.
-
-Each key's members are first held against the key's smallest node alone, which joins large groups
-of near copies in linear time; then all pairs of a key that are still in different components are
-compared, less those that sizes or places in the order rule out. A pair is a link only if the
-whole sets say so.
+`least` (a fraction). Texts with equal sets are one node.
+
+1. SimHash: fingerprints over the shingle sets, linked by the BK-trees of `simhash`. Together with
+   the nodes that share much of their prefix (below) with a key's smallest node, these are first
+   candidates; whole sets decide. That joins large groups of near copies in linear time.
+2. Fingerprints can't see every pair at the least likeness, so what is still apart is completed by
+   an exact prefix filter. Shingles have one order for all texts: rare ones first, by hash, those
+   common in a sample of texts last (the sample decides how fast it is, not what is found). Sets
+   that are alike enough share one of the first |s| - ceil(least |s|) + 1 shingles of that order, so
+   every pair that is linked meets at such a key. Pairs of a key whose nodes are in different
+   components are counted; how many prefix shingles they share, and where, bounds what the sets can
+   share in all, and only pairs that may still be alike enough are held against each other whole.
+
+Null or blank texts have the empty set and are one node. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,15 +24,16 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.llm import simhash
 from riskloom.llm.common import stored, words
 from riskloom.llm.simhash import components, one_of_each, text_hash
 
 LEAST = Fraction(4, 5)
-COMMON = 65_536  # shingles that are put last, at most
-SAMPLE = 5_000  # texts, about, that tell which are common
+COMMON = 262_144  # shingles that are put last, at most
+SAMPLE = 16_384  # texts, about, that tell which are common
 _FACTORS = np.random.default_rng(31).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -51,38 +57,42 @@ def _signed(values: np.ndarray) -> np.ndarray:
 
 
 def _sets(n: int, common=None, least: Fraction = LEAST):
-    """node, size and shingles of each text: all of them, or the prefix in the common order."""
+    """node, fingerprint, size and shingles of each text: all of them, or the prefix in the common order."""
 
     def run(batches):
         late, rank = common.value if common is not None else (None, None)
         for b in batches:
-            nodes, sizes, kept = [], [], []
+            nodes, prints, sizes, kept = [], [], [], []
             for text in b.column(1):
                 s = shingles(text.as_py(), n)
                 nodes.append(xxhash.xxh64_intdigest(s.tobytes()))
                 sizes.append(len(s))
-                if late is not None and len(s):
-                    at = np.minimum(np.searchsorted(late, s), max(len(late) - 1, 0))
-                    ranks = np.where(late[at] == s, rank[at], 0) if len(late) else np.zeros(len(s), np.int64)
-                    needed = -(-len(s) * least.numerator // least.denominator)
-                    s = s[np.argsort(ranks, kind="stable")[: len(s) - needed + 1]]
+                if late is not None:
+                    prints.append(simhash.majority(s))
+                    if len(s):
+                        at = np.minimum(np.searchsorted(late, s), max(len(late) - 1, 0))
+                        ranks = np.where(late[at] == s, rank[at], 0) if len(late) else np.zeros(len(s), np.int64)
+                        needed = -(-len(s) * least.numerator // least.denominator)
+                        s = s[np.argsort(ranks, kind="stable")[: len(s) - needed + 1]]
+                else:
+                    prints.append(0)
                 kept.append(_signed(s))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(_signed(np.array(nodes, np.uint64))), pa.array(sizes, pa.int32()), pa.array(kept, pa.list_(pa.int64()))],
-                ["th", "node", "size", "keys"],
+                [b.column(0), *(pa.array(_signed(np.array(x, np.uint64))) for x in (nodes, prints)), pa.array(sizes, pa.int32()), pa.array(kept, pa.list_(pa.int64()))],
+                ["th", "node", "fp", "size", "keys"],
             )
 
     return run
 
 
-ROWS = "th long, node long, size int, keys array<long>"
+ROWS = "th long, node long, fp long, size int, keys array<long>"
 
 
 def _common(texts: DataFrame, n: int):
     """Sorted hashes of the commonest shingles in a sample of texts, and their ranks, 1 for the rarest."""
     every = max(1, texts.count() // SAMPLE)
     seen = texts.where(F.pmod(F.col("th"), F.lit(every)) == 0).mapInArrow(_sets(n), ROWS).select("node", "keys").dropDuplicates(["node"])
-    counts = seen.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("c")).where("c > 2")
+    counts = seen.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     top = counts.orderBy(F.desc("c"), "key").limit(COMMON).toArrow().column("key").to_numpy().view(np.uint64)
     order = np.argsort(top)
     return top[order], (len(top) - np.arange(len(top)))[order]
@@ -94,39 +104,55 @@ def links(texts: DataFrame, n: int = 5, least: Fraction = LEAST) -> tuple[DataFr
     common = texts.sparkSession.sparkContext.broadcast(_common(texts, n))
     rows = stored(texts.mapInArrow(_sets(n, common, least), ROWS), "near-prefixes")
     nodes = rows.groupBy("node").agg(F.min("th").alias("th"))
-    placed = rows.join(nodes, ["node", "th"]).select("node", "size", F.posexplode("keys").alias("pos", "key"))
-    keys = placed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "size")).alias("c")).where("n > 1")
-    shared = stored(placed.join(keys.select("key", F.col("c.node").alias("c"), F.col("c.size").alias("c_size")), "key"), "near-shared")
-    met = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("th")
-    sets = stored(texts.join(met, "th", "left_semi").mapInArrow(_sets(n), ROWS).select("node", "keys"), "near-sets")
+    placed = rows.dropDuplicates(["node"]).select("node", "size", F.posexplode("keys").alias("pos", "key"))
+    by_key = Window.partitionBy("key").orderBy("node")
+    least_one = F.first(F.struct("node", "size")).over(by_key)
+    shared = placed.select("key", "node", "size", "pos", least_one.alias("c"), F.lead("node").over(by_key).alias("more"))
+    shared = stored(shared.where("c.node != node OR more IS NOT NULL").select("key", "node", "size", "pos", F.col("c.node").alias("c"), F.col("c.size").alias("c_size")), "near-shared")
 
-    def alike(pairs: DataFrame) -> DataFrame:
-        both = F.size(F.array_intersect("x.keys", "y.keys"))
-        union = F.size("x.keys") + F.size("y.keys") - both
-        found = pairs.join(sets.alias("x"), F.col("a") == F.col("x.node")).join(sets.alias("y"), F.col("b") == F.col("y.node"))
-        return found.where(both * q >= union * p).select("a", "b")
+    def prefix(size: str) -> Column:
+        return F.col(size) - F.ceil(F.col(size) * p / q) + 1
 
-    def close(one: str, other: str):
+    def close(one: str, other: str) -> Column:
         return (F.col(one) * q >= F.col(other) * p) & (F.col(other) * q >= F.col(one) * p)
 
-    pair = [F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")]
-    first = stored(alike(shared.where((F.col("node") != F.col("c")) & close("size", "c_size")).select(*pair).distinct()), "near-links")
+    def alike(pairs: DataFrame) -> DataFrame:
+        """Those pairs whose whole sets are alike."""
+        pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "near-pairs")
+        met = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select("th")
+        sets = stored(texts.join(met, "th", "left_semi").dropDuplicates(["th"]).mapInArrow(_sets(n), ROWS).select("node", "keys"), "near-sets")
+        found = pairs.join(sets.alias("x"), F.col("a") == F.col("x.node")).join(sets.alias("y"), F.col("b") == F.col("y.node"))
+        both = F.size(F.array_intersect("x.keys", "y.keys"))
+        return stored(found.where(both * q >= (F.size("x.keys") + F.size("y.keys") - both) * p).select("a", "b"), "near-links")
+
+    # 1. fingerprints within the BK-trees' radius, and nodes that share much with a key's smallest node
+    firsts = rows.groupBy("fp").agg(F.min("node").alias("first"))
+    same = rows.select("fp", "node").distinct().join(firsts, "fp").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    seen = simhash.links(firsts.select("fp"))
+    near = seen.join(firsts.select(F.col("fp").alias("a"), F.col("first").alias("fa")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("first").alias("fb")), "b")
+    star = shared.where((F.col("node") != F.col("c")) & close("size", "c_size")).groupBy("node", "c", "size", "c_size").agg(F.count("*").alias("o"))
+    star = star.where(F.col("o") * 10 >= F.least(prefix("size"), prefix("c_size")) * 3).select(F.col("node").alias("a"), F.col("c").alias("b"))
+    first = alike(same.union(near.select(F.col("fa").alias("a"), F.col("fb").alias("b"))).union(star))
+
+    # 2. whatever pairs of a key are still apart
     roots = components(first)
     part = shared.select("key", "node", "size", "pos").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_keys = part.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     part = stored(part.join(open_keys, "key"), "near-open")
     x, y = part.alias("x"), part.alias("y")
-    # what two sets can share from their first common key on; both must hold p / (p + q) of all their shingles in common
-    left = F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos"))
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & close("x.size", "y.size") & (left * (p + q) >= (F.col("x.size") + F.col("y.size")) * p))
-    second = alike(rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
+    apart = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & close("x.size", "y.size"))
+    met = apart.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.size").alias("m"), F.col("y.size").alias("n")).agg(
+        F.count("*").alias("o"), F.max("x.pos").alias("i"), F.max("y.pos").alias("j"), F.min("x.pos").alias("i0"), F.min("y.pos").alias("j0"))
+    # after the last shared place, one of the two prefixes ends first; what it still holds is in no place of the other
+    rest = F.greatest(F.least(F.col("m") - prefix("m"), F.col("n") - F.col("j") - 1), F.least(F.col("m") - F.col("i") - 1, F.col("n") - prefix("n")))
+    most = F.least(F.col("o") + rest, F.col("m") - F.col("i0"), F.col("n") - F.col("j0"))
+    second = alike(met.where(most * (p + q) >= (F.col("m") + F.col("n")) * p))
     return rows.select("th", "node"), first.union(second)
 
 
 def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = 5, least: Fraction = LEAST) -> DataFrame:
     """One row of every component: the one with the smallest id, rows without an id last."""
-    texts = stored(docs.select(text_hash(text).alias("th"), F.col(text).alias("text")).dropDuplicates(["th"]), "near-texts")
-    named, edges = links(texts, n, least)
+    named, edges = links(docs.select(text_hash(text).alias("th"), F.col(text).alias("text")), n, least)
     roots = components(edges)
-    classes = named.join(roots, "node", "left").select("th", F.coalesce("root", "node").alias("root"))
+    classes = named.distinct().join(roots, "node", "left").select("th", F.coalesce("root", "node").alias("root"))
     return one_of_each(docs, classes, text, doc_id)

@@ -61,9 +61,12 @@ def op5_iblt_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of every text without strings of 400 bytes that occur again."""
-    found = suffix.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+    """What is left of every text without strings of 400 bytes that occur again.
+
+    n_passage_bytes: the bytes that those or repeated strings of 51 words cover.
+    """
+    found = suffix.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), passage=51)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.col("kept"), 256).alias("kept_sha256"), "n_passage_bytes")
 
 
 @query

@@ -41,9 +41,13 @@ def fingerprint(text: str | None, n: int = 4) -> int:
     digest = xxhash.xxh64_intdigest
     m = max(1, len(w) - n + 1)
     reach = min(n, len(w)) - 1
-    h = np.array([digest(joined[starts[i] : ends[i + reach]], 42) for i in range(m)], np.uint64)
-    ones = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > m).tobytes(), "big")
+    return majority(np.array([digest(joined[starts[i] : ends[i + reach]], 42) for i in range(m)], np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bits that are set in over half the hashes; 0 for none."""
+    ones = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 4) -> DataFrame:

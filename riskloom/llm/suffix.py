@@ -1,61 +1,97 @@
-"""Exact removal of long repeated byte strings by merging shard Burrows-Wheeler transforms.
+"""Exact removal of long repeated strings by merging shard Burrows-Wheeler transforms.
 
-A byte goes if a string of `size` bytes (a window) that covers it also starts anywhere else.
+A byte goes if a string of `size` bytes (a window) that covers it also starts anywhere else. The
+same search runs over words (`WORDS`): then windows are strings of so many words.
 
-1. Spans. A window's key is the smallest hash among its short grams, which depends on its bytes
+1. Spans. A window's key is the smallest hash among its short grams, which depends on its content
    alone, so equal windows have equal keys. Neighbouring windows with one key make a span (about
-   one for every 200 bytes). Only spans whose key occurs twice can hold repeats; of those, spans
-   that are equal as a whole are repeats as a whole (copies cost one row each, nothing more).
-2. What is left, spans that share a key but differ, meets by key, one member for each distinct
-   span. Members are cut into shards; symbols are hashes of `size / 4`-byte blocks, each phase of
-   a member being one sequence. Each shard's transform is sorted alone; then all are merged by
-   refining an interleave: one round orders the merged suffixes by one more symbol, reading every
-   shard's transform in its own order, and notes where neighbours first differ, which is the
-   common prefix in symbols. After 4 rounds an interval without a border is a repeated window.
-   Suffixes are never compared or sorted again across shards.
-3. A key whose members hold more than `limit` bytes is settled by counting window digests instead,
-   which spreads over the cluster whatever the key, so no task holds a key of unbounded size.
+   one for every 200 bytes). Only spans whose key occurs twice can hold repeats. Spans that are
+   equal as a whole travel as one, with the number of times they occur.
+2. Shards. Documents are dealt by hash into `SHARDS` shards. Spans of one key meet in a task, which
+   sorts one transform for each shard: symbols are hashes of blocks (a quarter of a window of
+   bytes, a third of one of words), each phase of a span being one sequence.
+3. Merge. The shards' transforms are merged by refining an interleave: one round orders the merged
+   suffixes by one more symbol, reading every shard's transform in its own order, and notes where
+   neighbours first differ, which is the common prefix in symbols. After as many rounds as a window
+   has blocks, what lies between two borders is an interval of equal windows; it is a repeat if its
+   spans occur more than once in all. Suffixes are never compared or sorted again across shards.
+4. A key whose distinct spans hold more than `limit` bytes is settled by counting window digests
+   instead, which spreads over the cluster whatever the key, so no task holds a key of unbounded
+   size; its windows are found exactly as well.
 
 Null counts as empty. Texts are UTF-8 bytes; matches never cross rows. Repeated rows repeat each
-other. Rows are known by doc_id and a hash of their text; a null doc_id is a row like others.
+other. Rows are known by id and a hash of their text; a null id is an id like others. Equality of
+blocks and spans is that of 64- and 128-bit hashes. An empty table gives no rows. Input columns
+with the name of a result column are replaced by it.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from riskloom.llm.common import stored
 
-GRAM = 32
-BLOCKS = 4
+SHARDS = 8
 PIECE = 2_048  # windows of a span row at most
 _TABLE = np.random.default_rng(20_231).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
 
 
-def rolling(b: np.ndarray, k: int) -> np.ndarray:
-    """64-bit polynomial hashes of all k-byte strings in b."""
-    if len(b) < k:
+def raw_bytes(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
+
+
+def word_bytes(text: str | None) -> bytes:
+    """The text's words, 8 bytes of hash each, whatever space is between them."""
+    return b"".join([xxhash.xxh64_digest(w) for w in raw_bytes(text).split()])
+
+
+def word_places(raw: bytes) -> list[tuple[int, int]]:
+    """Begin and end of each word in the bytes."""
+    return [m.span() for m in re.finditer(rb"[^\t-\r ]+", raw)]
+
+
+@dataclass(frozen=True)
+class Alphabet:
+    """What a text is a sequence of."""
+
+    data: Callable[[str | None], bytes]
+    width: int  # bytes of data for a symbol
+    gram: int  # symbols whose hash may be a key
+    blocks: int  # symbols of a transform in a window
+
+    def values(self, data: bytes) -> np.ndarray:
+        return _TABLE[np.frombuffer(data, np.uint8)] if self.width == 1 else np.frombuffer(data, "<u8").astype(np.uint64)
+
+
+BYTES = Alphabet(raw_bytes, 1, 32, 4)
+WORDS = Alphabet(word_bytes, 8, 4, 3)
+
+
+def rolling(values: np.ndarray, k: int) -> np.ndarray:
+    """64-bit polynomial hashes of all strings of k values."""
+    if len(values) < k:
         return np.zeros(0, np.uint64)
-    power, power_n, out, out_n = _TABLE[b], 1, None, 0
+    power, power_n, out, out_n = values, 1, None, 0
     while True:
         if k & power_n:
             if out is None:
                 out, out_n = power, power_n
             else:  # what is there, then this power's string
-                n = len(b) - out_n - power_n + 1
+                n = len(values) - out_n - power_n + 1
                 out = out[:n] * np.uint64(pow(_BASE, power_n, 1 << 64)) + power[out_n : out_n + n]
                 out_n += power_n
         if power_n * 2 > k:
-            return out[: len(b) - k + 1]
+            return out[: len(values) - k + 1]
         power = power[:-power_n] * np.uint64(pow(_BASE, power_n, 1 << 64)) + power[power_n:]
         power_n *= 2
 
@@ -75,12 +111,12 @@ def _smallest(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(h[: len(h) - rest], h[rest:]) if rest else h
 
 
-def spans(raw: bytes, size: int) -> list[tuple[int, bytes, int, int, bool]]:
-    """(key, digest of the bytes, first window, windows, key's gram occurs twice) of every span."""
-    if len(raw) < size:
+def spans(data: bytes, size: int, of: Alphabet = BYTES) -> list[tuple[int, bytes, int, int, bool]]:
+    """(key, digest of the content, first window, windows, key's gram occurs twice) of every span."""
+    if len(data) < size * of.width:
         return []
-    grams = _mixed(rolling(np.frombuffer(raw, np.uint8), GRAM))
-    w = size - GRAM + 1
+    grams = _mixed(rolling(of.values(data), of.gram))
+    w = size - of.gram + 1
     keys = _smallest(grams, w)
     cut = np.flatnonzero(keys[1:] != keys[:-1]) + 1
     begin, end = [0, *cut.tolist()], [*cut.tolist(), len(keys)]
@@ -91,28 +127,19 @@ def spans(raw: bytes, size: int) -> list[tuple[int, bytes, int, int, bool]]:
         twice = np.count_nonzero(grams[s : e + w - 1] == key) > 1
         for p in range(s, e, PIECE):
             q = min(e, p + PIECE)
-            out.append((int(signed[s]), xxhash.xxh3_128_digest(raw[p : q + size - 1]), p, q - p, bool(twice)))
+            out.append((int(signed[s]), xxhash.xxh3_128_digest(data[p * of.width : (q + size - 1) * of.width]), p, q - p, bool(twice)))
     return out
 
 
-SPANS = "doc_id long, thash long, key long, digest binary, start int, windows int, twice boolean"
-
-
-def raw_bytes(text: str | None) -> bytes:
-    return (text or "").encode("utf-8", "surrogatepass")
-
+def _batch(rows: list, kinds: list, names: list) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
 
-def word_symbols(text: str | None) -> bytes:
-    """The text's words, 8 bytes of hash each, whatever space is between them."""
-    return b"".join([xxhash.xxh64_digest(w) for w in raw_bytes(text).split()])
 
-
-def word_places(raw: bytes) -> list[tuple[int, int]]:
-    """Begin and end of each word in the bytes."""
-    return [m.span() for m in re.finditer(rb"[^\t-\r ]+", raw)]
+SPANS = "doc_id long, thash long, key long, digest binary, start int, windows int, twice boolean"
 
 
-def _spans(size: int, symbols=raw_bytes):
+def _spans(size: int, of: Alphabet):
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.bool_()]
     names = [c.split()[0] for c in SPANS.split(", ")]
 
@@ -120,125 +147,134 @@ def _spans(size: int, symbols=raw_bytes):
         for b in batches:
             rows = []
             for doc, th, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                rows += [(doc, th, *s) for s in spans(symbols(text.as_py()), size)]
+                rows += [(doc, th, *s) for s in spans(of.data(text.as_py()), size, of)]
                 if len(rows) > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                    yield _batch(rows, kinds, names)
                     rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            yield _batch(rows, kinds, names)
 
     return run
 
 
-MEMBERS = "key long, hot boolean, n long, doc_id long, thash long, start int, windows int, data binary"
+MEMBERS = "key long, hot boolean, n long, digest binary, shard int, data binary"
 
 
-def _cut(size: int, symbols=raw_bytes):
-    """Each document's members, with their bytes."""
+def _cut(size: int, of: Alphabet):
+    """The distinct spans that each document lends its content to."""
     names = [c.split()[0] for c in MEMBERS.split(", ")]
-    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
 
     def run(batches):
         for b in batches:
             rows = []
             for doc, th, text, members in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
-                raw = symbols(text.as_py())
-                rows += [(m["key"], m["hot"], m["n"], doc, th, m["start"], m["windows"], raw[m["start"] : m["start"] + m["windows"] + size - 1]) for m in members.as_py()]
+                data = of.data(text.as_py())
+                shard = xxhash.xxh32_intdigest(b"%d %d" % (doc, th)) % SHARDS
+                rows += [(m["key"], m["hot"], m["n"], m["digest"], shard, data[m["start"] * of.width : (m["start"] + m["windows"] + size - 1) * of.width]) for m in members.as_py()]
                 if len(rows) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                    yield _batch(rows, kinds, names)
                     rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            yield _batch(rows, kinds, names)
 
     return run
 
 
+def _order(values: np.ndarray) -> np.ndarray:
+    """Stable order of small integers, by counting 16 bits at a time."""
+    if not len(values) or values.max() < 1 << 16:
+        return np.argsort(values.astype(np.uint16), kind="stable")
+    low = np.argsort((values & 0xFFFF).astype(np.uint16), kind="stable")
+    return low[np.argsort((values >> 16).astype(np.uint16)[low], kind="stable")]
+
+
 class Shard:
-    """Block-symbol sequences of some members: suffixes sorted to BLOCKS symbols, and their transform.
+    """Block-symbol sequences of some spans: suffixes sorted to `blocks` symbols, and their transform.
 
-    Suffix p of a member continues at p + step; `before` is the symbol at p - step, -1 if the
-    suffix begins its sequence. The empty suffixes that end the sequences sort first.
+    Suffix p of a span continues at p + step; `before` is the symbol at p - step, -1 if the suffix
+    begins its sequence. The empty suffixes that end the sequences sort first.
     """
 
-    def __init__(self, symbols: np.ndarray, previous: np.ndarray, ends: np.ndarray):
+    def __init__(self, symbols: np.ndarray, previous: np.ndarray, ends: np.ndarray, blocks: int):
         """`symbols` by position; `previous`: the position a step before, -1: none; `ends`: for each
         sequence the position of its last symbol."""
         n = len(symbols)
-        order = np.concatenate([np.arange(n, n + len(ends), dtype=np.int32), np.arange(n, dtype=np.int32)])  # empties, then the rest in any order
+        empty = np.arange(n, n + len(ends), dtype=np.int32)
+        order = np.concatenate([empty, np.arange(n, dtype=np.int32)])  # empties, then the rest in any order
         before_of = np.concatenate([previous, ends]).astype(np.int32)
-        for _ in range(BLOCKS):
+        for _ in range(blocks):
             came = before_of[order]
             came = came[came >= 0]
-            order = np.concatenate([np.arange(n, n + len(ends), dtype=np.int32), came[np.argsort(symbols[came], kind="stable")]])
+            order = np.concatenate([empty, came[_order(symbols[came])]])
         self.order = order
         came = before_of[order]
         self.before = np.where(came >= 0, symbols[came], np.int32(-1))
         self.empties = len(ends)
 
 
-def merged_borders(shards: list[Shard]) -> tuple[np.ndarray, np.ndarray]:
+def merged_borders(shards: list[Shard], blocks: int) -> tuple[np.ndarray, np.ndarray]:
     """The final interleave (shard of each suffix) and common prefix with the suffix before, in symbols.
 
-    The prefix is capped at BLOCKS. Round h derives the interleave by h symbols from that by h - 1.
+    The prefix is capped at `blocks`. Round h derives the interleave by h symbols from that by h - 1.
     """
-    z = np.concatenate([np.full(len(s.order), j, np.int32) for j, s in enumerate(shards)])
-    head = np.concatenate([np.full(s.empties, j, np.int32) for j, s in enumerate(shards)])
+    z = np.concatenate([np.full(len(s.order), j, np.uint16) for j, s in enumerate(shards)])
+    head = np.concatenate([np.full(s.empties, j, np.uint16) for j, s in enumerate(shards)])
     transforms = np.concatenate([s.before for s in shards])
     block = np.zeros(len(z), np.int32)  # interval of each suffix by the symbols so far
-    prefix = np.full(len(z), BLOCKS, np.int8)
+    prefix = np.full(len(z), blocks, np.int8)
     prefix[0] = 0
-    for h in range(1, BLOCKS + 1):
+    for h in range(1, blocks + 1):
         read = np.empty(len(z), transforms.dtype)
         read[np.argsort(z, kind="stable")] = transforms  # every shard's transform, in its own order
         has = np.flatnonzero(read >= 0)
-        by = has[np.argsort(read[has], kind="stable")]
+        by = has[_order(read[has])]
         symbol = np.concatenate([np.full(len(head), -1, np.int32), read[by]])
         inner = np.concatenate([np.zeros(len(head), np.int32), block[by]])
         z = np.concatenate([head, z[by]])
         border = (symbol[1:] != symbol[:-1]) | (inner[1:] != inner[:-1])
-        new = np.flatnonzero(border & (prefix[1:] == BLOCKS)) + 1
+        new = np.flatnonzero(border & (prefix[1:] == blocks)) + 1
         prefix[new] = h - 1
         block = np.concatenate([[0], np.cumsum(border)]).astype(np.int32)
     return z, prefix
 
 
-def repeated_windows(members: list[bytes], size: int, shard_bytes: int = 1 << 17) -> list[np.ndarray]:
-    """For each member, which of its windows occurs again in this or another member."""
-    step = size // BLOCKS
-    dealt, held, total = [], [], 0
-    for i, m in enumerate(members):
-        held.append(i)
-        total += len(m)
-        if total >= shard_bytes:
-            dealt.append(held)
-            held, total = [], 0
-    if held:
-        dealt.append(held)
+def repeated_windows(members: list[bytes], size: int, of: Alphabet = BYTES, times: list[int] | None = None, dealt: list[int] | None = None) -> list[np.ndarray]:
+    """For each member, which of its windows occurs again.
+
+    `times`: how often each member stands in the corpus; `dealt`: its shard.
+    """
+    step = size // of.blocks
+    times, dealt = np.array(times or [1] * len(members)), dealt or [0] * len(members)
     parts, hashes = [], []
-    for own in dealt:
-        lengths = np.array([len(members[i]) for i in own])
-        raw = np.frombuffer(b"".join([members[i] for i in own]), np.uint8)
-        h = rolling(raw, step)
-        left = np.concatenate([np.arange(n, 0, -1) for n in lengths]) if len(lengths) else np.zeros(0, int)
+    for shard in sorted(set(dealt)):
+        own = [i for i, s in enumerate(dealt) if s == shard]
+        lengths = np.array([len(members[i]) // of.width for i in own])
+        h = rolling(of.values(b"".join([members[i] for i in own])), step)
+        ends = np.cumsum(lengths)
+        at = np.arange(int(ends[-1]))
+        left = np.repeat(ends, lengths) - at
+        offset = at - np.repeat(ends - lengths, lengths)
         inside = np.flatnonzero(left >= step)  # blocks that end in their member
-        parts.append((own, lengths, left, inside))
+        parts.append((own, lengths, left, offset, inside))
         hashes.append(h[inside])
-    ranks = np.unique(np.concatenate(hashes), return_inverse=True)[1].astype(np.int32)
+    ranks = np.unique(np.concatenate(hashes), return_inverse=True)[1].astype(np.int32)  # one alphabet for all shards
     shards, at = [], 0
-    for own, lengths, left, inside in parts:
+    for own, lengths, left, offset, inside in parts:
         symbols = ranks[at : at + len(inside)]
         at += len(inside)
-        place = np.full(int(lengths.sum()), -1, np.int32)
+        place = np.full(len(left), -1, np.int32)
         place[inside] = np.arange(len(inside), dtype=np.int32)
-        offset = np.concatenate([np.arange(n) for n in lengths])
         previous = np.where(offset[inside] >= step, place[np.maximum(inside - step, 0)], -1)
-        ends = np.flatnonzero(left[inside] < 2 * step)
-        shards.append(Shard(symbols, previous, ends))
-    z, prefix = merged_borders(shards)
-    alone = prefix < BLOCKS  # a border before it
-    repeated = ~alone | np.concatenate([~alone[1:], [False]])
+        shards.append(Shard(symbols, previous, np.flatnonzero(left[inside] < 2 * step), of.blocks))
+    z, prefix = merged_borders(shards, of.blocks)
+    # intervals of equal windows, and how often each occurs in all
+    weight = np.empty(len(z), np.int64)
+    for j, (shard, (own, lengths, _, _, inside)) in enumerate(zip(shards, parts, strict=True)):
+        of_place = np.concatenate([np.repeat(times[own], lengths)[inside], np.zeros(shard.empties, np.int64)])
+        weight[z == j] = of_place[shard.order]
+    begin = np.flatnonzero(prefix < of.blocks)
+    repeated = np.repeat(np.add.reduceat(weight, begin) > 1, np.diff(np.append(begin, len(z))))
     out: list = [None] * len(members)
-    for j, (shard, (own, lengths, left, inside)) in enumerate(zip(shards, parts, strict=True)):
+    for j, (shard, (own, lengths, left, _, inside)) in enumerate(zip(shards, parts, strict=True)):
         flags = repeated[z == j]  # in the shard's own order
         real = shard.order < len(inside)
         by_place = np.zeros(len(left), bool)
@@ -249,152 +285,141 @@ def repeated_windows(members: list[bytes], size: int, shard_bytes: int = 1 << 17
     return out
 
 
-def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
+def _runs(flags: np.ndarray) -> list[dict]:
     edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
-    return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
+    return [{"start": a, "stop": b} for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
 
 
-FOUND = "doc_id long, thash long, start int, stop int"
+RUNS = "array<struct<start: int, stop: int>>"
+FOUND = f"key long, digest binary, runs {RUNS}"
 
 
-def _resolve(size: int, batch_bytes: int):
-    """Members sorted by key to repeated windows of those that aren't known yet."""
+def _resolve(size: int, of: Alphabet, batch_bytes: int):
+    """Distinct spans sorted by key to the runs of their repeated windows."""
+    kinds = [pa.int64(), pa.binary(), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))]
 
     def done(rows):
-        found = []
-        for (n, doc, th, start, _), flags in zip(((r["n"], r["doc_id"], r["thash"], r["start"], 0) for r in rows), repeated_windows([r["data"] for r in rows], size), strict=True):
-            if n == 1:
-                found += [(doc, th, start + a, start + b) for a, b in _runs(flags)]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-        columns = zip(*found, strict=True) if found else [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in FOUND.split(", ")])
+        flags = repeated_windows([r[4] for r in rows], size, of, [r[1] for r in rows], [r[3] for r in rows])
+        found = [(r[0], r[2], runs) for r, f in zip(rows, flags, strict=True) if (runs := _runs(f))]
+        return _batch(found, kinds, ["key", "digest", "runs"])
 
     def run(batches):
-        rows, total, key = [], 0, None
+        rows, total = [], 0
         for b in batches:
-            for r in b.to_pylist():
-                if total >= batch_bytes and r["key"] != key:
+            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if total >= batch_bytes and r[0] != rows[-1][0]:
                     yield done(rows)
                     rows, total = [], 0
                 rows.append(r)
-                key = r["key"]
-                total += len(r["data"])
+                total += len(r[4])
         if rows:
             yield done(rows)
 
     return run
 
 
-def _window_digests(size: int, rows: int = 50_000):
-    """Every window of the members, by digest."""
-    names = ["digest", "n", "doc_id", "thash", "start"]
-    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+def _window_digests(size: int, of: Alphabet, rows: int = 50_000):
+    """Every window of the distinct spans, by digest."""
+    names = ["window", "n", "key", "digest", "start"]
+    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int32()]
 
     def run(batches):
-        held: list[list] = [[] for _ in names]
+        held: list = []
         for b in batches:
-            for r in b.to_pylist():
-                raw, n = r["data"], r["windows"]
-                made = ([xxhash.xxh3_128_digest(raw[i : i + size]) for i in range(n)], [r["n"]] * n, [r["doc_id"]] * n, [r["thash"]] * n, range(r["start"], r["start"] + n))
-                for x, values in zip(made, held, strict=True):
-                    values += x
-                if len(held[0]) >= rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(held, kinds, strict=True)], names)
-                    held = [[] for _ in names]
-        if held[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(held, kinds, strict=True)], names)
+            for key, n, digest, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                count = len(data) // of.width - size + 1
+                for i in range(count):
+                    held.append((xxhash.xxh3_128_digest(data[i * of.width : (i + size) * of.width]), n, key, digest, i))
+                if len(held) >= rows:
+                    yield _batch(held, kinds, names)
+                    held = []
+        yield _batch(held, kinds, names)
 
     return run
 
 
-def repeated(docs: DataFrame, size: int = 400, limit: int = 1 << 20, batch_bytes: int = 1 << 19, symbols=raw_bytes) -> DataFrame:
-    """doc_id, thash, start, stop: runs of repeated windows of the rows (doc_id, thash, text), in `symbols` of the text."""
-    if size % BLOCKS or size < 2 * GRAM:
-        raise ValueError(f"the length must be a multiple of {BLOCKS}, and at least {2 * GRAM}")
-    all_spans = stored(docs.mapInArrow(_spans(size, symbols), SPANS), "spans")
+def repeated(docs: DataFrame, size: int = 400, limit: int = 1 << 20, batch_bytes: int = 1 << 17, of: Alphabet = BYTES) -> DataFrame:
+    """doc_id, thash, runs (start, stop) of the repeated windows of the rows (doc_id, thash, text)."""
+    if size % of.blocks or size < 2 * of.gram:
+        raise ValueError(f"the length must be a multiple of {of.blocks}, and at least {2 * of.gram}")
+    all_spans = stored(docs.mapInArrow(_spans(size, of), SPANS), "spans")
     keys = all_spans.groupBy("key").agg(F.count("*").alias("total"), F.max("twice").alias("any_twice")).where("total > 1 OR any_twice")
     shared = stored(all_spans.join(keys.select("key"), "key"), "shared-spans")
-    distinct = shared.groupBy("key", "digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "thash", "start", "windows", "twice")).alias("m"))
+    distinct = shared.groupBy("key", "digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "thash", "start", "windows")).alias("m"))
     distinct = stored(distinct.select("key", "digest", "n", "m.*"), "distinct-spans")
-    copies = shared.join(distinct.where("n > 1").select("key", "digest"), ["key", "digest"])
-    known = copies.select("doc_id", "thash", "start", (F.col("start") + F.col("windows")).alias("stop"))
-
-    # keys with a span that occurs once, next to another span or with its gram twice
-    open_keys = (
-        distinct.groupBy("key")
-        .agg(F.count("*").alias("members"), F.sum(F.col("windows") + F.lit(size - 1)).alias("bytes"), F.min("n").alias("least"), F.max(F.col("twice") & (F.col("n") == 1)).alias("within"))
-        .where("least = 1 AND (members > 1 OR within)")
-        .select("key", (F.col("bytes") > limit).alias("hot"))
-    )
-    members = distinct.join(open_keys, "key")
-    by_doc = members.groupBy("doc_id", "thash").agg(F.collect_list(F.struct("key", "hot", "n", "start", "windows")).alias("members"))  # bounded by the text
-    data = docs.join(by_doc, ["doc_id", "thash"]).dropDuplicates(["doc_id", "thash"]).select("doc_id", "thash", "text", "members").mapInArrow(_cut(size, symbols), MEMBERS)
-    data = stored(data, "members")
-    met = data.where("NOT hot").repartition("key").sortWithinPartitions("key").mapInArrow(_resolve(size, batch_bytes), FOUND)
-    digests = data.where("hot").mapInArrow(_window_digests(size), "digest binary, n long, doc_id long, thash long, start int")
-    again = digests.groupBy("digest").agg(F.sum("n").alias("total")).where("total > 1").select("digest")
-    counted = digests.where("n = 1").join(again, "digest").select("doc_id", "thash", "start", (F.col("start") + 1).alias("stop"))
-    return known.unionByName(met).unionByName(counted)
+    sizes = distinct.groupBy("key").agg(F.sum((F.col("windows") + F.lit(size - 1)).cast("long") * of.width).alias("bytes"))
+    members = distinct.join(sizes.select("key", (F.col("bytes") > limit).alias("hot")), "key")
+    by_doc = members.groupBy("doc_id", "thash").agg(F.collect_list(F.struct("key", "hot", "n", "digest", "start", "windows")).alias("members"))  # bounded by the text
+    lent = docs.join(by_doc, ["doc_id", "thash"]).dropDuplicates(["doc_id", "thash"]).select("doc_id", "thash", "text", "members")
+    data = stored(lent.mapInArrow(_cut(size, of), MEMBERS), "members")
+    met = data.where("NOT hot").select("key", "n", "digest", "shard", "data").repartition("key").sortWithinPartitions("key", "shard").mapInArrow(_resolve(size, of, batch_bytes), FOUND)
+    windows = data.where("hot").select("key", "n", "digest", "data").mapInArrow(_window_digests(size, of), "window binary, n long, key long, digest binary, start int")
+    again = windows.groupBy("window").agg(F.sum("n").alias("total")).where("total > 1").select("window")
+    counted = windows.join(again, "window").groupBy("key", "digest").agg(F.collect_list(F.struct("start", (F.col("start") + 1).alias("stop"))).alias("runs"))
+    found = met.unionByName(counted.select("key", "digest", F.col("runs").cast(RUNS)))
+    placed = shared.join(found, ["key", "digest"]).select("doc_id", "thash", F.transform("runs", lambda r: F.struct((r.start + F.col("start")).alias("start"), (r.stop + F.col("start")).alias("stop"))).alias("runs"))
+    return placed.groupBy("doc_id", "thash").agg(F.flatten(F.collect_set("runs")).alias("runs"))  # a set: rows with one id and text say the same
+
+
+def _united(gone: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Maximal runs that the intervals cover."""
+    out: list[list[int]] = []
+    for start, stop in sorted(gone):
+        if out and start <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], stop)
+        else:
+            out.append([start, stop])
+    return [(a, b) for a, b in out]
+
+
+def _without(raw: bytes, gone: list[tuple[int, int]]) -> bytes:
+    edges = [0, *[x for g in gone for x in g], len(raw)]
+    return b"".join([raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)])
 
 
 def _keep(size: int, as_text: bool, passage: int):
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary()]
-    names = ["n_bytes", "n_removed", "n_spans", "kept"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary()]
 
     def run(batches):
         for b in batches:
             rows = []
-            at = b.schema.get_field_index("_runs")
-            for text, runs, said in zip(b.column(at - 1), b.column(at), b.column(at + 1), strict=True):
+            at = b.num_columns - 3
+            for text, runs, said in zip(b.column(at), b.column(at + 1), b.column(at + 2), strict=True):
                 raw = raw_bytes(text.as_py())
-                gone = [(r["start"], r["stop"] + size - 1) for r in runs.as_py() or []]
-                if passages := said.as_py():
-                    places = word_places(raw)
-                    for r in passages:  # whole words only
-                        first, last = -(-r["start"] // 8), (r["stop"] - 1) // 8 + passage
-                        if (r["stop"] - 1) // 8 >= first:
-                            gone.append((places[first][0], places[last - 1][1]))
-                removed, n_spans, kept, end = 0, 0, [], 0
-                stop = -1
-                for start, last in sorted(gone):
-                    if start > stop:  # not next to the run before
-                        kept.append(raw[max(stop, 0) : start])
-                        n_spans += 1
-                        removed += last - start
-                        stop = last
-                    elif last > stop:
-                        removed += last - stop
-                        stop = last
-                kept.append(raw[max(stop, 0) :])
-                left = b"".join(kept)
-                rows.append((len(raw), removed, n_spans, left.decode("utf-8", "ignore") if as_text else left))
-            columns = zip(*rows, strict=True) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([*b.columns[: at - 1], *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], [*b.schema.names[: at - 1], *names])
+                gone = _united([(r["start"], r["stop"] + size - 1) for r in runs.as_py() or []])
+                passages = said.as_py() or []
+                places = word_places(raw) if passages else []
+                both = _united(gone + [(places[r["start"]][0], places[r["stop"] + passage - 2][1]) for r in passages])
+                left = _without(raw, both if as_text else gone)
+                rows.append((len(raw), sum(y - x for x, y in gone), len(gone), sum(y - x for x, y in both), left.decode("utf-8", "ignore") if as_text else left))
+            yield pa.RecordBatch.from_arrays([*b.columns[:at], *_batch(rows, kinds, RESULT).columns], [*b.schema.names[:at], *RESULT])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 400, limit: int = 1 << 20, as_text: bool = False, passage: int = 0) -> DataFrame:
-    """All columns of `docs` but the text, then n_bytes, n_removed, n_spans and kept.
+RESULT = ["n_bytes", "n_removed", "n_spans", "n_passage_bytes", "kept"]
 
-    kept is binary; with `as_text`, a string without the characters that an edge cuts in half.
-    With `passage`, strings of that many words that occur again go as well, whatever their bytes.
-    """
-    keep = [c for c in docs.columns if c not in (text, "n_bytes", "n_removed", "n_spans", "kept")]
-    ids = F.coalesce(F.col(doc_id).cast("long"), F.lit(-1))  # rows that then share id and text share their repeats, too
-    rows = docs.select(ids.alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("thash"), F.col(text).alias("text"))
 
-    def by_row(runs: DataFrame, name: str) -> DataFrame:
-        return runs.groupBy(F.col("doc_id").alias("_id"), F.col("thash").alias("_hash")).agg(F.collect_list(F.struct("start", "stop")).alias(name))
+def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 400, limit: int = 1 << 20, as_text: bool = False, passage: int = 0) -> DataFrame:
+    """All columns of `docs` but the text, then n_bytes, n_removed, n_spans, n_passage_bytes and kept.
 
-    runs = by_row(repeated(rows, size, limit), "_runs")
+    n_removed and n_spans tell of the strings of `size` bytes, which are cut out of `kept` (binary).
+    With `passage`, strings of that many words that occur again are looked for as well, whatever
+    their bytes; n_passage_bytes counts the bytes that either covers. With `as_text`, `kept` is a
+    string without either, and without the characters that an edge cuts in half.
+    """
+    keep = [c for c in docs.columns if c not in (text, *RESULT)]
+    ids, thash = F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)), F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    rows = docs.select(ids.alias("doc_id"), thash.alias("thash"), F.col(text).alias("text"))
+    runs = repeated(rows, size, limit)
     if passage:
-        runs = runs.join(by_row(repeated(rows, 8 * passage, limit, symbols=word_symbols), "_passages"), ["_id", "_hash"], "full")
+        said = repeated(rows, passage, limit, of=WORDS)
+        runs = runs.join(said.withColumnRenamed("runs", "said"), ["doc_id", "thash"], "full")
     else:
-        runs = runs.withColumn("_passages", F.lit(None).cast("array<struct<start: int, stop: int>>"))
-    marked = docs.select(*keep, ids.alias("_doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_thash"), F.col(text).alias("_text"))
-    joined = marked.join(runs, (F.col("_doc") == F.col("_id")) & (F.col("_thash") == F.col("_hash")), "left").select(*keep, "_text", "_runs", "_passages")
-    from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
-
-    schema = StructType([*(joined.schema[c] for c in keep), *(StructField(n, LongType()) for n in ("n_bytes", "n_removed", "n_spans")), StructField("kept", StringType() if as_text else BinaryType())])
-    return joined.mapInArrow(_keep(size, as_text, passage), schema)
+        runs = runs.withColumn("said", F.lit(None).cast(RUNS))
+    whole = docs.select(F.struct(*keep).alias("row"), ids.alias("doc_id"), thash.alias("thash"), F.col(text).alias("text"))
+    inner = max([*keep, ""], key=len)  # a name that no column has, with the suffixes below
+    last = [F.col(c).alias(f"{inner}_{c}") for c in ("text", "runs", "said")]
+    joined = whole.join(runs, ["doc_id", "thash"], "left").select(*[F.col("row").getField(c).alias(c) for c in keep], *last)
+    made = [*(StructField(n, LongType()) for n in RESULT[:-1]), StructField("kept", StringType() if as_text else BinaryType())]
+    return joined.mapInArrow(_keep(size, as_text, passage), StructType([*(docs.schema[c] for c in keep), *made]))

@@ -39,7 +39,8 @@ def test_repeats_by_brute_force(spark, limit):
     base = "".join(r.choice("abcdé ") for _ in range(600))
     texts = [None, "", "x" * 1000, base, base, base[100:400] + "tail", "head" + base[50:300], "ab" * 300]
     texts += ["".join(base[r.randrange(500) :][: r.randint(30, 200)] for _ in range(4)) for _ in range(12)]
-    docs = frame(spark, list(enumerate(texts))).withColumn("kept", F.lit(1))
+    docs = frame(spark, list(enumerate(texts))).withColumn("kept", F.lit(1)).withColumn("runs", F.lit("own")).withColumn("thash", F.lit(5))
+    assert suffix.remove_repeats(docs, size=64, limit=limit).where("runs = 'own' AND thash = 5").count() == len(texts)
     got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in suffix.remove_repeats(docs, size=64, limit=limit).collect()}
     want = uncovered([(t or "").encode() for t in texts], 64)
     assert got == dict(enumerate(want))
@@ -54,7 +55,20 @@ def test_repeats_query_and_empty(spark, sf_dir):
     for d, (n, gone, runs, kept) in zip(docs, want, strict=True):
         g = got[d.doc_id]
         assert (g.n_bytes, g.n_removed, g.n_spans, g.kept_sha256) == (n, gone, runs, hashlib.sha256(kept).hexdigest())
-    assert suffix.remove_repeats(frame(spark, [(1, "a")]).limit(0)).count() == 0
+        assert g.n_passage_bytes >= g.n_removed
+    assert suffix.remove_repeats(frame(spark, [(1, "a")]).limit(0), passage=51).count() == 0
+
+
+def test_rows_with_one_id_and_text(spark):
+    """Each row's runs once, however many rows say the same."""
+    r = random.Random(6)
+    text = "".join(r.choice("abcdefgh ") for _ in range(5_000))
+    for ids in ([None] * 60, [4] * 60):
+        rows = frame(spark, [(i, text) for i in ids])
+        named = rows.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), F.xxhash64("text").alias("thash"), "text")
+        (found,) = suffix.repeated(named).collect()
+        assert len(found.runs) < 60 and sum(b - a for a, b in found.runs) == 5_000 - 399
+        assert {(x.n_removed, x.n_spans) for x in suffix.remove_repeats(rows).collect()} == {(5_000, 1)}
 
 
 def without_passages(texts, words=51, size=400):
@@ -88,6 +102,9 @@ def test_repeats_stage_by_words(spark, limit):
     docs = frame(spark, list(enumerate(texts)))
     want = [x.decode() for x in without_passages([(t or "").encode() for t in texts])]
     got = suffix.remove_repeats(docs, limit=limit, as_text=True, passage=corpus_pipeline.PASSAGE)
+    told = {x.doc_id: x for x in suffix.remove_repeats(docs, limit=limit, passage=corpus_pipeline.PASSAGE).collect()}
+    for i, (t, w) in enumerate(zip(texts, want, strict=True)):
+        assert told[i].n_passage_bytes == len((t or "").encode()) - len(w) and told[i].n_removed == uncovered([(x or "").encode() for x in texts], 400)[i][1]
     assert {x.doc_id: x.kept for x in got.collect()} == dict(enumerate(want))
     assert want[7] == "" and " ".join(q) in want[2] and long not in want[4]
     if limit > 500:
@@ -100,8 +117,16 @@ def test_merged_transforms():
         base = bytes(r.choice(b"ab") for _ in range(200))
         members = [b"".join(base[r.randrange(150) :][: r.randint(20, 90)] for _ in range(5)) + b"z" * 70 for _ in range(r.randint(1, 6))]
         c = Counter(m[i : i + 64] for m in members for i in range(len(m) - 63))
-        for m, flags in zip(members, suffix.repeated_windows(members, 64, shard_bytes=r.choice([1, 150, 1 << 20])), strict=True):
+        for m, flags in zip(members, suffix.repeated_windows(members, 64, dealt=[r.randrange(3) for _ in members]), strict=True):
             assert flags.tolist() == [c[m[i : i + 64]] > 1 for i in range(len(m) - 63)]
+        (twice, *_) = suffix.repeated_windows(members, 64, times=[2] + [1] * (len(members) - 1))
+        assert twice.all()
+        words = [np.array([x % 3 for x in m], "<u8").tobytes() for m in members]
+        c = Counter(w[i : i + 8 * 9] for w in words for i in range(0, len(w) - 71, 8))
+        for w, flags in zip(words, suffix.repeated_windows(words, 9, suffix.WORDS, dealt=[r.randrange(3) for _ in members]), strict=True):
+            assert flags.tolist() == [c[w[i : i + 72]] > 1 for i in range(0, len(w) - 71, 8)]
+    wide = suffix._order(np.array([70_000, 3, 1 << 20, 70_000, 65_536, 3], np.int32))
+    assert wide.tolist() == [1, 5, 4, 0, 3, 2]
 
 
 def pieces_of(text):
@@ -347,12 +372,11 @@ def test_pipeline_by_brute_force(spark, sf_dir):
     one = corpus_pipeline.language(spark, docs, sf_dir)
     assert one.columns == docs.columns and one.count() >= 0.97 * docs.count()
     two = corpus_pipeline.near_duplicates(spark, one, sf_dir).cache()
-    prints = {r.doc_id: slow_print(r.text) for r in one.collect()}
-    assert {r.doc_id for r in two.collect()} == set(brute_components(prints).values())
+    assert {r.doc_id for r in two.collect()} == kept_by_jaccard(shingle_sets([(r.doc_id, r.text) for r in one.collect()]))
     three = {r.doc_id: r.text for r in corpus_pipeline.repeats(spark, two, sf_dir).collect()}
     rows = two.collect()
-    want = uncovered([r.text.encode() for r in rows], 400)
-    assert three == {r.doc_id: w[3].decode("utf-8", "ignore") for r, w in zip(rows, want, strict=True)}
+    want = without_passages([r.text.encode() for r in rows])
+    assert three == {r.doc_id: w.decode("utf-8", "ignore") for r, w in zip(rows, want, strict=True)}
     packed = corpus_pipeline.run(spark, sf_dir)
     total = {r.doc_id: r.n for r in packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()}
     assert total == {d: len(t.encode().split()) for d, t in three.items()}
