@@ -177,7 +177,7 @@ class UnitEncoder:
     whole.
     """
 
-    def __init__(self, path: str, units: int = 250_000, slice_bytes: int = 6 << 20):
+    def __init__(self, path: str, units: int = 400_000, slice_bytes: int = 12 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -194,16 +194,13 @@ class UnitEncoder:
         self.blank = chr(self.shown[32])
         self.units, self.parts, self.slice_bytes = Recent(units), Recent(units // 5), slice_bytes  # units by what follows their blank
 
-    def _model(self, shown: str) -> bytes:
-        return array(self.code, [x.id for x in self.tokenize(shown)]).tobytes()
-
     def _part(self, part: str) -> bytes:
         """Ids of one pre-token."""
         if part[0] == " " and part[1:].isalpha():
             return self._unit(part[1:])
         found = self.parts.get(part)
         if found is None:
-            found = self._model(part.encode("utf-8").decode("latin-1").translate(self.shown))
+            found = array(self.code, [x.id for x in self.tokenize(part.encode("utf-8").decode("latin-1").translate(self.shown))]).tobytes()
             if len(part) <= 40:
                 self.parts.put(part, found)
         return found
@@ -215,16 +212,21 @@ class UnitEncoder:
 
     def _unit(self, unit: str) -> bytes:
         """Ids of a blank and this unit."""
-        found = self.units.get(unit)
+        return self.units.new.get(unit) or self._older(unit)
+
+    def _older(self, unit: str) -> bytes:
+        """The same of a unit that isn't in the newer generation."""
+        found = self.units.old.get(unit)
         if found is None:
             if unit.isalpha():  # one pre-token
-                found = self._model(self.blank + unit if unit.isascii() else (" " + unit).encode("utf-8").decode("latin-1").translate(self.shown))
+                shown = self.blank + unit if unit.isascii() else (" " + unit).encode("utf-8").decode("latin-1").translate(self.shown)
+                found = array(self.code, [x.id for x in self.tokenize(shown)]).tobytes()
             elif unit[-1:] in CLOSING and unit[:-1].isalpha():
                 found = self._unit(unit[:-1]) + self._part(unit[-1])
             else:
                 found = self._cut(" " + unit)
-            if len(unit) <= 40:
-                self.units.put(unit, found)
+        if len(unit) <= 40:
+            self.units.put(unit, found)
         return found
 
     def _slice(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -237,7 +239,7 @@ class UnitEncoder:
         named = lists.flatten().dictionary_encode()
         units = named.dictionary.to_pylist()
         first = [self._cut(u) if u else b"" for u in (t[: len(odd[i][0])] if i in odd else t.partition(" ")[0] for i, t in enumerate(texts))]  # follows no blank
-        known = [x if x is not None else self._unit(u) for x, u in zip(map(self.units.new.get, units), units, strict=True)]
+        known = [x or self._older(u) for x, u in zip(list(map(self.units.new.get, units)), units, strict=True)]
         known += [*first, self.kind(0).tobytes()]
         codes = named.indices.to_numpy().astype(np.int64)
         codes[offsets[:-1] - offsets[0]] = len(units) + np.arange(len(texts))
