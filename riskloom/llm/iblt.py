@@ -1,16 +1,20 @@
 """Paragraph fingerprints: invertible Bloom lookup sketches, in DataFrame expressions only.
 
-A text's lines, cut into runs of at most `run` characters, are hashed; the distinct digests are
-dealt by hash into blocks of a few digests. A block's sketch has three sub-tables; a digest goes
-into one cell of each, which holds a count, the exclusive-or of its digests and that of their
-check hashes. The cells of two versions subtract, so what both have cancels; peeling then takes
-out cells with a single digest left, again and again, until nothing is left. A block that can't
-be peeled is sketched again with twice the cells and other hashes.
-
-Likeness of two texts: shared over distinct digests, from what peeling recovers; two texts
-without any digest are alike (1). Equal texts have equal sketches. Null text counts as empty.
-Rows with the same doc_id are rows of their own, in the order of their texts; a table of one row
-is its own neighbour; an empty table gives no rows.
+A text's paragraphs (its lines that aren't blank, without the white space around them) are hashed;
+the distinct digests are dealt by hash into blocks of a few digests, a power of two in number. A
+block's sketch has three sub-tables; a digest goes into one cell of each, which holds a count, the
+exclusive-or of its digests and that of their check hashes. The fingerprint is the sketch itself,
+written out: cells a block, blocks, then the cells. Its size is the smallest at which every block
+alone can be peeled, so a fingerprint gives back all its digests.
+
+Likeness needs the two fingerprints only: cells of equally dealt sketches subtract, so what both
+have cancels; peeling takes out cells with a single digest left, again and again, until nothing is
+left. A block that can't be peeled, and all blocks of sketches that are dealt differently, are
+sketched again from the digests that the fingerprints give back, with twice the cells and other
+hashes, until they can. Likeness: shared over distinct digests; two texts without any are alike
+(1). Equal texts have equal sketches. Null text counts as empty. Rows with the same doc_id are rows
+of their own, in the order of their texts; a table of one row is its own neighbour; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -20,10 +24,9 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.common import partitions_for, range_bounds, range_bucket
 
-RUN = 80
 PER_BLOCK = 4
-SIZES = (12, 24, 48, 96, 192, 384)  # cells of a block, by attempt; each has hashes of its own
-ROUNDS = 7
+SIZES = [12 << i for i in range(12)]  # cells of a block, by attempt; each has hashes of its own
+ROUNDS = 12
 
 
 def let(value: Column, body) -> Column:
@@ -31,10 +34,10 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def digests(text: Column, run: int = RUN) -> Column:
-    """Distinct 64-bit digests of the runs of each line."""
-    pieces = F.regexp_extract_all(text, F.lit(f"[^\\n]{{1,{run}}}"), F.lit(0))
-    return F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p)))
+def digests(text: Column) -> Column:
+    """Distinct 64-bit digests of the paragraphs."""
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.array_distinct(F.transform(lines, lambda x: F.xxhash64(x)))
 
 
 def check_hash(x: Column) -> Column:
@@ -58,16 +61,16 @@ def dealt(values: Column, blocks: Column) -> Column:
 
         return F.flatten(F.transform(F.sequence(F.lit(0), c.coarse - 1), part))
 
-    return let(F.struct(coarse.alias("coarse"), fine.alias("fine")), deal)
+    return F.when(blocks == 1, F.array(values)).otherwise(let(F.struct(coarse.alias("coarse"), fine.alias("fine")), deal))
 
 
-def _item(x: Column, size: int, *more: Column) -> Column:
-    third = size // 3
-    places = [(F.pmod(F.xxhash64(x, F.lit(size * 10 + j)), F.lit(third)) + j * third).cast("int") for j in range(3)]
+def _item(x: Column, size: Column, *more: Column) -> Column:
+    third = (size / 3).cast("int")
+    places = [(F.pmod(F.xxhash64(x, size * 10 + j), third) + third * j).cast("int") for j in range(3)]
     return F.struct(x.alias("k"), check_hash(x).alias("h"), F.array(*places).alias("p"), *more)
 
 
-def sketch(block: Column, size: int) -> Column:
+def sketch(block: Column, size: Column) -> Column:
     """array<struct<c: long, k: long, h: long>> of `size` cells."""
     zero = F.struct(F.lit(0).cast("long").alias("c"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("h"))
 
@@ -76,7 +79,7 @@ def sketch(block: Column, size: int) -> Column:
             mine = F.filter(items, lambda t: F.array_contains(t.p, i))
             return F.aggregate(mine, zero, lambda a, t: F.struct((a.c + 1).alias("c"), a.k.bitwiseXOR(t.k).alias("k"), a.h.bitwiseXOR(t.h).alias("h")))
 
-        return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), one)
+        return F.transform(F.sequence(F.lit(0), size - 1), one)
 
     return let(F.transform(block, lambda x: _item(x, size)), cell)
 
@@ -85,7 +88,7 @@ def subtracted(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: F.struct((x.c - y.c).alias("c"), x.k.bitwiseXOR(y.k).alias("k"), x.h.bitwiseXOR(y.h).alias("h")))
 
 
-def peeled(cells: Column, size: int) -> Column:
+def peeled(cells: Column, size: Column) -> Column:
     """The digests that only one side has; null if some can't be recovered."""
 
     def step(state, _):
@@ -112,48 +115,70 @@ def peeled(cells: Column, size: int) -> Column:
     return let(done, lambda s: F.when(~F.exists(s.cells, lambda c: (c.c != 0) | (c.k != 0) | (c.h != 0)), s.found))
 
 
-def block_difference(a: Column, b: Column) -> Column:
-    """Digests in one of two blocks only: sketch, subtract, peel; twice the cells on failure.
+def _first(attempt, kind: str, above: Column | None = None) -> Column:
+    """What the first of the ascending sizes gives that doesn't give null."""
+    sizes = F.array(*[F.lit(s) for s in SIZES])
+    sizes = sizes if above is None else F.filter(sizes, lambda s: s > above)
+    return F.aggregate(sizes, F.lit(None).cast(kind), lambda found, size: F.coalesce(found, attempt(size)))
 
-    If the largest size fails too (under one block in 10^12), the digests themselves are compared.
-    """
-    tries = [peeled(subtracted(sketch(a, size), sketch(b, size)), size) for size in SIZES]
-    return F.coalesce(*tries, F.array_union(F.array_except(a, b), F.array_except(b, a)))
+
+def block_difference(a: Column, b: Column, above: Column) -> Column:
+    """Digests in one of two blocks only: sketch, subtract, peel; more cells on failure."""
+    return _first(lambda s: peeled(subtracted(sketch(a, s), sketch(b, s)), s), "array<long>", above)
+
+
+CELLS = "array<array<struct<c: long, k: long, h: long>>>"
+SKETCH = f"struct<n: int, size: int, parts: array<array<long>>, cells: {CELLS}>"
+
+
+def sketched(values: Column) -> Column:
+    """n, size, parts and cells of the smallest sketch of which every block can be peeled alone."""
+
+    def attempt(parts, size):
+        cells = F.transform(parts, lambda b: sketch(b, size))
+        n = F.aggregate(parts, F.lit(0), lambda a, b: a + F.size(b))
+        whole = lambda c: F.when(F.forall(c, lambda b: peeled(b, size).isNotNull()), F.struct(n.alias("n"), size.alias("size"), parts.alias("parts"), c.alias("cells")))
+        return let(cells, whole)
+
+    return let(dealt(values, blocks_for(F.size(values))), lambda parts: _first(lambda s: attempt(parts, s), SKETCH))
 
 
 def difference(a: Column, b: Column) -> Column:
-    """Digests of one array only, block by block."""
-    blocks = blocks_for(F.greatest(F.size(a), F.size(b)))
-    return let(
-        blocks,
-        lambda n: F.flatten(F.zip_with(dealt(a, n), dealt(b, n), block_difference)),
-    )
+    """Digests of one sketch only; `parts` stand for what peeling a sketch alone gives back."""
 
+    def block(z):
+        return F.coalesce(peeled(subtracted(z.ca, z.cb), a.size), block_difference(z.pa, z.pb, a.size))
 
-def likeness(a: Column, b: Column) -> Column:
-    total = F.size(a) + F.size(b)
-    return let(F.size(difference(a, b)), lambda d: F.when(total == 0, F.lit(1.0)).otherwise((total - d) / (total + d)))
+    zipped = F.arrays_zip(a.cells.alias("ca"), b.cells.alias("cb"), a.parts.alias("pa"), b.parts.alias("pb"))
+    direct = F.flatten(F.transform(zipped, block))
+    blocks = F.greatest(F.size(a.parts), F.size(b.parts))
+    again = let(blocks, lambda n: F.flatten(F.zip_with(dealt(F.flatten(a.parts), n), dealt(F.flatten(b.parts), n), lambda x, y: block_difference(x, y, F.lit(0)))))
+    return F.when((a.size == b.size) & (F.size(a.parts) == F.size(b.parts)), direct).otherwise(again)
 
 
-def whole_sketch(values: Column) -> Column:
-    """The first-size sketch of every block."""
-    return F.transform(dealt(values, blocks_for(F.size(values))), lambda b: sketch(b, SIZES[0]))
+def likeness(a: Column, b: Column) -> Column:
+    """Of two sketches, from 0 to 1."""
+    total = a.n + b.n
+    return F.when(total == 0, F.lit(1.0)).otherwise(let(F.size(difference(a, b)), lambda d: (total - d) / (total + d)))
 
 
-def fingerprint(values: Column) -> Column:
-    """Hex digest of the sketch's cells."""
-    return F.sha2(F.to_json(whole_sketch(values)).cast("binary"), 256)
+def fingerprint(s: Column) -> Column:
+    """The sketch as a string: cells a block, blocks, then each cell's count, digests and checks in hex."""
+    word = lambda x, n: F.lpad(F.hex(x), n, "0")
+    cells = F.transform(F.flatten(s.cells), lambda c: F.concat(word(c.c, 4), word(c.k, 16), word(c.h, 16)))
+    return F.lower(F.concat_ws(":", s.size.cast("string"), F.size(s.parts).cast("string"), F.array_join(cells, "")))
 
 
 def with_next(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", mb: int = 8) -> DataFrame:
-    """bucket, doc_id, text, digests, and the same of the next row in descending doc_id as next_text, next_digests.
+    """doc_id, text, sketch, and the text and sketch of the next row in descending doc_id as next.
 
     Rows are dealt out by ranges of doc_id; a range's topmost rows go to the range above as well, to
     end it (those of the top range end the lowest), so no window spans the whole table.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    bounds = range_bounds(rows.select("doc_id"), "doc_id", 4 * partitions_for(docs, mb))
+    n = partitions_for(docs, mb)
+    bounds = range_bounds(rows.select("doc_id"), "doc_id", 4 * n)
     bucketed = rows.withColumn("bucket", range_bucket("doc_id", bounds))
     tops = sorted((r.bucket, r.top) for r in bucketed.groupBy("bucket").agg(F.max("doc_id").alias("top")).collect())
     above = [tops[(i + 1) % len(tops)][0] for i in range(len(tops))]
@@ -164,12 +189,9 @@ def with_next(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", mb: i
         "doc_id", "text", F.explode(F.when(F.col("doc_id").eqNullSafe(F.col("top")), F.array(own, more)).otherwise(F.array(own))).alias("to")
     )
     order = Window.partitionBy("bucket").orderBy("extra", F.col("doc_id").desc(), "text")
-    placed = copied.select("to.bucket", "to.extra", "doc_id", "text").withColumn("digests", digests(F.col("text")))
-    return (
-        placed.withColumn("next", F.lead(F.struct("text", "digests")).over(order))
-        .where("extra = 0")
-        .select("bucket", "doc_id", "text", "digests", F.col("next.text").alias("next_text"), F.col("next.digests").alias("next_digests"))
-    )
+    placed = copied.select("to.bucket", "to.extra", "doc_id", "text").repartition("bucket")
+    placed = placed.withColumn("sketch", sketched(digests(F.col("text"))))
+    return placed.withColumn("next", F.lead(F.struct("text", "sketch")).over(order)).where("extra = 0").select("doc_id", "text", "sketch", "next")
 
 
 def edited_likeness(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -180,14 +202,12 @@ def edited_likeness(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     paired = with_next(docs, text, doc_id).select(
-        "doc_id", n.cast("long").alias("n_chars"), "digests", "next_digests",
-        F.concat(F.col("text").substr(F.lit(1), n - half), F.col("next_text").substr(F.lit(1), half)).alias("edited_text"),
+        "doc_id", n.cast("long").alias("n_chars"), "sketch", F.col("next.sketch").alias("next_sketch"),
+        F.concat(F.col("text").substr(F.lit(1), n - half), F.col("next.text").substr(F.lit(1), half)).alias("edited_text"),
     )
-    both = paired.withColumn("edited_digests", digests(F.col("edited_text")))
-    return both.select(
+    own, edited, after = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
+    return paired.withColumn("edited_sketch", sketched(digests(F.col("edited_text")))).select(
         "doc_id", "n_chars", "edited_text",
-        fingerprint(F.col("digests")).alias("fingerprint"),
-        fingerprint(F.col("edited_digests")).alias("edited_fingerprint"),
-        likeness(F.col("digests"), F.col("edited_digests")).alias("near_edited"),
-        likeness(F.col("digests"), F.col("next_digests")).alias("near_next"),
+        fingerprint(own).alias("fingerprint"), fingerprint(edited).alias("edited_fingerprint"),
+        likeness(own, edited).alias("near_edited"), likeness(own, after).alias("near_next"),
     )

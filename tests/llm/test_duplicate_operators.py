@@ -129,8 +129,57 @@ def test_merged_transforms():
     assert wide.tolist() == [1, 5, 4, 0, 3, 2]
 
 
-def pieces_of(text):
-    return {p[i : i + iblt.RUN] for p in (text or "").split("\n") for i in range(0, len(p), iblt.RUN)}
+def paragraphs(text):
+    return {p.strip(" ") for p in (text or "").split("\n")} - {""}
+
+
+def parsed(fingerprint):
+    """Blocks of {cell: (count, digests, checks)} from a fingerprint alone."""
+    size, blocks, cells = fingerprint.split(":")
+    size, blocks = int(size), int(blocks)
+    assert len(cells) == 36 * size * blocks
+    each = [cells[i : i + 36] for i in range(0, len(cells), 36)]
+    each = [(int(c[:4], 16), int(c[4:20], 16), int(c[20:], 16)) for c in each]
+    return size, [each[i : i + size] for i in range(0, len(each), size)]
+
+
+def peel(size, cells):
+    cells, found = list(cells), set()
+    while True:
+        pure = [(c, k) for c, k, h in cells if abs(c) == 1 and h == check(k)]
+        if not pure:
+            return found if all(x == (0, 0, 0) for x in cells) else None
+        c, k = pure[0]
+        found.add(k)
+        for j in range(3):
+            signed = hash_of(k, size * 10 + j)
+            at = signed % (size // 3) + size // 3 * j
+            n, x, h = cells[at]
+            cells[at] = (n - c, x ^ k, h ^ check(k))
+
+
+def hash_of(k, seed):
+    """Spark's xxhash64 of a long and an int, signed."""
+    h = xxhash.xxh64_intdigest(k.to_bytes(8, "little"), 42)
+    h = xxhash.xxh64_intdigest(seed.to_bytes(4, "little"), h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def check(k):
+    return hash_of(k, 1_000_003) & (1 << 64) - 1
+
+
+def like_from(a, b):
+    """Likeness from two fingerprints and nothing else."""
+    (sa, xs), (sb, ys) = parsed(a), parsed(b)
+    if (sa, len(xs)) == (sb, len(ys)):
+        left = [peel(sa, [(p[0] - q[0], p[1] ^ q[1], p[2] ^ q[2]) for p, q in zip(x, y, strict=True)]) for x, y in zip(xs, ys, strict=True)]
+        if None not in left:
+            n, d = (sum(c for x in s for c, *_ in x) // 3 for s in (xs, ys)), sum(map(len, left))
+            total = sum(n)
+            return (total - d) / (total + d) if total else 1.0
+    one, other = (set().union(*(peel(s, x) for x in blocks)) for s, blocks in ((sa, xs), (sb, ys)))
+    return len(one & other) / len(one | other) if one | other else 1.0
 
 
 def test_fingerprints(spark, sf_dir):
@@ -138,20 +187,23 @@ def test_fingerprints(spark, sf_dir):
     got = {r.doc_id: r for r in queries.QUERIES["op5_iblt_fingerprint"](spark, sf_dir).collect()}
     by_text = {}
     like = lambda a, b: 1.0 if not a | b else len(a & b) / len(a | b)
-    for (i, t), (_, u) in zip(docs, [*docs[1:], docs[0]], strict=True):
+    for (i, t), (j, u) in zip(docs, [*docs[1:], docs[0]], strict=True):
         half = len(t) // 2
         edited = t[: len(t) - half] + u[:half]
         g = got[i]
         assert (g.n_chars, g.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
-        assert g.near_edited == pytest.approx(like(pieces_of(t), pieces_of(edited))) and g.near_next == pytest.approx(like(pieces_of(t), pieces_of(u)))
+        assert g.near_edited == pytest.approx(like(paragraphs(t), paragraphs(edited))) and g.near_next == pytest.approx(like(paragraphs(t), paragraphs(u)))
+        assert g.near_edited == pytest.approx(like_from(g.fingerprint, g.edited_fingerprint)) and g.near_next == pytest.approx(like_from(g.fingerprint, got[j].fingerprint))
         for text, f in ((t, g.fingerprint), (edited, g.edited_fingerprint)):
             assert by_text.setdefault(text, f) == f
 
 
 def test_fingerprint_edge_rows(spark):
-    rows = [(1, None), (2, ""), (3, "one"), (3, "one"), (3, "two"), (7, "line\n" * 5), (9, "w" * 50_000)]
+    lines = "\n".join(f"line {i}" for i in range(3_000))
+    rows = [(1, None), (2, ""), (3, "one"), (3, "one"), (3, "two"), (7, "line\n" * 5), (9, "w" * 50_000), (11, lines), (12, lines + "\nmore")]
     got = iblt.edited_likeness(frame(spark, rows)).collect()
     assert len(got) == len(rows) and all(0 <= r.near_next <= 1 for r in got)
+    assert {r.doc_id: r.near_next for r in got}[12] == pytest.approx(3_000 / 3_001)
     lone = iblt.edited_likeness(frame(spark, [(1, "abc")])).first()
     assert lone.near_next == 1.0 and lone.edited_text == "aba"
     assert iblt.edited_likeness(frame(spark, rows).limit(0)).count() == 0
@@ -159,10 +211,22 @@ def test_fingerprint_edge_rows(spark):
 
 def test_peeling_recovers_or_fails(spark):
     d = spark.range(1).select(F.array(*[F.lit(i * 7919) for i in range(12)]).cast("array<long>").alias("a"), F.array(*[F.lit(i * 7919) for i in range(3, 14)]).cast("array<long>").alias("b"))
-    found = d.select(iblt.difference(F.col("a"), F.col("b")).alias("d")).first().d
+    both = d.select(iblt.sketched(F.col("a")).alias("a"), iblt.sketched(F.col("b")).alias("b"))
+    found = both.select(iblt.difference(F.col("a"), F.col("b")).alias("d")).first().d
     assert sorted(found) == sorted(i * 7919 for i in (0, 1, 2, 12, 13))
-    small = d.select(iblt.peeled(iblt.subtracted(iblt.sketch(F.col("a"), 3), iblt.sketch(F.array().cast("array<long>"), 3)), 3).alias("d")).first().d
+    three, none = F.lit(3), F.array().cast("array<long>")
+    small = d.select(iblt.peeled(iblt.subtracted(iblt.sketch(F.col("a"), three), iblt.sketch(none, three)), three).alias("d")).first().d
     assert small is None
+    again = d.select(iblt.block_difference(F.col("a"), none, F.lit(0)).alias("d")).first().d  # 12 digests don't come out of 12 cells
+    assert sorted(again) == [i * 7919 for i in range(12)]
+
+
+def test_range_buckets(spark):
+    from riskloom.llm.common import range_bucket
+
+    bounds = [float(x) for x in range(-20, 300, 7)]
+    rows = spark.range(-50, 400).union(spark.sql("SELECT CAST(NULL AS LONG)")).select("id", range_bucket("id", bounds).alias("b")).collect()
+    assert all(r.b == (0 if r.id is None else sum(b <= r.id for b in bounds)) for r in rows)
 
 
 def brute_components(prints):
