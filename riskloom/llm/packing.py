@@ -1,7 +1,8 @@
 """Conflict-constrained best-fit packing of documents into bins of a fixed number of tokens.
 
-Documents are dealt by hash of their id into shards of about `shard` documents, each packed in a
-task of its own, so a source that holds a third of all rows is spread like any other. In a shard,
+Documents are dealt by hash of their id, those without one by their place in the table, into shards
+of about `shard` documents, each packed in a task of its own, so a source that holds a third of all
+rows is spread like any other; shards share no bins, so bins change with the number of rows. In a shard,
 documents go in descending size. Bins are kept in order of what is left in them and carry two
 bitmaps: the sources and the duplicate clusters they hold. A document looks up the first bin that
 has room (its successor in that order) and goes on to the next until a bin shares neither bit: the
@@ -9,7 +10,8 @@ tightest compatible bin. If there is none, it opens a bin.
 
 A document above the capacity fills bins of its own; what is over is packed like any other and may
 not meet its own cluster either. Null source or cluster: no conflict. Empty documents take no room,
-but keep to the same rules. A null id reads -1, a null size 0. Repeated rows are of one cluster, so they never share a bin.
+but keep to the same rules. A null id stays null, a null size is 0. Repeated rows are of one cluster, so
+they never share a bin. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from riskloom.llm.common import words
 PACKED = "doc_id long, piece int, n_tokens long, bin long, place int, start long"
 
 
-def best_fit(items: list[tuple[int, int, object, object]], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
+def best_fit(items: list[tuple[int | None, int, object, object]], capacity: int) -> list[tuple[int | None, int, int, int, int, int]]:
     """(doc_id, piece, tokens, bin, place, start) of (doc_id, tokens, source, cluster) items.
 
     `place` counts the documents of a bin, `start` its tokens before this one.
@@ -59,7 +61,7 @@ def best_fit(items: list[tuple[int, int, object, object]], capacity: int) -> lis
             put(doc, piece, capacity, s, c, None)
         if rest or not whole:
             parts.append((rest, doc, whole, s, c))
-    for n, doc, piece, s, c in sorted(parts, key=lambda p: (-p[0], p[1], p[2])):
+    for n, doc, piece, s, c in sorted(parts, key=lambda p: (-p[0], p[1] is None, p[1] or 0, p[2])):
         at = bisect_left(order, (n, -1))
         while at < len(order) and (bins[order[at][1]][0] & s or bins[order[at][1]][1] & c):
             at += 1
@@ -109,5 +111,6 @@ def pack(sized: DataFrame, capacity: int = 2_048, shard: int = 8_192) -> DataFra
         if held:
             yield done()
 
-    dealt = sized.select(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"), F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), "source", "cluster")
+    place = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())  # no one key for all rows without an id
+    dealt = sized.select(F.pmod(F.xxhash64("doc_id", place), F.lit(shards)).cast("int").alias("shard"), "doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), "source", "cluster")
     return dealt.repartition("shard").sortWithinPartitions("shard", "doc_id", "cluster", "n_tokens").mapInArrow(run, PACKED)

@@ -4,10 +4,11 @@ Fingerprints: 64 bits over the XXH64 hashes of word shingles, repeats included.
 are one node. Candidates: the bits are cut into blocks; two fingerprints within the radius agree
 on at least (blocks - radius) of them, so every combination of that many blocks is a key, and
 only fingerprints that share a key are compared. A key's fingerprints go into BK-tree shards of
-bounded size, children keyed by their integer Hamming distance to the parent; a larger key is
-dealt into pieces, and each pair of pieces is a task of its own: one piece's tree is built, the
-other piece asks. Only edges of a spanning forest leave a task, at most one for each fingerprint
-asked, so groups of thousands of near copies stay linear in what is written and joined.
+bounded size, children keyed by their integer Hamming distance to the parent; the asked go down all
+at once and follow only edges within the radius. A larger key is dealt into pieces, and each pair
+of pieces is a task of its own: one piece's tree is sent to it, the other piece asks. No tree goes to
+all tasks, as trees of all fingerprints have no size bound. Only edges of a spanning forest leave a
+task, so groups of thousands of near copies stay linear in what is written and joined.
 
 Components: alternating large-star and small-star rounds over the edges, stored in the shared
 folder, until nothing changes. Nothing of corpus size reaches the driver.
@@ -63,58 +64,46 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
 
 
 class BKTree:
-    """Values in numpy, a node's children keyed by their distance to it."""
-
-    LEAF = 48  # values that hang off one node unsorted
+    """Children keyed by their integer Hamming distance to the parent; the first value is the root."""
 
     def __init__(self, values: np.ndarray):
         self.values = values
-        self.root = self._build(np.arange(len(values)))
-
-    def _build(self, at: np.ndarray):
-        if len(at) <= self.LEAF:
-            return at, None, None
-        d = np.bitwise_count(self.values[at[1:]] ^ self.values[at[0]])
-        children = {int(k): self._build(at[1:][d == k]) for k in np.unique(d)}
-        return at[:1], children, None
-
-    def within(self, q: np.uint64, radius: int) -> np.ndarray:
-        """Indexes of the values within the radius of q."""
-        found, todo = [], [self.root]
+        self.children: list[dict[int, int]] = [{} for _ in values]
+        plain = values.tolist()
+        for i in range(1, len(plain)):
+            at, v = 0, plain[i]
+            while True:
+                below = self.children[at].setdefault((plain[at] ^ v).bit_count(), i)
+                if below == i:
+                    break
+                at = below
+
+    def hits(self, asked: np.ndarray, radius: int):
+        """(node, which of the asked lie within the radius of it), along edges within the radius only."""
+        todo = [(0, np.arange(len(asked)))] if len(self.values) else []
         while todo:
-            at, children, _ = todo.pop()
-            d = np.bitwise_count(self.values[at] ^ q)
-            if (near := at[d <= radius]).size:
-                found.append(near)
-            if children:
-                own = int(d[0])
-                todo += [c for k, c in children.items() if own - radius <= k <= own + radius]
-        return np.concatenate(found) if found else np.zeros(0, np.int64)
+            at, who = todo.pop()
+            d = np.bitwise_count(asked[who] ^ self.values[at]).astype(np.int64)
+            if (near := who[d <= radius]).size:
+                yield at, near
+            for k, child in self.children[at].items():
+                if (follow := who[np.abs(d - k) <= radius]).size:
+                    todo.append((child, follow))
 
 
 def _forest(tree_values: np.ndarray, asked: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Edges that connect all that lies within the radius between both sides, none in a ring."""
-    tree = BKTree(tree_values)
     values = np.concatenate([tree_values, asked])
-    parent = list(range(len(values)))
-
-    def top(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
+    part = np.arange(len(values))
     edges = []
-    for i, q in enumerate(asked):
-        me = len(tree_values) + i
-        for j in tree.within(q, radius).tolist():
-            a, b = top(me), top(j)
-            if a != b:
-                parent[a] = b
-                if values[me] != values[j]:
-                    edges.append((int(values[me].view(np.int64)), int(values[j].view(np.int64))))
-                else:
-                    continue
+    for node, near in BKTree(tree_values).hits(asked, radius):
+        others = near + len(tree_values)
+        parts, first = np.unique(part[others], return_index=True)
+        for other, i in zip(parts.tolist(), others[first].tolist(), strict=True):
+            if other != part[node]:
+                part[part == other] = part[node]
+                if values[node] != values[i]:
+                    edges.append((int(values[node].view(np.int64)), int(values[i].view(np.int64))))
     return edges
 
 
@@ -185,11 +174,15 @@ def _grouped(dealt: DataFrame, compare) -> DataFrame:
     return together.mapInPandas(run, "a long, b long")
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """node, root: the smallest node reachable, for every node of an edge. By alternating stars."""
+def components(edges: DataFrame) -> DataFrame:
+    """node, root: the smallest node reachable, for every node of an edge. By alternating stars.
+
+    Nodes are of any type with an order. Rounds go on until nothing changes, a few for each doubling
+    of the longest path.
+    """
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     now = stored(both.where("u != v").distinct(), "edges")
-    for _ in range(rounds):
+    while True:
         # large star: each larger neighbour of u points to the smallest of u and its neighbours
         around = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = around.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -204,8 +197,6 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         now = after
         if same:
             break
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
 
 
@@ -213,12 +204,14 @@ def clusters(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingl
     """doc_id, fp, component_id (the smallest doc_id reachable, itself included) of every row."""
     prints = stored(fingerprints(docs, text, doc_id, shingle), "simhash")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc"))
-    roots = components(links(nodes, radius))
-    classes = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"))
-    smallest = classes.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    # one row for each distinct fingerprint that has a neighbour or a copy; a hot fingerprint's rows are not moved by it
-    named = classes.join(smallest, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    # nodes are in the order of their smallest id, so a component's root names it and no join by root is needed
+    label = F.struct(F.coalesce("first_doc", F.lit((1 << 63) - 1)).alias("d"), F.col("fp"))
+    named = stored(nodes.select("fp", "first_doc", label.alias("label")), "simhash-nodes")
+    ends = [named.select(F.col("fp").alias(x), F.col("label").alias(f"{x}_label")) for x in "ab"]
+    edges = links(named, radius).join(ends[0], "a").join(ends[1], "b").select(F.least("a_label", "b_label").alias("a"), F.greatest("a_label", "b_label").alias("b"))
+    roots = components(edges).select(F.col("node.fp").alias("fp"), F.nullif(F.col("root.d"), F.lit((1 << 63) - 1)).alias("root_doc"), F.lit(True).alias("linked"))
+    classes = named.join(roots, "fp", "left").select("fp", F.when(F.col("linked"), F.col("root_doc")).otherwise(F.col("first_doc")).alias("component_id"))
+    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
 def hexed(fp: str = "fp"):

@@ -1,35 +1,44 @@
 """Derived web-archive records: responses to linked metadata and plain-text conversion records.
 
-Every page is a `response` record; from it come a `metadata` record (title, language, links) and a
-`conversion` record (the page's text). Both name the response by WARC-Refers-To and carry its
-target URI, date and payload digest; the conversion also names its metadata record as concurrent.
-Record ids are name-based UUIDs of the page and its bytes, so a task that runs twice makes the
-same records, and equal rows make equal records.
+Pages become `response` records; WARC files of those are written and read by Spark, a part file
+being a whole archive (`write`, `read`). `derive` turns responses into a `metadata` record (title,
+language, links) and a `conversion` record (the page's text). Both name the response by
+WARC-Refers-To and keep the source's target URI, date and payload digest, whatever the source says
+they are; the conversion also names its metadata record as concurrent. Record ids are name-based
+UUIDs of the source record and its payload, so a task that runs twice makes the same records, and
+equal rows make equal records.
 
 Null html: an empty payload and an empty text. Null url: no target URI header. Page text keeps its
-order, one line for each block element; scripts, styles, comments and the head are no text.
+order, one line for each block element; scripts, styles, comments and the head are no text, an
+element of those that isn't closed hides all that follows, and a tag that isn't closed is text.
+Pages are scanned once, from front to back, so very long or broken ones take time in proportion.
+An empty table gives no records. Repeated rows are records of their own.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import html as entities
 import re
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DATE = "1970-01-01T00:00:00Z"
-HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-BLOCK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|option|p|pre|section|table|td|th|tr|ul)\b[^>]*>", re.I)
-TAG = re.compile(r"<[/!?a-zA-Z][^>]*>")
+from riskloom.llm.common import shared_folder
+
+DATE = "1970-01-01T00:00:00Z"  # of pages that come without one
+BLOCKS = frozenset("address article aside blockquote body br dd div dl dt figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol option p pre section table td th tr ul".split())
+RAW = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "noscript", "template")}
+NAME = re.compile(r"<(?:[!?]|(/?)([a-zA-Z][^\s/>]*))")
+ATTRIBUTE = re.compile(r"([^\s=/\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'][^\s]*))")
+TITLE_END = re.compile(r"</title", re.I)
 BLANKS = re.compile(r"[^\S\n]+")
-TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.S | re.I)
-LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([\w-]+)", re.I)
-LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+LONG_NUMBER = re.compile(r"&#[0-9]{1000,};?")  # stands for no character, but is more than int() takes
+END = "\r\n\r\n"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the standard one for URLs
 
 
@@ -37,32 +46,87 @@ def digest(block: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
 
 
+def unescaped(text: str) -> str:
+    return entities.unescape(LONG_NUMBER.sub("\ufffd", text) if "&#" in text else text)
+
+
+def parts(page: str):
+    """(text before it, tag name or '', is it a closing tag, what stands in it, where the tag ends) of every tag, front to back.
+
+    Raw elements and comments come as one tag without a name.
+    """
+    at = shown = 0
+    while (i := page.find("<", at)) >= 0:
+        if page.startswith("<!--", i):
+            j = page.find("-->", i + 4)
+            at = len(page) if j < 0 else j + 3
+            yield page[shown:i], "", False, "", at
+            shown = at
+            continue
+        m = NAME.match(page, i)
+        if not m:
+            at = i + 1
+            continue
+        j = page.find(">", i)
+        if j < 0:
+            break
+        at, name = j + 1, (m[2] or "").lower()
+        if name in RAW and not m[1]:
+            end = RAW[name].search(page, at)
+            at, name = end.end() if end else len(page), ""
+        yield page[shown:i], name, bool(m[1]), page[m.end() : j] if name else "", at
+        shown = at
+    yield page[shown:], "", False, "", len(page)
+
+
+def attribute(inside: str, name: str) -> str | None:
+    """Value of a tag's first attribute of that name."""
+    return next((m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(inside) if m[1].lower() == name), None)
+
+
+def derived(page: str) -> tuple[str, str]:
+    """The metadata fields and the plain text of a page."""
+    title, language, links, text, in_head, titled = None, None, [], [], False, False
+    for before, name, closing, inside, at in parts(page):
+        if not in_head:
+            text.append(before)
+            text.append("\n" if name in BLOCKS or name == "head" else "" if name else " ")
+        if name == "head":
+            in_head = not closing
+        elif name == "body":
+            in_head = False
+        elif closing:
+            continue
+        elif name == "a" and (to := attribute(inside, "href")) is not None:
+            links.append(unescaped(to).strip())
+        elif name == "title" and not titled:
+            titled = True  # if this one isn't closed, no later one is
+            if m := TITLE_END.search(page, at):
+                title = " ".join(unescaped(page[at : m.start()]).split())
+        elif name == "html" and language is None:
+            language = attribute(inside, "lang")
+    fields = [("title", title), ("language", language and language.lower()), *(("outlink", f"{x} L a/@href") for x in links)]
+    lines = (x.strip() for x in BLANKS.sub(" ", unescaped("".join(text))).split("\n"))
+    return "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in fields if v is not None), "\n".join(x for x in lines if x)
+
+
 def plain_text(page: str) -> str:
-    text = TAG.sub("", BLOCK.sub("\n", HIDDEN.sub(" ", page)))
-    lines = (x.strip() for x in BLANKS.sub(" ", entities.unescape(text)).split("\n"))
-    return "\n".join(x for x in lines if x)
+    return derived(page)[1]
 
 
 def metadata_fields(page: str) -> str:
-    shown = HIDDEN.sub(lambda m: m[0] if (m[1] or "").lower() == "head" else " ", page)
-    out = []
-    if m := TITLE.search(page):
-        out.append(("title", " ".join(entities.unescape(m[1]).split())))
-    if m := LANG.search(page):
-        out.append(("language", m[1].lower()))
-    out += [("outlink", f"{entities.unescape(next(g for g in m.groups() if g is not None)).strip()} L a/@href") for m in LINK.finditer(shown)]
-    return "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in out)
+    return derived(page)[0]
 
 
 def serialise(headers: list[tuple[str, str | None]], block: bytes) -> bytes:
     """One record: version line, headers that have a value, the block, two line ends."""
     lines = "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in headers if v is not None)
-    return b"WARC/1.1\r\n" + lines.encode() + f"Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+    return b"WARC/1.1\r\n" + lines.encode() + f"Content-Length: {len(block)}\r\n\r\n".encode() + block + END.encode()
 
 
-def parse(data: bytes) -> list[tuple[dict[str, str], bytes]]:
-    """(headers, block) of every record in `data`."""
-    out, at = [], 0
+def parse(data: bytes):
+    """(headers, block) of every record in `data`, one after the other."""
+    at = 0
     while at < len(data):
         end = data.index(b"\r\n\r\n", at)
         version, *lines = data[at:end].decode().split("\r\n")
@@ -70,38 +134,46 @@ def parse(data: bytes) -> list[tuple[dict[str, str], bytes]]:
             raise ValueError(f"no record at byte {at}")
         headers = dict(x.split(": ", 1) for x in lines)
         n = int(headers["Content-Length"])
-        out.append((headers, data[end + 4 : end + 4 + n]))
+        yield headers, data[end + 4 : end + 4 + n]
         at = end + 4 + n + 4
-    return out
 
 
-def records(page_id: int | None, url: str | None, page: str | None, date: str = DATE) -> list[dict]:
-    """The response record of a page and the two that derive from it."""
-    payload = (page or "").encode("utf-8", "surrogatepass")
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
+def named(*what) -> str:
+    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, ' '.join(map(str, what)))}>"
+
+
+def response(page_id: int | None, url: str | None, page: str | None, date: str | None = DATE) -> bytes:
+    """A page as a response record; its id stands in the HTTP headers."""
+    payload = (page or "").encode("utf-8", "replace")
+    own = b"" if page_id is None else b"X-Page-Id: %d\r\n" % page_id
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n%bContent-Length: %d\r\n\r\n" % (own, len(payload)) + payload
     source = digest(payload)
-    name = lambda kind: f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{kind} {page_id} {url} {source}')}>"
-    ids = {k: name(k) for k in ("response", "metadata", "conversion")}
-    blocks = {
-        "response": (http, "application/http; msgtype=response", source),
-        "metadata": (metadata_fields(page or "").encode("utf-8", "surrogatepass"), "application/warc-fields", None),
-        "conversion": (plain_text(page or "").encode("utf-8", "surrogatepass"), "text/plain; charset=utf-8", None),
-    }
+    headers = [
+        ("WARC-Type", "response"), ("WARC-Record-ID", named("response", page_id, url, source)), ("WARC-Date", date), ("WARC-Target-URI", url),
+        ("WARC-Payload-Digest", source), ("WARC-Block-Digest", digest(http)), ("Content-Type", "application/http; msgtype=response"),
+    ]
+    return serialise(headers, http)
+
+
+def records(headers: dict[str, str], block: bytes) -> list[dict]:
+    """The metadata and the conversion record of a response."""
+    head, _, payload = block.partition(b"\r\n\r\n")
+    sent = dict(x.split(": ", 1) for x in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in x)
+    source = headers.get("WARC-Payload-Digest") or digest(payload)
+    of, url, date = headers.get("WARC-Record-ID"), headers.get("WARC-Target-URI"), headers.get("WARC-Date")
+    fields, text = derived(payload.decode("utf-8", "replace"))
+    ids = {k: named(k, of, source) for k in ("metadata", "conversion")}
     out = []
-    for kind, (block, content_type, payload_digest) in blocks.items():
-        derived = kind != "response"
-        headers = [
-            ("WARC-Type", kind), ("WARC-Record-ID", ids[kind]), ("WARC-Date", date), ("WARC-Target-URI", url),
-            ("WARC-Refers-To", ids["response"] if derived else None),
-            ("WARC-Refers-To-Target-URI", url if derived else None), ("WARC-Refers-To-Date", date if derived else None),
-            ("WARC-Concurrent-To", ids["metadata"] if kind == "conversion" else None),
-            ("WARC-Payload-Digest", payload_digest), ("WARC-Source-Payload-Digest", source if derived else None),
-            ("WARC-Block-Digest", digest(block)), ("Content-Type", content_type),
+    for kind, made, content_type in (("metadata", fields, "application/warc-fields"), ("conversion", text, "text/plain; charset=utf-8")):
+        made = made.encode("utf-8", "replace")
+        own = [
+            ("WARC-Type", kind), ("WARC-Record-ID", ids[kind]), ("WARC-Date", date), ("WARC-Target-URI", url), ("WARC-Refers-To", of),
+            ("WARC-Refers-To-Target-URI", url), ("WARC-Refers-To-Date", date), ("WARC-Concurrent-To", ids["metadata"] if kind == "conversion" else None),
+            ("WARC-Source-Payload-Digest", source), ("WARC-Block-Digest", digest(made)), ("Content-Type", content_type),
         ]
         out.append({
-            "page_id": page_id, "record_type": kind, "record_id": ids[kind], "refers_to": ids["response"] if derived else None,
-            "target_uri": url, "content_type": content_type, "source_digest": source, "block_digest": digest(block),
-            "content_length": len(block), "record": serialise(headers, block),
+            "page_id": int(sent["X-Page-Id"]) if sent.get("X-Page-Id") else None, "record_type": kind, "record_id": ids[kind], "refers_to": of, "target_uri": url,
+            "content_type": content_type, "source_digest": source, "block_digest": digest(made), "content_length": len(made), "record": serialise(own, made),
         })
     return out
 
@@ -109,16 +181,56 @@ def records(page_id: int | None, url: str | None, page: str | None, date: str =
 SCHEMA = "page_id long, record_type string, record_id string, refers_to string, target_uri string, content_type string, source_digest string, block_digest string, content_length long, record binary"
 
 
-def build(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html", kinds: tuple[str, ...] = ("metadata", "conversion"), date: str = DATE) -> DataFrame:
-    """One row for each record of the named kinds, with the record's own bytes; no shuffle."""
+def responses(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html", date: str | None = None) -> DataFrame:
+    """One row, `record`, for each page: its response record without the line ends that close it."""
+
+    def run(batches):
+        for b in batches:
+            made = [response(*(x.as_py() for x in row))[: -len(END)].decode() for row in zip(*b.columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.string())], ["record"])
+
+    when = F.col(date).cast("string") if date else F.lit(DATE)
+    return pages.select(F.col(page_id).cast("long"), F.col(url).cast("string"), F.col(page).cast("string"), when.alias("_date")).mapInArrow(run, "record string")
+
+
+def write(found: DataFrame, folder: str, records_per_file: int = 20_000) -> None:
+    """Rows of `record` as WARC files, each part file a gzipped archive of its own."""
+    found.select("record").write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(folder)
+
+
+def read(spark: SparkSession, folder: str) -> DataFrame:
+    """headers and block of every record of the WARC files below a folder, gzipped or not."""
+
+    def run(batches):
+        def made(rows):
+            return pa.RecordBatch.from_arrays([pa.array([list(h.items()) for h, _ in rows], pa.map_(pa.string(), pa.string())), pa.array([x for _, x in rows], pa.binary())], ["headers", "block"])
+
+        for b in batches:
+            for content in b.column(0):
+                data = content.as_py()
+                rows, size = [], 0
+                for h, block in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
+                    rows.append((h, block))
+                    size += len(block)
+                    if size > 8 << 20:
+                        yield made(rows)
+                        rows, size = [], 0
+                yield made(rows)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
+    return files.select("content").mapInArrow(run, "headers map<string, string>, block binary")
+
+
+def derive(found: DataFrame) -> DataFrame:
+    """Metadata and conversion records of the response records among rows of (headers, block); no shuffle."""
     arrow = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     schema = pa.schema([(c.split()[0], arrow[c.split()[1]]) for c in SCHEMA.split(", ")])
 
     def run(batches):
         for b in batches:
             rows, size = [], 0
-            for i, u, h in zip(*b.columns, strict=True):
-                made = [r for r in records(i.as_py(), u.as_py(), h.as_py(), date) if r["record_type"] in kinds]
+            for headers, block in zip(b.column(0), b.column(1), strict=True):
+                made = records(dict(headers.as_py()), block.as_py())
                 rows += made
                 size += sum(len(r["record"]) for r in made)
                 if size > 16 << 20:
@@ -127,4 +239,12 @@ def build(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: st
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return pages.select(F.col(page_id).cast("long"), url, page).mapInArrow(run, SCHEMA)
+    return found.where(F.col("headers")["WARC-Type"] == "response").select("headers", "block").mapInArrow(run, SCHEMA)
+
+
+def build(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html", date: str | None = None) -> DataFrame:
+    """The derived records of a table of pages, by way of WARC files of responses in the shared folder."""
+    spark = pages.sparkSession
+    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    write(responses(pages, page_id, url, page, date), folder)
+    return derive(read(spark, folder))

@@ -1,9 +1,13 @@
 """Repeats, fingerprints, near duplicates, neighbours, archive records, packing, and the pipeline."""
 
+import base64
+import gzip
 import hashlib
 import random
 import re
+import time
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -279,11 +283,25 @@ def test_dense_links(spark):
     assert {v: roots.get(v, v) for v in signed} == want and max(groups.values()) > 300
 
 
+def test_bk_tree():
+    r = random.Random(3)
+    seeds = [r.getrandbits(64) for _ in range(5)]
+    values = [s ^ sum(1 << r.randrange(64) for _ in range(r.randint(0, 9))) & (1 << 64) - 1 for s in seeds for _ in range(60)]
+    v = np.array(values, np.uint64)
+    tree = simhash.BKTree(v[:200])
+    for at, below in enumerate(tree.children):
+        assert all(int(v[at] ^ v[c]).bit_count() == k for k, c in below.items())
+    got = {(n, int(q)) for n, who in tree.hits(v[100:], 4) for q in who}
+    assert got == {(i, j) for i in range(200) for j in range(200) if int(v[i] ^ v[100 + j]).bit_count() <= 4}
+
+
 def test_simhash_edge_rows(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "one"), (4, "one"), (5, "ONE"), (6, "w " * 30_000)]
     got = {(r.doc_id, r.component_id) for r in simhash.clusters(frame(spark, rows).withColumn("fp", F.lit(1))).collect()}
     assert {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)} <= got
     assert simhash.clusters(frame(spark, rows).limit(0)).count() == 0
+    lost = [(None, "a b c d e f g"), (None, "a b c d e f g"), (7, "a b c d e f g"), (None, "alone it stands here now")]
+    assert Counter(r.component_id for r in simhash.clusters(frame(spark, lost)).collect()) == {7: 3, None: 1}
     assert sorted(r.doc_id for r in simhash.representatives(frame(spark, rows)).collect()) == [1, 4, 6]
 
 
@@ -365,29 +383,107 @@ def test_neighbour_edge_rows(spark):
     assert forest.nearest(t.limit(0), t.limit(0), 2).count() == 0
 
 
-def test_warc_round_trip(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
-    made = warc.build(pages, kinds=("response", "metadata", "conversion")).collect()
-    assert len(made) == 3 * pages.count()
-    by = {}
+class Reader(HTMLParser):
+    """Text and links by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.hidden, self.text, self.links, self.title, self.lang, self.in_title = 0, [], [], None, None, False
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("script", "style", "noscript", "template", "head"):
+            self.hidden += 1
+        if tag in warc.BLOCKS:
+            self.text.append("\n")
+        if tag == "a" and dict(attrs).get("href") is not None:
+            self.links.append(dict(attrs)["href"].strip())
+        if tag == "html":
+            self.lang = dict(attrs).get("lang")
+        if tag == "title":
+            self.in_title, self.title = True, ""
+
+    def handle_endtag(self, tag):
+        if tag in ("script", "style", "noscript", "template", "head"):
+            self.hidden -= 1
+        if tag in warc.BLOCKS:
+            self.text.append("\n")
+        if tag == "title":
+            self.in_title = False
+
+    def handle_data(self, data):
+        if self.in_title:
+            self.title += data
+        if not self.hidden:
+            self.text.append(data)
+
+
+def test_warc_query_by_another_parser(spark, sf_dir):
+    """Every record of the query's table, by the standard library's HTML parser and its hashes."""
+    pages = {r.page_id: r for r in table(spark, sf_dir, "pages").collect()}
+    made = warc.build(table(spark, sf_dir, "pages")).collect()
+    got = {(r.page_id, r.record_type): r for r in queries.QUERIES["op9_warc_derivatives"](spark, sf_dir).collect()}
+    assert len(made) == 2 * len(pages) == len(got)
     for r in made:
+        p = pages[r.page_id]
+        html = p.html or ""
+        reader = Reader()
+        reader.feed(html)
+        reader.close()
         ((headers, block),) = warc.parse(bytes(r.record))
-        assert headers["WARC-Record-ID"] == r.record_id and headers["WARC-Block-Digest"] == warc.digest(block) == r.block_digest
-        by.setdefault(r.page_id, {})[r.record_type] = (headers, block)
-    for kinds in by.values():
-        source = kinds["response"][0]
-        for k in ("metadata", "conversion"):
-            h = kinds[k][0]
-            assert h["WARC-Refers-To"] == source["WARC-Record-ID"] and h["WARC-Target-URI"] == source["WARC-Target-URI"] and h["WARC-Source-Payload-Digest"] == source["WARC-Payload-Digest"]
-        assert b"<p" not in kinds["conversion"][1] and b"track(" not in kinds["conversion"][1]
+        source = "sha1:" + base64.b32encode(hashlib.sha1(html.encode()).digest()).decode()
+        assert headers["WARC-Source-Payload-Digest"] == source == r.source_digest and headers.get("WARC-Target-URI") == p.url
+        assert headers["WARC-Refers-To"] == r.refers_to == got[r.page_id, "metadata"].refers_to == got[r.page_id, "conversion"].refers_to
+        assert headers["WARC-Block-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
+        assert got[r.page_id, r.record_type].record_sha256 == hashlib.sha256(bytes(r.record)).hexdigest()
+        if r.record_type == "conversion":
+            assert headers["WARC-Concurrent-To"] == got[r.page_id, "metadata"].record_id
+            lines = [" ".join(x.split()) for x in "".join(reader.text).split("\n")]
+            assert block.decode().split() == " ".join(lines).split() and [" ".join(x.split()) for x in block.decode().split("\n")] == [x for x in lines if x]
+        else:
+            want = [f"title: {' '.join(reader.title.split())}"] if reader.title is not None else []
+            want += [f"language: {reader.lang.lower()}"] if reader.lang else []
+            assert block.decode().split("\r\n")[:-1] == want + [f"outlink: {' '.join(x.split())} L a/@href" for x in reader.links]
+
+
+def test_warc_files(spark, tmp_path):
+    """Files that others wrote: plain or in gzip members, with records of other types; source headers stay."""
+    one = warc.response(7, "http://a/é", "<p>One\r\n\r\ntwo</p>", "2020-02-03T04:05:06Z")
+    info = warc.serialise([("WARC-Type", "warcinfo"), ("WARC-Record-ID", "<urn:x>")], b"software: x")
+    (tmp_path / "part-1.warc").write_bytes(info + one)
+    (tmp_path / "part-2.warc.gz").write_bytes(gzip.compress(info) + gzip.compress(warc.response(None, None, None)))
+    found = warc.read(spark, str(tmp_path))
+    assert found.count() == 4
+    rows = warc.derive(found).collect()
+    assert sorted((r.page_id or 0, r.record_type) for r in rows) == [(0, "conversion"), (0, "metadata"), (7, "conversion"), (7, "metadata")]
+    for r in rows:
+        ((h, block),) = warc.parse(bytes(r.record))
+        if r.page_id == 7:
+            ((source, _),) = warc.parse(one)
+            assert (h["WARC-Date"], h["WARC-Refers-To-Date"], h["WARC-Target-URI"], h["WARC-Refers-To"]) == ("2020-02-03T04:05:06Z",) * 2 + ("http://a/é", source["WARC-Record-ID"])
+            assert r.record_type == "metadata" or block == b"One\ntwo"
+        else:
+            assert r.target_uri is None and block == b""
 
 
 def test_warc_text_and_edge_rows(spark):
     page = "<html lang=EN><head><title>T &amp; U</title></head><body><!-- no --><script>var a='<p>';</script><p>One&nbsp;two<br>three <b>four</b></p><a href='/x'>x</a></body>"
     assert warc.plain_text(page) == "One two\nthree four\nx"
     assert warc.metadata_fields(page) == "title: T & U\r\nlanguage: en\r\noutlink: /x L a/@href\r\n"
-    rows = spark.createDataFrame([(1, None, None), (1, "u", ""), (None, "u", "<p>a</p>"), (2, "u", "<script>" * 3)], "page_id long, url string, html string")
-    assert warc.build(rows).count() == 8 and warc.build(rows.limit(0)).count() == 0
+    assert warc.plain_text("a < b <c>d</c> <e") == "a < b d <e" and warc.plain_text("x<script>y") == "x" and warc.plain_text("&#" + "9" * 5_000 + ";") == "\ufffd"
+    rows = spark.createDataFrame([(1, None, None), (1, "u", ""), (None, "u", "<p>a</p>"), (None, "u", "<p>a</p>"), (2, "u", "<script>" * 3)], "page_id long, url string, html string").withColumn("record", F.lit(1))
+    assert warc.build(rows).count() == 10 and warc.build(rows.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("piece", ["<title>", "<p ", "<a", "<", "<a href=\"", "<!--", "<script>", "</script ", "&amp", "<a b='", "<b\n", "<html lang "])
+def test_long_broken_pages_take_time_in_proportion(piece):
+    def took(n):
+        began = time.process_time()
+        warc.derived(piece * n)
+        warc.derived(piece * n + ">")
+        return time.process_time() - began
+
+    took(1_000)
+    assert took(80_000) < 60 * max(took(4_000), 0.01)
 
 
 def test_best_fit_rules(spark, sf_dir):
@@ -426,6 +522,39 @@ def test_best_fit_rules(spark, sf_dir):
     empty = spark.createDataFrame([], "doc_id long, n_tokens long, source string, cluster long")
     odd = spark.createDataFrame([(None, None, None, None), (1, 0, None, 5), (1, 0, None, 5), (2, 10**6, "s", 5)], empty.schema)
     assert packing.pack(empty).count() == 0 and packing.pack(odd).select("doc_id").distinct().count() == 3
+    lost = spark.createDataFrame([(None, 5, "s", i) for i in range(90)] + [(-1, 5, "s", 91)], empty.schema)
+    got = packing.pack(lost, shard=10)
+    assert got.where("doc_id IS NULL").count() == 90 and got.where("doc_id = -1").count() == 1 and got.select((F.col("bin") / (1 << 32)).cast("long")).distinct().count() > 1
+
+
+def test_packing_query_rules(spark, sf_dir):
+    """The query's bins, by the documents themselves: whole texts, room, no source or text twice, order within a bin."""
+    docs = {r.doc_id: ([x.lower() for x in r.text.encode().split()], r.source) for r in table(spark, sf_dir, "documents").collect()}
+    rows = queries.QUERIES["op10_bestfit_packing"](spark, sf_dir).collect()
+    sizes, bins = Counter(), {}
+    for x in rows:
+        sizes[x.doc_id] += x.n_tokens
+        bins.setdefault(x.bin, []).append(x)
+    assert {d: sizes[d] for d in docs} == {d: len(w) for d, (w, _) in docs.items()}
+    for own in bins.values():
+        own.sort(key=lambda x: x.place)
+        assert [x.start for x in own] == [sum(y.n_tokens for y in own[:i]) for i in range(len(own))] and sum(x.n_tokens for x in own) <= 2_048
+        assert len({docs[x.doc_id][1] for x in own}) == len(own) == len({tuple(docs[x.doc_id][0]) for x in own})
+    # one shard at this size: no bin takes what a fuller compatible one had room for
+    at = {(x.doc_id, x.piece): x for x in rows}
+    state = {}
+    for x in sorted(rows, key=lambda x: (-x.n_tokens, x.doc_id, x.piece)):
+        if x.n_tokens == 2_048:
+            state[x.bin] = [0, set(), set()]
+            continue
+        words, source = docs[x.doc_id]
+        fits = [(room, b) for b, (room, s, c) in state.items() if room >= x.n_tokens and source not in s and tuple(words) not in c]
+        assert (x.bin == min(fits)[1]) if fits else x.bin not in state
+        own = state.setdefault(x.bin, [2_048, set(), set()])
+        own[0] -= x.n_tokens
+        own[1].add(source)
+        own[2].add(tuple(words))
+    assert len(at) == len(rows)
 
 
 def test_pipeline_by_brute_force(spark, sf_dir):
