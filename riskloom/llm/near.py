@@ -10,9 +10,10 @@ Two texts are linked if the sets of their `n`-word shingles have a Jaccard liken
    an exact prefix filter. Shingles have one order for all texts: rare ones first, by hash, those
    common in a sample of texts last (the sample decides how fast it is, not what is found). Sets
    that are alike enough share one of the first |s| - ceil(least |s|) + 1 shingles of that order, so
-   every pair that is linked meets at such a key. Pairs of a key whose nodes are in different
-   components are counted; how many prefix shingles they share, and where, bounds what the sets can
-   share in all, and only pairs that may still be alike enough are held against each other whole.
+   every pair that is linked meets at such a key. Nodes that share too few of their prefix shingles
+   with any other for their size meet none. Of pairs of a key in different components, how many
+   prefix shingles they share, and where, bounds what the sets can share in all; only pairs that may
+   still be alike enough are held against each other whole.
 
 Null or blank texts have the empty set and are one node. An empty table gives no rows.
 """
@@ -139,8 +140,12 @@ def links(texts: DataFrame, n: int = 5, least: Fraction = LEAST) -> tuple[DataFr
     part = shared.select("key", "node", "size", "pos").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_keys = part.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     part = stored(part.join(open_keys, "key"), "near-open")
+    part = part.join(part.groupBy("node").agg(F.count("*").alias("s")), "node")  # places that it shares with any other
     x, y = part.alias("x"), part.alias("y")
-    apart = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & close("x.size", "y.size"))
+    # an alike pair lacks at most so much of each other; the prefix that ends first must hold the rest in common
+    least_both = F.ceil((F.col("x.size") + F.col("y.size")) * p / (p + q))
+    needed = F.least(prefix("x.size") - F.col("x.size"), prefix("y.size") - F.col("y.size")) + least_both
+    apart = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & close("x.size", "y.size") & (F.least("x.s", "y.s") >= needed))
     met = apart.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.size").alias("m"), F.col("y.size").alias("n")).agg(
         F.count("*").alias("o"), F.max("x.pos").alias("i"), F.max("y.pos").alias("j"), F.min("x.pos").alias("i0"), F.min("y.pos").alias("j0"))
     # after the last shared place, one of the two prefixes ends first; what it still holds is in no place of the other
