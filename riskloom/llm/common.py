@@ -27,7 +27,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    kept.stored_at = path
+    return kept
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a `stored` table that nothing reads any more, because what came of it is stored, too."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def crc_of_id(c: str | Column) -> Column:

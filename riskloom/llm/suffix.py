@@ -30,6 +30,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from riskloom.llm.common import stored
+from riskloom.llm.common import discard, stored
 
 SHARDS = 8
 PIECE = 2_048  # windows of a span row at most
@@ -156,21 +157,24 @@ def _spans(size: int, of: Alphabet):
     return run
 
 
-MEMBERS = "key long, hot boolean, n long, digest binary, shard int, data binary"
+MEMBERS = "search int, key long, hot boolean, n long, digest binary, shard int, data binary"
 
 
-def _cut(size: int, of: Alphabet):
+def _cut(searches: list[tuple[int, Alphabet]]):
     """The distinct spans that each document lends its content to."""
     names = [c.split()[0] for c in MEMBERS.split(", ")]
-    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+    kinds = [pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
 
     def run(batches):
         for b in batches:
             rows = []
             for doc, th, text, members in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
-                data = of.data(text.as_py())
                 shard = xxhash.xxh32_intdigest(b"%d %d" % (doc, th)) % SHARDS
-                rows += [(m["key"], m["hot"], m["n"], m["digest"], shard, data[m["start"] * of.width : (m["start"] + m["windows"] + size - 1) * of.width]) for m in members.as_py()]
+                members, text = members.as_py(), text.as_py()
+                for i, (size, of) in enumerate(searches):
+                    own = [m for m in members if m["search"] == i]
+                    data = of.data(text) if own else b""
+                    rows += [(i, m["key"], m["hot"], m["n"], m["digest"], shard, data[m["start"] * of.width : (m["start"] + m["windows"] + size - 1) * of.width]) for m in own]
                 if len(rows) > 20_000:
                     yield _batch(rows, kinds, names)
                     rows = []
@@ -338,27 +342,37 @@ def _window_digests(size: int, of: Alphabet, rows: int = 50_000):
     return run
 
 
-def repeated(docs: DataFrame, size: int = 400, limit: int = 1 << 20, batch_bytes: int = 1 << 17, of: Alphabet = BYTES) -> DataFrame:
-    """doc_id, thash, runs (start, stop) of the repeated windows of the rows (doc_id, thash, text)."""
-    if size % of.blocks or size < 2 * of.gram:
-        raise ValueError(f"the length must be a multiple of {of.blocks}, and at least {2 * of.gram}")
-    all_spans = stored(docs.mapInArrow(_spans(size, of), SPANS), "spans")
-    keys = all_spans.groupBy("key").agg(F.count("*").alias("total"), F.max("twice").alias("any_twice")).where("total > 1 OR any_twice")
-    shared = stored(all_spans.join(keys.select("key"), "key"), "shared-spans")
-    distinct = shared.groupBy("key", "digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "thash", "start", "windows")).alias("m"))
-    distinct = stored(distinct.select("key", "digest", "n", "m.*"), "distinct-spans")
-    sizes = distinct.groupBy("key").agg(F.sum((F.col("windows") + F.lit(size - 1)).cast("long") * of.width).alias("bytes"))
-    members = distinct.join(sizes.select("key", (F.col("bytes") > limit).alias("hot")), "key")
-    by_doc = members.groupBy("doc_id", "thash").agg(F.collect_list(F.struct("key", "hot", "n", "digest", "start", "windows")).alias("members"))  # bounded by the text
+def repeated(docs: DataFrame, searches: list[tuple[int, Alphabet]], limit: int = 1 << 20, batch_bytes: int = 1 << 17) -> list[DataFrame]:
+    """For each (size, alphabet): doc_id, thash, runs (start, stop) of the repeated windows of the rows (doc_id, thash, text)."""
+    found, members = [], []
+    for i, (size, of) in enumerate(searches):
+        if size % of.blocks or size < 2 * of.gram:
+            raise ValueError(f"the length must be a multiple of {of.blocks}, and at least {2 * of.gram}")
+        all_spans = stored(docs.mapInArrow(_spans(size, of), SPANS), "spans")
+        keys = all_spans.groupBy("key").agg(F.count("*").alias("total"), F.max("twice").alias("any_twice")).where("total > 1 OR any_twice")
+        shared = stored(all_spans.join(keys.select("key"), "key"), "shared-spans")
+        discard(all_spans)
+        distinct = shared.groupBy("key", "digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "thash", "start", "windows")).alias("m"))
+        distinct = stored(distinct.select("key", "digest", "n", "m.*"), "distinct-spans")
+        sizes = distinct.groupBy("key").agg(F.sum((F.col("windows") + F.lit(size - 1)).cast("long") * of.width).alias("bytes"))
+        members.append(distinct.join(sizes.select("key", (F.col("bytes") > limit).alias("hot")), "key").withColumn("search", F.lit(i)))
+        found.append((shared, distinct))
+    # a text moves once for all searches; what it lends is bounded by it
+    by_doc = reduce(DataFrame.unionByName, members).groupBy("doc_id", "thash").agg(F.collect_list(F.struct("search", "key", "hot", "n", "digest", "start", "windows")).alias("members"))
     lent = docs.join(by_doc, ["doc_id", "thash"]).dropDuplicates(["doc_id", "thash"]).select("doc_id", "thash", "text", "members")
-    data = stored(lent.mapInArrow(_cut(size, of), MEMBERS), "members")
-    met = data.where("NOT hot").select("key", "n", "digest", "shard", "data").repartition("key").sortWithinPartitions("key", "shard").mapInArrow(_resolve(size, of, batch_bytes), FOUND)
-    windows = data.where("hot").select("key", "n", "digest", "data").mapInArrow(_window_digests(size, of), "window binary, n long, key long, digest binary, start int")
-    again = windows.groupBy("window").agg(F.sum("n").alias("total")).where("total > 1").select("window")
-    counted = windows.join(again, "window").groupBy("key", "digest").agg(F.collect_list(F.struct("start", (F.col("start") + 1).alias("stop"))).alias("runs"))
-    found = met.unionByName(counted.select("key", "digest", F.col("runs").cast(RUNS)))
-    placed = shared.join(found, ["key", "digest"]).select("doc_id", "thash", F.transform("runs", lambda r: F.struct((r.start + F.col("start")).alias("start"), (r.stop + F.col("start")).alias("stop"))).alias("runs"))
-    return placed.groupBy("doc_id", "thash").agg(F.flatten(F.collect_set("runs")).alias("runs"))  # a set: rows with one id and text say the same
+    data = stored(lent.mapInArrow(_cut(searches), MEMBERS), "members")
+    out = []
+    for i, ((size, of), (shared, distinct)) in enumerate(zip(searches, found, strict=True)):
+        discard(distinct)
+        own = data.where(F.col("search") == i)
+        met = own.where("NOT hot").select("key", "n", "digest", "shard", "data").repartition("key").sortWithinPartitions("key", "shard").mapInArrow(_resolve(size, of, batch_bytes), FOUND)
+        windows = own.where("hot").select("key", "n", "digest", "data").mapInArrow(_window_digests(size, of), "window binary, n long, key long, digest binary, start int")
+        again = windows.groupBy("window").agg(F.sum("n").alias("total")).where("total > 1").select("window")
+        counted = windows.join(again, "window").groupBy("key", "digest").agg(F.collect_list(F.struct("start", (F.col("start") + 1).alias("stop"))).alias("runs"))
+        runs = met.unionByName(counted.select("key", "digest", F.col("runs").cast(RUNS)))
+        placed = shared.join(runs, ["key", "digest"]).select("doc_id", "thash", F.transform("runs", lambda r: F.struct((r.start + F.col("start")).alias("start"), (r.stop + F.col("start")).alias("stop"))).alias("runs"))
+        out.append(placed.groupBy("doc_id", "thash").agg(F.flatten(F.collect_set("runs")).alias("runs")))  # a set: rows with one id and text say the same
+    return out
 
 
 def _united(gone: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -411,10 +425,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     keep = [c for c in docs.columns if c not in (text, *RESULT)]
     ids, thash = F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)), F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     rows = docs.select(ids.alias("doc_id"), thash.alias("thash"), F.col(text).alias("text"))
-    runs = repeated(rows, size, limit)
-    if passage:
-        said = repeated(rows, passage, limit, of=WORDS)
-        runs = runs.join(said.withColumnRenamed("runs", "said"), ["doc_id", "thash"], "full")
+    runs, *said = repeated(rows, [(size, BYTES), *([(passage, WORDS)] if passage else [])], limit)
+    if said:
+        runs = runs.join(said[0].withColumnRenamed("runs", "said"), ["doc_id", "thash"], "full")
     else:
         runs = runs.withColumn("said", F.lit(None).cast(RUNS))
     whole = docs.select(F.struct(*keep).alias("row"), ids.alias("doc_id"), thash.alias("thash"), F.col(text).alias("text"))

@@ -70,7 +70,7 @@ def test_rows_with_one_id_and_text(spark):
     for ids in ([None] * 60, [4] * 60):
         rows = frame(spark, [(i, text) for i in ids])
         named = rows.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), F.xxhash64("text").alias("thash"), "text")
-        (found,) = suffix.repeated(named).collect()
+        (found,) = suffix.repeated(named, [(400, suffix.BYTES)])[0].collect()
         assert len(found.runs) < 60 and sum(b - a for a, b in found.runs) == 5_000 - 399
         assert {(x.n_removed, x.n_spans) for x in suffix.remove_repeats(rows).collect()} == {(5_000, 1)}
 
