@@ -42,25 +42,29 @@ def version_range(text: Column) -> dict[str, Column]:
 
 # Error codes and the words that name them, the first match counts.
 ERROR_WORDS = [
-    ("VERSION_MISMATCH", ["requires different compiler version", "version", "pragma"]),
-    ("IMPORT_ERROR", ["import", "not found: file", "source not found"]),
-    ("SYNTAX_ERROR", ["parsererror", "syntax", "expected"]),
-    ("TIMEOUT", ["timeout", "timed out"]),
-    ("COMPILATION_ERROR", ["compil", "solc"]),
-    ("MISSING_CONTRACT", ["no contract", "contract not found"]),
-]
-
-
-def error_category(message: Column) -> Column:
-    """Ordered keyword lists; UNKNOWN if none of them fits or the message is null."""
-    low = F.lower(message)
+    ("FILE_NOT_FOUND", ['" is not found', "source file not found", "no such file", "cannot open"]),
+    ("IMPORT_ERROR", ["@openzeppelin", "@chainlink", "node_modules", "hardhat/console", "file import callback not supported", "import"]),
+    ("VERSION_MISMATCH", [
+        "requires different compiler", "source file requires different", "version mismatch", "does not satisfy the version pragma", "solidityversion",
+        "solc-select", "error: no matching version", "incompatible solc version", "requires solc version",
+    ]),
+    ("SLITHER_INCOMPATIBLE", ["invalid option to --combined-json", "unrecognised option", "unknown option", "unsupported solc", "slither error"]),
+    ("ANALYSIS_ERROR", []),
+    ("COMPILATION_ERROR", ["compilation", "syntax error", "parsererror", "declarationerror", "typeerror", "undeclaredidentifier"]),
+]
+ANALYSIS_KINDS = ["AttributeError", "KeyError", "IndexError", "NoneType"]  # Fixed values: kinds of error that analysis raises
+
+
+def error_category(message: Column, kind: Column | None = None) -> Column:
+    """Ordered keyword lists, and the error's kind in its place among them; UNKNOWN_ERROR if none fits or the message is null."""
+    low, kind = F.lower(message), F.lit(None).cast("string") if kind is None else kind
     out = F.when(F.lit(False), "")
     for code, keys in ERROR_WORDS:
-        hit = F.lit(False)
+        hit = kind.isin(ANALYSIS_KINDS) if code == "ANALYSIS_ERROR" else F.lit(False)
         for k in keys:
             hit = hit | F.contains(low, F.lit(k))
         out = out.when(hit, code)
-    return out.otherwise("UNKNOWN")
+    return out.otherwise("UNKNOWN_ERROR")
 
 
 def bands(x: Column, cuts: list[tuple[float, str]], below: str) -> Column:

@@ -45,14 +45,22 @@ def rates(df: DataFrame) -> DataFrame:
 
 
 def grid(df: DataFrame, ml: str, other: str, label: str, shares: list[float], thresholds: list[float]) -> DataFrame:
-    """Confusion counts for every pair of weight and threshold in one aggregate: no row is copied."""
-    out, y = [], F.col(label)
-    for w in shares:
-        for t in thresholds:
-            out.append((w, t, confusion(F.round(w * F.col(ml) + (1 - w) * F.col(other), 9) > t, y)))
-    one = df.agg(*[v.alias(f"{k}{i}") for i, (_, _, m) in enumerate(out) for k, v in m.items()])
-    rows = F.array(*[F.struct(F.lit(w).alias("ml_weight"), F.lit(t).alias("threshold"), *[F.col(f"{k}{i}").alias(k) for k in m]) for i, (w, t, m) in enumerate(out)])
-    return rates(one.select(F.explode(rows).alias("r")).select("r.*"))
+    """Confusion counts for every pair of weight and threshold.
+
+    Rows with equal scores are counted together first; of those, each gives a row for each weight
+    with the number of thresholds that it passes, which add up before anything is moved.
+    """
+    levels = df.groupBy(ml, other, (F.col(label) == 1).alias("y")).agg(F.count("*").alias("n"))
+    cuts = sorted(thresholds)
+    passed = lambda w: sum(((F.round(w * F.col(ml) + (1 - w) * F.col(other), 9) > t).cast("int") for t in cuts), F.lit(0))
+    each = F.explode(F.array(*[F.struct(F.lit(w).alias("w"), passed(w).alias("k")) for w in shares])).alias("e")
+    by = levels.select("y", "n", each).groupBy("e.w", "e.k", "y").agg(F.sum("n").alias("n"))  # weights x (thresholds + 1) x 2 rows
+    at = by.select("w", "k", "y", "n", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(t).alias("threshold")) for i, t in enumerate(cuts)])).alias("t"))
+    above = F.col("k") > F.col("t.i")
+    total = lambda when: F.coalesce(F.sum(F.when(when, F.col("n"))), F.lit(0))
+    counts = at.groupBy(F.col("w").alias("ml_weight"), F.col("t.threshold").alias("threshold")).agg(
+        total(above & F.col("y")).alias("tp"), total(above & ~F.col("y")).alias("fp"), total(~above & F.col("y")).alias("fn"), total(~above & ~F.col("y")).alias("tn"))
+    return rates(counts)
 
 
 def two_sample_ks(df: DataFrame, value: str, side: Column, buckets: int = 256) -> DataFrame:

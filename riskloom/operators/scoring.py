@@ -58,13 +58,17 @@ def contradiction(ml: Column, semantic: Column, reentrancy: Column, unchecked: C
 
 
 def confidence(ml: Column, semantic: Column, static: Column, quality: Column, against: Column) -> Column:
-    """Calibrated confidence: boosts, then quality, then the contradiction penalty, clamped to [0.1, 1]."""
-    x = (ml + semantic) / 2
-    x = F.when((ml > 0.9) & (static > 0.7), F.least(x + 0.4, F.lit(1.0))).when((ml > 0.6) & (static > 0.5), F.least(x + 0.25, F.lit(0.9))).otherwise(x)
-    x = F.when((static > 0.7) & (ml > 0.4), F.least(x + 0.15, F.lit(1.0))).otherwise(x)
-    x = F.when(quality > 0.8, F.least(x * 1.3, F.lit(1.0))).when(quality < 0.4, x * F.greatest(quality, F.lit(0.3))).otherwise(x)
-    x = F.when(against, F.greatest(x - 0.2, F.lit(0.2))).otherwise(x)
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.1), x))
+    """Calibrated confidence: boosts, then quality, then the contradiction penalty, clamped to [0.1, 1].
+
+    Every step is linear in what comes in, then capped, so each reads the step before once.
+    """
+    strong, fair = (ml > 0.9) & (static > 0.7), (ml > 0.6) & (static > 0.5)
+    x = F.least((ml + semantic) / 2 + F.when(strong, 0.4).when(fair, 0.25).otherwise(0.0), F.when(strong, 1.0).when(fair, 0.9).otherwise(float("inf")))
+    lifted = (static > 0.7) & (ml > 0.4)
+    x = F.least(x + F.when(lifted, 0.15).otherwise(0.0), F.when(lifted, 1.0).otherwise(float("inf")))
+    x = F.least(x * F.when(quality > 0.8, 1.3).when(quality < 0.4, F.greatest(quality, F.lit(0.3))).otherwise(1.0), F.when(quality > 0.8, 1.0).otherwise(float("inf")))
+    x = F.greatest(x - F.when(against, 0.2).otherwise(0.0), F.when(against, 0.2).otherwise(0.1))
+    return F.least(F.lit(1.0), x)
 
 
 def routing_score(loc: Column, complexity: Column, external: Column, assembly: Column, delegate: Column) -> Column:

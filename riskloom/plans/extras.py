@@ -24,13 +24,13 @@ def constant_columns(spark, sf_dir):
     return rows.select("feature", F.coalesce(c("lo") == c("hi"), F.lit(True)).alias("constant"))
 
 
-@plan("column_set_difference", "SELECT unnest(['cei_safe_functions', 'num_state_vars']) AS missing, count(*) AS rows FROM " + FRAME_SQL + " GROUP BY 1")
+@plan("column_set_difference", """
+    SELECT column_name AS missing, (SELECT count(*) FROM documents) AS rows FROM (DESCRIBE documents) WHERE column_name NOT IN (SELECT column_name FROM (DESCRIBE labels))""")
 def column_set_difference(spark, sf_dir):
-    """Columns that one schema has and the other lacks, with the rows concerned."""
-    f = frame(spark, sf_dir)
-    older = [n for n in FRAME if n not in ("cei_safe_functions", "num_state_vars")]
-    gone = F.array_except(F.array(*[F.lit(n) for n in f.columns]), F.array(*[F.lit(n) for n in older]))
-    return f.agg(F.count("*").alias("rows")).select(F.explode(gone).alias("missing"), "rows")
+    """Columns that one table has and the other lacks, with the rows concerned."""
+    d, other = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    names = lambda df: F.array(*[F.lit(n) for n in df.columns])
+    return d.agg(F.count("*").alias("rows")).select(F.explode(F.array_except(names(d), names(other))).alias("missing"), "rows")
 
 
 PREFIXES = ["cei_", "num_", "has_"]

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.plans import engineering, extras, features, learning, monitoring, quality, scalar, scoring
+from riskloom.plans import engineering, extraction, extras, features, learning, monitoring, quality, scalar, scoring
 
-MODULES = (quality, scalar, features, engineering, scoring, monitoring, learning, extras)
+MODULES = (quality, scalar, features, extraction, engineering, scoring, monitoring, learning, extras)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -47,6 +47,18 @@ def declared_names(spark, sf_dir):
     return p.select("page_id", F.size(F.regexp_extract_all("html", F.lit("<h([1-6])"), F.lit(1))).alias("headings"), F.regexp_extract("html", "<title>([^<]*)", 1).alias("first_title"))
 
 
+DECLARED = "concat('pragma solidity ^0.8.0; interface I', p_size, ' {} contract ', replace(p_brand, '#', ''), CASE WHEN p_size % 3 = 0 THEN ' is Owned {} contract  Second' ELSE ' { address c; } library ' END, p_partkey, ' {}')"
+
+
+@plan("contract_names", f"""
+    SELECT p_partkey, replace(p_brand, '#', '') AS first_name, CASE WHEN p_size % 3 = 0 THEN concat(replace(p_brand, '#', ''), ',Second', p_partkey) ELSE replace(p_brand, '#', '') END AS names, CASE WHEN p_size % 3 = 0 THEN 2 ELSE 1 END AS n FROM part""")
+def contract_names(spark, sf_dir):
+    """Names that a source declares: the first and all."""
+    every = F.regexp_extract_all("s", F.lit(r"contract\s+(\w+)"), F.lit(1))
+    s = table(spark, sf_dir, "part").select("p_partkey", F.expr(DECLARED).alias("s")).withColumn("e", every)
+    return s.select("p_partkey", F.get("e", F.lit(0)).alias("first_name"), F.array_join("e", ",").alias("names"), F.size("e").alias("n"))
+
+
 ADDRESS = "concat(CASE WHEN p_size % 3 = 0 THEN 'plain' ELSE concat('contract_0x', lower(hex(p_partkey * 7919))) END, '.sol')"
 
 
@@ -65,18 +77,20 @@ def sanitised_names(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_type", F.concat(F.lit("tier4_"), F.lower(F.replace(dash, F.lit("-"), F.lit("_")))).alias("name")).distinct()
 
 
-MESSAGES = "CASE l_linenumber WHEN 1 THEN 'Source requires different compiler version' WHEN 2 THEN 'Source not found' WHEN 3 THEN 'ParserError: expected ;' WHEN 4 THEN 'solc timed out' WHEN 5 THEN 'Compilation failed' WHEN 6 THEN 'contract not found in file' END"
-
-
-def _error_sql() -> str:
-    whens = " ".join("WHEN " + " OR ".join(f"contains(lower(m), '{k}')" for k in keys) + f" THEN '{code}'" for code, keys in text.ERROR_WORDS)
-    return f"SELECT CASE {whens} ELSE 'UNKNOWN' END AS category, count(*) AS n FROM (SELECT {MESSAGES} AS m FROM lineitem) GROUP BY 1"
+MESSAGES = """CASE l_linenumber + 7 * (l_partkey % 2) WHEN 1 THEN 'Source file requires different compiler version' WHEN 2 THEN '"A.sol" is not found' WHEN 3 THEN 'ParserError: expected ;'
+    WHEN 4 THEN 'solc timed out' WHEN 5 THEN 'Compilation failed' WHEN 6 THEN 'Unknown option --x' WHEN 7 THEN 'Cannot import "b.sol"' WHEN 8 THEN 'File import: no such file' WHEN 9 THEN '@OpenZeppelin/x.sol missing'
+    WHEN 10 THEN 'list index out of range' WHEN 11 THEN 'slither error in import' WHEN 12 THEN 'TypeError: x' WHEN 13 THEN 'version mismatch' END"""
+KINDS = "CASE WHEN l_linenumber + 7 * (l_partkey % 2) IN (10, 12) THEN 'IndexError' END"
 
 
-@plan("error_category", _error_sql())
+@plan("error_category", """
+    SELECT CASE l_linenumber + 7 * (l_partkey % 2) WHEN 1 THEN 'VERSION_MISMATCH' WHEN 2 THEN 'FILE_NOT_FOUND' WHEN 3 THEN 'COMPILATION_ERROR' WHEN 5 THEN 'COMPILATION_ERROR' WHEN 6 THEN 'SLITHER_INCOMPATIBLE' WHEN 7 THEN 'IMPORT_ERROR'
+      WHEN 8 THEN 'FILE_NOT_FOUND' WHEN 9 THEN 'IMPORT_ERROR' WHEN 10 THEN 'ANALYSIS_ERROR' WHEN 11 THEN 'IMPORT_ERROR' WHEN 12 THEN 'ANALYSIS_ERROR' WHEN 13 THEN 'VERSION_MISMATCH' ELSE 'UNKNOWN_ERROR' END AS category, count(*) AS n
+    FROM lineitem GROUP BY 1""")
 def error_category(spark, sf_dir):
-    m = table(spark, sf_dir, "lineitem").select(F.expr(MESSAGES).alias("m"))
-    return m.groupBy(text.error_category(F.col("m")).alias("category")).agg(F.count("*").alias("n"))
+    """Failures by code; the SQL holds the codes of the messages, worked out by hand."""
+    m = table(spark, sf_dir, "lineitem").select(F.expr(MESSAGES).alias("m"), F.expr(KINDS).alias("k"))
+    return m.groupBy(text.error_category(F.col("m"), F.col("k")).alias("category")).agg(F.count("*").alias("n"))
 
 
 @plan("cache_keys", """

@@ -24,8 +24,10 @@ def test_comment_lines(spark):
 
 
 def test_error_categories(spark):
-    d = spark.createDataFrame([("Pragma version",), ("ParserError: Expected",), ("solc crashed",), ("?",), (None,)], "t string")
-    assert one(d.select(text.error_category(F.col("t")).alias("v"))) == ["VERSION_MISMATCH", "SYNTAX_ERROR", "COMPILATION_ERROR", "UNKNOWN", "UNKNOWN"]
+    """The codes and their order as the failure reasons define them."""
+    d = spark.createDataFrame([("Source file requires different compiler version", None), ("ParserError: x", None), ('"a.sol" is not found', None), ("import of no such file", None), ("import x", "KeyError"), ("?", "KeyError"), ("unknown option", "KeyError"), ("?", "ValueError"), (None, None)], "t string, k string")
+    got = one(d.select(text.error_category(F.col("t"), F.col("k")).alias("v")))
+    assert got == ["VERSION_MISMATCH", "COMPILATION_ERROR", "FILE_NOT_FOUND", "FILE_NOT_FOUND", "IMPORT_ERROR", "ANALYSIS_ERROR", "SLITHER_INCOMPATIBLE", "UNKNOWN_ERROR", "UNKNOWN_ERROR"]
 
 
 def test_finite(spark):
@@ -130,3 +132,40 @@ def test_learning_queries_use_every_label_and_member(spark, sf_dir):
     labels = {q[0] for q in table(spark, sf_dir, "embeddings").groupBy("label").count().where("count >= 20").collect()}
     assert len(labels) > 3 and {q.label for q in learning_plans.one_versus_rest(spark, sf_dir).collect()} == labels
     assert {q.model for q in extras_plans.ensemble_weights(spark, sf_dir).collect()} == {"boosted", "forest", "logistic"}
+
+
+def test_flags_by_hand(spark):
+    """A detector under several flags counts for the last; findings that don't name the contract don't count."""
+    from riskloom.operators import extraction as ex
+
+    rows = [(1, "Vault", "divide-before-multiply", "medium", "in VAULT.run"), (1, "Vault", "weak-prng", "high", "Vault"), (1, "Vault", "low-level-calls", "informational", "vault x"), (1, "Vault", "tx-origin", "high", "Other"), (2, "Bank", "tx-origin", "low", "none")]
+    df = spark.createDataFrame(rows, "contract long, name string, detector string, impact string, description string")
+    got = {r.contract: r.asDict() for r in ex.flag_vector(df, "contract", F.col("name")).collect()}
+    assert {k for k, v in got[1].items() if k.startswith("has_") and v} == {"has_divide_before_multiply", "has_weak_randomness", "has_low_level_calls"}
+    assert (got[1]["high"], got[1]["medium"], got[1]["low"], got[1]["fired"]) == (1, 1, 1, 3) and sum(v for k, v in got[2].items() if k != "contract") == 0
+    assert len(ex.FLAGS) == 23 and len(ex.cross_tier()) == 38
+
+
+def test_taint_by_brute_force(spark, sf_dir):
+    from riskloom.plans import extraction as plans
+    from riskloom.plans.registry import queries
+
+    want = {}
+    for r in sorted(plans.relation(spark, sf_dir, "events", plans.OPERATIONS).collect(), key=lambda r: (r.contract, r.pos)):
+        s = want.setdefault(r.contract, [0, {0, 1}, 0])
+        s[0] += 1
+        s[2] += r.op == "LowLevelCall" and r.arg in s[1] and "delegatecall" in r.name
+        if r.op == "Assignment" and r.arg in s[1] and r.lvalue is not None:
+            s[1].add(r.lvalue)
+    got = {r.contract: (r.operations, r.tainted, r.tainted_delegatecall, r.ir_taint_propagation_ratio) for r in queries()["ir_taint"](spark, sf_dir).collect()}
+    assert {k: v[:3] for k, v in got.items()} == {k: (n, len(t), h) for k, (n, t, h) in want.items()}
+    assert all(abs(v[3] - v[1] / v[0]) < 6e-4 for v in got.values()) and sum(v[2] for v in got.values()) > 0
+
+
+def test_density_without_findings(spark):
+    from riskloom.operators import extraction as ex
+
+    names = "num_functions num_external_functions num_public_functions num_view_functions num_payable_functions total_state_reads total_state_writes num_external_calls lines_of_code has_reentrancy has_access_control has_arithmetic max_complexity avg_complexity has_assembly comment_ratio high medium low".split()
+    df = spark.createDataFrame([tuple([0] * len(names))], ", ".join(f"{n} long" for n in names))
+    r = df.select(ex.cross_tier(True)["vulnerability_density"].alias("a"), ex.cross_tier(False)["vulnerability_density"].alias("b")).first()
+    assert (r.a, r.b) == (0.0, 1.0)
