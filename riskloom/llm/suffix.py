@@ -15,6 +15,8 @@ same search runs over words (`WORDS`): then windows are strings of so many words
    neighbours first differ, which is the common prefix in symbols. After as many rounds as a window
    has blocks, what lies between two borders is an interval of equal windows; it is a repeat if its
    spans occur more than once in all. Suffixes are never compared or sorted again across shards.
+   A key with one distinct span, whose gram occurs there once, has nothing to merge: its windows
+   differ, and each occurs as often as the span.
 4. A key whose distinct spans hold more than `limit` bytes is settled by counting window digests
    instead, which spreads over the cluster whatever the key, so no task holds a key of unbounded
    size; its windows are found exactly as well.
@@ -45,6 +47,8 @@ SHARDS = 8
 PIECE = 2_048  # windows of a span row at most
 _TABLE = np.random.default_rng(20_231).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
+_IN_WORD = np.array([b not in b"\t\n\v\f\r " for b in range(256)], np.int8)
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def raw_bytes(text: str | None) -> bytes:
@@ -52,8 +56,26 @@ def raw_bytes(text: str | None) -> bytes:
 
 
 def word_bytes(text: str | None) -> bytes:
-    """The text's words, 8 bytes of hash each, whatever space is between them."""
-    return b"".join([xxhash.xxh64_digest(w) for w in raw_bytes(text).split()])
+    """The text's words, 8 bytes of hash each, whatever space is between them.
+
+    A word's hash is a difference of two running sums over the text, moved to where sums begin.
+    """
+    raw = np.frombuffer(raw_bytes(text), np.uint8)
+    if not len(raw):
+        return b""
+    edge = np.flatnonzero(np.diff(_IN_WORD[raw], prepend=np.int8(0), append=np.int8(0)))
+    begin, end = edge[::2], edge[1::2]
+    power, back = _powers(len(raw))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLE[raw] * power[: len(raw)], dtype=np.uint64)])
+    return _mixed((sums[end] - sums[begin]) * back[begin] + (end - begin).astype(np.uint64)).astype("<u8").tobytes()
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, at least n of each."""
+    if len(_POWERS[0]) < n:
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            _POWERS[i] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(2 * n, base, np.uint64)]), dtype=np.uint64)
+    return _POWERS
 
 
 def word_places(raw: bytes) -> list[tuple[int, int]]:
@@ -260,7 +282,10 @@ def repeated_windows(members: list[bytes], size: int, of: Alphabet = BYTES, time
         inside = np.flatnonzero(left >= step)  # blocks that end in their member
         parts.append((own, lengths, left, offset, inside))
         hashes.append(h[inside])
-    ranks = np.unique(np.concatenate(hashes), return_inverse=True)[1].astype(np.int32)  # one alphabet for all shards
+    every = np.concatenate(hashes)  # one alphabet for all shards
+    by = np.argsort(every)
+    ranks = np.empty(len(by), np.int32)
+    ranks[by] = np.cumsum(np.diff(every[by], prepend=every[by[:1]]) != 0)
     shards, at = [], 0
     for own, lengths, left, offset, inside in parts:
         symbols = ranks[at : at + len(inside)]
@@ -298,7 +323,7 @@ RUNS = "array<struct<start: int, stop: int>>"
 FOUND = f"key long, digest binary, runs {RUNS}"
 
 
-def _resolve(size: int, of: Alphabet, batch_bytes: int):
+def _resolve(size: int, of: Alphabet, batch: int):
     """Distinct spans sorted by key to the runs of their repeated windows."""
     kinds = [pa.int64(), pa.binary(), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))]
 
@@ -311,11 +336,11 @@ def _resolve(size: int, of: Alphabet, batch_bytes: int):
         rows, total = [], 0
         for b in batches:
             for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if total >= batch_bytes and r[0] != rows[-1][0]:
+                if total >= batch and r[0] != rows[-1][0]:
                     yield done(rows)
                     rows, total = [], 0
                 rows.append(r)
-                total += len(r[4])
+                total += len(r[4]) // of.width
         if rows:
             yield done(rows)
 
@@ -342,9 +367,9 @@ def _window_digests(size: int, of: Alphabet, rows: int = 50_000):
     return run
 
 
-def repeated(docs: DataFrame, searches: list[tuple[int, Alphabet]], limit: int = 1 << 20, batch_bytes: int = 1 << 17) -> list[DataFrame]:
+def repeated(docs: DataFrame, searches: list[tuple[int, Alphabet]], limit: int = 1 << 20, batch: int = 60_000) -> list[DataFrame]:
     """For each (size, alphabet): doc_id, thash, runs (start, stop) of the repeated windows of the rows (doc_id, thash, text)."""
-    found, members = [], []
+    found, members, singles = [], [], []
     for i, (size, of) in enumerate(searches):
         if size % of.blocks or size < 2 * of.gram:
             raise ValueError(f"the length must be a multiple of {of.blocks}, and at least {2 * of.gram}")
@@ -352,10 +377,12 @@ def repeated(docs: DataFrame, searches: list[tuple[int, Alphabet]], limit: int =
         keys = all_spans.groupBy("key").agg(F.count("*").alias("total"), F.max("twice").alias("any_twice")).where("total > 1 OR any_twice")
         shared = stored(all_spans.join(keys.select("key"), "key"), "shared-spans")
         discard(all_spans)
-        distinct = shared.groupBy("key", "digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "thash", "start", "windows")).alias("m"))
+        distinct = shared.groupBy("key", "digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "thash", "start", "windows", "twice")).alias("m"))
         distinct = stored(distinct.select("key", "digest", "n", "m.*"), "distinct-spans")
-        sizes = distinct.groupBy("key").agg(F.sum((F.col("windows") + F.lit(size - 1)).cast("long") * of.width).alias("bytes"))
-        members.append(distinct.join(sizes.select("key", (F.col("bytes") > limit).alias("hot")), "key").withColumn("search", F.lit(i)))
+        sizes = distinct.groupBy("key").agg(F.sum((F.col("windows") + F.lit(size - 1)).cast("long") * of.width).alias("bytes"), (F.max("twice") | (F.count("*") > 1)).alias("several"))
+        members.append(distinct.join(sizes.where("several").select("key", (F.col("bytes") > limit).alias("hot")), "key").withColumn("search", F.lit(i)))
+        alone = distinct.join(sizes.where("NOT several").select("key"), "key").where("n > 1")
+        singles.append(stored(alone.select("key", "digest", F.array(F.struct(F.lit(0).alias("start"), F.col("windows").alias("stop"))).alias("runs")), "single-spans"))
         found.append((shared, distinct))
     # a text moves once for all searches; what it lends is bounded by it
     by_doc = reduce(DataFrame.unionByName, members).groupBy("doc_id", "thash").agg(F.collect_list(F.struct("search", "key", "hot", "n", "digest", "start", "windows")).alias("members"))
@@ -365,11 +392,11 @@ def repeated(docs: DataFrame, searches: list[tuple[int, Alphabet]], limit: int =
     for i, ((size, of), (shared, distinct)) in enumerate(zip(searches, found, strict=True)):
         discard(distinct)
         own = data.where(F.col("search") == i)
-        met = own.where("NOT hot").select("key", "n", "digest", "shard", "data").repartition("key").sortWithinPartitions("key", "shard").mapInArrow(_resolve(size, of, batch_bytes), FOUND)
+        met = own.where("NOT hot").select("key", "n", "digest", "shard", "data").repartition("key").sortWithinPartitions("key", "shard").mapInArrow(_resolve(size, of, batch), FOUND)
         windows = own.where("hot").select("key", "n", "digest", "data").mapInArrow(_window_digests(size, of), "window binary, n long, key long, digest binary, start int")
         again = windows.groupBy("window").agg(F.sum("n").alias("total")).where("total > 1").select("window")
         counted = windows.join(again, "window").groupBy("key", "digest").agg(F.collect_list(F.struct("start", (F.col("start") + 1).alias("stop"))).alias("runs"))
-        runs = met.unionByName(counted.select("key", "digest", F.col("runs").cast(RUNS)))
+        runs = met.unionByName(counted.select("key", "digest", F.col("runs").cast(RUNS))).unionByName(singles[i].select("key", "digest", F.col("runs").cast(RUNS)))
         placed = shared.join(runs, ["key", "digest"]).select("doc_id", "thash", F.transform("runs", lambda r: F.struct((r.start + F.col("start")).alias("start"), (r.stop + F.col("start")).alias("stop"))).alias("runs"))
         out.append(placed.groupBy("doc_id", "thash").agg(F.flatten(F.collect_set("runs")).alias("runs")))  # a set: rows with one id and text say the same
     return out
