@@ -17,13 +17,22 @@ LEAST_SCORE = 0.5  # a text whose best language is less likely than that has no
 PASSAGE = 51  # words; op4's 400 bytes alone would leave passages of short words
 
 
+def aside(docs: DataFrame, made: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """`docs` with its own columns of the names that a stage makes under other names, and the way back."""
+    longest = max(docs.columns, key=len)  # with it in front, no name that is taken
+    moved = {c: f"{longest}_{c}" for c in docs.columns if c in made}
+    return docs.withColumnsRenamed(moved), {v: k for k, v in moved.items()}
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a clear language; fitted on a bounded sample of labelled ones."""
     model = crf.fit_on(docs, "text", "lang")
-    named = crf.predict(docs, model, keep_text=True)
     if not model.labels:
-        return named.where(F.lit(False)).select(docs.columns)
-    return named.where((F.col("lang_pred") != crf.UNDEFINED) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+        return docs.where(F.lit(False))
+    rows, back = aside(docs, ["lang_pred", "score"])
+    named = crf.predict(rows, model, keep_text=True)
+    clear = named.where((F.col("lang_pred") != crf.UNDEFINED) & (F.col("score") >= LEAST_SCORE))
+    return clear.drop("lang_pred", "score").withColumnsRenamed(back).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +42,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes strings of over 50 words, or of 400 bytes, that occur again; characters cut in half at an edge go as well."""
-    kept = suffix.remove_repeats(docs, as_text=True, passage=PASSAGE).withColumnRenamed("kept", "text")
+    rows, back = aside(docs, suffix.RESULT)
+    kept = suffix.remove_repeats(rows, as_text=True, passage=PASSAGE)
+    kept = kept.withColumn("text", F.col("kept")).drop(*suffix.RESULT).withColumnsRenamed(back)
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
