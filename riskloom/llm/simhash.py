@@ -227,13 +227,13 @@ def one_of_each(docs: DataFrame, classes: DataFrame, text: str = "text", doc_id:
 
     The row with the smallest doc_id stays, ties by the text's hash; rows without an id come last.
     """
-    marked = docs.withColumn("_t", text_hash(text)).withColumn("_d", F.col(doc_id).cast("long"))
-    rank = F.struct(F.col("_d").isNull().alias("no_id"), F.col("_d").alias("d"))
-    least = marked.groupBy(F.col("_t").alias("th")).agg(F.min(rank).alias("least"))
+    marked = docs.select(F.struct(*docs.columns).alias("row"), text_hash(text).alias("th"), F.col(doc_id).cast("long").alias("d"))
+    rank = F.struct(F.col("d").isNull().alias("no_id"), F.col("d").alias("d"))
+    least = marked.groupBy("th").agg(F.min(rank).alias("least"))
     chosen = least.join(classes, "th").groupBy("root").agg(F.min(F.struct("least", "th")).alias("m"))
-    chosen = chosen.select(F.col("m.least.d").alias("_cd"), F.col("m.th").alias("_ct"))
-    rows = marked.join(chosen, (F.col("_t") == F.col("_ct")) & F.col("_d").eqNullSafe(F.col("_cd")))
-    return rows.dropDuplicates(["_ct"]).select(docs.columns)
+    chosen = chosen.select(F.col("m.least.d").alias("cd"), F.col("m.th").alias("ct"))
+    rows = marked.join(chosen, (F.col("th") == F.col("ct")) & F.col("d").eqNullSafe(F.col("cd")))
+    return rows.dropDuplicates(["ct"]).select("row.*")
 
 
 def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 4, radius: int = 4) -> DataFrame:
