@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +32,17 @@ def get_spark(app: str = "riskloom", master: str | None = None, **conf: str) ->
     return spark
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir, which all executors share; a local session without it gets one of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="riskloom-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table `name` below `sf_dir`; any path that Spark can read will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -57,10 +57,13 @@ def label_from_path(path: str, labels: dict[str, str]) -> F.Column:
     return out
 
 
-def curated(spark: SparkSession, path: str) -> DataFrame:
-    """protocol, address, valid of nested metadata JSON: protocol -> contracts[] of text or {address}."""
+def curated(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """protocol, address, valid of nested metadata JSON: contracts[] of {address}, or addresses[] of text.
+
+    With `lines`, a file holds an object on each line.
+    """
     kind = "protocol string, name string, contracts array<struct<address: string>>, addresses array<string>"
-    j = spark.read.schema(kind).option("multiLine", True).json(path)
+    j = spark.read.schema(kind).option("multiLine", not lines).json(path)
     every = F.concat(F.coalesce(F.transform("contracts", lambda x: x.address), F.array().cast("array<string>")), F.coalesce("addresses", F.array().cast("array<string>")))
     return j.select(F.coalesce("protocol", "name").alias("protocol"), F.explode(every).alias("address")).withColumn("valid", valid_address(F.col("address"))).dropDuplicates()
 

@@ -49,11 +49,18 @@ def update(stored: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
     return done.drop("action")
 
 
-def build_statistics(df: DataFrame, dataset: str, status: str, reason: str) -> str:
-    """Counts by dataset and by reason as one JSON text."""
-    by = {r[0]: r[1] for r in df.groupBy(dataset).count().collect()}
-    why = {r[0]: r[1] for r in df.where(F.col(status) == "failed").groupBy(reason).count().orderBy(F.col("count").desc(), reason).collect()}
-    return json.dumps({"total": sum(by.values()), "by_dataset": by, "by_reason": why}, sort_keys=True)
+def build_statistics(df: DataFrame, dataset: str, status: str, reason: str) -> DataFrame:
+    """One row, `statistics`: counts by dataset and by reason (a code, not a free text) as one JSON text."""
+    failed = F.col(status) == "failed"
+    by = df.groupBy(F.col(dataset).alias("d"), F.when(failed, F.col(reason)).alias("r")).agg(F.count("*").alias("n"))
+
+    def counts(name: str):
+        one = by.where(F.col(name).isNotNull()).groupBy(name).agg(F.sum("n").alias("n"))
+        return one.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(name, "n")))).alias(f"by_{name}"))  # as many entries as names or codes
+
+    total = by.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    row = total.join(counts("d"), F.lit(True)).join(counts("r"), F.lit(True))  # one row each
+    return row.select(F.to_json(F.struct("total", F.col("by_d").alias("by_dataset"), F.col("by_r").alias("by_reason"))).alias("statistics"))
 
 
 def content_hash(df: DataFrame, names: list[str]) -> DataFrame:
