@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -82,26 +84,46 @@ def hash_order(key: str, seed: int = 42) -> Column:
     return F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))))
 
 
+def hash_ranks(df: DataFrame, stratum: str, key: str, seed: int = 42, then: list[str] | None = None) -> DataFrame:
+    """`df` with _k, each row's rank in its stratum in the order of a seeded hash (then key, then `then`), and _n, the stratum's size.
+
+    Strata are dealt by the first 16 bits of the hash; a rank is that in the row's part plus the sizes
+    of the parts before, so no window holds a stratum, whatever share of the rows it has.
+    """
+    h = hash_order(key, seed)
+    dealt = df.withColumn("_h", h).withColumn("_p", F.conv(F.left("_h", F.lit(4)), 16, 10).cast("int"))
+    sizes = dealt.groupBy(F.col(stratum).alias("_s"), "_p").agg(F.count("*").alias("_c"))
+    of = Window.partitionBy("_s")  # at most 65,536 rows a stratum
+    before = F.coalesce(F.sum("_c").over(of.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("_s", F.col("_p").alias("_q"), before.alias("_before"), F.sum("_c").over(of).alias("_n"))
+    inner = F.row_number().over(Window.partitionBy(stratum, "_p").orderBy("_h", key, *(then or [])))
+    ranked = dealt.withColumn("_i", inner).join(sizes, F.col(stratum).eqNullSafe(F.col("_s")) & (F.col("_p") == F.col("_q")))
+    return ranked.select(*df.columns, (F.col("_before") + F.col("_i")).alias("_k"), "_n")
+
+
 def exact_share(df: DataFrame, stratum: str, key: str, share: float, seed: int = 42) -> DataFrame:
     """The first floor(share * n) rows of each stratum in the order of a seeded hash."""
-    sizes = df.groupBy(stratum).agg(F.count("*").alias("_n"))
-    ranked = df.join(sizes, stratum)
-    k = F.row_number().over(Window.partitionBy(stratum).orderBy(hash_order(key, seed), key))
-    return ranked.withColumn("_k", k).where(F.col("_k") <= F.floor(F.lit(share) * F.col("_n"))).select(df.columns)
+    return hash_ranks(df, stratum, key, seed).where(F.col("_k") <= F.floor(F.lit(share) * F.col("_n"))).select(df.columns)
 
 
 def balanced(df: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame:
     """As many rows of each class as the smallest class has."""
     least = df.groupBy(label).agg(F.count("*").alias("n")).agg(F.min("n")).first()[0] or 0
-    k = F.row_number().over(Window.partitionBy(label).orderBy(hash_order(key, seed), key))
-    return df.withColumn("_k", k).where(F.col("_k") <= least).select(df.columns)
+    return hash_ranks(df, label, key, seed).where(F.col("_k") <= least).select(df.columns)
 
 
-def split(df: DataFrame, label: str, key: str, shares: tuple[float, float] = (0.6, 0.8), seed: int = 42) -> DataFrame:
-    """A `split` column: train, val or test, by the relative hash rank within each class."""
-    w = Window.partitionBy(label)
-    r = F.percent_rank().over(w.orderBy(hash_order(key, seed), key))
-    return df.withColumn("split", F.when(r < shares[0], "train").when(r < shares[1], "val").otherwise("test"))
+def split(df: DataFrame, label: str, key: str, shares: tuple[float, float] = (0.6, 0.8), seed: int = 42, least: int = 2) -> DataFrame:
+    """A `split` column: train, val or test, by the relative hash rank within each class.
+
+    If a class has fewer than `least` rows, all rows are split together, without regard to the class.
+    """
+    smallest = df.groupBy(label).agg(F.count("*").alias("n")).agg(F.min("n")).first()[0] or 0
+    if smallest < least:
+        one = hash_ranks(df.withColumn("_all", F.lit(1)), "_all", key, seed)
+    else:
+        one = hash_ranks(df, label, key, seed)
+    r = F.coalesce(F.try_divide(F.col("_k") - 1, F.col("_n") - 1), F.lit(0.0))
+    return one.select(*df.columns, F.when(r < shares[0], "train").when(r < shares[1], "val").otherwise("test").alias("split"))
 
 
 def mixup(df: DataFrame, columns: list[str], label: str, key: str, alpha: float = 0.2, share: float = 0.5, seed: int = 42) -> DataFrame:
@@ -122,10 +144,16 @@ def mixup(df: DataFrame, columns: list[str], label: str, key: str, alpha: float
 
 
 def jitter(df: DataFrame, columns: list[str], key: str, sigma: float = 0.05, share: float = 0.3, seed: int = 42) -> DataFrame:
-    """Rows with noise of sigma standard deviations on the named columns, floored at 0, each with its own label."""
+    """Rows with noise of sigma standard deviations on the named columns, floored at 0, each with its own label.
+
+    The noise comes from hashes of the key, so it is the same however the rows are dealt out.
+    """
     spread = fit_standard(df, columns)
     some = df.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1000)) < F.lit(int(share * 1000)))
-    return some.withColumns({c: F.greatest(F.lit(0.0), F.col(c) + F.randn(seed + i) * F.lit(sigma * spread[c][1])) for i, c in enumerate(columns)})
+    uniform = lambda i: (F.pmod(F.xxhash64(key, F.lit(seed + i)), F.lit(1_000_003)) + 0.5) / 1_000_003
+    normal = lambda i: F.sqrt(-2 * F.log(uniform(2 * i + 1))) * F.cos(2 * math.pi * uniform(2 * i + 2))
+    return some.withColumns({c: F.greatest(F.lit(0.0), F.col(c) + normal(i) * F.lit(sigma * spread[c][1])) for i, c in enumerate(columns)})
+
 
 
 def smote(df: DataFrame, vector: str, label: str, key: str, target, k: int = 5, block: int = 2_000, seed: int = 42) -> DataFrame:

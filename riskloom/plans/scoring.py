@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskloom.functions.text import bands
+from riskloom.operators.engineering import hash_ranks
 from riskloom.operators import evaluation as ev
 from riskloom.operators import scoring as sc
 from riskloom.plans.base import FRAME_SQL, Plan, frame
@@ -204,11 +205,9 @@ def class_weights(spark, sf_dir):
 @plan("stratified_folds", f"""
     SELECT risky, fold, count(*) AS n, round(avg((sem - risky) ** 2), 9) AS brier FROM (SELECT risky, sem, (row_number() OVER (PARTITION BY risky ORDER BY md5(concat_ws('|', id::VARCHAR, '42')), id, sem) - 1) % 5 AS fold FROM {EV_SQL}) GROUP BY ALL""")
 def stratified_folds(spark, sf_dir):
-    from pyspark.sql import Window
-
-    h = F.md5(F.concat_ws("|", c("id").cast("string"), F.lit("42")))
-    fold = ((F.row_number().over(Window.partitionBy("risky").orderBy(h, "id", "sem")) - 1) % 5).cast("long")
-    return evaluated(spark, sf_dir).withColumn("fold", fold).groupBy("risky", "fold").agg(F.count("*").alias("n"), F.round(F.avg(F.pow(c("sem") - c("risky"), F.lit(2))), 9).alias("brier"))
+    """Five folds, each class dealt to them in hash order, and a score's error in each."""
+    ranked = hash_ranks(evaluated(spark, sf_dir), "risky", "id", then=["sem"])
+    return ranked.withColumn("fold", (c("_k") - 1) % 5).groupBy("risky", "fold").agg(F.count("*").alias("n"), F.round(F.avg(F.pow(c("sem") - c("risky"), F.lit(2))), 9).alias("brier"))
 
 
 @plan("soft_vote", f"SELECT id, round((0.5 * ml + 0.3 * sem + 0.2 * least(1, sem + ml)) / 1.0, 6) AS vote, round(abs(ml - sem), 6) AS spread FROM {EV_SQL}")

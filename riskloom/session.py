@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 
