@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -68,6 +70,56 @@ def calibrate(train: DataFrame, df: DataFrame, score: str, label: str, method: s
     return done.withColumn("calibrated", vector_to_array("probability")[1]).drop("_s", "probability", "rawPrediction", "prediction")
 
 
+def in_fold(key: str, folds: int, seed: int = 42):
+    """A row's fold, by a hash of its key."""
+    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(folds))
+
+
+def out_of_fold(train: DataFrame, learner, label: str, key: str, folds: int = 5) -> DataFrame:
+    """key, p, label: every training row's score by a model that wasn't fitted on its fold."""
+    parts = []
+    for i in range(folds):
+        here = in_fold(key, folds) == i
+        parts.append(score_all({"x": learner.fit(train.where(~here))}, train.where(here)).select(key, F.col("p_x").alias("p"), label))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def calibrated_by_folds(train: DataFrame, df: DataFrame, learner, label: str, key: str, method: str = "isotonic", folds: int = 5) -> DataFrame:
+    """`df` with p, the score of a model of all training rows, and calibrated; the calibrator is fitted on out-of-fold scores only."""
+    scored = score_all({"x": learner.fit(train)}, df).withColumnRenamed("p_x", "p")
+    return calibrate(out_of_fold(train, learner, label, key, folds), scored, "p", label, method)
+
+
+def fold_areas(train: DataFrame, learner, label: str, key: str, folds: int = 5) -> DataFrame:
+    """fold, n, auc of a model fitted on the other folds."""
+    scored = out_of_fold(train, learner, label, key, folds).withColumn("fold", in_fold(key, folds)).persist()
+    parts = []
+    for i in range(folds):
+        own = scored.where(F.col("fold") == i)
+        area = ev.auc(own.select(F.round("p", 9).alias("p"), label), "p", label)
+        parts.append(own.agg(F.lit(i).alias("fold"), F.count("*").alias("n")).join(area, F.lit(True)))  # one row each
+    return reduce(DataFrame.unionByName, parts)
+
+
+def prediction_intervals(train: DataFrame, df: DataFrame, learner, key: str, rounds: int = 8, seed: int = 42) -> DataFrame:
+    """`df` with mean, std, lo and hi of its scores by models of resampled training rows (Poisson weights from a hash of the key).
+
+    `learner` takes its weights from the column `w`.
+    """
+    scored = df
+    for i in range(rounds):
+        u = (F.pmod(F.xxhash64(key, F.lit(seed + i)), F.lit(1_000_003)) + 0.5) / 1_000_003
+        edges = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563]  # of Poisson's distribution with mean 1
+        model = learner.fit(train.withColumn("w", sum(((u > e).cast("double") for e in edges), F.lit(0.0))).where("w > 0"))
+        scored = score_all({f"b{i}": model}, scored)
+    each = F.array(*[F.col(f"p_b{i}") for i in range(rounds)])
+    mean = F.aggregate(each, F.lit(0.0), lambda a, x: a + x) / rounds
+    with_mean = scored.withColumn("mean", mean)
+    std = F.sqrt(F.aggregate(each, F.lit(0.0), lambda a, x: a + F.pow(x - F.col("mean"), F.lit(2))) / (rounds - 1))
+    out = with_mean.withColumn("std", std).drop(*[f"p_b{i}" for i in range(rounds)])
+    return out.withColumns({"lo": F.greatest(F.lit(0.0), F.col("mean") - 1.96 * F.col("std")), "hi": F.least(F.lit(1.0), F.col("mean") + 1.96 * F.col("std"))})
+
+
 def bootstrap_interval(df: DataFrame, value: str, key: str, rounds: int = 50, seed: int = 42) -> DataFrame:
     """Mean, deviation and 95 % interval of the mean: Poisson weights, from a hash of the key, for every round in one pass."""
     out = []

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from riskloom.operators import evaluation as ev
 from riskloom.operators import learning as ml
 from riskloom.operators.stats import per_column
 from riskloom.plans.base import FRAME, FRAME_SQL, Plan, frame
@@ -116,11 +117,14 @@ def failure_states(spark, sf_dir):
 
 @plan("ensemble_weights")
 def ensemble_weights(spark, sf_dir):
-    """Weights of the three members that give the largest area on held-out rows, and each member's part."""
+    """Weights of the three members that give the largest area on validation rows, and that area on test rows that chose nothing."""
     train, test = halves(spark, sf_dir)
-    models = ml.fit_all(train)
-    w, a = ml.best_weights(ml.score_all(models, test), list(models), "label")
-    return spark.createDataFrame([(n, x, a) for n, x in w.items()], "model string, weight double, auc double")
+    held = ml.in_fold("vec_id", 4, seed=7) == 0
+    models = ml.fit_all(train.where(~held))
+    w, a = ml.best_weights(ml.score_all(models, train.where(held)), list(models), "label")
+    final = ml.soft_vote(ml.score_all(models, test), w).select(F.round("p", 9).alias("p"), "label")
+    rows = spark.createDataFrame([(n, x, a) for n, x in w.items()], "model string, weight double, validation_auc double")
+    return rows.join(ev.auc(final, "p", "label"), F.lit(True))  # three rows
 
 
 @plan("tuning_trials")

@@ -41,17 +41,41 @@ def ensemble_metrics(spark, sf_dir):
 
 @plan("isotonic_calibration")
 def isotonic_calibration(spark, sf_dir):
-    """Brier score before and after each calibration, fitted on training rows."""
+    """Brier score on held-out rows before and after each calibration, fitted on the training rows' out-of-fold scores."""
     train, test = halves(spark, sf_dir)
-    m = ml.fit_all(train)["logistic"]
-    a, b = (ml.score_all({"x": m}, x).select("p_x", "label") for x in (train, test))
+    learner = ml.learners()["logistic"]
     brier = lambda df, s, name: df.agg(F.avg(F.pow(c(s) - c("label"), F.lit(2))).alias("brier")).select(F.lit(name).alias("method"), "brier")
-    out = brier(b, "p_x", "none")
-    for method in ("isotonic", "sigmoid"):
-        out = out.unionByName(brier(ml.calibrate(a, b, "p_x", "label", method), "calibrated", method))
+    done = {m: ml.calibrated_by_folds(train, test, learner, "label", "vec_id", m) for m in ("isotonic", "sigmoid")}
+    out = brier(done["isotonic"], "p", "none")
+    for method, df in done.items():
+        out = out.unionByName(brier(df, "calibrated", method))
     return out
 
 
+@plan("fold_areas")
+def fold_areas(spark, sf_dir):
+    """Area of each of five folds by a model of the other four."""
+    train, _ = halves(spark, sf_dir)
+    return ml.fold_areas(train, ml.learners()["logistic"], "label", "vec_id")
+
+
+@plan("prediction_intervals")
+def prediction_intervals(spark, sf_dir):
+    """Each held-out row's score with its interval over resampled models."""
+    train, test = halves(spark, sf_dir)
+    made = ml.prediction_intervals(train, test, ml.learners(weight="w")["logistic"], "vec_id")
+    return made.select("vec_id", "label", *[F.round(x, 6).alias(x) for x in ("mean", "std", "lo", "hi")])
+
+
+@plan("vote_contributions")
+def vote_contributions(spark, sf_dir):
+    """Each member's part of a held-out row's weighted vote."""
+    train, test = halves(spark, sf_dir)
+    weights = {"boosted": 0.4, "forest": 0.3, "logistic": 0.3}
+    s = ml.contributions(ml.soft_vote(ml.score_all(ml.fit_all(train), test), weights), weights)
+    return s.select("vec_id", F.round("p", 9).alias("p"), *[F.round(f"part_{n}", 9).alias(f"part_{n}") for n in weights])
+
+
 @plan("bootstrap_uncertainty")
 def bootstrap_uncertainty(spark, sf_dir):
     return ml.bootstrap_interval(frame(spark, sf_dir), "ml", "id")
@@ -65,15 +89,26 @@ def group_ablation(spark, sf_dir):
     return spark.createDataFrame([(n, a, rows[0][1] - a) for n, a in rows], "without string, auc double, lost double")
 
 
+TEXT_FEATURES = {
+    "n_chars": "length(text)", "n_words": r"size(split(text, '\\s+'))", "n_lines": r"size(split(text, '\n'))", "n_digits": "length(regexp_replace(text, '[^0-9]', ''))",
+    "n_upper": "length(regexp_replace(text, '[^A-Z]', ''))", "n_marks": r"length(regexp_replace(text, '[\\w\\s]', ''))", "toxic": "coalesce(toxic, -1)", "quality": "coalesce(quality, -1)",
+}
+
+
 @plan("source_prediction")
 def source_prediction(spark, sf_dir):
-    """Adversarial validation: can the features tell which half a row is from?"""
-    train, test = frames(spark, sf_dir)
-    side = lambda df: ml.assembled(df.withColumn("label", (c("id") % 2).cast("double")), COLUMNS)
-    models = {"forest": ml.learners()["forest"].fit(side(train))}
-    s = ml.score_all(models, side(test)).select(F.round("p_forest", 9).alias("p"), "label")
+    """Adversarial validation: can features of a text tell whether it is from the largest source? Proxies carry over .015 of the importance."""
+    labels = table(spark, sf_dir, "labels").dropDuplicates(["doc_id"])
+    d = table(spark, sf_dir, "documents").join(labels, "doc_id", "left").select("doc_id", "source", *[F.expr(v).cast("double").alias(k) for k, v in TEXT_FEATURES.items()])
+    largest = d.groupBy("source").count().orderBy(F.desc("count"), "source").first()
+    d = ml.assembled(d.withColumn("label", (c("source") == F.lit(largest[0] if largest else None)).cast("double")).where("label IS NOT NULL"), list(TEXT_FEATURES))
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(10))
+    models = {"forest": ml.learners()["forest"].fit(d.where(h < 7))}
+    s = ml.score_all(models, d.where(h >= 7)).select(F.round("p_forest", 9).alias("p"), "label")
     band = F.when(c("auc") > 0.95, "severe").when(c("auc") > 0.9, "high").when(c("auc") > 0.7, "moderate").otherwise("low")
-    return ev.auc(s, "p", "label").withColumn("band", band)
+    area = ev.auc(s, "p", "label").withColumn("band", band)
+    by = ml.importances(models, list(TEXT_FEATURES), spark).select("feature", "importance", "rank", (c("importance") > 0.015).alias("proxy"))
+    return by.join(area, F.lit(True))  # a row for each feature
 
 
 @plan("feature_importances")
@@ -83,6 +118,14 @@ def feature_importances(spark, sf_dir):
     return ml.importances(m, COLUMNS, spark)
 
 
+@plan("importance_comparison")
+def importance_comparison(spark, sf_dir):
+    """A row for each feature: its importance and rank in both tree models, their mean and how far the ranks are apart."""
+    i = feature_importances(spark, sf_dir)
+    by = i.groupBy("feature").pivot("model", ["boosted", "forest"]).agg(F.first("importance").alias("importance"), F.first("rank").alias("rank"))
+    return by.select("*", ((c("boosted_importance") + c("forest_importance")) / 2).alias("mean_importance"), F.abs(c("boosted_rank") - c("forest_rank")).alias("rank_gap"))
+
+
 @plan("one_versus_rest")
 def one_versus_rest(spark, sf_dir):
     """A binary model for each class with at least 20 positives."""
