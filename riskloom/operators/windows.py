@@ -1,30 +1,55 @@
 """Windows anchored at events: folds over each key's ordered times.
 
 A window opens at the first event that no open window covers, so each start depends on the one
-before; no fixed window expresses that. One key's times are one sorted array of longs: a limiter's
-keys (caller and path) are small by nature, and the streaming form keeps two numbers instead.
+before; no fixed window expresses that. Times come sorted by key, and the fold holds four numbers
+of the open key, whatever the number of its events; the streaming form keeps the same.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+
+def anchored(events: DataFrame, key: list[str], ts: Column, seconds: int, most: int, free: Column | None = None) -> DataFrame:
+    """key, n, over_limit, windows of events by key: `over_limit` events came after the window's first `most`.
+
+    Events for which `free` holds (private addresses, paths that aren't limited) take no part. Events
+    without a time don't either.
+    """
+    counted = events if free is None else events.where(~F.coalesce(free, F.lit(False)))
+    rows = counted.select(*key, F.unix_micros(ts.cast("timestamp")).alias("_t")).where("_t IS NOT NULL")
+    span, names = seconds * 1_000_000, [*key, "n", "over_limit", "windows"]
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state = None, None  # open, used, n, over, windows
 
-def anchored(events: DataFrame, key: list[str], ts: Column, seconds: int, most: int) -> DataFrame:
-    """key, n, over_limit, windows of events by key: `over_limit` events came after the window's first `most`."""
-    micros = F.unix_micros(ts.cast("timestamp"))
-    span = seconds * 1_000_000
-    start = F.struct(F.lit(None).cast("long").alias("open"), F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("excess"), F.lit(0).cast("long").alias("windows"))
+        def done():
+            return (*now, state[2], state[3], state[4])
 
-    def step(s, t):
-        new = s.open.isNull() | (t - s.open >= span)
-        used = F.when(new, F.lit(1).cast("long")).otherwise(s.used + 1)
-        return F.struct(F.when(new, t).otherwise(s.open).alias("open"), used.alias("used"), (s.excess + (used > most).cast("long")).alias("excess"), (s.windows + new.cast("long")).alias("windows"))
+        for pdf in batches:
+            out = []
+            for *k, t in pdf.itertuples(index=False):
+                k = [None if x != x else x for x in k]
+                if k != now:
+                    if now is not None:
+                        out.append(done())
+                    now, state = k, [None, 0, 0, 0, 0]
+                if state[0] is None or t - state[0] >= span:
+                    state[0], state[1], state[4] = t, 0, state[4] + 1
+                state[1] += 1
+                state[2] += 1
+                state[3] += state[1] > most
+            yield pd.DataFrame(out, columns=names)
+        if now is not None:
+            yield pd.DataFrame([done()], columns=names)
 
-    times = events.groupBy(*key).agg(F.sort_array(F.collect_list(micros)).alias("ts"))
-    done = times.select(*key, F.size("ts").cast("long").alias("n"), F.aggregate("ts", start, step).alias("s"))
-    return done.select(*key, "n", F.col("s.excess").alias("over_limit"), F.col("s.windows").alias("windows"))
+    kinds = StructType([*(events.schema[k] for k in key), *(StructField(n, LongType()) for n in names[len(key) :])])
+    return rows.repartition(*key).sortWithinPartitions(*key, "_t").mapInPandas(run, kinds)
 
 
 def cache_hits(events: DataFrame, key: list[str], ts: Column, ttl: int) -> DataFrame:

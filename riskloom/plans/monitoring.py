@@ -98,6 +98,27 @@ def cache_hit_rate(spark, sf_dir):
     return windows.cache_hits(table(spark, sf_dir, "events"), ["user_id", "event_type"], c("ts"), 43_200)
 
 
+@plan("rate_limited_paths", """
+    WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, epoch_us(ts) AS t FROM events WHERE event_type <> 'view' AND NOT (user_id % 7 = 0)),
+      w AS (SELECT user_id, i, t AS open, 1 AS used FROM e WHERE i = 1
+            UNION ALL SELECT e.user_id, e.i, CASE WHEN e.t - w.open >= 86400000000 THEN e.t ELSE w.open END, CASE WHEN e.t - w.open >= 86400000000 THEN 1 ELSE w.used + 1 END FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1)
+    SELECT user_id, count(*) AS n, count(*) FILTER (WHERE used > 3) AS over_limit, count(*) FILTER (WHERE used = 1) AS windows FROM w GROUP BY user_id""")
+def rate_limited_paths(spark, sf_dir):
+    """The same for limited paths only, private callers passing by."""
+    ip = F.when(c("user_id") % 7 == 0, F.concat(F.lit("10.0.0."), c("user_id"))).otherwise(F.concat(F.lit("203.0.113."), c("user_id")))
+    path = F.concat(F.lit("/api/"), c("event_type"))
+    private = ip.rlike(r"^(10\.|192\.168\.|127\.|172\.(1[6-9]|2[0-9]|3[01])\.)")
+    return windows.anchored(table(spark, sf_dir, "events"), ["user_id"], c("ts"), 86_400, 3, free=private | path.startswith("/api/view"))
+
+
+@plan("cache_errors", "SELECT event_type, count(*) AS requests, count(*) FILTER (WHERE try_cast(json_extract_string(props, '$.k') AS BIGINT) >= 90) AS errors, round(count(*) FILTER (WHERE try_cast(json_extract_string(props, '$.k') AS BIGINT) >= 90) / count(*)::DOUBLE, 6) AS error_rate FROM events GROUP BY event_type")
+def cache_errors(spark, sf_dir):
+    """Requests whose cache call failed, which count as neither hit nor miss."""
+    bad = F.coalesce(F.get_json_object("props", "$.k").try_cast("long") >= 90, F.lit(False))
+    by = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("requests"), F.count_if(bad).alias("errors"))
+    return by.withColumn("error_rate", F.round(c("errors") / c("requests"), 6))
+
+
 # Upper edges of the latency histogram.
 EDGES = [0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0]
 

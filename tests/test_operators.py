@@ -49,8 +49,7 @@ def test_graph_measures():
     assert (loop["cycles"], loop["components"], loop["longest"], loop["depth"], loop["exits"]) == (1, 2, 0, 3, 1)
     diamond = graph.measure({("a", "b"), ("a", "c"), ("b", "d"), ("c", "d")}, "a")
     assert (diamond["cycles"], diamond["longest"], diamond["depth"], diamond["frontier"]) == (0, 2, 2, 2)
-    with pytest.raises(ValueError):
-        graph.measure({(i, j) for i in range(8) for j in range(8) if i != j}, 0, limit=100)
+    assert graph.measure({(i, j) for i in range(8) for j in range(8) if i != j}, 0, limit=100)["cycles"] is None  # more than are listed
 
 
 def test_depths(spark):
