@@ -7,7 +7,8 @@ word by word. A text's language is the one with the largest mean probability ove
 have a letter; the score is that mean.
 
 The classifier is fitted on a bounded sample of labelled rows (`fit_texts` for each language, in
-hash order, whole texts); prediction covers every row and every word.
+hash order, whole texts), and on code-switched texts made of runs of two of those in turn, so that
+changes of language are seen and learned; prediction covers every row and every word.
 
 Defined results: null text or no letter: `und`, score 0. No labelled row: `und`, score 0.
 One label: that label. Repeated rows are predicted one by one. Null labels never train.
@@ -32,6 +33,7 @@ class Settings:
     fit_texts: int = 300  # labelled rows for each language
     buckets: int = 1 << 18
     lexicon: int = 20_000
+    switch: int = 4  # one code-switched text is made for so many labelled ones
     epochs: int = 6
     batch_tokens: int = 20_000
     rate: float = 0.2
@@ -111,10 +113,11 @@ def fit(rows: list[tuple[str, str]], settings: Settings) -> Model:
     labels = sorted({lang for _, lang in rows})
     at_label = {x: i for i, x in enumerate(labels)}
     texts = [(tokens(t), at_label[lang]) for t, lang in rows]
-    texts = [(w, y) for w, y in texts if w]
+    texts = [(w, np.full(len(w), y)) for w, y in texts if w]
+    texts += switched(texts, settings)
     k = len(labels)
     counts: dict[str, int] = {}
-    for w, _ in texts:
+    for w, _ in texts:  # switched texts count as well
         for x in set(w):
             counts[x] = counts.get(x, 0) + 1
     listed = sorted(counts, key=lambda x: (-counts[x], x))[: settings.lexicon]
@@ -133,13 +136,34 @@ def fit(rows: list[tuple[str, str]], settings: Settings) -> Model:
     return model
 
 
+def switched(texts: list, settings: Settings) -> list:
+    """Texts of runs of 3 to 40 words from two texts of different labels in turn, one for every `switch` texts."""
+    rng = np.random.default_rng(23)
+    out = []
+    for i in rng.permutation(len(texts))[: len(texts) // settings.switch].tolist():
+        j = int(rng.integers(len(texts)))
+        (a, y), (b, z) = texts[i], texts[j]
+        if y[0] == z[0]:
+            continue
+        words, gold, at = [], [], [0, 0]
+        for turn in range(12):
+            own, label = ((a, y), (b, z))[turn % 2]
+            run = own[at[turn % 2] : at[turn % 2] + int(rng.integers(3, 41))]
+            at[turn % 2] += len(run)
+            words += run
+            gold.append(label[: len(run)])
+        out.append((words, np.concatenate(gold)))
+    return out
+
+
 def _step(model: Model, batch: list, sums: list[np.ndarray], rate: float) -> None:
     distinct, at, lengths = _index([w for w, _ in batch])
     k = len(model.labels)
     scores = word_scores(model, distinct)
     layout = chain.Layout(lengths)
     seen = at[layout.order]
-    gold = np.repeat([y for _, y in batch], lengths)[layout.order]
+    named = np.concatenate([y for _, y in batch])
+    gold = named[layout.order]
     gamma, moves = chain.posteriors(layout, _exp(scores)[seen], np.exp(model.start), np.exp(model.move))
     wrong = np.eye(k)[gold] - gamma
     n = len(seen)
@@ -153,7 +177,9 @@ def _step(model: Model, batch: list, sums: list[np.ndarray], rate: float) -> Non
     inside = entry < outside
     first = layout.active[0]
     g_start = wrong[:first].sum(axis=0)
-    g_move = np.diag(np.bincount(np.repeat([y for _, y in batch], np.maximum(lengths - 1, 0)), minlength=k)).astype(float) - moves
+    inner = np.ones(len(named) - 1, bool)
+    inner[np.cumsum(lengths)[:-1] - 1] = False  # not from one text to the next
+    g_move = np.bincount(named[:-1][inner] * k + named[1:][inner], minlength=k * k).reshape(k, k).astype(float) - moves
     for x, s, rows, g in (
         (model.weights, sums[0], touched, g_weights / n), (model.lexicon_weights, sums[1], entry[inside], by_word[inside] / n),
         (model.start, sums[2], slice(None), g_start / n), (model.move, sums[3], slice(None), g_move / n),

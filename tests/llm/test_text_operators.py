@@ -158,6 +158,12 @@ def test_code_switched_words():
     layout = chain.Layout(n)
     gamma, _ = chain.posteriors(layout, crf._exp(crf.word_scores(m, seen))[at[layout.order]], np.exp(m.start), np.exp(m.move))
     assert gamma.argmax(axis=1).tolist() == [0] * 4 + [1] * 4
+    texts = [(crf.tokens(t), np.full(len(crf.tokens(t)), y)) for y, group in enumerate((de, fr)) for t in group]
+    made = crf.switched(texts, crf.Settings(switch=1))
+    assert made and all(len(w) == len(y) and {0, 1} == set(y.tolist()) for w, y in made)
+    assert all(set(w) <= set(crf.tokens(de[0] + fr[0])) and all((x in de[0]) == (not g) for x, g in zip(w, y.tolist(), strict=True) if x in de[0] and x not in fr[0]) for w, y in made)
+    alone = crf.fit([(t, "de") for t in de] + [(t, "fr") for t in fr], crf.Settings(buckets=1 << 12, switch=10**9))
+    assert m.move[0, 1] - m.move[0, 0] > alone.move[0, 1] - alone.move[0, 0]  # changes were seen
 
 
 def test_pieces_equal_the_library(spark, sf_dir, odd):
