@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.cleaning import finite
+from riskloom.operators.stats import quantiles
 
 # Engineered feature -> formula over the frame's columns.
 INTERACTIONS = {
@@ -66,8 +67,8 @@ def engineered(df: DataFrame) -> DataFrame:
 
 def fit_robust(train: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
     """Median and interquartile range (1 if it is 0) of each column, exact, from the training rows alone."""
-    row = train.agg(*[F.percentile(c, [0.25, 0.5, 0.75]).alias(c) for c in columns]).first()
-    return {c: (row[c][1], (row[c][2] - row[c][0]) or 1.0) for c in columns}
+    q = {(r.feature, r.p): r.value for r in quantiles(train, columns, [0.25, 0.5, 0.75]).collect()}  # three rows a column
+    return {c: (q[c, 0.5], (q[c, 0.75] - q[c, 0.25]) or 1.0) for c in columns if (c, 0.5) in q}
 
 
 def fit_standard(train: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:

@@ -168,3 +168,13 @@ def test_density_without_findings(spark):
     df = spark.createDataFrame([tuple([0] * len(names))], ", ".join(f"{n} long" for n in names))
     r = df.select(ex.cross_tier(True)["vulnerability_density"].alias("a"), ex.cross_tier(False)["vulnerability_density"].alias("b")).first()
     assert (r.a, r.b) == (0.0, 1.0)
+
+
+def test_exact_quantiles(spark):
+    r = np.random.default_rng(4)
+    cols = {"a": r.normal(size=1_001), "b": np.repeat([1.0, 2.0, 9.0], [500, 1, 500]), "c": np.full(1_001, 7.0), "d": r.lognormal(3, 2, 1_001)}
+    df = spark.createDataFrame([tuple(float(v[i]) for v in cols.values()) for i in range(1_001)] + [(None,) * 4], "a double, b double, c double, d double")
+    probs = [0.0, 0.01, 0.25, 0.333, 0.5, 0.75, 1.0]
+    got = {(q.feature, q.p): q.value for q in stats.quantiles(df, list(cols), probs, parts=8).collect()}
+    assert got == pytest.approx({(c, p): float(np.quantile(v, p)) for c, v in cols.items() for p in probs})
+    assert stats.quantiles(df.limit(0), ["a"], [0.5]).count() == 0
