@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from riskloom.operators import evaluation as ev
-from riskloom.operators import windows
+from riskloom.operators import registry, windows
 from riskloom.plans.base import Plan
 from riskloom.session import table
 
@@ -162,6 +162,58 @@ def registry_retained(spark, sf_dir):
     return r.withColumn("k", k).where("k <= 5").drop("k")
 
 
+#: column -> expression: a row for each version of a model
+VERSIONS = {
+    "model": "p_brand",
+    "semver": "p_size",
+    "auc": "round(avg(p_retailprice) / 2500, 6)",
+    "brier": "round(1 - avg(p_retailprice) / 2500, 6)",
+    "stage": "CASE WHEN p_size % 6 = 0 THEN 'production' WHEN p_size % 6 = 3 THEN 'retired' ELSE 'none' END",
+}
+VERSIONS_SQL = "(SELECT " + ", ".join(f"{v} AS {k}" for k, v in VERSIONS.items()) + " FROM part GROUP BY p_brand, p_size)"
+
+
+def versions(spark, sf_dir):
+    grouped = table(spark, sf_dir, "part").groupBy("p_brand", "p_size").agg(F.round(F.avg("p_retailprice") / 2500, 6).alias("auc"), F.round(1 - F.avg("p_retailprice") / 2500, 6).alias("brier"))
+    features = F.transform(F.sequence(c("p_size"), c("p_size") + 3), lambda i: F.concat(F.lit("f"), i % 5))
+    return grouped.select(c("p_brand").alias("model"), c("p_size").cast("long").alias("semver"), "auc", "brier", F.expr(VERSIONS["stage"]).alias("stage"), features.alias("features"))
+
+
+@plan("registry_compare", f"""
+    WITH v AS (SELECT *, min(semver) OVER (PARTITION BY model) AS lo, max(semver) OVER (PARTITION BY model) AS hi FROM {VERSIONS_SQL}),
+      b AS (SELECT model, max(auc) FILTER (WHERE semver = lo) AS a0, max(auc) FILTER (WHERE semver = hi) AS a1, max(brier) FILTER (WHERE semver = lo) AS b0, max(brier) FILTER (WHERE semver = hi) AS b1,
+              max(list_transform(range(4), lambda i: (semver + i) % 5)) FILTER (WHERE semver = lo) AS f0, max(list_transform(range(4), lambda i: (semver + i) % 5)) FILTER (WHERE semver = hi) AS f1 FROM v GROUP BY model)
+    SELECT model, metric, x AS first, y AS second, round(x - y, 6) AS difference, len(list_filter(f1, lambda e: NOT list_contains(f0, e))) AS added, len(list_filter(f0, lambda e: NOT list_contains(f1, e))) AS removed
+    FROM (SELECT model, 'auc' AS metric, a0 AS x, a1 AS y, f0, f1 FROM b UNION ALL SELECT model, 'brier', b0, b1, f0, f1 FROM b)""")
+def registry_compare(spark, sf_dir):
+    """The oldest and the newest version of each model."""
+    v = versions(spark, sf_dir)
+    ends = v.groupBy(c("model").alias("_e")).agg(F.min("semver").alias("lo"), F.max("semver").alias("hi"))
+    found = registry.compare(v.join(ends, c("model") == c("_e")), c("semver") == c("lo"), c("semver") == c("hi"))
+    return found.withColumn("difference", F.round("difference", 6))
+
+
+STAGED_SQL = f"""
+    SELECT model, semver, CASE WHEN semver = new THEN 'production' WHEN stage = 'production' AND new IS NOT NULL THEN 'retired' ELSE stage END AS stage
+    FROM (SELECT *, max(CASE WHEN auc > 0.4 AND semver % 6 <> 0 THEN semver END) OVER (PARTITION BY model) AS new FROM {VERSIONS_SQL})"""
+
+
+@plan("registry_promote", STAGED_SQL)
+def registry_promote(spark, sf_dir):
+    """The newest version with a large enough area goes to production; those that were there retire."""
+    return registry.promote(versions(spark, sf_dir), (c("auc") > 0.4) & (c("semver") % 6 != 0)).select("model", "semver", "stage")
+
+
+@plan("registry_rollback", f"""
+    WITH s AS ({STAGED_SQL}), n AS (SELECT *, max(CASE WHEN stage = 'production' THEN semver END) OVER (PARTITION BY model) AS now FROM s),
+      b AS (SELECT *, max(CASE WHEN stage = 'retired' AND semver < now THEN semver END) OVER (PARTITION BY model) AS back FROM n)
+    SELECT model, semver, CASE WHEN semver = back THEN 'production' WHEN stage = 'production' AND back IS NOT NULL THEN 'retired' ELSE stage END AS stage FROM b""")
+def registry_rollback(spark, sf_dir):
+    """The promotion taken back: the newest retired version before the one in production returns."""
+    staged = registry.promote(versions(spark, sf_dir), (c("auc") > 0.4) & (c("semver") % 6 != 0))
+    return registry.roll_back(staged).select("model", "semver", "stage")
+
+
 @plan("upsert_merge", """
     SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, coalesce(n.quality, o.quality) AS quality, coalesce(n.toxic, o.toxic) AS toxic, CASE WHEN o.doc_id IS NULL THEN 'inserted' WHEN n.doc_id IS NULL THEN 'kept' ELSE 'updated' END AS action
     FROM labels o FULL JOIN (SELECT doc_id, (n_chars % 2)::INT AS quality, 0 AS toxic FROM documents WHERE doc_id % 3 = 0) n ON o.doc_id = n.doc_id""")
