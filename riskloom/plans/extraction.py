@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskloom.operators import extraction as ex
+from riskloom.operators import sequence
 from riskloom.plans.base import FRAME_SQL, Plan, frame
 from riskloom.session import table
 
@@ -144,6 +145,42 @@ def ir_taint(spark, sf_dir):
     return ex.taint(relation(spark, sf_dir, "events", OPERATIONS), "contract", "pos", [0, 1])
 
 
+NODES = {
+    "function": "l_orderkey", "pos": "l_linenumber", "is_constructor": "l_orderkey % 11 = 0", "is_view": "l_orderkey % 5 = 0", "is_pure": "l_orderkey % 7 = 0",
+    "calls": "l_returnflag = 'R'", "writes": "l_linestatus = 'F'", "checked": "l_quantity > 25",
+}
+NODES_SQL = "(SELECT " + ", ".join(f"{v} AS {k}" for k, v in NODES.items()) + " FROM lineitem)"
+
+
+@plan("acting_call_write_order", f"""
+    WITH s AS (SELECT * FROM {NODES_SQL} WHERE NOT (is_constructor OR is_view OR is_pure)), a AS (SELECT function, min(CASE WHEN calls THEN pos END) AS fc, max(CASE WHEN writes THEN pos END) AS lw FROM s GROUP BY function)
+    SELECT function, max(CASE WHEN coalesce(lw >= fc, false) THEN 1 ELSE 0 END) AS violation, max(CASE WHEN coalesce(lw <= fc, false) THEN 1 ELSE 0 END) AS safe,
+           count(*) FILTER (WHERE writes AND pos <= fc)::INT AS before, count(*) FILTER (WHERE calls AND NOT checked AND pos < lw)::INT AS unchecked FROM s JOIN a USING (function) GROUP BY function""")
+def acting_call_write_order(spark, sf_dir):
+    """Writes after calls in functions that change state: no constructors, views or pure ones."""
+    nodes = ex.acts(relation(spark, sf_dir, "lineitem", NODES))
+    return sequence.call_write_rules(nodes, ["function"], "pos", F.col("calls"), F.col("writes"), F.col("checked"))
+
+
+#: columns of a mode, each one more tier than the one before; what is left out is metadata or gives the label away
+TIERS = [["num_functions", "num_external_calls", "max_complexity", "lines_of_code", "high", "medium", "low"], ["cei_violations", "cei_score", "state_after_call_count"], ["num_library_calls", "inheritance_depth"]]
+MODES = {"optimized": 1, "comprehensive": 2, "maximum": 3}
+
+
+def of_mode(df, mode: str):
+    """The id and the columns of a mode's tiers, in order; metadata and columns that give the label away are in none."""
+    return df.select("id", *[n for tier in TIERS[: MODES[mode]] for n in tier])
+
+
+@plan("mode_columns", f"""
+    SELECT 'comprehensive' AS mode, 10 AS columns, count(*) AS n, sum(num_functions + num_external_calls + max_complexity + lines_of_code + high + medium + low + cei_violations + state_after_call_count)::BIGINT AS total, round(sum(cei_score), 4) AS score FROM {FRAME_SQL}""")
+def mode_columns(spark, sf_dir):
+    """Columns picked by mode."""
+    d = of_mode(frame(spark, sf_dir), "comprehensive").drop("id")
+    whole = sum((F.col(n) for n in d.columns if n != "cei_score"), F.lit(0))
+    return d.agg(F.lit("comprehensive").alias("mode"), F.lit(len(d.columns)).alias("columns"), F.count("*").alias("n"), F.sum(whole).alias("total"), F.round(F.sum("cei_score"), 4).alias("score"))
+
+
 MORE = {
     "num_external_functions": "num_functions % 4", "num_public_functions": "num_functions % 3", "num_view_functions": "num_functions % 5", "num_payable_functions": "num_external_calls % 2",
     "total_state_reads": "num_state_vars % 7", "total_state_writes": "num_state_vars % 3", "has_arithmetic": "CASE WHEN detectors % 4 = 1 THEN 1 ELSE 0 END",
