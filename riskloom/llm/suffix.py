@@ -17,7 +17,7 @@ same search runs over words (`WORDS`): then windows are strings of so many words
    spans occur more than once in all. Suffixes are never compared or sorted again across shards.
    A key with one distinct span, whose gram occurs there once, has nothing to merge: its windows
    differ, and each occurs as often as the span.
-4. A key whose distinct spans hold more than `limit` bytes is settled by counting window digests
+4. A key whose distinct spans hold more than `limit` symbols (what a task can sort in some 400 MB) is settled by counting window digests
    instead, which spreads over the cluster whatever the key, so no task holds a key of unbounded
    size; its windows are found exactly as well.
 
@@ -367,7 +367,7 @@ def _window_digests(size: int, of: Alphabet, rows: int = 50_000):
     return run
 
 
-def repeated(docs: DataFrame, searches: list[tuple[int, Alphabet]], limit: int = 1 << 20, batch: int = 60_000) -> list[DataFrame]:
+def repeated(docs: DataFrame, searches: list[tuple[int, Alphabet]], limit: int = 1 << 22, batch: int = 60_000) -> list[DataFrame]:
     """For each (size, alphabet): doc_id, thash, runs (start, stop) of the repeated windows of the rows (doc_id, thash, text)."""
     found, members, singles = [], [], []
     for i, (size, of) in enumerate(searches):
@@ -379,8 +379,8 @@ def repeated(docs: DataFrame, searches: list[tuple[int, Alphabet]], limit: int =
         discard(all_spans)
         distinct = shared.groupBy("key", "digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "thash", "start", "windows", "twice")).alias("m"))
         distinct = stored(distinct.select("key", "digest", "n", "m.*"), "distinct-spans")
-        sizes = distinct.groupBy("key").agg(F.sum((F.col("windows") + F.lit(size - 1)).cast("long") * of.width).alias("bytes"), (F.max("twice") | (F.count("*") > 1)).alias("several"))
-        members.append(distinct.join(sizes.where("several").select("key", (F.col("bytes") > limit).alias("hot")), "key").withColumn("search", F.lit(i)))
+        sizes = distinct.groupBy("key").agg(F.sum((F.col("windows") + F.lit(size - 1)).cast("long")).alias("symbols"), (F.max("twice") | (F.count("*") > 1)).alias("several"))
+        members.append(distinct.join(sizes.where("several").select("key", (F.col("symbols") > limit).alias("hot")), "key").withColumn("search", F.lit(i)))
         alone = distinct.join(sizes.where("NOT several").select("key"), "key").where("n > 1")
         singles.append(stored(alone.select("key", "digest", F.array(F.struct(F.lit(0).alias("start"), F.col("windows").alias("stop"))).alias("runs")), "single-spans"))
         found.append((shared, distinct))
@@ -441,7 +441,7 @@ def _keep(size: int, as_text: bool, passage: int):
 RESULT = ["n_bytes", "n_removed", "n_spans", "n_passage_bytes", "kept"]
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 400, limit: int = 1 << 20, as_text: bool = False, passage: int = 0) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 400, limit: int = 1 << 22, as_text: bool = False, passage: int = 0) -> DataFrame:
     """All columns of `docs` but the text, then n_bytes, n_removed, n_spans, n_passage_bytes and kept.
 
     n_removed and n_spans tell of the strings of `size` bytes, which are cut out of `kept` (binary).
