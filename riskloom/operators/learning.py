@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.operators import evaluation as ev
+from riskloom.operators.engineering import hash_ranks
 
 
 def learners(label: str = "label", weight: str | None = None) -> dict:
@@ -187,3 +189,39 @@ def importances(models: dict, columns: list[str], spark) -> DataFrame:
     rows = [(n, c, float(v)) for n, m in models.items() if hasattr(m, "featureImportances") for c, v in zip(columns, m.featureImportances.toArray(), strict=True)]
     df = spark.createDataFrame(rows, "model string, feature string, importance double")
     return df.withColumn("rank", F.row_number().over(Window.partitionBy("model").orderBy(F.col("importance").desc(), "feature")))
+
+
+def stratified_fold(df: DataFrame, label: str, key: str, folds: int = 5, seed: int = 42) -> DataFrame:
+    """`df` with fold: within each class, rows in the order of a hash of the key are dealt in turn."""
+    return hash_ranks(df, label, key, seed).withColumn("fold", F.pmod(F.col("_k"), F.lit(folds))).drop("_k", "_n")
+
+
+def fold_scores(df: DataFrame, learner, label: str, key: str, folds: int = 5, seed: int = 42) -> DataFrame:
+    """key, label, fold, p: each row's score by a scaler and model fitted, as one pipeline, on the other stratified folds.
+
+    `learner` reads the column `scaled`; rows without a label take no part.
+    """
+    dealt = stratified_fold(df.where(F.col(label).isNotNull()), label, key, folds, seed).persist()
+    parts = []
+    for i in range(folds):
+        line = Pipeline(stages=[StandardScaler(inputCol="features", outputCol="scaled", withMean=True), learner]).fit(dealt.where(F.col("fold") != i))
+        parts.append(score_all({"x": line}, dealt.where(F.col("fold") == i)).select(key, label, "fold", F.col("p_x").alias("p")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def fold_metrics(scored: DataFrame, label: str, fold: str = "fold") -> DataFrame:
+    """fold, n, positives, auc (ties count half; null without either class), accuracy at 0.5, brier; one more row for all folds (null).
+
+    Areas of all folds come from one pass: scores are counted by level, levels are dealt into ranges of the fold, so no window holds a whole fold.
+    """
+    both = scored.select(F.explode(F.array(F.col(fold).cast("int"), F.lit(None).cast("int"))).alias("fold"), F.col("p").cast("double").alias("p"), F.col(label).cast("double").alias("y"))
+    plain = both.groupBy("fold").agg(F.count("*").alias("n"), F.count_if(F.col("y") == 1).alias("positives"), F.avg(((F.col("p") > 0.5) == (F.col("y") == 1)).cast("int")).alias("accuracy"), F.avg(F.pow(F.col("p") - F.col("y"), F.lit(2))).alias("brier"))
+    return plain.join(ev.areas(both, ["fold"], "p", "y"), plain["fold"].eqNullSafe(F.col("_fold")), "left").drop("_fold")
+
+
+def holdout_rows(models: dict, df: DataFrame, key: str, label: str, threshold: float = 0.5) -> DataFrame:
+    """A row for each held-out row and model: key, model, label, p, predicted, correct."""
+    scored = score_all(models, df)
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("model"), F.col(f"p_{n}").alias("p")) for n in models])).alias("m")
+    predicted = (F.col("m.p") > threshold).cast("int")
+    return scored.select(key, F.col(label).cast("int").alias("label"), each).select(key, "m.model", "label", "m.p", predicted.alias("predicted"), (predicted == F.col("label")).alias("correct"))

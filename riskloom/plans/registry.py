@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.plans import connectors, engineering, extraction, extras, features, learning, monitoring, quality, scalar, scoring
+from riskloom.plans import connectors, engineering, extraction, extras, features, learning, models, monitoring, quality, scalar, scoring
 
-MODULES = (quality, scalar, features, extraction, engineering, scoring, monitoring, learning, extras, connectors)
+MODULES = (quality, scalar, features, extraction, engineering, scoring, monitoring, learning, models, extras, connectors)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

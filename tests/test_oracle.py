@@ -8,8 +8,8 @@ import pytest
 from riskloom.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-# run by test_learning.py
-SLOW = {"fold_areas", "prediction_intervals", "vote_contributions", "importance_comparison", "ensemble_metrics", "group_ablation", "feature_importances", "isotonic_calibration", "bootstrap_uncertainty", "one_versus_rest", "source_prediction", "ensemble_weights", "tuning_trials"}
+# run by test_learning.py and test_models.py
+SLOW = {"fold_areas", "prediction_intervals", "vote_contributions", "importance_comparison", "ensemble_metrics", "group_ablation", "feature_importances", "isotonic_calibration", "bootstrap_uncertainty", "one_versus_rest", "source_prediction", "ensemble_weights", "tuning_trials"} | {"adaptive_search", "search_summary", "optimised_weights", "tree_attribution", "fold_metrics", "holdout_correctness"}
 
 
 @pytest.fixture(scope="session")
