@@ -1,4 +1,10 @@
-"""Graph measures: degrees and depths as DataFrame steps, cycle measures for each bounded graph."""
+"""Graph measures over many graphs at once: degrees, depths, components, cycles, paths and dominance as joins over (key, node).
+
+A graph is the rows of one key (a function, a contract): nodes as (key..., node), edges as (key..., src, dst).
+Rounds go on until nothing changes, so there is no bound on depth, and no graph is handed to one call as
+a whole (`measures`, for small graphs, is the older form). Edges that stand twice count once; edges between
+nodes that aren't listed are an error of the caller's.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.operators.rounds import facts, kept, settled
+
 
 def degrees(edges: DataFrame, key: list[str]) -> DataFrame:
     """node, out_degree, in_degree of (key..., src, dst) rows; a node of any edge has a row."""
@@ -92,3 +100,133 @@ def measures(edges: DataFrame, key: str, entry: str) -> DataFrame:
         return pd.DataFrame([{key: pdf[key].iloc[0], **measure(own, pdf[entry].iloc[0])}])
 
     return edges.select(key, "src", "dst", entry).distinct().groupBy(key).applyInPandas(run, f"{key} {kind}, {MEASURES}")
+
+
+def along(edges: DataFrame, rows: DataFrame, key: list[str], back: bool = False) -> DataFrame:
+    """`rows` (key, node, ...) with `next`: where each edge from the node leads, or comes from."""
+    here, there = ("dst", "src") if back else ("src", "dst")
+    return rows.join(edges.select(*key, F.col(here).alias("node"), F.col(there).alias("next")), [*key, "node"])
+
+
+def reached(edges: DataFrame, starts: DataFrame, key: list[str]) -> DataFrame:
+    """key, root, node, round: the fewest steps to each node from each root in `starts` (key, root)."""
+    first = starts.select(*key, "root", F.col("root").alias("node"))
+    return facts(first, lambda new: along(edges, new, key).select(*key, "root", F.col("next").alias("node")))
+
+
+def components(nodes: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
+    """key, node, component (the largest node of the strong component), size, cyclic.
+
+    In each pass nodes get two colours: the largest node that reaches them and the largest that they reach. Nodes of a component share
+    both, and where both are equal the component is that node's. The rest goes on in groups of equal colours, edges between groups left out;
+    the largest node of a group finds its component, so every pass ends some.
+    """
+    left, own = nodes.select(*key, "node").distinct(), edges.where("src != dst").select(*key, "src", "dst").distinct()
+    done = None
+    while True:
+        state = left.select(*key, "node", F.col("node").alias("f"), F.col("node").alias("b"))
+
+        def pass_on(now: DataFrame, own=own) -> DataFrame:
+            forth = along(own, now, key).select(*key, F.col("next").alias("node"), "f", F.lit(None).alias("b"), F.lit(None).alias("f0"), F.lit(None).alias("b0"))
+            back = along(own, now, key, back=True).select(*key, F.col("next").alias("node"), F.lit(None).alias("f"), "b", F.lit(None).alias("f0"), F.lit(None).alias("b0"))
+            both = now.select("*", F.col("f").alias("f0"), F.col("b").alias("b0")).unionByName(forth).unionByName(back)
+            most = both.groupBy(*key, "node").agg(*[F.max(c).alias(c) for c in ("f", "b", "f0", "b0")])
+            return most.withColumn("_changed", (F.col("f") != F.col("f0")) | (F.col("b") != F.col("b0")))
+
+        coloured = settled(state, pass_on)
+        found = coloured.where("f = b").select(*key, "node", F.col("f").alias("component"))
+        done = found if done is None else done.unionByName(found)
+        rest = coloured.where("f != b")
+        if rest.isEmpty():
+            break
+        colour = lambda end: rest.select(*key, F.col("node").alias(end), F.col("f").alias(f"f_{end}"), F.col("b").alias(f"b_{end}"))  # noqa: E731, B023
+        inside = own.join(colour("src"), [*key, "src"]).join(colour("dst"), [*key, "dst"]).where("f_src = f_dst AND b_src = b_dst")
+        left, own = rest.select(*key, "node"), kept(inside.select(*key, "src", "dst"), "edges")
+    done = kept(done, "components")
+    sizes = done.groupBy(*key, "component").agg(F.count("*").alias("size"))
+    loops = edges.where("src = dst").select(*key, F.col("src").alias("node")).distinct().withColumn("_loop", F.lit(True))
+    both = done.join(sizes, [*key, "component"]).join(loops, [*key, "node"], "left")
+    return both.select(*key, "node", "component", "size", ((F.col("size") > 1) | F.coalesce("_loop", F.lit(False))).alias("cyclic"))
+
+
+def longest_paths(nodes: DataFrame, edges: DataFrame, parts: DataFrame, key: list[str]) -> DataFrame:
+    """key, longest: edges of the longest path of each graph, 0 for graphs with a cycle. `parts`: its `components`."""
+    plain = parts.groupBy(*key).agg(F.max(F.col("cyclic").cast("int")).alias("c")).where("c = 0").select(*key)
+    own = kept(edges.select(*key, "src", "dst").distinct().join(plain, key, "left_semi"), "acyclic")
+
+    def longer(now: DataFrame) -> DataFrame:
+        more = along(own, now, key).select(*key, F.col("next").alias("node"), (F.col("d") + 1).alias("d"), F.lit(None).cast("int").alias("d0"))
+        most = now.withColumn("d0", F.col("d")).unionByName(more).groupBy(*key, "node").agg(F.max("d").alias("d"), F.max("d0").alias("d0"))
+        return most.withColumn("_changed", F.col("d") != F.col("d0"))
+
+    start = nodes.select(*key, "node").distinct().join(plain, key, "left_semi").withColumn("d", F.lit(0))
+    found = settled(start, longer).groupBy(*key).agg(F.max("d").alias("longest"))
+    return nodes.select(*key).distinct().join(found, key, "left").select(*key, F.coalesce("longest", F.lit(0)).alias("longest"))
+
+
+def simple_cycles(edges: DataFrame, parts: DataFrame, key: list[str]) -> DataFrame:
+    """key, cycles: how many simple cycles each graph with any has, each found once, from its smallest node.
+
+    Paths grow by a join a round, inside a strong component only. There can be exponentially many in one component: they are rows of
+    their own, spread over the cluster, and all are counted.
+    """
+    colour = lambda end: parts.where("cyclic").select(*key, F.col("node").alias(end), F.col("component").alias(f"c_{end}"))
+    own = kept(edges.select(*key, "src", "dst").distinct().join(colour("src"), [*key, "src"]).join(colour("dst"), [*key, "dst"]).where("c_src = c_dst").select(*key, "src", "dst"), "inside")
+
+    def grow(new: DataFrame) -> DataFrame:
+        on = along(own, new.where("NOT closed"), key).where("next >= start")
+        closed = F.col("next") == F.col("start")
+        return on.where(closed | ~F.array_contains("path", F.col("next"))).select(*key, "start", F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path"), closed.alias("closed"))
+
+    first = own.select(*key, F.col("src").alias("start"), F.col("src").alias("node"), F.array("src").alias("path"), F.lit(False).alias("closed"))
+    return facts(first, grow, once=True).where("closed").groupBy(*key).agg(F.count("*").alias("cycles"))
+
+
+def dominance(edges: DataFrame, entries: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(key, dominator, node) and (key, node, frontier) of the nodes that the entry in `entries` (key, root) reaches.
+
+    d dominates n if no path from the entry to n leaves d out; so the facts are (left out, node), each derived once, and what isn't one is
+    a pair of dominance: as many as a function has nodes, squared, dealt over tasks. The frontier of n: nodes that n doesn't strictly
+    dominate, with an edge from a node that n dominates.
+    """
+    live = kept(reached(edges, entries, key).select(*key, "root", "node"), "live")
+    own = edges.select(*key, "src", "dst").distinct()
+    start = live.where("node != root").select(*key, F.col("node").alias("gone"), F.col("root").alias("node"))
+    around = facts(start, lambda new: along(own, new, key).where("next != gone").select(*key, "gone", F.col("next").alias("node"))).drop("round")
+    pairs = live.select(*key, F.col("node").alias("gone")).join(live.select(*key, "node"), key)
+    over = kept(pairs.join(around, [*key, "gone", "node"], "left_anti").select(*key, F.col("gone").alias("dominator"), "node"), "dominance")
+    onward = over.join(own.select(*key, F.col("src").alias("node"), F.col("dst").alias("frontier")), [*key, "node"]).select(*key, F.col("dominator").alias("node"), "frontier").distinct()
+    strict = over.where("dominator != node").select(*key, F.col("dominator").alias("node"), F.col("node").alias("frontier"))
+    return over, onward.join(strict, [*key, "node", "frontier"], "left_anti")
+
+
+def flow_measures(nodes: DataFrame, edges: DataFrame, entries: DataFrame, key: list[str]) -> DataFrame:
+    """A row for each control-flow graph: nodes, edges (all), cycles, complex (over one cycle), depth, exits, dominators (nodes reached, each
+    with its dominators), frontiers (nodes with a frontier), frontier_pairs. `nodes` has `exit`, whether the node leaves the function."""
+    listed = nodes.groupBy(*key).agg(F.count("*").alias("nodes"), F.count_if("exit").alias("exits"))
+    ones = edges.select(*key, "src", "dst").distinct()
+    parts = components(nodes, ones, key)
+    depth = reached(ones, entries, key).groupBy(*key).agg(F.max("round").alias("depth"), F.count("*").alias("dominators"))
+    _, frontier = dominance(ones, entries, key)
+    fronts = frontier.groupBy(*key).agg(F.countDistinct("node").alias("frontiers"), F.count("*").alias("frontier_pairs"))
+    out = listed
+    for more in (edges.groupBy(*key).agg(F.count("*").alias("edges")), simple_cycles(ones, parts, key), depth, fronts):
+        out = out.join(more, key, "left")
+    out = out.na.fill(0, ["edges", "cycles", "depth", "dominators", "frontiers", "frontier_pairs"])
+    return out.select(*key, "nodes", "edges", "cycles", (F.col("cycles") > 1).cast("int").alias("complex"), "depth", "exits", "dominators", "frontiers", "frontier_pairs")
+
+
+def call_measures(nodes: DataFrame, edges: DataFrame, roots: DataFrame, key: list[str], many: int = 3) -> DataFrame:
+    """A row for each call graph: functions, calls (all), depth from any of `roots` (key, root), cycles, leaves, fan_out, fan_in, components,
+    longest path (0 with a cycle), critical (functions with `many` callers or more)."""
+    every, ones = nodes.select(*key, "node").distinct(), edges.select(*key, "src", "dst").distinct()
+    parts = kept(components(every, ones, key), "parts")
+    by = every.join(degrees(ones, key), [*key, "node"], "left").na.fill(0, ["out_degree", "in_degree"]).groupBy(*key).agg(
+        F.count("*").alias("functions"), F.count_if(F.col("out_degree") == 0).alias("leaves"), F.max("out_degree").alias("fan_out"), F.max("in_degree").alias("fan_in"), F.count_if(F.col("in_degree") >= many).alias("critical"))
+    joined = (
+        edges.groupBy(*key).agg(F.count("*").alias("calls")), reached(ones, roots, key).groupBy(*key).agg(F.max("round").alias("depth")), simple_cycles(ones, parts, key),
+        parts.groupBy(*key).agg(F.countDistinct("component").alias("components")), longest_paths(every, ones, parts, key),
+    )
+    for more in joined:
+        by = by.join(more, key, "left")
+    return by.na.fill(0, ["calls", "depth", "cycles"]).select(*key, "functions", "calls", "depth", "cycles", "leaves", "fan_out", "fan_in", "components", "longest", "critical")
