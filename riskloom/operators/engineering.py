@@ -127,21 +127,37 @@ def split(df: DataFrame, label: str, key: str, shares: tuple[float, float] = (0.
     return one.select(*df.columns, F.when(r < shares[0], "train").when(r < shares[1], "val").otherwise("test").alias("split"))
 
 
-def mixup(df: DataFrame, columns: list[str], label: str, key: str, alpha: float = 0.2, share: float = 0.5, seed: int = 42) -> DataFrame:
-    """Convex mixes of pairs of rows; partners are drawn within blocks of about 512 rows, never by a cross join."""
-    a = df.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1000)) < F.lit(int(share * 1000)))
-    blocks = max(1, -(-a.count() // 512))
-    rows = a.select(key, label, *columns).withColumn("_b", F.pmod(F.xxhash64(key, F.lit(seed + 1)), F.lit(blocks)))
-    kind = ", ".join(f"{c} double" for c in [label, *columns])
-
-    def mix(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        rng = np.random.default_rng([seed, int(pdf["_b"].iloc[0])])
-        lam = rng.beta(alpha, alpha, len(pdf))[:, None]
-        own = pdf[[label, *columns]].to_numpy(float)
-        return pd.DataFrame(lam * own + (1 - lam) * own[rng.permutation(len(pdf))], columns=[label, *columns])
-
-    return rows.groupBy("_b").applyInPandas(mix, kind)
+def beta_quantiles(alpha: float, parts: int = 2_048) -> list[float]:
+    """The symmetric beta distribution's quantiles at 0, 1/parts, ... 1, by integration over x ** alpha, where its density has no pole."""
+    s = np.linspace(0.0, 0.5**alpha, 20_001)
+    x = s ** (1 / alpha)
+    density = (1 - x) ** (alpha - 1)
+    below = np.concatenate([[0.0], np.cumsum((density[1:] + density[:-1]) / 2 * np.diff(s))])
+    half = np.interp(np.linspace(0, 0.5, parts // 2 + 1), below / below[-1] / 2, x)
+    return [*half.tolist(), *(1 - half[-2::-1]).tolist()]
+
+
+def mixup(df: DataFrame, columns: list[str], label: str, key: str, alpha: float = 0.2, share: float = 0.5, factor: float = 2.0, seed: int = 42) -> DataFrame:
+    """New rows: convex mixes of two rows of the whole table, min(share * n, (factor - 1) * n) of them, rounded down.
+
+    Rows are ranked by a hash of the key; the first of them mix with the rows a seeded turn further on, so partners
+    come from anywhere and are met by a join on the rank. A mix's share is beta(alpha, alpha), from a hash of its rank.
+    Fewer than two rows give none. Nulls in a column make its mix null.
+    """
+    ranked = hash_ranks(df.select(key, label, *columns).withColumn("_all", F.lit(1)), "_all", key, seed, [label, *columns])
+    n = df.count()
+    many = min(int(n * share), int(n * (factor - 1)))
+    if n < 2 or many <= 0:
+        return df.select(*[F.col(c).cast("double").alias(c) for c in [label, *columns]]).limit(0)
+    turn = 1 + int(np.random.default_rng(seed).integers(n - 1))
+    table = beta_quantiles(alpha)
+    first = ranked.where(F.col("_k") <= many).select("_k", (F.pmod(F.col("_k") - 1 + turn, F.lit(n)) + 1).alias("_with"), *[F.col(c).cast("double").alias(c) for c in [label, *columns]])
+    other = ranked.select(F.col("_k").alias("_with"), *[F.col(c).cast("double").alias(f"_{c}") for c in [label, *columns]])
+    at = (F.pmod(F.xxhash64("_k", F.lit(seed + 1)), F.lit(1_000_003)) + 0.5) / 1_000_003 * (len(table) - 1)
+    both = first.join(other, "_with").withColumn("_at", at).withColumn("_i", F.floor("_at").cast("int"))
+    low, high = F.get(F.lit(table), F.col("_i")), F.get(F.lit(table), F.col("_i") + 1)
+    mixed = both.withColumn("_l", low + (high - low) * (F.col("_at") - F.col("_i")))
+    return mixed.select(*[(F.col("_l") * F.col(c) + (1 - F.col("_l")) * F.col(f"_{c}")).alias(c) for c in [label, *columns]])
 
 
 def jitter(df: DataFrame, columns: list[str], key: str, sigma: float = 0.05, share: float = 0.3, seed: int = 42) -> DataFrame:

@@ -12,22 +12,9 @@ def by_level(df: DataFrame, score: str, label: str) -> DataFrame:
     return df.where(F.col(score).isNotNull() & y.isNotNull()).groupBy(F.col(score).alias("score")).agg(F.count_if(y == 1).alias("pos"), F.count_if(y != 1).alias("neg"))
 
 
-def auc(df: DataFrame, score: str, label: str, buckets: int = 256) -> DataFrame:
-    """Exact area under the curve, ties counting half: null if a class is missing.
-
-    Levels are dealt into ranges of the score; negatives below are a running sum within a range plus
-    the ranges before, so no window holds more than one range.
-    """
-    levels = by_level(df, score, label)
-    lo, hi = levels.agg(F.min("score"), F.max("score")).first()
-    width = ((hi or 0) - (lo or 0)) or 1
-    b = F.least(F.lit(buckets - 1), F.floor((F.col("score") - F.lit(lo or 0)) / F.lit(width) * buckets)).cast("int")
-    dealt = levels.withColumn("b", b)
-    before = F.coalesce(F.sum("neg").over(Window.partitionBy("b").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    pairs = dealt.withColumn("w", F.col("pos") * (before + F.col("neg") / 2)).groupBy("b").agg(F.sum("w").alias("w"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    lower = F.coalesce(F.sum("neg").over(Window.partitionBy(F.lit(1)).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # over `buckets` rows
-    total = pairs.withColumn("w", F.col("w") + F.col("pos") * lower)
-    return total.agg(F.try_divide(F.sum("w"), (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"))
+def auc(df: DataFrame, score: str, label: str, parts: int = 64) -> DataFrame:
+    """One row: the exact area under the curve, ties counting half; null if a class is missing."""
+    return areas(df, [], score, label, parts)
 
 
 def areas(df: DataFrame, by: list[str], score: str, label: str, parts: int = 64) -> DataFrame:
@@ -81,12 +68,11 @@ def grid(df: DataFrame, ml: str, other: str, label: str, shares: list[float], th
     return rates(counts)
 
 
-def two_sample_ks(df: DataFrame, value: str, side: Column, buckets: int = 256) -> DataFrame:
-    """Largest gap between two empirical distributions, exact, from counts by value dealt into ranges."""
+def two_sample_ks(df: DataFrame, value: str, side: Column, parts: int = 64) -> DataFrame:
+    """Largest gap between two empirical distributions, exact, from counts by value dealt into ranges at quantiles of the values."""
     v = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count_if(side).alias("a"), F.count_if(~side).alias("b"))
-    lo, hi = v.agg(F.min("v"), F.max("v")).first()
-    width = ((hi or 0) - (lo or 0)) or 1
-    dealt = v.withColumn("k", F.least(F.lit(buckets - 1), F.floor((F.col("v") - F.lit(lo or 0)) / F.lit(width) * buckets)).cast("int"))
+    cuts = sorted(set(v.agg(F.percentile_approx("v", [i / parts for i in range(1, parts)], 20 * parts)).first()[0] or []))
+    dealt = v.withColumn("k", F.size(F.filter(F.lit([float(x) for x in cuts]), lambda x: x < F.col("v"))) if cuts else F.lit(0))
     run = Window.partitionBy("k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     inner = dealt.select("k", F.sum("a").over(run).alias("ca"), F.sum("b").over(run).alias("cb"))
     sums = dealt.groupBy("k").agg(F.sum("a").alias("sa"), F.sum("b").alias("sb"))

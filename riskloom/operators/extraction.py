@@ -56,14 +56,14 @@ def any_of(text: Column, words: list[str]) -> Column:
 def flag_vector(findings: DataFrame, key: str, name: Column, detector: str = "detector", impact: str = "impact", description: str = "description") -> DataFrame:
     """A row for each key: its flags and severity counts, from the findings whose description names it.
 
-    Informational findings count as low.
+    Informational findings count as low; `fired` is the number of detectors that stand under a flag.
     """
     own = findings.where(F.contains(F.lower(description), F.lower(name)))
     flag = F.create_map(*[F.lit(x) for kv in FLAG_OF.items() for x in kv])[c(detector)]
     known = own.withColumn("_flag", flag).groupBy(key).agg(
         *[F.max(F.coalesce(c("_flag") == f, F.lit(False)).cast("int")).alias(f) for f in FLAGS],
         F.count_if(c(impact) == "high").alias("high"), F.count_if(c(impact) == "medium").alias("medium"), F.count_if(c(impact).isin("low", "informational")).alias("low"),
-        F.countDistinct(detector).alias("fired"),
+        F.countDistinct(F.when(c("_flag").isNotNull(), c(detector))).alias("fired"),
     )
     return findings.select(key).distinct().join(known, key, "left").na.fill(0)
 

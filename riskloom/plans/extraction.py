@@ -77,7 +77,7 @@ def _has(flag: str, *detectors: str) -> str:
       {_has('has_boolean_constant_misuse', 'boolean-cst', 'boolean-equal')}, {_has('has_divide_before_multiply', 'divide-before-multiply')}, {_has('has_weak_randomness', 'weak-prng')},
       {_has('has_assembly_usage', 'assembly', 'incorrect-assembly')}, {_has('has_low_level_calls', 'low-level-calls', 'controlled-array-length')},
       count(*) FILTER (WHERE own AND impact = 'high') AS high, count(*) FILTER (WHERE own AND impact = 'medium') AS medium, count(*) FILTER (WHERE own AND impact IN ('low', 'informational')) AS low,
-      count(DISTINCT CASE WHEN own THEN detector END) AS fired
+      count(DISTINCT CASE WHEN own AND detector <> 'other-finding' THEN detector END) AS fired
     FROM (SELECT *, contains(lower(description), lower(name)) AS own FROM {FINDINGS_SQL}) GROUP BY contract""")
 def flag_vector(spark, sf_dir):
     """23 flags and severity counts from the findings that name their contract."""

@@ -178,3 +178,27 @@ def test_exact_quantiles(spark):
     got = {(q.feature, q.p): q.value for q in stats.quantiles(df, list(cols), probs, parts=8).collect()}
     assert got == pytest.approx({(c, p): float(np.quantile(v, p)) for c, v in cols.items() for p in probs})
     assert stats.quantiles(df.limit(0), ["a"], [0.5]).count() == 0
+
+
+def test_mixup_partners(spark):
+    """As many rows as the growth allows, each between two rows of any two partitions; shares are beta."""
+    import numpy as np
+
+    from riskloom.operators import engineering as fe
+
+    n = 3_000
+    df = spark.createDataFrame([(i, float(i % 2), float(i)) for i in range(n)], "id long, y double, x double").repartition(6)
+    ranks = {r._k: r.x for r in fe.hash_ranks(df.withColumn("_all", F.lit(1)), "_all", "id", 42, ["y", "x"]).collect()}
+    turn = 1 + int(np.random.default_rng(42).integers(n - 1))
+    want = sorted((min(ranks[k], ranks[(k - 1 + turn) % n + 1]), max(ranks[k], ranks[(k - 1 + turn) % n + 1])) for k in range(1, n // 2 + 1))
+    got = sorted(r.x for r in fe.mixup(df, ["x"], "y", "id").collect())
+    assert len(got) == n // 2 and all(any(a - 1e-6 <= v <= b + 1e-6 for a, b in want) for v in got[:50])
+    apart = [abs(ranks[k] - ranks[(k - 1 + turn) % n + 1]) for k in range(1, n // 2 + 1)]
+    assert np.mean(apart) > n / 4  # a third of n for pairs from anywhere
+    assert fe.mixup(df, ["x"], "y", "id", factor=1.1).count() == 300 and fe.mixup(df, ["x"], "y", "id", factor=1.0).count() == 0
+    assert fe.mixup(df.limit(1), ["x"], "y", "id", share=1.0).count() == 0
+    q = np.array(fe.beta_quantiles(0.2))
+    rng = np.random.default_rng(1).beta(0.2, 0.2, 200_000)
+    assert np.abs(np.quantile(rng, np.linspace(0.05, 0.95, 19)) - np.interp(np.linspace(0.05, 0.95, 19), np.linspace(0, 1, len(q)), q)).max() < 0.01
+    y = np.array([r.y for r in fe.mixup(df, ["x"], "y", "id").collect()])
+    assert ((y > 0) & (y < 1)).mean() > 0.3
