@@ -1,7 +1,8 @@
 """Derived web-archive records: responses to linked metadata and plain-text conversion records.
 
 Pages become `response` records; WARC files of those are written and read by Spark, a part file
-being a whole archive (`write`, `read`). `derive` turns responses into a `metadata` record (title,
+being a whole archive (`write`, `read`); archives of other writers are read as well: header names in any case,
+with a blank after the colon or none. A foreign X-Page-Id that is no number gives no page id. `derive` turns responses into a `metadata` record (title,
 language, links) and a `conversion` record (the page's text). Both name the response by
 WARC-Refers-To and keep the source's target URI, date and payload digest, whatever the source says
 they are; the conversion also names its metadata record as concurrent. Record ids are name-based
@@ -21,6 +22,7 @@ import base64
 import gzip
 import hashlib
 import html as entities
+import io
 import re
 import uuid
 
@@ -34,11 +36,13 @@ DATE = "1970-01-01T00:00:00Z"  # of pages that come without one
 BLOCKS = frozenset("address article aside blockquote body br dd div dl dt figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol option p pre section table td th tr ul".split())
 RAW = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "noscript", "template")}
 NAME = re.compile(r"<(?:[!?]|(/?)([a-zA-Z][^\s/>]*))")
-ATTRIBUTE = re.compile(r"([^\s=/\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'][^\s]*))")
+ATTRIBUTE = re.compile(r"(?<![^\s=/\"'])([^\s=/\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'][^\s]*))")
 TITLE_END = re.compile(r"</title", re.I)
 BLANKS = re.compile(r"[^\S\n]+")
 LONG_NUMBER = re.compile(r"&#[0-9]{1000,};?")  # stands for no character, but is more than int() takes
 END = "\r\n\r\n"
+# Header names of the format, which are case-insensitive
+HEADERS = {x.lower(): x for x in "WARC-Type WARC-Record-ID WARC-Date WARC-Target-URI WARC-Payload-Digest WARC-Block-Digest WARC-Refers-To WARC-Concurrent-To Content-Length Content-Type".split()}
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the standard one for URLs
 
 
@@ -124,18 +128,47 @@ def serialise(headers: list[tuple[str, str | None]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + lines.encode() + f"Content-Length: {len(block)}\r\n\r\n".encode() + block + END.encode()
 
 
+def fields(lines: list[str]) -> dict[str, str]:
+    """Header lines as a dictionary: names of the format as it writes them, a blank after the colon or none, continued lines joined, the first of a name."""
+    out: dict[str, str] = {}
+    last = None
+    for x in lines:
+        if x[:1] in (" ", "\t") and last:
+            out[last] += " " + x.strip()
+            continue
+        name, colon, value = x.partition(":")
+        last = HEADERS.get(name.strip().lower(), name.strip()) if colon else None
+        if last in out:
+            last = None
+        elif last:
+            out[last] = value.strip()
+    return out
+
+
 def parse(data: bytes):
-    """(headers, block) of every record in `data`, one after the other."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        version, *lines = data[at:end].decode().split("\r\n")
-        if not version.startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
-        headers = dict(x.split(": ", 1) for x in lines)
+    """(headers, block) of every record in `data`, gzipped (in one member or many) or not, one unpacked after the other.
+
+    What isn't a record, or has no length, is an error.
+    """
+    stream = io.BytesIO(data)
+    if data[:2] == b"\x1f\x8b":
+        stream = io.BufferedReader(gzip.GzipFile(fileobj=stream))
+    while line := stream.readline():
+        if not line.strip():
+            continue  # between records
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no record begins with {line[:40]!r}")
+        lines = []
+        while (line := stream.readline()).strip():
+            lines.append(line.decode("utf-8", "replace").rstrip("\r\n"))
+        headers = fields(lines)
+        if not headers.get("Content-Length", "").isdecimal():
+            raise ValueError(f"a record without a length: {headers}")
         n = int(headers["Content-Length"])
-        yield headers, data[end + 4 : end + 4 + n]
-        at = end + 4 + n + 4
+        block = stream.read(n)
+        if len(block) < n:
+            raise ValueError(f"a record ends after {len(block)} of {n} bytes")
+        yield headers, block
 
 
 def named(*what) -> str:
@@ -158,13 +191,14 @@ def response(page_id: int | None, url: str | None, page: str | None, date: str |
 def records(headers: dict[str, str], block: bytes) -> list[dict]:
     """The metadata and the conversion record of a response."""
     head, _, payload = block.partition(b"\r\n\r\n")
-    sent = dict(x.split(": ", 1) for x in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in x)
+    sent = {k.lower(): v for k, v in fields(head.decode("utf-8", "replace").split("\r\n")[1:]).items()}
+    page_id = sent.get("x-page-id", "")
     source = headers.get("WARC-Payload-Digest") or digest(payload)
     of, url, date = headers.get("WARC-Record-ID"), headers.get("WARC-Target-URI"), headers.get("WARC-Date")
-    fields, text = derived(payload.decode("utf-8", "replace"))
+    about, text = derived(payload.decode("utf-8", "replace"))
     ids = {k: named(k, of, source) for k in ("metadata", "conversion")}
     out = []
-    for kind, made, content_type in (("metadata", fields, "application/warc-fields"), ("conversion", text, "text/plain; charset=utf-8")):
+    for kind, made, content_type in (("metadata", about, "application/warc-fields"), ("conversion", text, "text/plain; charset=utf-8")):
         made = made.encode("utf-8", "replace")
         own = [
             ("WARC-Type", kind), ("WARC-Record-ID", ids[kind]), ("WARC-Date", date), ("WARC-Target-URI", url), ("WARC-Refers-To", of),
@@ -172,7 +206,7 @@ def records(headers: dict[str, str], block: bytes) -> list[dict]:
             ("WARC-Source-Payload-Digest", source), ("WARC-Block-Digest", digest(made)), ("Content-Type", content_type),
         ]
         out.append({
-            "page_id": int(sent["X-Page-Id"]) if sent.get("X-Page-Id") else None, "record_type": kind, "record_id": ids[kind], "refers_to": of, "target_uri": url,
+            "page_id": int(page_id) if re.fullmatch(r"-?[0-9]{1,18}", page_id) else None, "record_type": kind, "record_id": ids[kind], "refers_to": of, "target_uri": url,
             "content_type": content_type, "source_digest": source, "block_digest": digest(made), "content_length": len(made), "record": serialise(own, made),
         })
     return out
@@ -199,7 +233,10 @@ def write(found: DataFrame, folder: str, records_per_file: int = 20_000) -> None
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    """headers and block of every record of the WARC files below a folder, gzipped or not."""
+    """headers and block of every record of the WARC files below a folder, whatever their names (but for Spark's hidden `_` and `.`), gzipped or not.
+
+    A file is one value, so it has 2 GB at most; its records are unpacked one at a time.
+    """
 
     def run(batches):
         def made(rows):
@@ -207,9 +244,8 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
         for b in batches:
             for content in b.column(0):
-                data = content.as_py()
                 rows, size = [], 0
-                for h, block in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
+                for h, block in parse(content.as_py()):
                     rows.append((h, block))
                     size += len(block)
                     if size > 8 << 20:
@@ -217,7 +253,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                         rows, size = [], 0
                 yield made(rows)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     return files.select("content").mapInArrow(run, "headers map<string, string>, block binary")
 
 
@@ -239,7 +275,7 @@ def derive(found: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return found.where(F.col("headers")["WARC-Type"] == "response").select("headers", "block").mapInArrow(run, SCHEMA)
+    return found.where(F.lower(F.col("headers")["WARC-Type"]) == "response").select("headers", "block").mapInArrow(run, SCHEMA)
 
 
 def build(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html", date: str | None = None) -> DataFrame:

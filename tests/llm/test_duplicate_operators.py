@@ -491,7 +491,7 @@ def test_warc_text_and_edge_rows(spark):
     assert warc.build(rows).count() == 10 and warc.build(rows.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("piece", ["<title>", "<p ", "<a", "<", "<a href=\"", "<!--", "<script>", "</script ", "&amp", "<a b='", "<b\n", "<html lang "])
+@pytest.mark.parametrize("piece", ["<title>", "<p ", "<a", "<", "<a href=\"", "<!--", "<script>", "</script ", "&amp", "<a b='", "<b\n", "<html lang ", "=", "x=", "x ="])
 def test_long_broken_pages_take_time_in_proportion(piece):
     def took(n):
         began = time.process_time()
@@ -503,6 +503,37 @@ def test_long_broken_pages_take_time_in_proportion(piece):
     assert took(80_000) < 60 * max(took(4_000), 0.01)
 
 
+def test_long_attribute_runs():
+    began = time.time()
+    for run in ("x" * 100_000, "x " * 50_000, "x= " * 30_000, "x='" * 30_001, "=" * 100_000):
+        warc.derived(f"<a {run}>link</a><a href=end>")
+        assert warc.attribute(f" {run} ", "href") is None
+    assert warc.attribute(" a=1 Href = 'x y' href=z", "href") == "x y" and warc.attribute('a="b"href="c"', "href") == "c"
+    assert time.time() - began < 5
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    """Any file name, folders, gzip by record, header names in any case, no blank, folded lines, foreign ids."""
+    def record(page, name, own=""):
+        http = f"HTTP/1.1 200 OK\r\n{own}\r\n".encode() + page
+        return f"WARC/1.0\r\nwarc-type:response\r\nWARC-RECORD-ID: <{name}>\r\nWarc-Target-Uri:http://a/\r\n b\r\ncontent-length:{len(http)}\r\n\r\n".encode() + http + b"\r\n\r\n"
+
+    (tmp_path / "deep").mkdir()
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    (tmp_path / "CC-MAIN-0001.warc").write_bytes(info + record(b"<p>one</p>", "r1", "X-Page-Id: abc\r\n"))
+    (tmp_path / "deep" / "two.warc.gz").write_bytes(gzip.compress(record(b"<p>two</p>", "r2", "x-page-id:7\r\n")) + gzip.compress(record(b"three", "r3")))
+    (tmp_path / "part-0001").write_bytes(record(b"", "r4", "X-Page-Id: " + "9" * 40 + "\r\n"))
+    (tmp_path / "_SUCCESS").write_bytes(b"")
+    assert warc.read(spark, str(tmp_path)).count() == 5
+    got = {(r.refers_to, r.record_type): r for r in warc.derive(warc.read(spark, str(tmp_path))).collect()}
+    assert len(got) == 8 and {k[0] for k in got} == {"<r1>", "<r2>", "<r3>", "<r4>"}
+    assert {k[0]: r.page_id for k, r in got.items()} == {"<r1>": None, "<r2>": 7, "<r3>": None, "<r4>": None}
+    assert got["<r2>", "conversion"].record.endswith(b"two\r\n\r\n") and got["<r1>", "conversion"].target_uri == "http://a/ b"
+    for broken in (b"hello", b"WARC/1.0\r\nWARC-Type: response\r\n\r\n", b"WARC/1.0\r\nContent-Length: 9\r\n\r\nabc"):
+        with pytest.raises(ValueError):
+            list(warc.parse(broken))
+
+
 def test_best_fit_rules(spark, sf_dir):
     r = random.Random(2)
     items = [(i, r.randint(0, 300), r.choice(["a", "a", "b", "c", None]), r.choice([None, *range(40)])) for i in range(300)]
