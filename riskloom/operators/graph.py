@@ -3,7 +3,7 @@
 A graph is the rows of one key (a function, a contract): nodes as (key..., node), edges as (key..., src, dst).
 Rounds go on until nothing changes, so there is no bound on depth, and no graph is handed to one call as
 a whole (`measures`, for small graphs, is the older form). Edges that stand twice count once; edges between
-nodes that aren't listed are an error of the caller's.
+nodes that aren't listed are an error of the caller's. Edges are stored once, not worked out again in each round.
 """
 
 from __future__ import annotations
@@ -102,10 +102,9 @@ def measures(edges: DataFrame, key: str, entry: str) -> DataFrame:
     return edges.select(key, "src", "dst", entry).distinct().groupBy(key).applyInPandas(run, f"{key} {kind}, {MEASURES}")
 
 
-def along(edges: DataFrame, rows: DataFrame, key: list[str], back: bool = False) -> DataFrame:
-    """`rows` (key, node, ...) with `next`: where each edge from the node leads, or comes from."""
-    here, there = ("dst", "src") if back else ("src", "dst")
-    return rows.join(edges.select(*key, F.col(here).alias("node"), F.col(there).alias("next")), [*key, "node"])
+def along(edges: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
+    """`rows` (key, node, ...) with `next`: where each edge from the node leads."""
+    return rows.join(edges.select(*key, F.col("src").alias("node"), F.col("dst").alias("next")), [*key, "node"])
 
 
 def reached(edges: DataFrame, starts: DataFrame, key: list[str]) -> DataFrame:
@@ -121,16 +120,15 @@ def components(nodes: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
     both, and where both are equal the component is that node's. The rest goes on in groups of equal colours, edges between groups left out;
     the largest node of a group finds its component, so every pass ends some.
     """
-    left, own = nodes.select(*key, "node").distinct(), edges.where("src != dst").select(*key, "src", "dst").distinct()
+    left, own = nodes.select(*key, "node").distinct(), kept(edges.where("src != dst").select(*key, "src", "dst").distinct(), "edges")
     done = None
     while True:
         state = left.select(*key, "node", F.col("node").alias("f"), F.col("node").alias("b"))
+        links = own.select(*key, F.col("src").alias("node"), F.col("dst").alias("next"), F.lit(True).alias("forth")).unionByName(own.select(*key, F.col("dst").alias("node"), F.col("src").alias("next"), F.lit(False).alias("forth")))
 
-        def pass_on(now: DataFrame, own=own) -> DataFrame:
-            forth = along(own, now, key).select(*key, F.col("next").alias("node"), "f", F.lit(None).alias("b"), F.lit(None).alias("f0"), F.lit(None).alias("b0"))
-            back = along(own, now, key, back=True).select(*key, F.col("next").alias("node"), F.lit(None).alias("f"), "b", F.lit(None).alias("f0"), F.lit(None).alias("b0"))
-            both = now.select("*", F.col("f").alias("f0"), F.col("b").alias("b0")).unionByName(forth).unionByName(back)
-            most = both.groupBy(*key, "node").agg(*[F.max(c).alias(c) for c in ("f", "b", "f0", "b0")])
+        def pass_on(now: DataFrame, links=links) -> DataFrame:
+            told = now.join(links, [*key, "node"]).select(*key, F.col("next").alias("node"), F.when(F.col("forth"), F.col("f")).alias("f"), F.when(~F.col("forth"), F.col("b")).alias("b"), F.lit(None).alias("f0"), F.lit(None).alias("b0"))
+            most = now.select("*", F.col("f").alias("f0"), F.col("b").alias("b0")).unionByName(told).groupBy(*key, "node").agg(*[F.max(c).alias(c) for c in ("f", "b", "f0", "b0")])
             return most.withColumn("_changed", (F.col("f") != F.col("f0")) | (F.col("b") != F.col("b0")))
 
         coloured = settled(state, pass_on)
@@ -189,8 +187,8 @@ def dominance(edges: DataFrame, entries: DataFrame, key: list[str]) -> tuple[Dat
     a pair of dominance: as many as a function has nodes, squared, dealt over tasks. The frontier of n: nodes that n doesn't strictly
     dominate, with an edge from a node that n dominates.
     """
-    live = kept(reached(edges, entries, key).select(*key, "root", "node"), "live")
-    own = edges.select(*key, "src", "dst").distinct()
+    own = kept(edges.select(*key, "src", "dst").distinct(), "edges")
+    live = kept(reached(own, entries, key).select(*key, "root", "node"), "live")
     start = live.where("node != root").select(*key, F.col("node").alias("gone"), F.col("root").alias("node"))
     around = facts(start, lambda new: along(own, new, key).where("next != gone").select(*key, "gone", F.col("next").alias("node"))).drop("round")
     pairs = live.select(*key, F.col("node").alias("gone")).join(live.select(*key, "node"), key)
@@ -204,8 +202,8 @@ def flow_measures(nodes: DataFrame, edges: DataFrame, entries: DataFrame, key: l
     """A row for each control-flow graph: nodes, edges (all), cycles, complex (over one cycle), depth, exits, dominators (nodes reached, each
     with its dominators), frontiers (nodes with a frontier), frontier_pairs. `nodes` has `exit`, whether the node leaves the function."""
     listed = nodes.groupBy(*key).agg(F.count("*").alias("nodes"), F.count_if("exit").alias("exits"))
-    ones = edges.select(*key, "src", "dst").distinct()
-    parts = components(nodes, ones, key)
+    ones = kept(edges.select(*key, "src", "dst").distinct(), "edges")
+    parts = kept(components(nodes, ones, key), "parts")
     depth = reached(ones, entries, key).groupBy(*key).agg(F.max("round").alias("depth"), F.count("*").alias("dominators"))
     _, frontier = dominance(ones, entries, key)
     fronts = frontier.groupBy(*key).agg(F.countDistinct("node").alias("frontiers"), F.count("*").alias("frontier_pairs"))
@@ -219,7 +217,7 @@ def flow_measures(nodes: DataFrame, edges: DataFrame, entries: DataFrame, key: l
 def call_measures(nodes: DataFrame, edges: DataFrame, roots: DataFrame, key: list[str], many: int = 3) -> DataFrame:
     """A row for each call graph: functions, calls (all), depth from any of `roots` (key, root), cycles, leaves, fan_out, fan_in, components,
     longest path (0 with a cycle), critical (functions with `many` callers or more)."""
-    every, ones = nodes.select(*key, "node").distinct(), edges.select(*key, "src", "dst").distinct()
+    every, ones = kept(nodes.select(*key, "node").distinct(), "nodes"), kept(edges.select(*key, "src", "dst").distinct(), "edges")
     parts = kept(components(every, ones, key), "parts")
     by = every.join(degrees(ones, key), [*key, "node"], "left").na.fill(0, ["out_degree", "in_degree"]).groupBy(*key).agg(
         F.count("*").alias("functions"), F.count_if(F.col("out_degree") == 0).alias("leaves"), F.max("out_degree").alias("fan_out"), F.max("in_degree").alias("fan_in"), F.count_if(F.col("in_degree") >= many).alias("critical"))
