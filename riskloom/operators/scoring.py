@@ -71,6 +71,15 @@ def confidence(ml: Column, semantic: Column, static: Column, quality: Column, ag
     return F.least(F.lit(1.0), x)
 
 
+def confidence_notes(ml: Column, static: Column, quality: Column, against: Column) -> Column:
+    """What changed the confidence, in the order in which it did."""
+    strong, fair = (ml > 0.9) & (static > 0.7), (ml > 0.6) & (static > 0.5)
+    return F.array_compact(F.array(
+        F.when(strong, "aligned_certainty").when(fair, "moderate_certainty"), F.when((static > 0.7) & (ml > 0.4), "static_signals"),
+        F.when(quality > 0.8, "high_quality").when(quality < 0.4, "low_quality"), F.when(against, "contradiction"),
+    ))
+
+
 def routing_score(loc: Column, complexity: Column, external: Column, assembly: Column, delegate: Column) -> Column:
     """0 to 100: normalised size, complexity and calls, and ten points each for two risky features."""
     norm = lambda x, most: F.least(F.greatest(x, F.lit(0)), F.lit(most)) / F.lit(float(most)) * 100

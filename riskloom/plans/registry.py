@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.plans import connectors, engineering, extraction, extras, features, graphs, learning, models, monitoring, quality, scalar, scoring
+from riskloom.plans import connectors, engineering, extraction, extras, features, graphs, learning, models, monitoring, quality, records, scalar, scoring
 
-MODULES = (quality, scalar, features, graphs, extraction, engineering, scoring, monitoring, learning, models, extras, connectors)
+MODULES = (quality, scalar, features, graphs, extraction, engineering, scoring, monitoring, learning, models, extras, connectors, records)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -202,3 +202,18 @@ def test_mixup_partners(spark):
     assert np.abs(np.quantile(rng, np.linspace(0.05, 0.95, 19)) - np.interp(np.linspace(0.05, 0.95, 19), np.linspace(0, 1, len(q)), q)).max() < 0.01
     y = np.array([r.y for r in fe.mixup(df, ["x"], "y", "id").collect()])
     assert ((y > 0) & (y < 1)).mean() > 0.3
+
+
+def test_versions_in_order_too(spark, monkeypatch):
+    """Carets, exact and open versions, bounds, none; the ordered pass gives the same."""
+    from riskloom.operators import versions
+
+    have = spark.createDataFrame([(0, 4, 11), (0, 4, 26), (0, 8, 0), (0, 8, 20), (1, 0, 0), (0, 8, 20)], "major int, minor int, patch int")
+    asked = {"pragma solidity ^0.4.12;": "0.4.26", "pragma solidity 0.4;": "0.4.26", "pragma solidity 0.8.20;": "0.8.20", "pragma solidity 0.8.1;": None, "PRAGMA  solidity >=0.4.27;": "1.0.0", "x\npragma solidity >=0.4.12 <0.8.20; pragma solidity 0.4.11;": "0.8.0",
+             "pragma solidity >=0.4.12 <0.4.13;": None, "": None, "no pragma": None, "pragma solidity ^0.9.0;": None, "pragma solidity >= 0.8 <0.9;": "0.8.20"}
+    texts = spark.createDataFrame([(t, 1) for t in asked] + [(None, 1)], "s string, resolved_before int")
+    for most in (100_000, 0):
+        monkeypatch.setattr(versions, "MOST", most)
+        got = {r.s: r.resolved for r in versions.resolve(texts, "s", have).collect()}
+        assert got == {**asked, None: None}
+    assert {r.resolved for r in versions.resolve(texts, "s", have.where("false")).collect()} == {None}
