@@ -1,20 +1,43 @@
 """Windows anchored at events: folds over each key's ordered times.
 
 A window opens at the first event that no open window covers, so each start depends on the one
-before; no fixed window expresses that. Times come sorted by key, and the fold holds four numbers
-of the open key, whatever the number of its events; the streaming form keeps the same.
+before; no fixed window expresses that. Times come sorted by key, and the fold holds a few numbers
+of the open key, whatever the number of its events, and takes a step for each window; the streaming
+form keeps the same. A key's times are one task's, as each of its windows hangs on the one before.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 
+class Anchor:
+    """The open window of one key, fed with ascending times: it looks for each window's end, not at each event."""
+
+    def __init__(self, span: int, most: int):
+        self.span, self.most = span, most
+        self.open, self.used, self.n, self.over, self.windows = None, 0, 0, 0, 0
+
+    def add(self, times: np.ndarray) -> None:
+        at, n = 0, len(times)
+        self.n += n
+        while at < n:
+            if self.open is None or times[at] >= self.open + self.span:
+                self.open, self.used, self.windows = int(times[at]), 0, self.windows + 1
+            end = at + int(np.searchsorted(times[at:], self.open + self.span))
+            self.over += max(0, self.used + end - at - max(self.most, self.used))
+            self.used, at = self.used + end - at, end
+
+    def done(self) -> tuple[int, int, int]:
+        return self.n, self.over, self.windows
+
+
 def anchored(events: DataFrame, key: list[str], ts: Column, seconds: int, most: int, free: Column | None = None) -> DataFrame:
     """key, n, over_limit, windows of events by key: `over_limit` events came after the window's first `most`.
 
@@ -26,27 +49,20 @@ def anchored(events: DataFrame, key: list[str], ts: Column, seconds: int, most:
     span, names = seconds * 1_000_000, [*key, "n", "over_limit", "windows"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, state = None, None  # open, used, n, over, windows
-
-        def done():
-            return (*now, state[2], state[3], state[4])
-
+        now, state = None, None
         for pdf in batches:
-            out = []
-            for *k, t in pdf.itertuples(index=False):
-                k = [None if x != x else x for x in k]
+            out, times, own = [], pdf["_t"].to_numpy(), pdf[key]
+            begins = np.flatnonzero((own != own.shift()).any(axis=1).to_numpy())
+            for a, b in zip(begins, [*begins[1:], len(pdf)], strict=True):
+                k = [None if x != x else x for x in own.iloc[a].tolist()]
                 if k != now:
                     if now is not None:
-                        out.append(done())
-                    now, state = k, [None, 0, 0, 0, 0]
-                if state[0] is None or t - state[0] >= span:
-                    state[0], state[1], state[4] = t, 0, state[4] + 1
-                state[1] += 1
-                state[2] += 1
-                state[3] += state[1] > most
+                        out.append((*now, *state.done()))
+                    now, state = k, Anchor(span, most)
+                state.add(times[a:b])
             yield pd.DataFrame(out, columns=names)
         if now is not None:
-            yield pd.DataFrame([done()], columns=names)
+            yield pd.DataFrame([(*now, *state.done())], columns=names)
 
     kinds = StructType([*(events.schema[k] for k in key), *(StructField(n, LongType()) for n in names[len(key) :])])
     return rows.repartition(*key).sortWithinPartitions(*key, "_t").mapInPandas(run, kinds)

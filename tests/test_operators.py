@@ -217,3 +217,26 @@ def test_versions_in_order_too(spark, monkeypatch):
         got = {r.s: r.resolved for r in versions.resolve(texts, "s", have).collect()}
         assert got == {**asked, None: None}
     assert {r.resolved for r in versions.resolve(texts, "s", have.where("false")).collect()} == {None}
+
+
+def test_anchored_windows_by_a_walk(spark):
+    """Hot and rare keys, null keys, equal times, runs cut by batches."""
+    rng = np.random.default_rng(9)
+    rows = [(int(k) if k else None, int(t)) for k, t in zip(rng.choice([0, 1, 2, 3, 4], 3_000, p=[0.1, 0.6, 0.1, 0.1, 0.1]), rng.integers(0, 4_000, 3_000), strict=True)]
+    df = spark.createDataFrame(rows, "k int, s int").withColumn("ts", F.timestamp_seconds("s")).withColumn("j", F.when(F.col("k") == 1, "x"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        for seconds, most in ((60, 3), (1, 0), (5_000, 2)):
+            want = {}
+            for k in {r[0] for r in rows}:
+                opened, used, over, wins = None, 0, 0, 0
+                times = sorted(t for x, t in rows if x == k)
+                for t in times:
+                    if opened is None or t - opened >= seconds:
+                        opened, used, wins = t, 0, wins + 1
+                    used += 1
+                    over += used > most
+                want[k] = (len(times), over, wins)
+            assert {r.k: (r.n, r.over_limit, r.windows) for r in windows.anchored(df, ["k", "j"], F.col("ts"), seconds, most).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
