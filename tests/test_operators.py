@@ -240,3 +240,45 @@ def test_anchored_windows_by_a_walk(spark):
             assert {r.k: (r.n, r.over_limit, r.windows) for r in windows.anchored(df, ["k", "j"], F.col("ts"), seconds, most).collect()} == want
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("seconds,most", [(50, 3), (700, 2), (7, 0), (9_000, 5)])
+def test_one_key_over_many_tasks(spark, seconds, most):
+    """All events of one key, dense and regular or with gaps: as the walk has it, from runs in many tasks."""
+    rng = np.random.default_rng(seconds)
+    times = {1: np.arange(0, 4_000), 2: np.cumsum(rng.choice([1, 2, 90], 1_500, p=[0.6, 0.3, 0.1])), None: np.array([5, 5, 5])}
+    df = spark.createDataFrame([(k, int(t)) for k, ts in times.items() for t in ts], "k int, s int").withColumn("ts", F.timestamp_seconds("s"))
+    before = {x: spark.conf.get(x) for x in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.k: (r.n, r.over_limit, r.windows) for r in windows.anchored(df, ["k"], F.col("ts"), seconds, most).collect()}
+    finally:
+        for x, v in before.items():
+            spark.conf.set(x, v)
+    for k, ts in times.items():
+        opened, used, over, wins = None, 0, 0, 0
+        for t in sorted(ts):
+            if opened is None or t - opened >= seconds:
+                opened, used, wins = t, 0, wins + 1
+            used += 1
+            over += used > most
+        assert got[k] == (len(ts), over, wins)
+
+
+def test_tables_of_runs():
+    """Any cut of a key's times into runs composes to the fold, in any nesting."""
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        times = np.sort(rng.integers(0, rng.choice([20, 200, 2_000]), rng.integers(2, 40)))
+        span, most = int(rng.choice([1, 5, 30, 300])), int(rng.integers(0, 4))
+        fold = windows.Anchor(span, most)
+        fold.add(times)
+        cuts = np.unique(np.searchsorted(times, rng.choice(times, rng.integers(1, 6))))
+        parts = [p for p in np.split(times, cuts) if len(p)]
+        tables = [windows.run_table(p, span, most, i == 0) | {"n": len(p), "first": p[0], "last": p[-1], "begins": i == 0} for i, p in enumerate(parts)]
+        while len(tables) > 1:
+            i = int(rng.integers(len(tables) - 1))
+            tables[i : i + 2] = [windows.composed(tables[i], tables[i + 1], span, most)]
+        t = tables[0]
+        assert (t["n"], t["over"][0] + max(0, t["used"][0] - most), t["windows"][0]) == (fold.n, fold.over, fold.windows)
