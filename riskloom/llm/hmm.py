@@ -10,8 +10,10 @@ over its class words, and the unbounded vocabulary is only ever joined, never br
 
 Baum-Welch: each partition adds up expected emissions, moves and starts over its whole texts;
 Spark sums them by symbol; the next model goes out as a broadcast of (symbols x states) numbers.
-The start is a pass of the same kind, with one state for each text, so every count covers all
-training texts.
+The start is a pass of the same kind, with one state for each text. The rounds that part the states
+(`init_rounds`) work on the counts of neighbouring symbols: all training texts are read once for
+them, then a round costs what there are distinct pairs, which the alphabet bounds however long the
+texts are. Baum-Welch over the whole texts follows (`rounds`), so every count covers all training texts.
 
 Nulls count as empty texts (one end token). Repeated rows are scored and counted one by one.
 An empty training set gives every text score and base score 0.
@@ -22,6 +24,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm import chain
-from riskloom.llm.common import stored, words
+from riskloom.llm.common import discard, stored, words
 
 END = b"\n"  # no word holds white space
+PAIRS = 1 << 16  # pairs that are worked out together
 
 
 @dataclass
@@ -42,7 +46,7 @@ class Settings:
     classes: int = 2_048
     rounds: int = 3  # Baum-Welch rounds over all training texts
     init_texts: int = 1_500  # without effect, for callers that still set it: the start reads all training texts
-    init_rounds: int = 12  # rounds before those, which part the states, over all training texts, too
+    init_rounds: int = 12  # rounds before those, which part the states, over the pair counts of all training texts
     smoothing: float = 200.0  # tokens of the shared distribution mixed into each state
     chunk_tokens: int = 1_500_000  # tokens of whole texts that are stepped together
 
@@ -143,7 +147,7 @@ def _encode(shared, classes: int):
             for text in batch.column(3):
                 w = words(text.as_py())
                 w.append(END)
-                at = np.array([get(x, -1) for x in w], np.int64)
+                at = np.fromiter(map(get, w, repeat(-1)), np.int64, len(w))
                 rare = np.flatnonzero(at < 0)
                 known = at[at >= 0]
                 symbols = np.empty(len(w), np.int64)
@@ -223,6 +227,79 @@ def initial(counts: np.ndarray, shared: np.ndarray, settings: Settings) -> Model
     return maximise(counts, shared, settings)
 
 
+def _pairs(size: int, limit: int):
+    """pair, c: neighbouring symbols as left * size + right; `size` stands left of a text's first symbol."""
+
+    def run(batches):
+        for _, symbols, lengths in _chunks(batches, 0, limit):
+            left = np.concatenate([[size], symbols[:-1]])
+            left[np.cumsum(lengths)[:-1]] = size
+            pair, c = np.unique(left * size + symbols, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int64()), pa.array(c, pa.int64())], ["pair", "c"])
+
+    return run
+
+
+def expected_pair_counts(model: Model, occupied: np.ndarray, pair: np.ndarray, c: np.ndarray, into: np.ndarray) -> None:
+    """Adds expected emissions, moves and starts of pairs that occur `c` times to `into`.
+
+    A pair is a chain of two symbols whose first state has the shares `occupied`; a text's first symbol is one alone.
+    """
+    k = len(model.start)
+    s = len(into) - k - 1
+    emit = np.ascontiguousarray(model.emit.T, np.float32)  # state by state, so that each row is contiguous
+    joint = (occupied[:, None] * model.move).astype(np.float32)
+    for i in range(0, len(pair), PAIRS):
+        left, right = pair[i : i + PAIRS] // s, pair[i : i + PAIRS] % s
+        times = c[i : i + PAIRS].astype(np.float32)
+        first = left == s
+        if first.any():
+            at = right[first]
+            alone = emit[:, at] * model.start[:, None]
+            alone *= times[first] / alone.sum(axis=0)
+            into[s + k] += alone.sum(axis=1)
+            for j in range(k):
+                into[:s, j] += np.bincount(at, weights=alone[j], minlength=s)
+            left, right, times = left[~first], right[~first], times[~first]
+        x, y = emit[:, left], emit[:, right]
+        ahead = joint.T @ x
+        y *= times / np.einsum("ji,ji->i", ahead, y)
+        into[s : s + k] += joint * (x @ y.T)
+        ahead *= y
+        x *= joint @ y
+        for j in range(k):
+            into[:s, j] += np.bincount(right, weights=ahead[j], minlength=s) + np.bincount(left, weights=x[j], minlength=s)
+
+
+def _expect_pairs(shared, size: int, k: int):
+    def run(batches):
+        model, occupied = shared.value
+        total = np.zeros((size + k + 1, k))
+
+        def add(held):
+            t = pa.Table.from_batches(held)
+            expected_pair_counts(model, occupied, t.column(0).to_numpy(), t.column(1).to_numpy(), total)
+
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= PAIRS:
+                add(held)
+                held, n = [], 0
+        if held:
+            add(held)
+        yield from _summed(total)
+
+    return run
+
+
+def _summed(total: np.ndarray):
+    some = np.flatnonzero(total.any(axis=1))
+    columns = {"symbol": pa.array(some, pa.int64())} | {f"g{j}": pa.array(total[some, j]) for j in range(total.shape[1])}
+    yield pa.RecordBatch.from_pydict(columns)
+
+
 def _expect(shared, size: int, k: int, limit: int):
     def run(batches):
         model: Model | None = shared.value
@@ -232,26 +309,43 @@ def _expect(shared, size: int, k: int, limit: int):
                 started(symbols, lengths, total)
             else:
                 expected_counts(model, symbols, lengths, total)
-        some = np.flatnonzero(total.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *(pa.array(total[some, j]) for j in range(k))], ["symbol", *(f"g{j}" for j in range(k))])
+        yield from _summed(total)
 
     return run
 
 
 def baum_welch(encoded: DataFrame, shared: np.ndarray, settings: Settings) -> Model:
     """The start and all rounds over all training rows of `encoded` (a stored table)."""
-    spark, k = encoded.sparkSession, settings.states
+    spark, k, size = encoded.sparkSession, settings.states, len(shared)
     train = encoded.where(~F.col("held_out")).select("symbols")
-    model = None
-    for i in range(1 + settings.init_rounds + settings.rounds):
-        sent = spark.sparkContext.broadcast(model)
-        parts = train.mapInArrow(_expect(sent, len(shared), k, settings.chunk_tokens), "symbol long, " + ", ".join(f"g{j} double" for j in range(k)))
+
+    def added(rows: DataFrame, task, value) -> np.ndarray:
+        """Counts of one round: a task's sums, added up by symbol ((S + K + 1) x K numbers on the driver)."""
+        sent = spark.sparkContext.broadcast(value)
+        parts = rows.mapInArrow(task(sent), "symbol long, " + ", ".join(f"g{j} double" for j in range(k)))
         sums = parts.groupBy("symbol").agg(*[F.sum(f"g{j}").alias(f"g{j}") for j in range(k)]).toArrow()
-        counts = np.zeros((len(shared) + k + 1, k))
+        counts = np.zeros((size + k + 1, k))
         for j in range(k):
             counts[sums.column("symbol").to_numpy(), j] = sums.column(f"g{j}").to_numpy()
-        model = maximise(counts, shared, settings) if i else initial(counts, shared, settings)
         sent.unpersist()
+        return counts
+
+    def whole(sent):
+        return _expect(sent, size, k, settings.chunk_tokens)
+
+    model = initial(added(train, whole, None), shared, settings)
+    if settings.init_rounds:
+        counted = train.mapInArrow(_pairs(size, settings.chunk_tokens), "pair long, c long")
+        pairs = stored(counted.groupBy("pair").agg(F.sum("c").alias("c")), "hmm-pairs")
+        occupied = np.full(k, 1 / k)
+        for _ in range(settings.init_rounds):
+            counts = added(pairs, lambda sent: _expect_pairs(sent, size, k), (model, occupied))
+            model = maximise(counts, shared, settings)
+            left = counts[size : size + k].sum(axis=1) + 0.1
+            occupied = left / left.sum()
+        discard(pairs)
+    for _ in range(settings.rounds):
+        model = maximise(added(train, whole, model), shared, settings)
     return model
 
 

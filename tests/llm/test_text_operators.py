@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -119,6 +120,32 @@ def test_hmm_states_differ_with_copies(spark):
     assert total[: len(words)].sum() == sum(map(len, flat))
 
 
+def test_hmm_pair_counts_equal_enumeration(monkeypatch):
+    r = np.random.default_rng(3)
+    s, k = 6, 3
+    model = hmm.Model(r.dirichlet(np.ones(k)), r.dirichlet(np.ones(k), k), r.dirichlet(np.ones(s), k).T)
+    occupied = r.dirichlet(np.ones(k))
+    texts = [r.integers(0, s, n) for n in (1, 2, 5, 9, 9, 30)]
+    batch = pa.RecordBatch.from_arrays([pa.array([t.astype(np.uint16).tobytes() for t in texts])], ["symbols"])
+    (out,) = hmm._pairs(s, 1000)([batch])
+    assert sum(out.column(1).to_pylist()) == sum(map(len, texts))
+    want = np.zeros((s + k + 1, k))
+    for t in texts:
+        p = model.start * model.emit[t[0]] / (model.start @ model.emit[t[0]])
+        want[s + k] += p
+        want[t[0]] += p
+        for a, b in zip(t[:-1], t[1:], strict=True):
+            p = occupied[:, None] * model.move * np.outer(model.emit[a], model.emit[b])
+            p /= p.sum()
+            want[s : s + k] += p
+            want[a] += p.sum(axis=1)
+            want[b] += p.sum(axis=0)
+    monkeypatch.setattr(hmm, "PAIRS", 7)
+    got = np.zeros_like(want)
+    hmm.expected_pair_counts(model, occupied, out.column(0).to_numpy(), out.column(1).to_numpy(), got)
+    assert np.allclose(got, want, atol=1e-5)
+
+
 def test_language_held_out_accuracy(spark, sf_dir):
     got = queries.QUERIES["op2_crf_language"](spark, sf_dir)
     both = got.join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").where("held_out AND lang_pred != 'und'")
