@@ -16,6 +16,8 @@ them, then a round costs what there are distinct pairs, which the alphabet bound
 texts are. Baum-Welch over the whole texts follows (`rounds`), so every count covers all training texts.
 
 Nulls count as empty texts (one end token). Repeated rows are scored and counted one by one.
+A text of any length is one chain, never cut; its symbols are held by one task. Words with equal
+counts are own words or class words together; only the named columns are read.
 An empty training set gives every text score and base score 0.
 """
 
@@ -372,6 +374,8 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", held_out=
     `held_out` is a boolean column expression; rows where it is true don't train the model.
     """
     settings = settings or Settings()
+    if settings.own_words + settings.classes > 1 << 16:
+        raise ValueError("own_words + classes: symbols are kept in 16 bits")
     spark = docs.sparkSession
     rows = docs.select(
         F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("doc_id"),

@@ -120,6 +120,44 @@ def test_hmm_states_differ_with_copies(spark):
     assert total[: len(words)].sum() == sum(map(len, flat))
 
 
+def test_hmm_score_equals_a_recursion_over_words(spark, sf_dir, monkeypatch):
+    """Own words, looked-up class words, joined rare words and unseen ones, from the trained arrays alone."""
+    made = {}
+
+    def seen(name):
+        f = getattr(hmm, name)
+        monkeypatch.setattr(hmm, name, lambda *a: made.setdefault(name, f(*a)))
+
+    seen("vocabulary")
+    seen("baum_welch")
+    settings = hmm.Settings(states=3, own_words=40, looked_up=150, classes=16, rounds=1, init_rounds=2)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").orderBy("doc_id").limit(150)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in texts}
+    got = {r.doc_id: r.score for r in hmm.score(docs, held_out=crc_of_id("doc_id") % 7 == 2, settings=settings).collect()}
+    v, model = made["vocabulary"], made["baum_welch"]
+    own = list(v.index)[: v.own]
+    words_of = {d: hmm.words(x) + [hmm.END] for d, x in texts.items()}
+    c = Counter(w for d, ws in words_of.items() if not held[d] for w in ws)
+    of_class = [[n for w, n in c.items() if w not in own and hmm.word_class(w, 16) == k] for k in range(16)]
+    assert any(0 < c[w] and w not in v.index for ws in words_of.values() for w in ws)  # some are joined
+    for d, ws in words_of.items():
+        state, log = model.start, 0.0
+        for w in ws:
+            k = hmm.word_class(w, 16)
+            share = 1.0 if w in own else (c[w] + 1) / (sum(of_class[k]) + len(of_class[k]) + 1)
+            p = state * model.emit[own.index(w) if w in own else len(own) + k] * share
+            log += math.log10(p.sum())
+            state = p / p.sum() @ model.move
+        assert math.isclose(got[d], log, rel_tol=1e-9)
+
+
+def test_hmm_refuses_symbols_that_dont_fit(spark):
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="symbols"):
+        hmm.score(docs, settings=hmm.Settings(own_words=65_000, classes=1_000))
+
+
 def test_hmm_pair_counts_equal_enumeration(monkeypatch):
     r = np.random.default_rng(3)
     s, k = 6, 3
