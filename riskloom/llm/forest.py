@@ -6,11 +6,13 @@ the tree's random rotation, the axes that the row is nearest to, nearest first.
 every tree to its longest prefix match by binary search and ascends all trees together, a digit at a
 time, until the rows below the prefixes are enough: `spare` times k over all shards. Those are
 scored exactly, which is about two fifths of a shard of nearly uniform vectors, whatever its size.
+How many rows are enough depends on how the vectors lie, so each shard measures it: a sample of the block's queries is
+held against all of the shard's rows, and the number is doubled until they find `SHARE` of their nearest, at last by all rows.
 Rows with one hash string always come together, so ties among copies are whole. Queries that end up
 with fewer than k rows ask all rows.
 
 Largest inner product is turned into smallest angle first: a vector gets one more component that
-makes all of a shard's vectors equally long. Scores are inner products of the original vectors in
+makes all of a shard's vectors equally long, about their mean: an inner product with the mean is the same for all rows, so it can't order them. Scores are inner products of the original vectors in
 double precision. Every row is indexed; queries meet shards in blocks of bounded size.
 
 Vectors that are null, zero, or hold a null or non-finite component, and rows without an id, take no part. Vectors of
@@ -30,13 +32,15 @@ from riskloom.llm.common import stored
 TREES = 88
 DIGITS = 8
 AXES = 127  # of a rotation, at most: each has two ends, and a digit holds which
+SHARE, TRIED = 0.95, 128  # of the nearest rows of a shard, as found by so many of a block's queries
 
 
 class Forest:
     def __init__(self, vectors: np.ndarray, trees: int = TREES, seed: int = 11):
         self.n, dims = vectors.shape
+        vectors = vectors - vectors.mean(axis=0) if self.n else vectors
         norms = np.linalg.norm(vectors, axis=1)
-        self.scale = norms.max() if self.n else 1.0
+        self.scale = norms.max(initial=0.0) or 1.0
         rest = np.sqrt(np.maximum(0.0, 1.0 - (norms / self.scale) ** 2))
         rng = np.random.default_rng(seed)
         lifted = np.concatenate([vectors / self.scale, rest[:, None]], axis=1)
@@ -87,14 +91,30 @@ def _strings(turned: np.ndarray) -> np.ndarray:
 
 def _best(ids: np.ndarray, vectors: np.ndarray, found: np.ndarray, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids and scores of the k best of the found rows, ties to the smaller id, one row for each id."""
-    found = found[ids[found] != own]
-    scores = vectors[found] @ query
+    scores = vectors @ query if len(found) == len(ids) else vectors[found] @ query
+    other = ids[found] != own
+    found, scores = found[other], scores[other]
     order = np.lexsort((ids[found], -scores))
     _, first = np.unique(ids[found][order], return_index=True)
     order = order[np.sort(first)[:k]]
     return ids[found][order], scores[order]
 
 
+def _enough(forest: Forest, ids: np.ndarray, vectors: np.ndarray, q_ids: np.ndarray, q: np.ndarray, near: int, least: int) -> int:
+    """`least`, doubled until a sample of the queries finds SHARE of its `near` nearest rows; equal scores stand for each other."""
+    at = np.unique(np.linspace(0, len(q) - 1, min(TRIED, len(q))).astype(np.int64))
+    scores = np.where(ids == q_ids[at, None], -np.inf, q[at] @ vectors.T)
+    near = min(near, len(ids))
+    last = np.partition(scores, len(ids) - near, axis=1)[:, len(ids) - near]
+    while least < len(ids):
+        found = forest.candidates(q[at], least)
+        hits = [min(near, np.count_nonzero(s[f] >= x)) for s, f, x in zip(scores, found, last, strict=True)]
+        if np.mean(hits) >= SHARE * near:
+            return least
+        least *= 2
+    return len(ids)
+
+
 def _usable(c: str):
     v = F.col(c)
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
@@ -121,11 +141,13 @@ def nearest(
             out = []
             if len(own) and len(them):
                 ids, vectors = own["id"].to_numpy(), np.stack(own["v"].to_numpy())
-                forest = None if needed is None else Forest(vectors)
+                forest, least = None if needed is None else Forest(vectors), len(ids)
+                if forest is not None:
+                    least = _enough(forest, ids, vectors, them["id"].to_numpy(), np.stack(them["v"].to_numpy()), min(k, 2 * -(-k // shards)), needed)
                 for at in range(0, len(them), 512):
                     part = them.iloc[at : at + 512]
                     q_ids, q = part["id"].to_numpy(), np.stack(part["v"].to_numpy())
-                    every = [np.arange(len(ids))] * len(q) if forest is None else forest.candidates(q, needed)
+                    every = [np.arange(len(ids))] * len(q) if least >= len(ids) else forest.candidates(q, least)
                     for i, found in enumerate(every):
                         best, scores = _best(ids, vectors, found, q_ids[i], q[i], k)
                         out.append(pd.DataFrame({"query_id": q_ids[i], "vec_id": best, "score": scores}))

@@ -391,6 +391,16 @@ def test_neighbours_over_shards_and_blocks(spark):
         assert np.mean([len(f) for f in found]) < 0.45 * n
 
 
+@pytest.mark.parametrize("kind", ["offset", "positive", "clusters", "lengths", "wide"])
+def test_neighbours_of_other_vectors(spark, kind):
+    """Vectors far from uniform: about a far mean, of one sign, in clusters, of very different lengths, of many dimensions."""
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((1_600, 200 if kind == "wide" else 48))
+    v = {"offset": v + 5, "positive": abs(v), "clusters": v[rng.integers(0, 20, len(v))] + 0.2 * v, "lengths": v * np.exp(v[:, :1]), "wide": v}[kind]
+    t = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(3).persist()
+    assert recall_of(forest.nearest(t, t.where("vec_id % 20 = 0"), 20, shard=300), np.arange(len(v)), v) >= 0.9
+
+
 def test_neighbour_edge_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, [1.0, 1.0, 1.0]), (20, [0.0, 3.0]), (None, [9.0, 9.0])]
