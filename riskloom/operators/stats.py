@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.operators.rounds import kept
 
 def safe_corr(x: Column, y: Column) -> Column:
     """Pearson correlation; null if either side is constant."""
@@ -28,29 +29,30 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(*aggs).select(F.explode(rows).alias("x")).select("x.*")
 
 
-def quantiles(df: DataFrame, columns: list[str], probs: list[float], parts: int = 64) -> DataFrame:
-    """feature, p, value: exact quantiles (linear between neighbours) of several columns, nulls aside.
+def quantiles(df: DataFrame, columns: list[str], probs: list[float], parts: int = 64, by: str | None = None) -> DataFrame:
+    """feature, p, value, and the group where `by` names one: exact quantiles (linear between neighbours) of several columns, nulls aside.
 
-    Rows are counted by value; values are dealt into ranges by approximate cut points, and only running
-    counts within a range and over the few ranges find a rank. No task holds all values of a column.
+    Rows are counted by value in one pass and stored; values are dealt into ranges by approximate cut points, and only
+    running counts within a range and over the few ranges find a rank. No task holds all values of a column.
     """
-    cuts = df.agg(*[F.percentile_approx(c, [i / parts for i in range(1, parts)], 20 * parts).alias(c) for c in columns]).first()
-
-    def cell(c: str) -> Column:
-        v = F.col(c).cast("double")
-        at = F.size(F.filter(F.lit(sorted({float(x) for x in cuts[c]})), lambda x: x < v)) if cuts[c] else F.lit(0)
-        return F.struct(F.lit(c).alias("feature"), v.alias("v"), at.alias("b"))
-
-    levels = df.select(F.explode(F.array(*map(cell, columns))).alias("e")).select("e.*").where("v IS NOT NULL").groupBy("feature", "b", "v").agg(F.count("*").alias("n"))
-    of = Window.partitionBy("feature")  # `parts` rows a column
+    own = [by] if by else []
+    cells = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns]
+    counts = kept(df.select(*own, F.explode(F.array(*cells)).alias("e")).select(*own, "e.*").where("v IS NOT NULL").groupBy(*own, "feature", "v").agg(F.count("*").alias("n")), "levels")
+    cuts = counts.groupBy("feature").agg(F.percentile_approx("v", [i / parts for i in range(1, parts)], 20 * parts).alias("cuts")).collect()  # a row for each column
+    below = lambda r: F.size(F.filter(F.lit(sorted(set(r.cuts))), lambda x: x < F.col("v")))
+    levels = counts.withColumn("b", F.coalesce(*[F.when(F.col("feature") == r.feature, below(r)) for r in cuts], F.lit(0)))
+    of = Window.partitionBy(*own, "feature")  # `parts` rows a column
     before = F.coalesce(F.sum("m").over(of.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranges = levels.groupBy("feature", "b").agg(F.sum("n").alias("m")).select("feature", "b", "m", before.alias("before"), F.sum("m").over(of).alias("total"))
+    ranges = levels.groupBy(*own, "feature", "b").agg(F.sum("n").alias("m")).select(*own, "feature", "b", "m", before.alias("before"), F.sum("m").over(of).alias("total"))
     asked = ranges.select("*", F.explode(F.array(*[F.lit(p) for p in probs])).alias("p")).withColumn("pos", F.col("p") * (F.col("total") - 1))
     asked = asked.withColumn("r", F.explode(F.array_distinct(F.array(F.floor("pos"), F.ceil("pos"))))).where("r >= before AND r < before + m")
-    inner = levels.withColumn("upto", F.sum("n").over(Window.partitionBy("feature", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
-    hit = inner.join(F.broadcast(asked), ["feature", "b"]).where("r >= before + upto - n AND r < before + upto")  # two rows a quantile
-    by = hit.groupBy("feature", "p", "pos").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    return by.select("feature", "p", (F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("pos") - F.floor("pos"))).alias("value"))
+    inner = levels.withColumn("upto", F.sum("n").over(Window.partitionBy(*own, "feature", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    same = F.lit(True)
+    for k in (*own, "feature", "b"):
+        same = same & F.col(f"i.{k}").eqNullSafe(F.col(f"a.{k}"))
+    hit = inner.alias("i").join(F.broadcast(asked.alias("a")), same).where("r >= before + upto - n AND r < before + upto")  # two rows a quantile
+    ends = hit.groupBy(*[F.col(f"i.{k}").alias(k) for k in (*own, "feature")], "p", "pos").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    return ends.select(*own, "feature", "p", (F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("pos") - F.floor("pos"))).alias("value"))
 
 
 def constant_columns(df: DataFrame, columns: list[str]) -> list[str]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskloom.operators import evaluation as ev
 from riskloom.operators import registry, windows
+from riskloom.operators.stats import quantiles
 from riskloom.plans.base import Plan
 from riskloom.session import table
 
@@ -18,10 +19,10 @@ c = F.col
     SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, min(value) AS lo, round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.5), 6) AS q50, round(quantile_cont(value, 0.75), 6) AS q75, max(value) AS hi
     FROM events GROUP BY event_type""")
 def distribution_snapshot(spark, sf_dir):
-    q = lambda p: F.round(F.percentile("value", p), 6)
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(
-        F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("std"), F.min("value").alias("lo"),
-        q(0.25).alias("q25"), q(0.5).alias("q50"), q(0.75).alias("q75"), F.max("value").alias("hi"))
+    events, named = table(spark, sf_dir, "events"), {0.25: "q25", 0.5: "q50", 0.75: "q75"}
+    q = quantiles(events, ["value"], list(named), by="event_type").groupBy(c("event_type").alias("_type")).agg(*[F.round(F.max(F.when(c("p") == p, c("value"))), 6).alias(n) for p, n in named.items()])
+    by = events.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("std"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    return by.join(F.broadcast(q), c("event_type").eqNullSafe(c("_type")), "left").select("event_type", "n", "mean", "std", "lo", *named.values(), "hi")  # a row for each type
 
 
 

@@ -132,10 +132,10 @@ def crosstab_source_lang(spark, sf_dir):
     FROM lineitem GROUP BY l_returnflag""")
 def group_agg_stats(spark, sf_dir):
     r = lambda c, n: F.round(c, n)
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(
-        F.count("*").alias("n"), r(F.avg("l_extendedprice"), 4).alias("mean"), r(F.percentile("l_extendedprice", 0.5), 4).alias("med"),
-        r(F.stddev_samp("l_extendedprice"), 4).alias("std"), r(F.sum("l_quantity"), 2).alias("total"),
-    )
+    lines = table(spark, sf_dir, "lineitem")
+    med = quantiles(lines, ["l_extendedprice"], [0.5], by="l_returnflag").select(F.col("l_returnflag").alias("_flag"), r("value", 4).alias("med"))  # a row for each flag
+    by = lines.groupBy("l_returnflag").agg(F.count("*").alias("n"), r(F.avg("l_extendedprice"), 4).alias("mean"), r(F.stddev_samp("l_extendedprice"), 4).alias("std"), r(F.sum("l_quantity"), 2).alias("total"))
+    return by.join(F.broadcast(med), F.col("l_returnflag").eqNullSafe(F.col("_flag")), "left").select("l_returnflag", "n", "mean", "med", "std", "total")
 
 
 MAYBE = ["lang", "source", "quality", "toxic"]
@@ -248,8 +248,11 @@ def pair_count(spark, sf_dir):
 
 @plan("describe_lineitem", " UNION ALL ".join(f"SELECT '{c}' AS feature, count({c}) AS n, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, min({c}) AS lo, round(quantile_cont({c}, 0.5), 6) AS med, max({c}) AS hi FROM lineitem" for c in QUANTILED))
 def describe_lineitem(spark, sf_dir):
-    return per_column(table(spark, sf_dir, "lineitem"), QUANTILED, {
-        "n": F.count, "mean": lambda c: F.round(F.avg(c), 6), "std": lambda c: F.round(F.stddev_samp(c), 6), "lo": F.min, "med": lambda c: F.round(F.percentile(c, 0.5), 6), "hi": F.max})
+    """One aggregate for all but the median, which would send every distinct value to one task."""
+    lines = table(spark, sf_dir, "lineitem")
+    med = quantiles(lines, QUANTILED, [0.5]).select("feature", F.round("value", 6).alias("med"))  # a row for each column
+    rows = per_column(lines, QUANTILED, {"n": F.count, "mean": lambda c: F.round(F.avg(c), 6), "std": lambda c: F.round(F.stddev_samp(c), 6), "lo": F.min, "hi": F.max})
+    return rows.join(F.broadcast(med), "feature", "left").select("feature", "n", "mean", "std", "lo", "med", "hi")
 
 
 @plan("variance_ranking", "SELECT feature, var, row_number() OVER (ORDER BY var DESC, feature) AS rank FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(var_samp({c}), 6) AS var FROM lineitem" for c in QUANTILED) + ")")

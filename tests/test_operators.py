@@ -8,6 +8,7 @@ from riskloom.functions import cleaning, text
 from riskloom.operators import engineering, evaluation, graph, sequence, stats, windows
 from riskloom.plans import extras as extras_plans
 from riskloom.plans import learning as learning_plans
+from riskloom.plans import registry
 from riskloom.session import table
 from riskloom.sources import files, sinks
 
@@ -282,3 +283,13 @@ def test_tables_of_runs():
             tables[i : i + 2] = [windows.composed(tables[i], tables[i + 1], span, most)]
         t = tables[0]
         assert (t["n"], t["over"][0] + max(0, t["used"][0] - most), t["windows"][0]) == (fold.n, fold.over, fold.windows)
+
+
+def test_quantiles_by_group(spark):
+    """Medians of groups, one of them null, without an aggregate that holds a column's distinct values in one task."""
+    rows = [(g, float(x)) for g, xs in ((None, [3, 1]), ("a", [5, 5, 1, 2]), ("b", range(300))) for x in xs] + [("c", None)]
+    got = {r.g: r.value for r in stats.quantiles(spark.createDataFrame(rows, "g string, x double"), ["x"], [0.5], parts=8, by="g").collect()}
+    assert got == {None: 2.0, "a": 3.5, "b": 149.5}
+    for name in ("describe_lineitem", "group_agg_stats", "distribution_snapshot"):
+        plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert " percentile(" not in plan and "(percentile(" not in plan
