@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from riskloom.operators import evaluation as ev
 from riskloom.operators import learning as ml
+from riskloom.operators.rounds import kept
 from riskloom.plans.base import Plan, frame
 from riskloom.session import table
 
@@ -90,8 +91,8 @@ def group_ablation(spark, sf_dir):
 
 
 TEXT_FEATURES = {
-    "n_chars": "length(text)", "n_words": r"size(split(text, '\\s+'))", "n_lines": r"size(split(text, '\n'))", "n_digits": "length(regexp_replace(text, '[^0-9]', ''))",
-    "n_upper": "length(regexp_replace(text, '[^A-Z]', ''))", "n_marks": r"length(regexp_replace(text, '[\\w\\s]', ''))", "toxic": "coalesce(toxic, -1)", "quality": "coalesce(quality, -1)",
+    "n_chars": "length(text)", "n_words": r"size(split(text, '\\s+'))", "n_lines": r"size(split(text, '\n'))", "n_digits": "length(regexp_replace(text, '[^0-9]+', ''))",
+    "n_upper": "length(regexp_replace(text, '[^A-Z]+', ''))", "n_marks": r"length(regexp_replace(text, '[\\w\\s]+', ''))", "toxic": "coalesce(toxic, -1)", "quality": "coalesce(quality, -1)",
 }
 
 
@@ -99,7 +100,7 @@ TEXT_FEATURES = {
 def source_prediction(spark, sf_dir):
     """Adversarial validation: can features of a text tell whether it is from the largest source? Proxies carry over .015 of the importance."""
     labels = table(spark, sf_dir, "labels").dropDuplicates(["doc_id"])
-    d = table(spark, sf_dir, "documents").join(labels, "doc_id", "left").select("doc_id", "source", *[F.expr(v).cast("double").alias(k) for k, v in TEXT_FEATURES.items()])
+    d = kept(table(spark, sf_dir, "documents").join(labels, "doc_id", "left").select("doc_id", "source", *[F.expr(v).cast("double").alias(k) for k, v in TEXT_FEATURES.items()]), "text-features")  # texts are read once, not in every pass of the learner
     largest = d.groupBy("source").count().orderBy(F.desc("count"), "source").first()
     d = ml.assembled(d.withColumn("label", (c("source") == F.lit(largest[0] if largest else None)).cast("double")).where("label IS NOT NULL"), list(TEXT_FEATURES))
     h = F.pmod(F.xxhash64("doc_id"), F.lit(10))

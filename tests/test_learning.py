@@ -109,3 +109,21 @@ def test_ranks_within_classes(spark):
         assert sorted(r._k for r in got if r.y == y) == list(range(1, n + 1)) and {r._n for r in got if r.y == y} == {n}
     small = fe.split(spark.createDataFrame([(1, "a")] + [(i, "b") for i in range(2, 42)], "id long, y string"), "y", "id").collect()
     assert len(small) == 41 and {r.split for r in small} == {"train", "val", "test"}
+
+
+def test_source_prediction_stores_features(spark, sf_dir, monkeypatch):
+    """Texts are turned into numbers once, before the learner's passes; the numbers are plain counts."""
+    seen = []
+
+    def stop(df, name):
+        seen.append(df)
+        raise InterruptedError(name)
+
+    monkeypatch.setattr(plans, "kept", stop)
+    with pytest.raises(InterruptedError):
+        queries()["source_prediction"](spark, sf_dir)
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    for r in seen[0].collect():
+        t = texts[r.doc_id]
+        if t is not None and t.isascii():
+            assert (r.n_chars, r.n_digits, r.n_upper) == (len(t), sum(c.isdigit() for c in t), sum(c.isupper() for c in t)) and r.n_marks == sum(not (c.isalnum() or c in "_ \t\n\r\x0b\x0c") for c in t)
