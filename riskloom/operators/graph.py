@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.operators.rounds import facts, kept, settled
+from riskloom.operators.rounds import dealt, facts, kept, settled
 
 
 def degrees(edges: DataFrame, key: list[str]) -> DataFrame:
@@ -127,7 +127,7 @@ def components(nodes: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
         links = own.select(*key, F.col("src").alias("node"), F.col("dst").alias("next"), F.lit(True).alias("forth")).unionByName(own.select(*key, F.col("dst").alias("node"), F.col("src").alias("next"), F.lit(False).alias("forth")))
 
         def pass_on(now: DataFrame, links=links) -> DataFrame:
-            told = now.join(links, [*key, "node"]).select(*key, F.col("next").alias("node"), F.when(F.col("forth"), F.col("f")).alias("f"), F.when(~F.col("forth"), F.col("b")).alias("b"), F.lit(None).alias("f0"), F.lit(None).alias("b0"))
+            told = dealt(now).join(links, [*key, "node"]).select(*key, F.col("next").alias("node"), F.when(F.col("forth"), F.col("f")).alias("f"), F.when(~F.col("forth"), F.col("b")).alias("b"), F.lit(None).alias("f0"), F.lit(None).alias("b0"))
             most = now.select("*", F.col("f").alias("f0"), F.col("b").alias("b0")).unionByName(told).groupBy(*key, "node").agg(*[F.max(c).alias(c) for c in ("f", "b", "f0", "b0")])
             return most.withColumn("_changed", (F.col("f") != F.col("f0")) | (F.col("b") != F.col("b0")))
 
@@ -138,28 +138,28 @@ def components(nodes: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
         if rest.isEmpty():
             break
         colour = lambda end: rest.select(*key, F.col("node").alias(end), F.col("f").alias(f"f_{end}"), F.col("b").alias(f"b_{end}"))  # noqa: E731, B023
-        inside = own.join(colour("src"), [*key, "src"]).join(colour("dst"), [*key, "dst"]).where("f_src = f_dst AND b_src = b_dst")
+        inside = own.join(dealt(colour("src")), [*key, "src"]).join(dealt(colour("dst")), [*key, "dst"]).where("f_src = f_dst AND b_src = b_dst")
         left, own = rest.select(*key, "node"), kept(inside.select(*key, "src", "dst"), "edges")
     done = kept(done, "components")
     sizes = done.groupBy(*key, "component").agg(F.count("*").alias("size"))
     loops = edges.where("src = dst").select(*key, F.col("src").alias("node")).distinct().withColumn("_loop", F.lit(True))
-    both = done.join(sizes, [*key, "component"]).join(loops, [*key, "node"], "left")
+    both = done.join(dealt(sizes), [*key, "component"]).join(dealt(loops), [*key, "node"], "left")
     return both.select(*key, "node", "component", "size", ((F.col("size") > 1) | F.coalesce("_loop", F.lit(False))).alias("cyclic"))
 
 
 def longest_paths(nodes: DataFrame, edges: DataFrame, parts: DataFrame, key: list[str]) -> DataFrame:
     """key, longest: edges of the longest path of each graph, 0 for graphs with a cycle. `parts`: its `components`."""
     plain = parts.groupBy(*key).agg(F.max(F.col("cyclic").cast("int")).alias("c")).where("c = 0").select(*key)
-    own = kept(edges.select(*key, "src", "dst").distinct().join(plain, key, "left_semi"), "acyclic")
+    own = kept(edges.select(*key, "src", "dst").distinct().join(dealt(plain), key, "left_semi"), "acyclic")
 
     def longer(now: DataFrame) -> DataFrame:
-        more = along(own, now, key).select(*key, F.col("next").alias("node"), (F.col("d") + 1).alias("d"), F.lit(None).cast("int").alias("d0"))
+        more = along(own, dealt(now), key).select(*key, F.col("next").alias("node"), (F.col("d") + 1).alias("d"), F.lit(None).cast("int").alias("d0"))
         most = now.withColumn("d0", F.col("d")).unionByName(more).groupBy(*key, "node").agg(F.max("d").alias("d"), F.max("d0").alias("d0"))
         return most.withColumn("_changed", F.col("d") != F.col("d0"))
 
-    start = nodes.select(*key, "node").distinct().join(plain, key, "left_semi").withColumn("d", F.lit(0))
+    start = nodes.select(*key, "node").distinct().join(dealt(plain), key, "left_semi").withColumn("d", F.lit(0))
     found = settled(start, longer).groupBy(*key).agg(F.max("d").alias("longest"))
-    return nodes.select(*key).distinct().join(found, key, "left").select(*key, F.coalesce("longest", F.lit(0)).alias("longest"))
+    return nodes.select(*key).distinct().join(dealt(found), key, "left").select(*key, F.coalesce("longest", F.lit(0)).alias("longest"))
 
 
 def simple_cycles(edges: DataFrame, parts: DataFrame, key: list[str]) -> DataFrame:
@@ -169,7 +169,7 @@ def simple_cycles(edges: DataFrame, parts: DataFrame, key: list[str]) -> DataFra
     their own, spread over the cluster, and all are counted.
     """
     colour = lambda end: parts.where("cyclic").select(*key, F.col("node").alias(end), F.col("component").alias(f"c_{end}"))
-    own = kept(edges.select(*key, "src", "dst").distinct().join(colour("src"), [*key, "src"]).join(colour("dst"), [*key, "dst"]).where("c_src = c_dst").select(*key, "src", "dst"), "inside")
+    own = kept(edges.select(*key, "src", "dst").distinct().join(dealt(colour("src")), [*key, "src"]).join(dealt(colour("dst")), [*key, "dst"]).where("c_src = c_dst").select(*key, "src", "dst"), "inside")
 
     def grow(new: DataFrame) -> DataFrame:
         on = along(own, new.where("NOT closed"), key).where("next >= start")
@@ -180,38 +180,41 @@ def simple_cycles(edges: DataFrame, parts: DataFrame, key: list[str]) -> DataFra
     return facts(first, grow, once=True).where("closed").groupBy(*key).agg(F.count("*").alias("cycles"))
 
 
-def dominance(edges: DataFrame, entries: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+def dominance(edges: DataFrame, entries: DataFrame, key: list[str], live: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(key, dominator, node) and (key, node, frontier) of the nodes that the entry in `entries` (key, root) reaches.
 
     d dominates n if no path from the entry to n leaves d out; so the facts are (left out, node), each derived once, and what isn't one is
     a pair of dominance: as many as a function has nodes, squared, dealt over tasks. The frontier of n: nodes that n doesn't strictly
-    dominate, with an edge from a node that n dominates.
+    dominate, with an edge from a node that n dominates. `live`: what is `reached`, if it is there already.
     """
     own = kept(edges.select(*key, "src", "dst").distinct(), "edges")
-    live = kept(reached(own, entries, key).select(*key, "root", "node"), "live")
+    live = kept((reached(own, entries, key) if live is None else live).select(*key, "root", "node"), "live")
     start = live.where("node != root").select(*key, F.col("node").alias("gone"), F.col("root").alias("node"))
     around = facts(start, lambda new: along(own, new, key).where("next != gone").select(*key, "gone", F.col("next").alias("node"))).drop("round")
-    pairs = live.select(*key, F.col("node").alias("gone")).join(live.select(*key, "node"), key)
-    over = kept(pairs.join(around, [*key, "gone", "node"], "left_anti").select(*key, F.col("gone").alias("dominator"), "node"), "dominance")
-    onward = over.join(own.select(*key, F.col("src").alias("node"), F.col("dst").alias("frontier")), [*key, "node"]).select(*key, F.col("dominator").alias("node"), "frontier").distinct()
+    pairs = live.select(*key, F.col("node").alias("gone")).join(dealt(live.select(*key, "node")), key)
+    over = kept(pairs.join(dealt(around), [*key, "gone", "node"], "left_anti").select(*key, F.col("gone").alias("dominator"), "node"), "dominance")
+    onward = over.join(dealt(own.select(*key, F.col("src").alias("node"), F.col("dst").alias("frontier"))), [*key, "node"]).select(*key, F.col("dominator").alias("node"), "frontier").distinct()
     strict = over.where("dominator != node").select(*key, F.col("dominator").alias("node"), F.col("node").alias("frontier"))
-    return over, onward.join(strict, [*key, "node", "frontier"], "left_anti")
+    return over, onward.join(dealt(strict), [*key, "node", "frontier"], "left_anti")
 
 
-def flow_measures(nodes: DataFrame, edges: DataFrame, entries: DataFrame, key: list[str]) -> DataFrame:
+def flow_measures(nodes: DataFrame, edges: DataFrame, entries: DataFrame, key: list[str], frontiers: bool = True) -> DataFrame:
     """A row for each control-flow graph: nodes, edges (all), cycles, complex (over one cycle), depth, exits, dominators (nodes reached, each
-    with its dominators), frontiers (nodes with a frontier), frontier_pairs. `nodes` has `exit`, whether the node leaves the function."""
+    with its dominators), frontiers (nodes with a frontier), frontier_pairs; the last two only if asked for. `nodes` has `exit`, whether the node leaves the function."""
     listed = nodes.groupBy(*key).agg(F.count("*").alias("nodes"), F.count_if("exit").alias("exits"))
     ones = kept(edges.select(*key, "src", "dst").distinct(), "edges")
     parts = kept(components(nodes, ones, key), "parts")
-    depth = reached(ones, entries, key).groupBy(*key).agg(F.max("round").alias("depth"), F.count("*").alias("dominators"))
-    _, frontier = dominance(ones, entries, key)
-    fronts = frontier.groupBy(*key).agg(F.countDistinct("node").alias("frontiers"), F.count("*").alias("frontier_pairs"))
+    live = reached(ones, entries, key)
+    parted = [edges.groupBy(*key).agg(F.count("*").alias("edges")), simple_cycles(ones, parts, key), live.groupBy(*key).agg(F.max("round").alias("depth"), F.count("*").alias("dominators"))]
+    last = ["frontiers", "frontier_pairs"] if frontiers else []
+    if frontiers:
+        _, frontier = dominance(ones, entries, key, live)
+        parted.append(frontier.groupBy(*key).agg(F.countDistinct("node").alias("frontiers"), F.count("*").alias("frontier_pairs")))
     out = listed
-    for more in (edges.groupBy(*key).agg(F.count("*").alias("edges")), simple_cycles(ones, parts, key), depth, fronts):
-        out = out.join(more, key, "left")
-    out = out.na.fill(0, ["edges", "cycles", "depth", "dominators", "frontiers", "frontier_pairs"])
-    return out.select(*key, "nodes", "edges", "cycles", (F.col("cycles") > 1).cast("int").alias("complex"), "depth", "exits", "dominators", "frontiers", "frontier_pairs")
+    for more in parted:
+        out = out.join(dealt(more), key, "left")
+    out = out.na.fill(0, ["edges", "cycles", "depth", "dominators", *last])
+    return out.select(*key, "nodes", "edges", "cycles", (F.col("cycles") > 1).cast("int").alias("complex"), "depth", "exits", "dominators", *last)
 
 
 def call_measures(nodes: DataFrame, edges: DataFrame, roots: DataFrame, key: list[str], many: int = 3) -> DataFrame:
@@ -219,12 +222,12 @@ def call_measures(nodes: DataFrame, edges: DataFrame, roots: DataFrame, key: lis
     longest path (0 with a cycle), critical (functions with `many` callers or more)."""
     every, ones = kept(nodes.select(*key, "node").distinct(), "nodes"), kept(edges.select(*key, "src", "dst").distinct(), "edges")
     parts = kept(components(every, ones, key), "parts")
-    by = every.join(degrees(ones, key), [*key, "node"], "left").na.fill(0, ["out_degree", "in_degree"]).groupBy(*key).agg(
+    by = every.join(dealt(degrees(ones, key)), [*key, "node"], "left").na.fill(0, ["out_degree", "in_degree"]).groupBy(*key).agg(
         F.count("*").alias("functions"), F.count_if(F.col("out_degree") == 0).alias("leaves"), F.max("out_degree").alias("fan_out"), F.max("in_degree").alias("fan_in"), F.count_if(F.col("in_degree") >= many).alias("critical"))
     joined = (
         edges.groupBy(*key).agg(F.count("*").alias("calls")), reached(ones, roots, key).groupBy(*key).agg(F.max("round").alias("depth")), simple_cycles(ones, parts, key),
         parts.groupBy(*key).agg(F.countDistinct("component").alias("components")), longest_paths(every, ones, parts, key),
     )
     for more in joined:
-        by = by.join(more, key, "left")
+        by = by.join(dealt(more), key, "left")
     return by.na.fill(0, ["calls", "depth", "cycles"]).select(*key, "functions", "calls", "depth", "cycles", "leaves", "fan_out", "fan_in", "components", "longest", "critical")

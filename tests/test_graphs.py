@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from riskloom.operators import graph, taint
+from riskloom.operators import graph, rounds, taint
 from riskloom.operators.graph import measure
 from riskloom.operators.rounds import facts, settled
 
@@ -177,3 +177,31 @@ def test_rounds(spark):
     assert sorted((r.n or 0, r.round) for r in got.collect()) == [(0, 0), (1, 0), (2, 1), (3, 2), (4, 3), (9, 1)]
     down = settled(start.na.fill(7).distinct(), lambda now: now.selectExpr("greatest(n - 2, 0) AS n", "n > 0 AS _changed"))
     assert {r.n for r in down.collect()} == {0}
+
+
+def test_rounds_send_no_tables_to_the_driver(spark, random_graphs):
+    """Plans of the rounds' joins broadcast nothing that grows, however small its files; a round with few facts may be broadcast."""
+    nodes, edges = (df.where("g < 6") for df in random_graphs[1:])
+    shown = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    entries = nodes.where("node = 0").selectExpr("g", "node AS root")
+    _, front = graph.dominance(edges, entries, KEY)
+    plans = [shown(front), shown(graph.components(nodes, edges, KEY))]
+    assert not any("BroadcastExchange" in p for p in plans)
+    seen = []
+
+    def step(new):
+        out = graph.along(edges, new, KEY).selectExpr("g", "next AS node")
+        seen.append(shown(out))
+        return out
+
+    many = spark.range(rounds.FEW + 1).selectExpr("CAST(id AS INT) AS g", "0 AS node")
+    facts(many, step)
+    assert "BroadcastExchange" not in seen[0] and "BroadcastHashJoin" in seen[-1]
+
+
+def test_flow_measures_without_frontiers(spark, random_graphs):
+    nodes, edges = (df.where("g < 6") for df in random_graphs[1:])
+    entries = nodes.where("node = 0").selectExpr("g", "node AS root")
+    short, whole = graph.flow_measures(nodes, edges, entries, KEY, frontiers=False), graph.flow_measures(nodes, edges, entries, KEY)
+    assert sorted(map(tuple, short.collect())) == sorted(map(tuple, whole.select(short.columns).collect()))
+    assert set(whole.columns) - set(short.columns) == {"frontiers", "frontier_pairs"}
