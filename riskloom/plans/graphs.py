@@ -84,7 +84,7 @@ def cfg_measures(spark, sf_dir):
       LEFT JOIN (SELECT contract, function, max(d) AS depth, count(*) AS dominators FROM live GROUP BY ALL) USING (contract, function) GROUP BY n.contract""")
 def cfg_contract_measures(spark, sf_dir):
     """The same by contract: sums, the deepest function, edges for each node."""
-    by = graph.flow_measures(*flow(spark, sf_dir), FLOW).groupBy("contract")
+    by = graph.flow_measures(*flow(spark, sf_dir), FLOW, frontiers=False).groupBy("contract")
     total = lambda x, name: F.sum(x).cast("long").alias(name)
     return by.agg(total("cycles", "cfg_num_cycles"), F.max("depth").alias("cfg_max_depth"), F.round(F.sum("edges") / F.sum("nodes"), 2).alias("cfg_avg_branching_factor"),
                   total("complex", "cfg_num_complex_loops"), total("exits", "cfg_num_exit_points"), total("dominators", "cfg_dominators_count"))
