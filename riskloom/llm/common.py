@@ -23,11 +23,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    """`df` as a Parquet table in the shared folder: cuts the lineage and survives lost executors.
+
+    Shuffle files of the write go with its end, not when the driver happens to collect its garbage.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    kept = spark.read.schema(df.schema).parquet(path)
     kept.stored_at = path
     return kept
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.llm import simhash
-from riskloom.llm.common import stored, words
+from riskloom.llm.common import discard, stored, words
 from riskloom.llm.simhash import components, one_of_each, text_hash
 
 LEAST = Fraction(4, 5)
@@ -124,7 +124,10 @@ def links(texts: DataFrame, n: int = 5, least: Fraction = LEAST) -> tuple[DataFr
         sets = stored(texts.join(met, "th", "left_semi").dropDuplicates(["th"]).mapInArrow(_sets(n), ROWS).select("node", "keys"), "near-sets")
         found = pairs.join(sets.alias("x"), F.col("a") == F.col("x.node")).join(sets.alias("y"), F.col("b") == F.col("y.node"))
         both = F.size(F.array_intersect("x.keys", "y.keys"))
-        return stored(found.where(both * q >= (F.size("x.keys") + F.size("y.keys") - both) * p).select("a", "b"), "near-links")
+        linked = stored(found.where(both * q >= (F.size("x.keys") + F.size("y.keys") - both) * p).select("a", "b"), "near-links")
+        discard(pairs)
+        discard(sets)
+        return linked
 
     # 1. fingerprints within the BK-trees' radius, and nodes that share much with a key's smallest node
     firsts = rows.groupBy("fp").agg(F.min("node").alias("first"))
@@ -139,8 +142,9 @@ def links(texts: DataFrame, n: int = 5, least: Fraction = LEAST) -> tuple[DataFr
     roots = components(first)
     part = shared.select("key", "node", "size", "pos").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_keys = part.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    part = stored(part.join(open_keys, "key"), "near-open")
-    part = part.join(part.groupBy("node").agg(F.count("*").alias("s")), "node")  # places that it shares with any other
+    still = stored(part.join(open_keys, "key"), "near-open")
+    discard(shared)
+    part = still.join(still.groupBy("node").agg(F.count("*").alias("s")), "node")  # places that it shares with any other
     x, y = part.alias("x"), part.alias("y")
     # an alike pair lacks at most so much of each other; the prefix that ends first must hold the rest in common
     least_both = F.ceil((F.col("x.size") + F.col("y.size")) * p / (p + q))
@@ -152,7 +156,10 @@ def links(texts: DataFrame, n: int = 5, least: Fraction = LEAST) -> tuple[DataFr
     rest = F.greatest(F.least(F.col("m") - prefix("m"), F.col("n") - F.col("j") - 1), F.least(F.col("m") - F.col("i") - 1, F.col("n") - prefix("n")))
     most = F.least(F.col("o") + rest, F.col("m") - F.col("i0"), F.col("n") - F.col("j0"))
     second = alike(met.where(most * (p + q) >= (F.col("m") + F.col("n")) * p))
-    return rows.select("th", "node"), first.union(second)
+    discard(still)
+    named = stored(rows.select("th", "node"), "near-nodes")
+    discard(rows)
+    return named, first.union(second)
 
 
 def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = 5, least: Fraction = LEAST) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import stored, words
+from riskloom.llm.common import discard, stored, words
 
 
 def fingerprint(text: str | None, n: int = 4) -> int:
@@ -194,6 +194,7 @@ def components(edges: DataFrame) -> DataFrame:
         after = stored(small.where("u != v").distinct(), "edges")
         marks = [F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.bit_xor(F.xxhash64("v", "u"))]
         same = after.agg(*marks).first() == now.agg(*marks).first()
+        discard(now)
         now = after
         if same:
             break

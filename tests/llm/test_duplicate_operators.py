@@ -8,6 +8,7 @@ import re
 import time
 from collections import Counter
 from html.parser import HTMLParser
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -15,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from riskloom.llm import forest, iblt, near, packing, queries, simhash, suffix, warc
+from riskloom.llm import common, forest, iblt, near, packing, queries, simhash, suffix, warc
 from riskloom.session import table
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -644,3 +645,24 @@ def test_pipeline_keeps_own_columns_and_rows_without_an_id(spark, sf_dir):
         assert all(r[c] == c + ("-" if r.doc_id is None else str(r.doc_id)) for r in rows for c in own)
         assert sum(r.doc_id is None for r in rows) > 5, name
     assert corpus_pipeline.pack(spark, docs, sf_dir).where("doc_id IS NULL").count() >= 20
+
+
+def test_nothing_dead_stays_on_disk(spark):
+    """What only a step of the search reads goes with the step, and a stored table's shuffle files go with its write."""
+    folder = Path(common.shared_folder(spark).removeprefix("file://"))
+    texts = [" ".join(f"w{i % 7}-{j}" for j in range(40)) + f" end{i % 3}" for i in range(42)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    held = set(folder.iterdir())
+    named, edges = near.links(docs.select(near.text_hash("text").alias("th"), "text"))
+    assert {p.name.split("-", 2)[1] for p in set(folder.iterdir()) - held if p.name.startswith("near-")} == {"links", "nodes"}
+    assert named.count() == 42 and edges.count() > 0
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    spark._jvm.System.gc()
+    time.sleep(1)
+    before = files()
+    kept = common.stored(docs.groupBy("text").agg(F.count("*").alias("n")), "counts")
+    for _ in range(20):
+        if files() <= before:
+            break
+        time.sleep(0.2)
+    assert files() <= before and kept.count() == 21 and spark.conf.get(common._CLEANUP, None) is None
