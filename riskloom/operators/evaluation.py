@@ -12,18 +12,19 @@ def by_level(df: DataFrame, score: str, label: str) -> DataFrame:
     return df.where(F.col(score).isNotNull() & y.isNotNull()).groupBy(F.col(score).alias("score")).agg(F.count_if(y == 1).alias("pos"), F.count_if(y != 1).alias("neg"))
 
 
-def auc(df: DataFrame, score: str, label: str, parts: int = 64) -> DataFrame:
+def auc(df: DataFrame, score: str, label: str, parts: int = 64, times: str | None = None) -> DataFrame:
     """One row: the exact area under the curve, ties counting half; null if a class is missing."""
-    return areas(df, [], score, label, parts)
+    return areas(df, [], score, label, parts, times)
 
 
-def areas(df: DataFrame, by: list[str], score: str, label: str, parts: int = 64) -> DataFrame:
-    """_<by>..., auc: exact areas of many groups at once, ties counting half; null where a class is missing.
+def areas(df: DataFrame, by: list[str], score: str, label: str, parts: int = 64, times: str | None = None) -> DataFrame:
+    """_<by>..., auc: exact areas of many groups at once, ties counting half; null where a class is missing. `times`: how many rows each stands for.
 
     Rows are counted by level first. Levels are dealt into ranges at quantiles of the levels, so scores that
     crowd together still spread; a window holds a range of one group.
     """
-    levels = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*[F.col(b).alias(f"_{b}") for b in by], F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
+    many = lambda y: F.sum(F.when(y, F.col(times)).otherwise(0)) if times else F.count_if(y)
+    levels = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*[F.col(b).alias(f"_{b}") for b in by], F.col(score).alias("s")).agg(many(F.col(label) == 1).alias("pos"), many(F.col(label) != 1).alias("neg"))
     cuts = sorted(set(levels.agg(F.percentile_approx("s", [i / parts for i in range(1, parts)], 20 * parts)).first()[0] or []))
     at = F.size(F.filter(F.lit([float(x) for x in cuts]), lambda x: x < F.col("s"))) if cuts else F.lit(0)
     keys = [f"_{b}" for b in by]

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from riskloom.operators import evaluation as ev
 from riskloom.operators.engineering import hash_ranks
+from riskloom.operators.rounds import kept
 
 
 def learners(label: str = "label", weight: str | None = None) -> dict:
@@ -32,6 +33,14 @@ def assembled(df: DataFrame, columns: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep").transform(df)
 
 
+def counted(df: DataFrame, columns: list[str], label: str, *more: str) -> DataFrame:
+    """A row for each combination of the columns, with `times`, how many rows it stands for.
+
+    Fitted with these weights, a model without a bootstrap has the same objective, and its passes no longer go over rows that are alike.
+    """
+    return kept(df.groupBy(*columns, label, *more).agg(F.count("*").alias("times")), "counted")
+
+
 def from_array(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("features", array_to_vector(F.col(column).cast("array<double>")))
 
@@ -162,25 +171,28 @@ def best_weights(df: DataFrame, names: list[str], label: str, steps: int = 4) ->
     return best
 
 
-def tune(train: DataFrame, label: str, folds: int = 3) -> tuple[dict, list[tuple[dict, float]]]:
-    """Grid search of the logistic model by cross-validated area; the best settings, and every trial."""
-    lr = LogisticRegression(featuresCol="features", labelCol=label)
+def tune(train: DataFrame, label: str, folds: int = 3, fold: str | None = None, weight: str | None = None) -> tuple[dict, list[tuple[dict, float]]]:
+    """Grid search of the logistic model by cross-validated area; the best settings, and every trial. `fold`: a row's fold (int); else at random."""
+    more = {"weightCol": weight} if weight else {}
+    lr = LogisticRegression(featuresCol="features", labelCol=label, **more)
     grid = ParamGridBuilder().addGrid(lr.regParam, [0.001, 0.01, 0.1]).addGrid(lr.elasticNetParam, [0.0, 1.0]).build()
-    cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(labelCol=label), numFolds=folds, seed=42, parallelism=2)
+    cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(labelCol=label, **more), numFolds=folds, seed=42, parallelism=2, **({"foldCol": fold} if fold else {}))
     m = cv.fit(train)
     trials = [({p.name: v for p, v in g.items()}, a) for g, a in zip(grid, m.avgMetrics, strict=True)]
     return max(trials, key=lambda t: t[1])[0], trials
 
 
 def ablation(train: DataFrame, test: DataFrame, groups: dict[str, list[str]], label: str) -> list[tuple[str, float]]:
-    """Area of the logistic model with every column, then without each group."""
+    """Area of the logistic model with every column, then without each group. Rows that are alike are counted, not fitted and scored one by one."""
     every = [c for g in groups.values() for c in g]
+    train, test = (counted(df, every, label) for df in (train, test))
     out = []
     for name, gone in {"": [], **groups}.items():
         columns = [c for c in every if c not in gone]
-        m = LogisticRegression(featuresCol="features", labelCol=label, regParam=0.01).fit(assembled(train, columns))
-        s = score_all({"x": m}, assembled(test, columns))
-        out.append((name or "all", ev.auc(s.select(F.round("p_x", 9).alias("p_x"), label), "p_x", label).first()[0] or 0.0))
+        fewer = lambda df: assembled(df.groupBy(*columns, label).agg(F.sum("times").alias("times")), columns)  # noqa: E731, B023
+        m = LogisticRegression(featuresCol="features", labelCol=label, regParam=0.01, weightCol="times").fit(fewer(train))
+        s = score_all({"x": m}, fewer(test))
+        out.append((name or "all", ev.auc(s.select(F.round("p_x", 9).alias("p_x"), label, "times"), "p_x", label, times="times").first()[0] or 0.0))
     return out
 
 

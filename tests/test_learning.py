@@ -4,9 +4,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
 from riskloom.operators import engineering as fe
+from riskloom.operators import evaluation as ev
 from riskloom.operators import learning as ml
 from riskloom.plans import learning as plans
 from riskloom.plans.base import frame
@@ -127,3 +129,23 @@ def test_source_prediction_stores_features(spark, sf_dir, monkeypatch):
         t = texts[r.doc_id]
         if t is not None and t.isascii():
             assert (r.n_chars, r.n_digits, r.n_upper) == (len(t), sum(c.isdigit() for c in t), sum(c.isupper() for c in t)) and r.n_marks == sum(not (c.isalnum() or c in "_ \t\n\r\x0b\x0c") for c in t)
+
+
+def test_counted_rows_fit_the_same_models(spark):
+    """Rows that are alike are one row with a weight: areas and trials are those of the rows one by one, however many copies there are."""
+    rng = np.random.default_rng(3)
+    x, z = rng.integers(0, 4, 900), rng.integers(0, 3, 900)
+    y = rng.random(900) < 0.2 + 0.15 * x
+    rows = spark.createDataFrame([(int(i), float(a), float(b), float(c)) for i, (a, b, c) in enumerate(zip(x, z, y, strict=True))], "id int, x double, z double, label double")
+    few = ml.counted(rows, ["x", "z"], "label")
+    assert few.count() <= 24 and few.groupBy().sum("times").first()[0] == 900
+    train, test = rows.where("id % 3 > 0"), rows.where("id % 3 = 0")
+    got = dict(ml.ablation(train, test, {"a": ["x"], "b": ["z"]}, "label"))
+    for name, columns in {"all": ["x", "z"], "a": ["z"], "b": ["x"]}.items():
+        m = LogisticRegression(featuresCol="features", labelCol="label", regParam=0.01).fit(ml.assembled(train, columns))
+        s = ml.score_all({"x": m}, ml.assembled(test, columns)).select(F.round("p_x", 9).alias("p"), "label")
+        assert got[name] == pytest.approx(ev.auc(s, "p", "label").first()[0], abs=1e-6)
+    dealt = rows.withColumn("fold", F.col("id") % 2)
+    one = ml.tune(ml.assembled(dealt, ["x", "z"]), "label", 2, fold="fold")[1]
+    two = ml.tune(ml.assembled(ml.counted(dealt, ["x", "z"], "label", "fold"), ["x", "z"]), "label", 2, fold="fold", weight="times")[1]
+    assert [a for _, a in one] == pytest.approx([a for _, a in two], abs=1e-3) and len(one) == 6
