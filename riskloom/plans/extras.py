@@ -131,7 +131,8 @@ def ensemble_weights(spark, sf_dir):
 def tuning_trials(spark, sf_dir):
     """Cross-validated area of every setting tried, the best so far beside it."""
     train, _ = frames(spark, sf_dir)
-    _, trials = ml.tune(ml.assembled(train, COLUMNS), "label", folds=2)
+    rows = ml.counted(train.withColumn("fold", ml.in_fold("id", 2).cast("int")), COLUMNS, "label", "fold")
+    _, trials = ml.tune(ml.assembled(rows, COLUMNS), "label", folds=2, fold="fold", weight="times")
     t = spark.createDataFrame([(i, float(s["regParam"]), float(s["elasticNetParam"]), float(a)) for i, (s, a) in enumerate(trials)], "trial int, reg double, l1 double, auc double")
     return t.withColumn("best", F.max("auc").over(Window.partitionBy(F.lit(1)).orderBy("trial").rowsBetween(Window.unboundedPreceding, 0)))
 
