@@ -114,8 +114,10 @@ def source_prediction(spark, sf_dir):
 
 @plan("feature_importances")
 def feature_importances(spark, sf_dir):
+    """Importances in boosted trees, fitted on counts of rows that are alike, and in a forest, whose bootstrap draws rows one by one."""
     train, _ = frames(spark, sf_dir)
-    m = {n: x.fit(ml.assembled(train, COLUMNS)) for n, x in ml.learners().items() if n != "logistic"}
+    rows = ml.counted(train, COLUMNS, "label")
+    m = {"boosted": ml.learners(weight="times")["boosted"].fit(ml.assembled(rows, COLUMNS)), "forest": ml.learners()["forest"].fit(ml.assembled(train, COLUMNS))}
     return ml.importances(m, COLUMNS, spark)
 
 
