@@ -359,6 +359,47 @@ def test_near_duplicate_stage_by_brute_jaccard(spark, sf_dir):
     assert corpus_pipeline.near_duplicates(spark, frame(spark, rows).limit(0), sf_dir).count() == 0
 
 
+def most_joined(spark, run):
+    """The largest number of rows that a join made in the queries of `run`."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    each = lambda seq: (seq.apply(i) for i in range(seq.size()))
+    before = {e.executionId() for e in each(store.executionsList())}
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    made = [0]
+    for i in (e.executionId() for e in each(store.executionsList()) if e.executionId() not in before):
+        values = store.executionMetrics(i)
+        for node in each(store.planGraph(i).allNodes()):
+            found = [m for m in each(node.metrics()) if "Join" in node.name() and m.name() == "number of output rows" and values.contains(m.accumulatorId())]
+            made += [int(values.get(m.accumulatorId()).get().replace(",", "")) for m in found]
+    return max(made)
+
+
+def test_near_copies_that_are_hardly_alike_are_not_all_paired(spark):
+    """Copies of one text that lack some of its words: one component, and others that are almost alike to many of its members."""
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(400):
+        gone = set(r.sample(range(150), r.choice([0, 1, 2, 3, 3, 4, 5, 6, 7, 8])))
+        rows.append((i, " ".join(w for j, w in enumerate(base) if j not in gone)))
+    kept = []
+    made = most_joined(spark, lambda: kept.extend(x.doc_id for x in near.representatives(frame(spark, rows)).collect()))
+    want = kept_by_jaccard(shingle_sets(rows))
+    assert set(kept) == want and 20 < len(want) < 300
+    assert made <= 40 * len(rows)  # as many as the prefix shingles of all texts, about
+
+
+def test_parity_signatures_never_drop_an_alike_pair():
+    r = np.random.default_rng(3)
+    for size in (1, 9, 150, 900, 3_000):
+        a = r.integers(0, 1 << 63, size, dtype=np.uint64)
+        for lost in (0, 1, size // 9, size // 2):
+            b = np.concatenate([a[lost:], r.integers(0, 1 << 63, lost, dtype=np.uint64)])
+            differ = int(np.bitwise_count((near.parities(a) ^ near.parities(b)).view(np.uint64)).sum())
+            assert differ <= 2 * lost and (size > 1_000 or lost < 9 or differ > lost / 2)
+
+
 def recall_of(found, ids, v, every=20, k=20):
     got = {}
     for r in found.collect():
