@@ -56,10 +56,10 @@ class WaveletMatrix:
         planes, zeros = [], []
         for b in range(bits - 1, -1, -1):
             one = (ids & ids.dtype.type(1 << b)).astype(bool)
-            low, high = ids[~one], ids[one]
+            low, high = np.flatnonzero(~one), np.flatnonzero(one)  # places: numpy finds them without a branch, unlike masked items
             planes.append(np.packbits(one))
             zeros.append(len(low))
-            ids = np.concatenate([low, high])
+            ids = np.concatenate([ids.take(low), ids.take(high)])
         return cls(len(ids), np.stack(planes) if planes else np.zeros((0, 0), np.uint8), np.array(zeros, np.int64))
 
     def _ones(self, level: int, at: np.ndarray) -> np.ndarray:
@@ -114,8 +114,8 @@ class WaveletMatrix:
             one = np.unpackbits(self.planes[level], count=self.n).view(bool)
             zeros = int(self.zeros[level])
             above = np.empty(self.n, kind)
-            above[~one] = value[:zeros]
-            above[one] = value[zeros:] | kind(1 << (bits - 1 - level))
+            above[np.flatnonzero(~one)] = value[:zeros]
+            above[np.flatnonzero(one)] = value[zeros:] | kind(1 << (bits - 1 - level))
             value = above
         return value
 
@@ -226,7 +226,10 @@ class UnitEncoder:
             else:
                 found = self._cut(" " + unit)
         if len(unit) <= 40:
-            self.units.put(unit, found)
+            if len(self.units.new) < self.units.size:
+                self.units.new[unit] = found
+            else:
+                self.units.put(unit, found)
         return found
 
     def _slice(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -237,18 +240,17 @@ class UnitEncoder:
             lists = pa.array([odd.get(i, x) for i, x in enumerate(lists.to_pylist())], pa.large_list(pa.large_string()))
         offsets = lists.offsets.to_numpy()
         named = lists.flatten().dictionary_encode()
-        units = named.dictionary.to_pylist()
+        units = named.dictionary.to_numpy(zero_copy_only=False).tolist()  # to_pylist makes a scalar of each
         first = [self._cut(u) if u else b"" for u in (t[: len(odd[i][0])] if i in odd else t.partition(" ")[0] for i, t in enumerate(texts))]  # follows no blank
         known = [x or self._older(u) for x, u in zip(list(map(self.units.new.get, units)), units, strict=True)]
         known += [*first, self.kind(0).tobytes()]
-        codes = named.indices.to_numpy().astype(np.int64)
+        codes = named.indices.to_numpy().copy()  # int32: Arrow's dictionaries have no more
         codes[offsets[:-1] - offsets[0]] = len(units) + np.arange(len(texts))
         codes = np.insert(codes, offsets[1:] - offsets[0], len(known) - 1)
-        sizes = np.fromiter(map(len, known), np.int64, len(known)) // self.kind(0).nbytes
-        begin = np.cumsum(sizes) - sizes
-        each = sizes[codes]
-        ends = np.cumsum(each)
-        ids = np.frombuffer(b"".join(known), self.kind)[np.repeat(begin[codes] - ends + each, each) + np.arange(int(ends[-1]))]
+        # Arrow lays the ids of all codes end to end, and its offsets say where each ends
+        laid = pa.array(known, pa.large_binary()).take(pa.array(codes))
+        ends = np.frombuffer(laid.buffers()[1], np.int64, len(codes) + 1)[1:] // self.kind(0).nbytes
+        ids = np.frombuffer(laid.buffers()[2], self.kind, int(ends[-1]))
         return ids, np.diff(ends[offsets[1:] - offsets[0] + np.arange(len(texts))], prepend=0)
 
     def encoded(self, texts: list[str | None]):

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -299,3 +300,17 @@ def test_wavelet_shards_equal_the_library(spark, sf_dir, odd):
     assert shards.select("bucket").distinct().count() > 1
     assert {(x.doc_id + 50, x.start, x.ids_crc32) for x in wavelet.read_documents(shards).collect()} == {(x.doc_id, x.start, x.ids_crc32) for x in got.values()}
     assert wavelet.read_documents(wavelet.write_shards(odd.limit(0), path)).count() == 0
+
+
+def test_ids_of_a_slice_are_laid_end_to_end_without_an_index_for_each():
+    e = wavelet.UnitEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["zqxjkv" * 6 + " " + "the zqxjkvzqxjkvzqxjkv, " * 20_000 + str(i) for i in range(4)]
+    e._slice(texts)  # units are known from now on
+    tracemalloc.start()
+    try:
+        ids, sizes = e._slice(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert [ids[b - n : b].tolist() for n, b in zip(sizes, np.cumsum(sizes), strict=True)] == [[*e.t.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    assert peak < 16 * len(ids)  # two 64-bit places for each id
