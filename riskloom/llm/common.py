@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,6 +52,22 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
+
+
+def mapped(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """`df.mapInArrow`, with batches of about `BATCH_BYTES` at most, however long the texts are.
+
+    Spark's own limits are 64 MB and 10,000 rows, and a task's JVM and its worker hold several times a batch.
+    The limit is read when the frame runs, so it stays in the session, unless that has one of its own.
+    """
+    spark = df.sparkSession
+    if _BATCH not in spark.conf.getAll:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def crc_of_id(c: str | Column) -> Column:
     """crc32 of an id's decimal text."""
     c = F.col(c) if isinstance(c, str) else c

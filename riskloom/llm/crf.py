@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.llm import chain
+from riskloom.llm.common import mapped
 
 UNDEFINED = "und"
 
@@ -261,4 +262,4 @@ def predict(docs: DataFrame, model: Model, text: str = "text", settings: Setting
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
     schema = StructType([*(f for f in rows.schema if keep_text or f.name in keep), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return rows.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model), settings.chunk_tokens, keep_text), schema)
+    return mapped(rows, _predict(docs.sparkSession.sparkContext.broadcast(model), settings.chunk_tokens, keep_text), schema)

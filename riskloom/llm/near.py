@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.llm import simhash
-from riskloom.llm.common import discard, stored, words
+from riskloom.llm.common import discard, mapped, stored, words
 from riskloom.llm.simhash import components, one_of_each, text_hash
 
 LEAST = Fraction(4, 5)
@@ -106,7 +106,7 @@ ROWS = "th long, node long, fp long, odd array<long>, size int, keys array<long>
 def _common(texts: DataFrame, n: int):
     """Sorted hashes of the commonest shingles in a sample of texts, and their ranks, 1 for the rarest."""
     every = max(1, texts.count() // SAMPLE)
-    seen = texts.where(F.pmod(F.col("th"), F.lit(every)) == 0).mapInArrow(_sets(n), ROWS).select("node", "keys").dropDuplicates(["node"])
+    seen = mapped(texts.where(F.pmod(F.col("th"), F.lit(every)) == 0), _sets(n), ROWS).select("node", "keys").dropDuplicates(["node"])
     counts = seen.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     top = counts.orderBy(F.desc("c"), "key").limit(COMMON).toArrow().column("key").to_numpy().view(np.uint64)
     order = np.argsort(top)
@@ -117,7 +117,7 @@ def links(texts: DataFrame, n: int = 5, least: Fraction = LEAST) -> tuple[DataFr
     """(th, node) of every text of the frame (th, text), and the links a, b that join the components."""
     p, q = least.numerator, least.denominator
     common = texts.sparkSession.sparkContext.broadcast(_common(texts, n))
-    rows = stored(texts.mapInArrow(_sets(n, common, least), ROWS), "near-prefixes")
+    rows = stored(mapped(texts, _sets(n, common, least), ROWS), "near-prefixes")
     nodes = rows.groupBy("node").agg(F.min("th").alias("th"))
     odd = F.struct(*(F.col("odd")[i].alias(f"w{i}") for i in range(BITS // 64))).alias("odd")
     heads = stored(rows.dropDuplicates(["node"]).select("node", "size", "keys", odd), "near-heads")
@@ -170,7 +170,7 @@ def links(texts: DataFrame, n: int = 5, least: Fraction = LEAST) -> tuple[DataFr
         pairs = stored(held.where(most * (p + q) >= (F.col("m") + F.col("n")) * p).select("a", "b"), "near-pairs")
         discard(signed)
         met = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select("th")
-        sets = stored(texts.join(met, "th", "left_semi").dropDuplicates(["th"]).mapInArrow(_sets(n), ROWS).select("node", "keys"), "near-sets")
+        sets = stored(mapped(texts.join(met, "th", "left_semi").dropDuplicates(["th"]), _sets(n), ROWS).select("node", "keys"), "near-sets")
         both = F.size(F.array_intersect("x.keys", "y.keys"))
         linked = stored(both_of(pairs, sets).where(both * q >= (F.size("x.keys") + F.size("y.keys") - both) * p).select("a", "b"), "near-links")
         discard(pairs)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import words
+from riskloom.llm.common import mapped, words
 
 PACKED = "doc_id long, piece int, n_tokens long, bin long, place int, start long"
 
@@ -82,7 +82,7 @@ def sizes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: s
             )
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, source string, cluster long")
+    return mapped(rows, run, "doc_id long, n_tokens long, source string, cluster long")
 
 
 def pack(sized: DataFrame, capacity: int = 2_048, shard: int = 8_192) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import discard, stored, words
+from riskloom.llm.common import discard, mapped, stored, words
 
 
 def fingerprint(text: str | None, n: int = 4) -> int:
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f.view(np.int64))], ["doc_id", "fp"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return mapped(rows, run, "doc_id long, fp long")
 
 
 class BKTree:

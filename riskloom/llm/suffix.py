@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from riskloom.llm.common import discard, stored
+from riskloom.llm.common import discard, mapped, stored
 
 SHARDS = 8
 PIECE = 2_048  # windows of a span row at most
@@ -373,7 +373,7 @@ def repeated(docs: DataFrame, searches: list[tuple[int, Alphabet]], limit: int =
     for i, (size, of) in enumerate(searches):
         if size % of.blocks or size < 2 * of.gram:
             raise ValueError(f"the length must be a multiple of {of.blocks}, and at least {2 * of.gram}")
-        all_spans = stored(docs.mapInArrow(_spans(size, of), SPANS), "spans")
+        all_spans = stored(mapped(docs, _spans(size, of), SPANS), "spans")
         keys = all_spans.groupBy("key").agg(F.count("*").alias("total"), F.max("twice").alias("any_twice")).where("total > 1 OR any_twice")
         shared = stored(all_spans.join(keys.select("key"), "key"), "shared-spans")
         discard(all_spans)
@@ -387,13 +387,14 @@ def repeated(docs: DataFrame, searches: list[tuple[int, Alphabet]], limit: int =
     # a text moves once for all searches; what it lends is bounded by it
     by_doc = reduce(DataFrame.unionByName, members).groupBy("doc_id", "thash").agg(F.collect_list(F.struct("search", "key", "hot", "n", "digest", "start", "windows")).alias("members"))
     lent = docs.join(by_doc, ["doc_id", "thash"]).dropDuplicates(["doc_id", "thash"]).select("doc_id", "thash", "text", "members")
-    data = stored(lent.mapInArrow(_cut(searches), MEMBERS), "members")
+    data = stored(mapped(lent, _cut(searches), MEMBERS), "members")
     out = []
     for i, ((size, of), (shared, distinct)) in enumerate(zip(searches, found, strict=True)):
         discard(distinct)
         own = data.where(F.col("search") == i)
-        met = own.where("NOT hot").select("key", "n", "digest", "shard", "data").repartition("key").sortWithinPartitions("key", "shard").mapInArrow(_resolve(size, of, batch), FOUND)
-        windows = own.where("hot").select("key", "n", "digest", "data").mapInArrow(_window_digests(size, of), "window binary, n long, key long, digest binary, start int")
+        cold = own.where("NOT hot").select("key", "n", "digest", "shard", "data").repartition("key").sortWithinPartitions("key", "shard")
+        met = mapped(cold, _resolve(size, of, batch), FOUND)
+        windows = mapped(own.where("hot").select("key", "n", "digest", "data"), _window_digests(size, of), "window binary, n long, key long, digest binary, start int")
         again = windows.groupBy("window").agg(F.sum("n").alias("total")).where("total > 1").select("window")
         counted = windows.join(again, "window").groupBy("key", "digest").agg(F.collect_list(F.struct("start", (F.col("start") + 1).alias("stop"))).alias("runs"))
         runs = met.unionByName(counted.select("key", "digest", F.col("runs").cast(RUNS))).unionByName(singles[i].select("key", "digest", F.col("runs").cast(RUNS)))
@@ -462,4 +463,4 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     last = [F.col(c).alias(f"{inner}_{c}") for c in ("text", "runs", "said")]
     joined = whole.join(runs, ["doc_id", "thash"], "left").select(*[F.col("row").getField(c).alias(c) for c in keep], *last)
     made = [*(StructField(n, LongType()) for n in RESULT[:-1]), StructField("kept", StringType() if as_text else BinaryType())]
-    return joined.mapInArrow(_keep(size, as_text, passage), StructType([*(docs.schema[c] for c in keep), *made]))
+    return mapped(joined, _keep(size, as_text, passage), StructType([*(docs.schema[c] for c in keep), *made]))

@@ -116,6 +116,33 @@ def test_repeats_stage_by_words(spark, limit):
         assert {x.doc_id: x.text for x in corpus_pipeline.repeats(spark, docs, "").collect()} == dict(enumerate(want))
 
 
+def test_batches_of_texts_are_bounded(spark, tmp_path, monkeypatch):
+    """Texts of 14 MB in one partition: what reads them never holds a batch of them all."""
+
+    def watched(name, make):
+        def made(*settings):
+            run = make(*settings)
+
+            def seen(batches):
+                for b in batches:
+                    with (tmp_path / name).open("a") as said:
+                        said.write(f"{b.nbytes}\n")
+                    yield b
+
+            return lambda batches: run(seen(batches))
+
+        return made
+
+    for name in ("_spans", "_keep"):
+        monkeypatch.setattr(suffix, name, watched(name, getattr(suffix, name)))
+    words = F.transform(F.sequence(F.lit(0), F.lit(499)), lambda i: F.hex(F.xxhash64("id", i)))
+    docs = spark.range(0, 1_600, 1, 1).select(F.col("id").alias("doc_id"), F.concat_ws(" ", words).alias("text"))
+    assert suffix.remove_repeats(docs).agg(F.sum("n_removed")).first()[0] == 0
+    for name in ("_spans", "_keep"):
+        sizes = [int(x) for x in (tmp_path / name).read_text().split()]
+        assert sum(sizes) > 12_000_000 and max(sizes) < 1.1 * common.BATCH_BYTES, name
+
+
 def test_merged_transforms():
     r = random.Random(7)
     for _ in range(60):
